@@ -1,160 +1,167 @@
 """Exact nearest-neighbour distance between two large sets of vectors.
 
-The real vectors are cut by a hierarchy of grid cells, each with a tight bounding box and at most
-``leaf_size`` vectors once it is a leaf.  Query vectors descend level by level.  At every level a
-query keeps only the cells whose box is not farther away than the best distance known to be
-reachable, so the work per query follows the cells around it, not the size of the real table, and
-no cell ever pairs more than ``leaf_size`` vectors with a query.  Distances are squared until the
-end; every level is written to scratch, which cuts the lineage.
+The real vectors are cut by a hierarchy of grid cells.  Each cell keeps a tight bounding box and
+one of its vectors; a cell with at most ``leaf_size`` vectors is a leaf.  Query vectors descend
+level by level, in three steps per level:
+
+1. distance to the cells' sample vectors gives an upper bound, and the closest cell, if it is a
+   leaf, is searched at once, which makes the bound nearly tight;
+2. only cells whose box lies within the bound are kept;
+3. kept leaves are searched, kept inner cells go to the next level.
+
+So the work per query follows the cells around it, not the size of the real table, and a cell never
+pairs more than ``leaf_size`` vectors with a query.  Distances stay squared until the end.  Every
+level is written to scratch, which cuts the lineage.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from twinscope.plans.codes import BROADCAST_ROWS, SALTS
 from twinscope.plans.scratch import save_scratch
 
 _SLACK = 1.0 + 1e-9  # rounding guard: a box is dropped only when it is clearly too far
+_CELL_BITS = 6  # about 64 sub-cells per cell and level
 
 
-def _split_plan(dims: int, level: int) -> list[int]:
-    """Total halvings of each dimension after ``level`` levels: about 64 cells per step, dimensions
-    taking turns when there are more than six."""
-    if dims <= 6:
-        return [level * max(1, 6 // dims)] * dims
-    bits = [0] * dims
-    for turn in range(level * 6):
-        bits[turn % dims] += 1
-    return bits
+def _halvings(dims: int, level: int) -> list[int]:
+    """How often each dimension has been halved after ``level`` levels; dimensions take turns when
+    there are more than six."""
+    if dims <= _CELL_BITS:
+        return [level * (_CELL_BITS // dims)] * dims
+    return [(level * _CELL_BITS + dims - 1 - i) // dims for i in range(dims)]
 
 
-def _cell_key(columns, bits) -> Column:
-    cells = [F.floor(F.col(c) * float(2 ** b)) for c, b in zip(columns, bits)]
+def _cell_key(columns, halvings) -> Column:
     # A hash collision merges two cells: the box grows, the result stays exact.
-    return F.xxhash64(F.lit(len(bits)), *cells)
+    return F.xxhash64(*[F.floor(F.col(c) * float(2 ** h)) for c, h in zip(columns, halvings)])
 
 
 def _sum(terms) -> Column:
     return reduce(lambda a, b: a + b, terms)
 
 
-def _near(columns) -> Column:
-    """Squared distance from the query to the box."""
+def squared_distance(left, right) -> Column:
+    return _sum([(a - b) * (a - b) for a, b in zip(left, right)])
+
+
+def _box_distance(columns) -> Column:
+    """Squared distance from the query to the box; 0 inside."""
     def gap(c):
-        q = F.col(f"q_{c}")
-        return F.greatest(F.col(f"lo_{c}") - q, q - F.col(f"hi_{c}"), F.lit(0.0))
+        return F.greatest(F.col(f"lo_{c}") - F.col(f"q_{c}"), F.col(f"q_{c}") - F.col(f"hi_{c}"), F.lit(0.0))
 
     return _sum([gap(c) * gap(c) for c in columns])
 
 
-def _far(columns) -> Column:
-    """Squared distance within which the box surely holds a real vector.
+def _meet(queries: DataFrame, facts: DataFrame, key: str, n_facts: int) -> DataFrame:
+    """Queries joined to what their cells hold.
 
-    Each face of a tight box touches a vector, so the nearest face of the best dimension with the
-    far sides of the others is enough; the plain farthest corner is simpler and safe too.
+    Few facts are broadcast.  Otherwise the join is on (key, salt), the salt taken from the query
+    id, so a cell that a third of the queries visit is spread over SALTS tasks.
     """
-    def reach(c):
-        q = F.col(f"q_{c}")
-        return F.greatest(F.abs(q - F.col(f"lo_{c}")), F.abs(q - F.col(f"hi_{c}")))
-
-    return _sum([reach(c) * reach(c) for c in columns])
-
-
-def squared_distance(left, right) -> Column:
-    return _sum([(a - b) * (a - b) for a, b in zip(left, right)])
-
-
-def _join_cells(queries: DataFrame, cells: DataFrame, key: str, n_cells: int) -> DataFrame:
-    """Join on ``key``; small cell tables are broadcast, large ones salted against hot cells."""
-    if n_cells <= BROADCAST_ROWS:
-        return queries.join(F.broadcast(cells), key)
+    if n_facts <= BROADCAST_ROWS:
+        return queries.join(F.broadcast(facts), key)
     salted = queries.withColumn("_salt", F.pmod(F.xxhash64("pid"), F.lit(SALTS)))
-    spread = cells.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
-    return salted.join(spread, [key, "_salt"]).drop("_salt")
+    every = F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")
+    return salted.join(facts.withColumn("_salt", F.explode(every)), [key, "_salt"]).drop("_salt")
 
 
-def nearest_distances(queries: DataFrame, real: DataFrame, columns, leaf_size: int = 64,
-                      max_levels: int = 40) -> DataFrame:
+def nearest_distances(queries: DataFrame, real: DataFrame, columns, leaf_size: int = 128,
+                      max_levels: int = 30) -> DataFrame:
     """(pid, distance) for every query: Euclidean distance to the nearest real vector.
 
     ``queries`` has (pid, columns...) with distinct ``pid``; ``real`` has distinct vectors with
     coordinates in [0, 1].  Queries may lie outside.
     """
     columns = list(columns)
+    asked = [F.col(f"q_{c}") for c in columns]
     carried = ["pid", *[f"q_{c}" for c in columns]]
+    root = F.lit(0).cast("long").alias("cell")
     frontier = queries.select(
-        "pid", *[F.col(c).alias(f"q_{c}") for c in columns],
-        F.lit(float("inf")).alias("best"), F.lit(0).cast("long").alias("cell"),
+        "pid", *[F.col(c).alias(f"q_{c}") for c in columns], F.lit(float("inf")).alias("best"), root
     )
-    points = real.select(*columns, F.lit(0).cast("long").alias("cell"))
-    found = []
+    points = real.select(*columns, root)
+    sample_distance = squared_distance(asked, [F.col(f"at_{c}") for c in columns])
+    exact_distance = squared_distance(asked, [F.col(c) for c in columns])
+    bounds = []
     for level in range(1, max_levels + 1):
-        bits = _split_plan(len(columns), level)
-        keyed = points.select("cell", *columns, _cell_key(columns, bits).alias("child"))
+        keyed = points.withColumn("child", _cell_key(columns, _halvings(len(columns), level)))
+        # The last level keeps whatever is left as leaves, so the search always ends, exactly.
+        leaf = (F.col("size") <= leaf_size) if level < max_levels else F.lit(True)
         boxes = save_scratch(
-            keyed.groupBy("cell", "child").agg(
+            keyed.groupBy("cell", "child")
+            .agg(
                 F.count("*").alias("size"),
+                # All of these see the same row first, so together they are one real vector.
+                *[F.first(c).alias(f"at_{c}") for c in columns],
                 *[F.min(c).alias(f"lo_{c}") for c in columns],
                 *[F.max(c).alias(f"hi_{c}") for c in columns],
-            ),
+            )
+            .withColumn("leaf", leaf),
             "boxes",
         )
-        n_boxes = boxes.count()
-        # The last level keeps whatever is left as leaves, so the search always ends exactly.
-        is_leaf = (F.col("size") <= leaf_size) if level < max_levels else F.lit(True)
-        reached = (
-            _join_cells(frontier, boxes, "cell", n_boxes)
-            .withColumn("near", _near(columns))
-            .filter(F.col("near") <= F.col("best") * _SLACK)
-            .withColumn("far", _far(columns))
-            .select(*carried, "best", "near", "far", "child", is_leaf.alias("leaf"))
+        size = boxes.agg(
+            F.count("*").alias("n"),
+            F.count_if(~F.col("leaf")).alias("inner"),
+            F.coalesce(F.sum(F.when(F.col("leaf"), F.col("size"))), F.lit(0)).alias("vectors"),
+        ).first()
+
+        def members(which, label):
+            chosen = boxes.filter(which).select("cell", "child")
+            return keyed.join(F.broadcast(chosen) if size["n"] <= BROADCAST_ROWS else chosen, ["cell", "child"], "left_semi")
+
+        leaves = members(F.col("leaf"), "leaves").select("child", *columns)
+
+        def search(hits):
+            return _meet(hits, leaves, "child", size["vectors"]).groupBy("pid").agg(F.min(exact_distance).alias("d2"))
+
+        # Step 1: bound.  The grouped minimum combines inside the tasks that made the join.
+        samples = boxes.select("cell", "child", "leaf", *[f"at_{c}" for c in columns])
+        started = save_scratch(
+            _meet(frontier, samples, "cell", size["n"])
+            .groupBy(*carried)
+            .agg(
+                F.least(F.min("best"), F.min(sample_distance)).alias("best"),
+                F.min_by(F.when(F.col("leaf"), F.col("child")), sample_distance).alias("child"),
+            ),
+            "started",
+        )
+        probed = search(started.filter("child is not null").select("child", *carried))
+        bound = save_scratch(
+            started.join(probed, "pid", "left").select(
+                "pid", F.least("best", F.coalesce("d2", "best")).alias("best"), F.col("child").alias("done")
+            ),
+            "bound",
         )
-        # A query has few cells in its frontier, so its window is small.
-        mine = Window.partitionBy("pid")
-        pruned = reached.withColumn("best", F.least(F.col("best"), F.min("far").over(mine))).filter(
-            F.col("near") <= F.col("best") * _SLACK
+        bounds.append(bound.select("pid", F.col("best").alias("d2")))
+
+        # Step 2: keep the cells within the bound, without the leaf that was searched already.
+        kept = (
+            _meet(frontier.drop("best").join(bound, "pid"),
+                  boxes.select("cell", "child", "leaf", *[f"{e}_{c}" for c in columns for e in ("lo", "hi")]),
+                  "cell", size["n"])
+            .filter(_box_distance(columns) <= F.col("best") * _SLACK)
+            .filter(~F.col("child").eqNullSafe(F.col("done")))
+            .select(*carried, "best", "child", "leaf")
         )
-        pruned = save_scratch(pruned.select(*carried, "best", "child", "leaf"), "frontier")
-
-        leaves = keyed.join(
-            F.broadcast(boxes.filter(is_leaf).select("cell", "child")) if n_boxes <= BROADCAST_ROWS
-            else boxes.filter(is_leaf).select("cell", "child"),
-            ["cell", "child"], "left_semi",
-        ).select("child", *columns)
-        hits = pruned.filter("leaf").select("child", *carried)
-        d2 = squared_distance([F.col(f"q_{c}") for c in columns], [F.col(c) for c in columns])
-        if n_boxes <= BROADCAST_ROWS and level == 1:
-            near_hits = hits.join(leaves, "child")
-        else:
-            near_hits = _join_salted(hits, leaves)
-        resolved = save_scratch(near_hits.groupBy("pid").agg(F.min(d2).alias("d2")), "resolved")
-        found.append(resolved)
-
-        open_boxes = boxes.filter(~is_leaf)
-        if open_boxes.isEmpty():
+        kept = save_scratch(kept, "kept")
+
+        # Step 3: search the kept leaves.
+        resolved = save_scratch(search(kept.filter("leaf").select("child", *carried)), "resolved")
+        bounds.append(resolved)
+        if size["inner"] == 0:
             break
-        inner = pruned.filter(~F.col("leaf")).join(resolved, "pid", "left").select(
-            *carried, F.least(F.col("best"), F.coalesce("d2", F.lit(float("inf")))).alias("best"),
-            F.col("child").alias("cell"),
+        frontier = save_scratch(
+            kept.filter(~F.col("leaf")).join(resolved, "pid", "left").select(
+                *carried, F.least("best", F.coalesce("d2", "best")).alias("best"), F.col("child").alias("cell")
+            ),
+            "frontier",
         )
-        frontier = inner
         points = save_scratch(
-            keyed.join(
-                F.broadcast(open_boxes.select("cell", "child")) if n_boxes <= BROADCAST_ROWS
-                else open_boxes.select("cell", "child"),
-                ["cell", "child"], "left_semi",
-            ).select(*columns, F.col("child").alias("cell")),
-            "points",
+            members(~F.col("leaf"), "points").select(*columns, F.col("child").alias("cell")), "points"
         )
-    everything = reduce(DataFrame.unionByName, found)
-    return everything.groupBy("pid").agg(F.sqrt(F.min("d2")).alias("distance"))
-
-
-def _join_salted(hits: DataFrame, leaves: DataFrame) -> DataFrame:
-    """Queries meet the vectors of their leaves; a leaf wanted by many queries is salted."""
-    salted = hits.withColumn("_salt", F.pmod(F.xxhash64("pid"), F.lit(SALTS)))
-    spread = leaves.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
-    return salted.join(spread, ["child", "_salt"])
+    # Sample distances are distances to real vectors too, so the smallest bound is the answer.
+    return reduce(DataFrame.unionByName, bounds).groupBy("pid").agg(F.sqrt(F.min("d2")).alias("distance"))
