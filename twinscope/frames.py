@@ -162,6 +162,14 @@ class TablePair:
         rows = df.select(*columns, F.when(is_synthetic, F.lit(SYNTHETIC)).alias(CANDIDATE))
         return cls(null_nan(rows), {c: column_kinds(df, columns)[c] for c in columns})
 
+    @classmethod
+    def tagged(cls, df: DataFrame, candidate: Column, names, columns) -> "TablePair":
+        """Real rows and many candidates in one table: ``candidate`` is NULL on real rows and one of
+        ``names`` otherwise.  One scan however many candidates there are."""
+        rows = df.select(*columns, candidate.alias(CANDIDATE))
+        kinds = column_kinds(df, columns)
+        return cls(null_nan(rows), {c: kinds[c] for c in columns}, tuple(names))
+
     @property
     def columns(self) -> list[str]:
         return list(self.kinds)

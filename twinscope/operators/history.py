@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from twinscope.constants import BENCHMARKS, BUCKETS, HARD_LIMITS, HIGHER, LEVEL_CUTS, LEVELS
 from twinscope.frames import small_table
 from twinscope.functions.measures import rank_of
+from twinscope.plans.ordered import running_best
 
 RUN = ["series_id", "cycle"]
 SERIES = ["series_id"]
@@ -328,9 +329,10 @@ def parameter_importance(trials: DataFrame, by=("study",)) -> DataFrame:
 def best_so_far(trials: DataFrame, by=("study",)) -> DataFrame:
     """(study, trial, score, best_score, is_new_best) from one row per trial; a failed trial (NULL)
     scores minus infinity, and the first of equal scores stays the best."""
-    score = F.coalesce(F.col("score"), F.lit(float("-inf")))
-    line = Window.partitionBy(*by).orderBy("trial")
-    before = F.max(score).over(line.rowsBetween(Window.unboundedPreceding, -1))
-    now = F.max(score).over(line.rowsBetween(Window.unboundedPreceding, 0))
-    return trials.select(*by, "trial", "score", now.alias("best_score"),
-                         (score > F.coalesce(before, F.lit(float("-inf")))).alias("is_new_best"))
+    nothing = F.lit(float("-inf"))
+    ready = trials.select(*by, "trial", "score", F.coalesce("score", nothing).alias("_score"))
+    run = running_best(ready, by, "trial", "_score")
+    return run.select(
+        *by, "trial", "score", F.col("best").alias("best_score"),
+        (F.col("_score") > F.coalesce("best_before", nothing)).alias("is_new_best"),
+    )

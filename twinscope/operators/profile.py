@@ -208,7 +208,8 @@ def profile(df: DataFrame, columns=None) -> DataFrame:
         "n_unique": F.coalesce("n_unique", F.lit(0)), "n_values": F.coalesce("n_values", F.lit(0)),
         "n_rare": F.coalesce("n_rare", F.lit(0)), "n_outliers": F.coalesce("n_outliers", F.lit(0)),
     })
-    rounded = [F.round(F.col(c), 6).alias(c) for c in
+    # Settled at 12 places first, so that a mean that lies between two results rounds up everywhere.
+    rounded = [F.round(F.round(F.col(c), 12), 6).alias(c) for c in
                ("mean", "median", "std", "low", "high", "skewness", "kurtosis", "q1", "q3")]
     top = F.transform("most_common", lambda x: F.struct(x["value"].alias("value"), x["n"].alias("n")))
     return out.select(

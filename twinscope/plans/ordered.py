@@ -96,3 +96,37 @@ def exact_quantiles(ordered: DataFrame, probs: dict[str, float], measure: str, k
         low, high = F.col(f"{name}_lo"), F.col(f"{name}_hi")
         out.append((low + (high - low) * (position - F.floor(position))).alias(name))
     return picked.select(*keys, *out)
+
+
+def running_best(rows: DataFrame, keys, order: str, value: str) -> DataFrame:
+    """Add ``best_before`` and ``best``: the running maximum of ``value`` in the order of a unique
+    numeric column, by the same bucket scheme (a key may hold any number of rows)."""
+    keys, base = list(keys), _cut_base(rows)
+    n_cuts = base * base - 1
+    points = F.array(*[F.lit((i + 1) / (n_cuts + 1)) for i in range(n_cuts)])
+    located = rows.withColumn("_at", F.col(order).cast("double"))
+    cuts = (
+        located.groupBy(*keys)
+        .agg(F.percentile_approx("_at", points, F.lit(max(1000, 10 * n_cuts))).alias("cuts"))
+        .withColumn("cuts", F.sort_array(F.array_distinct("cuts")))
+        .withColumn("coarse_cuts", F.filter("cuts", lambda _, i: (i + 1) % base == 0))
+    )
+    # The cut table has one row per key; a large number of keys is left to a shuffled join.
+    located = located.join(cuts, keys).withColumn("_bucket", _bucket(F.col("_at"), base)).drop("cuts", "coarse_cuts")
+    earlier = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = (
+        located.groupBy(*keys, "_bucket").agg(F.max(value).alias(value))
+        .select(*keys, "_bucket", F.max(value).over(earlier).alias(value))
+        .withColumn("_at", F.lit(None).cast("double"))
+    )
+    line = Window.partitionBy(*keys, "_bucket").orderBy(F.col("_at").asc_nulls_first())
+    return (
+        located.unionByName(starts, allowMissingColumns=True)
+        .select(
+            "*",
+            F.max(value).over(line.rowsBetween(Window.unboundedPreceding, -1)).alias("best_before"),
+            F.max(value).over(line.rowsBetween(Window.unboundedPreceding, 0)).alias("best"),
+        )
+        .filter("_at is not null")
+        .drop("_at", "_bucket")
+    )
