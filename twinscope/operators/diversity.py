@@ -45,26 +45,29 @@ def duplicate_rows(df: DataFrame, key: str, columns) -> DataFrame:
 def exact_copies(pair: TablePair) -> DataFrame:
     """(n_rows, n_copies, copy_rate): synthetic rows that equal some real row in all columns.
 
-    A grouped count over both sides instead of a join; NULLs compare equal.
+    Rows are reduced to distinct ones with counts before anything else, so copies cannot skew the
+    work; NULLs compare equal.
     """
     columns = pair.columns
-    by = [CANDIDATE] if len(pair.candidates) > 1 else []
-    grouped = pair.rows.groupBy(*columns).agg(
-        F.max(F.col(CANDIDATE).isNull()).alias("in_real"),
-        *[F.count_if(F.col(CANDIDATE) == c).alias(f"n_{i}") for i, c in enumerate(pair.candidates)],
-    )
-    totals = grouped.agg(*[
-        F.struct(
-            F.lit(c).alias(CANDIDATE),
-            F.coalesce(F.sum(f"n_{i}"), F.lit(0)).alias("n_rows"),
-            F.coalesce(F.sum(F.when(F.col("in_real"), F.col(f"n_{i}"))), F.lit(0)).alias("n_copies"),
-        ).alias(f"t_{i}")
-        for i, c in enumerate(pair.candidates)
-    ])
-    rate = F.coalesce(F.try_divide(F.col("n_copies"), F.col("n_rows")), F.lit(0.0))
-    out = totals.select(F.inline(F.array(*[F.col(f"t_{i}") for i in range(len(pair.candidates))])))
-    out = out.withColumn("copy_rate", rate)
-    return out if by else out.drop(CANDIDATE)
+    if len(pair.candidates) == 1:
+        # One grouped pass marks each distinct row with the sides it occurs on: no join.
+        marked = pair.rows.groupBy(*columns).agg(
+            F.max(F.col(CANDIDATE).isNull()).alias("same"), F.count_if(F.col(CANDIDATE).isNotNull()).alias("n")
+        )
+        by = []
+    else:
+        distinct = pair.rows.groupBy(CANDIDATE, *columns).agg(F.count("*").alias("n"))
+        real = distinct.filter(F.col(CANDIDATE).isNull()).select(
+            *[F.col(c).alias(f"r_{c}") for c in columns], F.lit(True).alias("hit")
+        )
+        syn = distinct.filter(F.col(CANDIDATE).isNotNull())
+        same_row = [F.col(c).eqNullSafe(F.col(f"r_{c}")) for c in columns]
+        marked = syn.join(real, same_row, "left").withColumn("same", F.coalesce("hit", F.lit(False)))
+        by = [CANDIDATE]
+    return marked.groupBy(*by).agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"),
+        F.coalesce(F.sum(F.when(F.col("same"), F.col("n"))), F.lit(0)).alias("n_copies"),
+    ).withColumn("copy_rate", F.coalesce(F.try_divide(F.col("n_copies"), F.col("n_rows")), F.lit(0.0)))
 
 
 def _entropy(n: Column, total: Column) -> Column:

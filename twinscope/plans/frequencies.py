@@ -15,9 +15,13 @@ KEYS = [CANDIDATE, "column"]
 
 
 def melt(df: DataFrame, columns, as_type: str, keep=()) -> DataFrame:
-    """Long form (keep..., column, value) of some columns, missing values dropped."""
-    typed = df.select(*keep, *[F.col(c).cast(as_type).alias(c) for c in columns])
-    return typed.unpivot(list(keep), list(columns), "column", "value").filter(F.col("value").isNotNull())
+    """Long form (keep..., column, value) of some columns, missing values dropped.
+
+    ``inline`` rather than ``unpivot``: the planner recognises two copies of this plan as equal and
+    reuses their shuffle, which it does not for the expand node behind ``unpivot``.
+    """
+    cells = [F.struct(F.lit(c).alias("column"), F.col(c).cast(as_type).alias("value")) for c in columns]
+    return df.select(*keep, F.inline(F.array(*cells))).filter(F.col("value").isNotNull())
 
 
 def value_counts(df: DataFrame, columns, as_type: str = "string", by=()) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_MODULES = ("profile_queries", "fidelity_queries", "privacy_queries", "history_queries")
+_MODULES = ("profile_queries", "fidelity_queries", "privacy_queries", "history_queries", "source_queries")
 
 
 def _load():

@@ -62,7 +62,8 @@ def history_metrics(spark, sf):
     run = F.split("candidate", "-")
     keys = [run[0].alias("series_id"), run[1].cast("int").alias("cycle")]
     have = [m for m in BUCKETS if m in wide.columns]
-    return wide.select(*keys, *have).unpivot(["series_id", "cycle"], have, "metric", "value")
+    # A history is a table: operators read it more than once.
+    return save_scratch(wide.select(*keys, *have).unpivot(["series_id", "cycle"], have, "metric", "value"), "history")
 
 
 _HAVE = [m for m in BUCKETS if m not in ("auc", "mean_nnd")]
