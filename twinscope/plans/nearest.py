@@ -1,7 +1,8 @@
 """Exact nearest-neighbour distance between two large sets of vectors.
 
-The real vectors are cut by a hierarchy of grid cells.  Each cell keeps a tight bounding box and
-one of its vectors; a cell with at most ``leaf_size`` vectors is a leaf.  Query vectors descend
+The real vectors are cut by a hierarchy of cells, each a grid over the bounding box of its parent.
+A cell keeps its own tight box and one of its vectors; with at most ``leaf_size`` vectors it is a
+leaf.  Query vectors descend
 level by level, in three steps per level:
 
 1. distance to the cells' sample vectors gives an upper bound, and the closest cell, if it is a
@@ -20,24 +21,33 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from twinscope.plans.codes import BROADCAST_ROWS, SALTS
+from twinscope.plans.codes import BROADCAST_ROWS, SALTS, lookup_join
 from twinscope.plans.scratch import save_scratch
 
 _SLACK = 1.0 + 1e-9  # rounding guard: a box is dropped only when it is clearly too far
 _CELL_BITS = 6  # about 64 sub-cells per cell and level
 
 
-def _halvings(dims: int, level: int) -> list[int]:
-    """How often each dimension has been halved after ``level`` levels; dimensions take turns when
-    there are more than six."""
+def _split_bits(dims: int, level: int) -> list[int]:
+    """How often each dimension is halved on one level; with more than six dimensions they take
+    turns."""
     if dims <= _CELL_BITS:
-        return [level * (_CELL_BITS // dims)] * dims
-    return [(level * _CELL_BITS + dims - 1 - i) // dims for i in range(dims)]
-
-
-def _cell_key(columns, halvings) -> Column:
+        return [_CELL_BITS // dims] * dims
+    start = (level - 1) * _CELL_BITS
+    turn = {(start + i) % dims for i in range(_CELL_BITS)}
+    return [1 if i in turn else 0 for i in range(dims)]
+
+
+def _child_key(columns, level: int) -> Column:
+    """Sub-cell of a vector: a grid over the *bounding box* of its cell (``lo_``/``hi_`` columns),
+    so a tight cluster is divided as quickly as spread-out data."""
+    parts = []
+    for c, bits in zip(columns, _split_bits(len(columns), level)):
+        if bits:
+            place = F.try_divide(F.col(c) - F.col(f"lo_{c}"), F.col(f"hi_{c}") - F.col(f"lo_{c}"))
+            parts.append(F.floor(F.coalesce(place, F.lit(0.0)) * float(2 ** bits)))
     # A hash collision merges two cells: the box grows, the result stays exact.
-    return F.xxhash64(*[F.floor(F.col(c) * float(2 ** h)) for c, h in zip(columns, halvings)])
+    return F.xxhash64("cell", *parts)
 
 
 def _sum(terms) -> Column:
@@ -83,12 +93,12 @@ def nearest_distances(queries: DataFrame, real: DataFrame, columns, leaf_size: i
     frontier = queries.select(
         "pid", *[F.col(c).alias(f"q_{c}") for c in columns], F.lit(float("inf")).alias("best"), root
     )
-    points = real.select(*columns, root)
+    unit = [F.lit(float(v)).alias(f"{e}_{c}") for c in columns for e, v in (("lo", 0), ("hi", 1))]
+    keyed = real.select(*columns, root, *unit).select(*columns, "cell", _child_key(columns, 1).alias("child"))
     sample_distance = squared_distance(asked, [F.col(f"at_{c}") for c in columns])
     exact_distance = squared_distance(asked, [F.col(c) for c in columns])
     bounds = []
     for level in range(1, max_levels + 1):
-        keyed = points.withColumn("child", _cell_key(columns, _halvings(len(columns), level)))
         # The last level keeps whatever is left as leaves, so the search always ends, exactly.
         leaf = (F.col("size") <= leaf_size) if level < max_levels else F.lit(True)
         boxes = save_scratch(
@@ -109,11 +119,9 @@ def nearest_distances(queries: DataFrame, real: DataFrame, columns, leaf_size: i
             F.coalesce(F.sum(F.when(F.col("leaf"), F.col("size"))), F.lit(0)).alias("vectors"),
         ).first()
 
-        def members(which, label):
-            chosen = boxes.filter(which).select("cell", "child")
-            return keyed.join(F.broadcast(chosen) if size["n"] <= BROADCAST_ROWS else chosen, ["cell", "child"], "left_semi")
-
-        leaves = members(F.col("leaf"), "leaves").select("child", *columns)
+        # Safe for a cell that holds a third of the vectors: see lookup_join.
+        leaf_cells = boxes.filter("leaf").select("cell", "child")
+        leaves = lookup_join(keyed, leaf_cells, ["cell", "child"], "left_semi", size["n"]).select("child", *columns)
 
         def search(hits):
             return _meet(hits, leaves, "child", size["vectors"]).groupBy("pid").agg(F.min(exact_distance).alias("d2"))
@@ -160,8 +168,13 @@ def nearest_distances(queries: DataFrame, real: DataFrame, columns, leaf_size: i
             ),
             "frontier",
         )
-        points = save_scratch(
-            members(~F.col("leaf"), "points").select(*columns, F.col("child").alias("cell")), "points"
-        )
+        if frontier.isEmpty():
+            break
+        # Cells that no query wants any more are not divided further.
+        wanted = frontier.select(F.col("cell").alias("child")).distinct()
+        inner_cells = boxes.filter(~F.col("leaf")).join(wanted, "child", "left_semi").select("cell", "child", *[f"{e}_{c}" for c in columns for e in ("lo", "hi")])
+        inner = lookup_join(keyed, inner_cells, ["cell", "child"], "inner", size["n"])
+        moved = inner.drop("cell").withColumnRenamed("child", "cell").withColumn("child", _child_key(columns, level + 1))
+        keyed = save_scratch(moved.select(*columns, "cell", "child"), "points")
     # Sample distances are distances to real vectors too, so the smallest bound is the answer.
     return reduce(DataFrame.unionByName, bounds).groupBy("pid").agg(F.sqrt(F.min("d2")).alias("distance"))
