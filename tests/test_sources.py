@@ -116,14 +116,25 @@ def test_experiments(spark, tmp_path):
     assert experiments.metric_rows(one).first()["value"] == 1.0
 
 
-def test_scratch_uses_the_configured_folder(spark, tmp_path, monkeypatch):
-    root = scratch.scratch_root(spark)
-    spark.conf.set("spark.checkpoint.dir", str(tmp_path / "shared"))
-    try:
-        saved = scratch.save_scratch(spark.range(3).toDF("k"), "thing")
-        assert saved.count() == 3 and list((tmp_path / "shared").iterdir())[0].name.startswith("thing-")
-    finally:
-        spark.conf.set("spark.checkpoint.dir", root)
+class _Session:
+    """Just enough of a session to ask for the scratch folder."""
+
+    def __init__(self, configured, on_context, master):
+        self.conf = {"spark.checkpoint.dir": configured} if configured else {}
+        self.sparkContext = self
+        self.getCheckpointDir, self.master, self.applicationId = (lambda: on_context), master, "fake"
+
+
+def test_scratch_folder_choice(spark, tmp_path, monkeypatch):
+    assert scratch.scratch_root(_Session("/shared", None, "yarn")) == "/shared"
+    assert scratch.scratch_root(_Session(None, "/context", "yarn")) == "/context"
+    with pytest.raises(RuntimeError):
+        scratch.scratch_root(_Session(None, None, "spark://host:7077"))
+    made = scratch.scratch_root(_Session(None, None, "local[2]"))
+    assert made == scratch.scratch_root(_Session(None, None, "local[2]"))
+    monkeypatch.setattr(scratch, "scratch_root", lambda _: str(tmp_path / "shared"))
+    saved = scratch.save_scratch(spark.range(3).toDF("k"), "thing")
+    assert saved.count() == 3 and list((tmp_path / "shared").iterdir())[0].name.startswith("thing-")
 
 
 def _stream(spark, folder, schema):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import DataFrame, functions as F
@@ -37,24 +38,27 @@ def column_moments(df: DataFrame, columns, by=()) -> DataFrame:
     return wide.select(*by, F.inline(F.array(*[F.col(f"m_{c}") for c in columns])))
 
 
+PAIRS_PER_PASS = 300  # three aggregates each; more would make the generated plan unwieldy
+
+
 def pair_correlations(df: DataFrame, columns, by=()) -> DataFrame:
     """(by..., x, y, r): Pearson r of every unordered column pair, pairwise complete rows.
 
     Centred sums are merged across tasks (numerically stable), and the division is guarded, so a
-    constant column gives NULL instead of an error.
+    constant column gives NULL instead of an error.  Very wide tables take several passes.
     """
     pairs = list(combinations(columns, 2))
     if not pairs:
         raise ValueError("a correlation needs at least two columns")
-    aggs = []
-    for i, (a, b) in enumerate(pairs):
+    passes = [_correlate(df, pairs[i : i + PAIRS_PER_PASS], by) for i in range(0, len(pairs), PAIRS_PER_PASS)]
+    return reduce(DataFrame.unionByName, passes)
+
+
+def _correlate(df: DataFrame, pairs, by) -> DataFrame:
+    cells = []
+    for a, b in pairs:
         x, y = F.col(a).cast("double"), F.col(b).cast("double")
-        aggs.append(
-            pearson(F.regr_sxy(y, x), F.regr_sxx(y, x), F.regr_syy(y, x)).alias(f"r{i}")
-        )
-    wide = df.groupBy(*by).agg(*aggs)
-    rows = [
-        F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), F.col(f"r{i}").alias("r"))
-        for i, (a, b) in enumerate(pairs)
-    ]
-    return wide.select(*by, F.inline(F.array(*rows)))
+        r = pearson(F.regr_sxy(y, x), F.regr_sxx(y, x), F.regr_syy(y, x))
+        cells.append(F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), r.alias("r")))
+    wide = df.groupBy(*by).agg(F.array(*cells).alias("cells"))
+    return wide.select(*by, F.inline("cells"))

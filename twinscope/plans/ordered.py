@@ -11,7 +11,9 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from twinscope.plans.codes import lookup_join
 from twinscope.plans.frequencies import KEYS, REAL, SYN
+from twinscope.plans.scratch import save_scratch
 
 
 def _cut_base(counts: DataFrame) -> int:
@@ -111,8 +113,9 @@ def running_best(rows: DataFrame, keys, order: str, value: str) -> DataFrame:
         .withColumn("cuts", F.sort_array(F.array_distinct("cuts")))
         .withColumn("coarse_cuts", F.filter("cuts", lambda _, i: (i + 1) % base == 0))
     )
-    # The cut table has one row per key; a large number of keys is left to a shuffled join.
-    located = located.join(cuts, keys).withColumn("_bucket", _bucket(F.col("_at"), base)).drop("cuts", "coarse_cuts")
+    # One row per key, written and counted: few are broadcast, many are joined with salt, since one
+    # key may own a third of the rows.
+    located = lookup_join(located, save_scratch(cuts, "cuts"), keys, "inner").withColumn("_bucket", _bucket(F.col("_at"), base)).drop("cuts", "coarse_cuts")
     earlier = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
         located.groupBy(*keys, "_bucket").agg(F.max(value).alias(value))

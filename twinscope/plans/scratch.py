@@ -8,20 +8,24 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_made_up: dict[str, str] = {}  # application id -> folder, local mode only
+
+
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``.
+    """The shared folder named by ``spark.checkpoint.dir``, or set on the context.
 
     A machine-local folder is made up only when nothing is configured *and* the session runs in
     local mode (tests); on a cluster a missing setting is an error.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if root:
         return root
-    if not spark.sparkContext.master.startswith("local"):
+    if not context.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
-    root = tempfile.mkdtemp(prefix="twinscope-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    if context.applicationId not in _made_up:
+        _made_up[context.applicationId] = tempfile.mkdtemp(prefix="twinscope-")
+    return _made_up[context.applicationId]
 
 
 def save_scratch(df: DataFrame, label: str) -> DataFrame:
