@@ -83,10 +83,17 @@ def test_unknown_category_gets_code_zero(spark):
 
 
 def test_match_mode_counts_differing_categories(spark):
-    real = spark.createDataFrame([("a", 0.0), ("z", 1.0)], "v string, x double")
-    syn = spark.createDataFrame([("z", 0.0)], "v string, x double")
-    row = privacy.nearest_neighbour_distances(TablePair.of(real, syn), categorical="match").first()
-    assert row["distance"] == pytest.approx(1.0)
+    rng = np.random.default_rng(6)
+    words = np.array([f"w{i:02d}" for i in range(40)])
+    real = [(str(w), float(x)) for w, x in zip(rng.choice(words, 300), rng.random(300))] + [("w00", 0.0), ("w00", 1.0)]
+    syn = [(str(w), float(x)) for w, x in zip(rng.choice(words, 40), rng.random(40))] + [("unseen", 0.0)]
+    make = lambda rows: spark.createDataFrame(rows, "v string, x double")
+    pair = TablePair.of(make(real), make(syn))
+    rows = privacy.with_distances(pair, make(syn), categorical="match").collect()
+    for r in rows:
+        expected = min(np.sqrt((v != r["v"]) + (x - r["x"]) ** 2) for v, x in real)
+        assert r["nnd"] == pytest.approx(expected)
+    assert max(r["nnd"] for r in rows) == 1.0
 
 
 def test_candidates_are_searched_together(spark, variants):

@@ -13,12 +13,12 @@ from twinscope.plans.scratch import save_scratch
 
 
 def run_metrics(pair: TablePair, target: str, series_id: str, cycle: int, **forest) -> DataFrame:
-    """(series_id, cycle, bucket, metric, value): the twelve metrics of one run, and the wide row
-    they come from."""
+    """(series_id, cycle, bucket, metric, value): the twelve metrics of one run."""
     there = cross_test(pair, target, **forest).filter(F.col("direction") == "synthetic_to_real")
-    quality = scores.quality_report(pair, there.select("accuracy", "f1_score", "auc"))
+    per_column = save_scratch(fidelity.fidelity_by_column(pair), "fidelity")  # serves quality and bias
+    quality = scores.quality_report(pair, there.select("accuracy", "f1_score", "auc"), per_column)
     privacy = privacy_report(pair).select("privacy_score", F.col("mean").alias("mean_nnd"), F.col("high_risk_percentage").alias("high_risk_pct"))
-    divergence = bias.feature_bias(pair).agg(F.max("jsd").alias("max_column_jsd"))
+    divergence = per_column.agg(F.max("jsd").alias("max_column_jsd"))
     ratio = F.try_divide(F.col("synthetic_imbalance_ratio"), F.col("real_imbalance_ratio"))
     amplified = bias.bias_amplification(pair).agg(F.max(ratio).alias("max_amplification_ratio"))
     row = quality.withColumnRenamed("accuracy", "ml_accuracy").withColumn("j", F.lit(1))

@@ -227,9 +227,12 @@ def fidelity_by_column(pair: TablePair) -> DataFrame:
     return without_candidate(out, pair)
 
 
-def fidelity_summary(pair: TablePair) -> DataFrame:
-    """mean_ks, mean_jsd, max_jsd and correlation similarity: one row per candidate."""
-    per_column = fidelity_by_column(pair)
+def fidelity_summary(pair: TablePair, per_column: DataFrame | None = None) -> DataFrame:
+    """mean_ks, mean_jsd, max_jsd and correlation similarity: one row per candidate.
+
+    ``per_column`` is a ``fidelity_by_column`` result to reuse.
+    """
+    per_column = fidelity_by_column(pair) if per_column is None else per_column
     by = [CANDIDATE] if len(pair.candidates) > 1 else []
     totals = per_column.groupBy(*by).agg(
         F.coalesce(F.avg("ks"), F.lit(0.0)).alias("mean_ks"),

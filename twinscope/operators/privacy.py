@@ -32,8 +32,7 @@ def fit_encoder(pair: TablePair, categorical: str = "code") -> Encoder:
     """Fit on the real side: categories numbered in sorted order, all columns scaled to [0, 1].
 
     ``categorical='code'`` treats codes as numbers, so alphabetical neighbours are near;
-    ``'match'`` leaves codes unscaled and distances count 0/1 per category (see
-    ``nearest_neighbour_distances``).
+    ``'match'`` makes the distance of two categories 0 or 1.
     """
     if categorical not in ("code", "match"):
         raise ValueError(f"unknown categorical mode {categorical!r}")
@@ -60,16 +59,14 @@ def fit_encoder(pair: TablePair, categorical: str = "code") -> Encoder:
 def normalise(rows: DataFrame, encoder: Encoder) -> DataFrame:
     """Encoded and scaled rows; other columns of ``rows`` pass through.
 
-    Unknown categories get code 0.  Synthetic values may leave [0, 1].
+    Unknown categories get code 0, or in ``match`` mode a code that equals no category.  Synthetic
+    values may leave [0, 1].
     """
     if encoder.strings:
-        rows = attach_codes(rows, encoder.dictionary, encoder.strings, unknown=0, missing=MISSING)
-    if encoder.categorical == "match":
-        keep = [c for c in encoder.columns if c not in encoder.strings]
-    else:
-        keep = list(encoder.columns)
+        unknown = -1 if encoder.categorical == "match" else 0
+        rows = attach_codes(rows, encoder.dictionary, encoder.strings, unknown=unknown, missing=MISSING)
     return rows.withColumns({
-        c: (F.col(c).cast("double") - F.lit(encoder.low[c])) / F.lit(encoder.width[c]) for c in keep
+        c: (F.col(c).cast("double") - F.lit(encoder.low[c])) / F.lit(encoder.width[c]) for c in encoder.columns
     })
 
 
@@ -78,20 +75,6 @@ def normalised_pair(pair: TablePair, categorical: str = "code") -> DataFrame:
     return normalise(pair.rows, fit_encoder(pair, categorical))
 
 
-def _one_hot(vectors: DataFrame, pair: TablePair, encoder: Encoder) -> tuple[DataFrame, list[str]]:
-    """For 0/1 category distance: two coordinates would not do, so each category value becomes an
-    axis at 1/sqrt(2).  Only sensible for few categories."""
-    columns = [c for c in encoder.columns if c not in encoder.strings]
-    sizes = {c: int(encoder.width[c]) + 1 for c in encoder.strings}
-    if sum(sizes.values()) > 64:
-        raise ValueError("categorical='match' supports up to 64 category values in total")
-    axes = {}
-    for c, k in sizes.items():
-        for code in range(k):
-            axes[f"{c}__{code}"] = F.when(F.col(c) == code, F.lit(0.5 ** 0.5)).otherwise(F.lit(0.0))
-    return vectors.withColumns(axes), columns + list(axes)
-
-
 def nearest_neighbour_distances(pair: TablePair, categorical: str = "code") -> DataFrame:
     """Distance of each distinct synthetic vector to the closest real row.
 
@@ -104,8 +87,7 @@ def nearest_neighbour_distances(pair: TablePair, categorical: str = "code") -> D
     encoder = fit_encoder(pair, categorical)
     vectors = normalise(pair.rows, encoder)
     columns = list(pair.columns)
-    if categorical == "match" and encoder.strings:
-        vectors, columns = _one_hot(vectors, pair, encoder)
+    match = encoder.strings if categorical == "match" else ()
     many = len(pair.candidates) > 1
     tag = [CANDIDATE] if many else []
     complete = vectors.dropna(subset=columns)
@@ -134,7 +116,7 @@ def nearest_neighbour_distances(pair: TablePair, categorical: str = "code") -> D
         queries = table.filter("n > 0")
     # Ids were fixed when the table was written; they do not change if a task is repeated.
     far = queries.filter(~F.col("same")).select("pid", *columns)
-    searched = nearest_distances(far, real, columns)
+    searched = nearest_distances(far, real, columns, match)
     distance = F.when(F.col("same"), F.lit(0.0)).otherwise(F.col("distance"))
     return queries.join(searched, "pid", "left").select(*tag, *columns, "n", distance.alias("distance"))
 
@@ -189,9 +171,7 @@ def privacy_report(pair: TablePair, percentile: float = 90, categorical: str = "
 
 def with_distances(pair: TablePair, synthetic: DataFrame, categorical: str = "code") -> DataFrame:
     """Every synthetic row with its ``nnd``; ``synthetic`` has the pair's columns and may have more."""
-    if categorical != "code":
-        raise ValueError("row distances are offered for categorical='code'")
-    encoder = fit_encoder(pair)
+    encoder = fit_encoder(pair, categorical)
     shadow = {c: f"_x_{c}" for c in encoder.columns}
     renamed = synthetic.withColumns({s: F.col(c) for c, s in shadow.items()})
     # Normalise copies of the columns, keep the originals.
@@ -202,7 +182,7 @@ def with_distances(pair: TablePair, synthetic: DataFrame, categorical: str = "co
         renamed = renamed.withColumnRenamed(s, c)
     coded = normalise(renamed, encoder)
     distances = save_scratch(
-        nearest_neighbour_distances(pair).select(*encoder.columns, F.col("distance").alias("nnd")), "nnd"
+        nearest_neighbour_distances(pair, categorical).select(*encoder.columns, F.col("distance").alias("nnd")), "nnd"
     )
     joined = lookup_join(coded, distances, list(encoder.columns)).drop(*encoder.columns)
     for c, o in originals.items():

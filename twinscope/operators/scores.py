@@ -7,12 +7,12 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from twinscope.constants import COMPOSITE_WEIGHTS
 from twinscope.frames import CANDIDATE, TablePair
 from twinscope.functions.measures import clip01
-from twinscope.operators.bias import high_bias_share
 from twinscope.operators.constraints import require_no_nulls
 from twinscope.operators.diversity import collapsed_columns
-from twinscope.operators.fidelity import fidelity_summary
+from twinscope.operators.fidelity import fidelity_by_column, fidelity_summary
 from twinscope.operators.privacy import privacy_report
 from twinscope.operators.utility import cross_test
+from twinscope.plans.scratch import save_scratch
 
 
 def quality_score(max_jsd: Column, mean_ks: Column, accuracy: Column, n_collapsed: Column) -> Column:
@@ -39,15 +39,16 @@ def composite_score(quality: Column, utility: Column, privacy: Column, bias_leve
     )
 
 
-def quality_report(pair: TablePair, accuracy: DataFrame) -> DataFrame:
+def quality_report(pair: TablePair, accuracy: DataFrame, per_column: DataFrame | None = None) -> DataFrame:
     """Fidelity summary, collapsed columns and quality score, one row per candidate.
 
-    ``accuracy`` is a table of (accuracy) or, with several candidates, (candidate, accuracy).
+    ``accuracy`` is a table of (accuracy) or, with several candidates, (candidate, accuracy);
+    ``per_column`` a ``fidelity_by_column`` result to reuse.
     """
     many = len(pair.candidates) > 1
     by = [CANDIDATE] if many else []
     collapse = collapsed_columns(pair.synthetic, by=by).groupBy(*by).agg(F.count("*").alias("n_collapsed"))
-    parts = [fidelity_summary(pair), collapse, accuracy]
+    parts = [fidelity_summary(pair, per_column), collapse, accuracy]
     if not many:
         parts = [p.withColumn("j", F.lit(1)) for p in parts]  # one-row tables side by side
     out = parts[0]
@@ -81,9 +82,12 @@ def evaluate_candidates(pair: TablePair, accuracy: DataFrame) -> DataFrame:
     privacy, bias level and composite score per candidate."""
     if len(pair.candidates) < 2:
         raise ValueError("evaluate_candidates compares at least two candidates")
-    quality = quality_report(pair, accuracy)
+    per_column = save_scratch(fidelity_by_column(pair), "fidelity")  # serves quality and bias
+    quality = quality_report(pair, accuracy, per_column)
     privacy = privacy_report(pair).select(CANDIDATE, "privacy_score")
-    out = quality.join(F.broadcast(privacy), CANDIDATE, "left").join(F.broadcast(high_bias_share(pair)), CANDIDATE, "left")
+    bias_level = per_column.groupBy(CANDIDATE).agg(F.avg((F.col("jsd") >= 0.15).cast("double")).alias("bias_level"))
+    # One row per candidate on every side.
+    out = quality.join(F.broadcast(privacy), CANDIDATE, "left").join(F.broadcast(bias_level), CANDIDATE, "left")
     score = composite_score(F.col("quality_score"), F.col("accuracy"), F.col("privacy_score"), F.coalesce("bias_level", F.lit(0.0)))
     return out.withColumn("composite_score", score)
 

@@ -54,16 +54,25 @@ def _sum(terms) -> Column:
     return reduce(lambda a, b: a + b, terms)
 
 
-def squared_distance(left, right) -> Column:
-    return _sum([(a - b) * (a - b) for a, b in zip(left, right)])
+def squared_distance(queries, vectors, match) -> Column:
+    """Sum of squared differences; columns flagged in ``match`` count 1 when they differ at all."""
+    terms = [
+        F.when(q == v, 0.0).otherwise(1.0) if m else (q - v) * (q - v)
+        for q, v, m in zip(queries, vectors, match)
+    ]
+    return _sum(terms)
 
 
-def _box_distance(columns) -> Column:
-    """Squared distance from the query to the box; 0 inside."""
-    def gap(c):
-        return F.greatest(F.col(f"lo_{c}") - F.col(f"q_{c}"), F.col(f"q_{c}") - F.col(f"hi_{c}"), F.lit(0.0))
+def _box_distance(columns, match) -> Column:
+    """Least squared distance from the query to anything in the box."""
+    def least(c, m):
+        q, low, high = F.col(f"q_{c}"), F.col(f"lo_{c}"), F.col(f"hi_{c}")
+        if m:  # differs from every code in the box?
+            return F.when((q < low) | (q > high), 1.0).otherwise(0.0)
+        gap = F.greatest(low - q, q - high, F.lit(0.0))
+        return gap * gap
 
-    return _sum([gap(c) * gap(c) for c in columns])
+    return _sum([least(c, m) for c, m in zip(columns, match)])
 
 
 def _meet(queries: DataFrame, facts: DataFrame, key: str, n_facts: int) -> DataFrame:
@@ -79,14 +88,16 @@ def _meet(queries: DataFrame, facts: DataFrame, key: str, n_facts: int) -> DataF
     return salted.join(facts.withColumn("_salt", F.explode(every)), [key, "_salt"]).drop("_salt")
 
 
-def nearest_distances(queries: DataFrame, real: DataFrame, columns, leaf_size: int = 128,
+def nearest_distances(queries: DataFrame, real: DataFrame, columns, match=(), leaf_size: int = 128,
                       max_levels: int = 30) -> DataFrame:
     """(pid, distance) for every query: Euclidean distance to the nearest real vector.
 
     ``queries`` has (pid, columns...) with distinct ``pid``; ``real`` has distinct vectors with
-    coordinates in [0, 1].  Queries may lie outside.
+    coordinates in [0, 1].  Queries may lie outside.  Columns named in ``match`` are codes whose
+    distance is 0 or 1.
     """
     columns = list(columns)
+    match = [c in set(match) for c in columns]
     asked = [F.col(f"q_{c}") for c in columns]
     carried = ["pid", *[f"q_{c}" for c in columns]]
     root = F.lit(0).cast("long").alias("cell")
@@ -95,8 +106,8 @@ def nearest_distances(queries: DataFrame, real: DataFrame, columns, leaf_size: i
     )
     unit = [F.lit(float(v)).alias(f"{e}_{c}") for c in columns for e, v in (("lo", 0), ("hi", 1))]
     keyed = real.select(*columns, root, *unit).select(*columns, "cell", _child_key(columns, 1).alias("child"))
-    sample_distance = squared_distance(asked, [F.col(f"at_{c}") for c in columns])
-    exact_distance = squared_distance(asked, [F.col(c) for c in columns])
+    sample_distance = squared_distance(asked, [F.col(f"at_{c}") for c in columns], match)
+    exact_distance = squared_distance(asked, [F.col(c) for c in columns], match)
     bounds = []
     for level in range(1, max_levels + 1):
         # The last level keeps whatever is left as leaves, so the search always ends, exactly.
@@ -151,7 +162,7 @@ def nearest_distances(queries: DataFrame, real: DataFrame, columns, leaf_size: i
             _meet(frontier.drop("best").join(bound, "pid"),
                   boxes.select("cell", "child", "leaf", *[f"{e}_{c}" for c in columns for e in ("lo", "hi")]),
                   "cell", size["n"])
-            .filter(_box_distance(columns) <= F.col("best") * _SLACK)
+            .filter(_box_distance(columns, match) <= F.col("best") * _SLACK)
             .filter(~F.col("child").eqNullSafe(F.col("done")))
             .select(*carried, "best", "child", "leaf")
         )

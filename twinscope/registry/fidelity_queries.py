@@ -288,3 +288,8 @@ def _(spark, sf):
     # One row per column.
     place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("rank", F.desc("jsd"), "column"))
     return rounded(ranked.select("column", "severity", "jsd", place.alias("place")))
+
+
+@query("high_bias_share", f"""WITH {jsd_all(SKEWED)} SELECT {r6('avg(CASE WHEN jsd >= 0.15 THEN 1.0 ELSE 0.0 END)')} AS bias_level FROM jsd""")
+def _(spark, sf):
+    return rounded(bias.high_bias_share(skewed_orders(spark, sf)))
