@@ -112,7 +112,7 @@ _ST = """st AS (SELECT series_id, cycle, CASE WHEN bool_or(level = 'Critical') T
 _MET = """coalesce(CASE WHEN direction = 'higher_better' THEN value >= target ELSE value <= target END, false)"""
 _PROGRESS = """CASE WHEN value IS NULL THEN 0.0 WHEN direction = 'higher_better' THEN least(value / target * 100, 100.0)
     WHEN value > 0 THEN least(target / value * 100, 100.0) ELSE 100.0 END"""
-_BS = f"""bs AS (SELECT g.series_id, g.cycle, bench.metric, target, value, {_MET} AS met, {_PROGRESS} AS progress
+_BS = f"""bs AS (SELECT g.series_id, g.cycle, bench.metric, CAST(target AS DOUBLE) AS target, value, {_MET} AS met, {_PROGRESS} AS progress
     FROM (SELECT DISTINCT series_id, cycle FROM h) g CROSS JOIN bench LEFT JOIN h ON h.series_id = g.series_id AND h.cycle = g.cycle AND h.metric = bench.metric)"""
 _BM = "bm AS (SELECT series_id, cycle, count(*) FILTER (WHERE met) AS n_met, count(*) FILTER (WHERE NOT met) AS n_not_met, bool_and(met) AS all_met, avg(progress) AS overall_progress FROM bs GROUP BY series_id, cycle)"
 _SL = """sl AS (SELECT series_id, cycle, coalesce(a IS NOT NULL AND b <= a + 0.001 AND c <= a + 0.001, false) AS stalled FROM (SELECT series_id, cycle,
@@ -191,7 +191,7 @@ def _(spark, sf):
     return history.met_first_and_latest(history_metrics(spark, sf))
 
 
-@query("critical_violations", _with(_BS) + f"""SELECT series_id, cycle, metric, {r6('value')} AS value, hard_limit, CASE WHEN direction = 'higher_better' THEN 'below' ELSE 'above' END AS reason
+@query("critical_violations", _with(_BS) + f"""SELECT series_id, cycle, metric, {r6('value')} AS value, CAST(hard_limit AS DOUBLE) AS hard_limit, CASE WHEN direction = 'higher_better' THEN 'below' ELSE 'above' END AS reason
     FROM h JOIN (VALUES {literal_rows([(m, float(t), d) for m, (t, d) in HARD_LIMITS.items()])}) l(metric, hard_limit, direction) USING (metric)
     WHERE CASE WHEN direction = 'higher_better' THEN value < hard_limit ELSE value > hard_limit END
     UNION ALL SELECT series_id, cycle, metric, NULL, NULL, 'missing' FROM bs WHERE value IS NULL""")
