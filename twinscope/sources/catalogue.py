@@ -6,7 +6,7 @@ import uuid
 from datetime import datetime, timezone
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Observation, Row, SparkSession, functions as F
+from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 
 ALGORITHM_VERSION = "1.0.0"  # fixed value
 CATALOGUE_SCHEMA = (
@@ -46,13 +46,17 @@ class Catalogue:
         self._table = f"{self.base}/_catalogue"
 
     def save(self, df: DataFrame, metadata: dict, name: str = "unnamed") -> str:
-        """Write the rows, count them during the same pass, then append the catalogue row."""
-        dataset_id, seen = str(uuid.uuid4()), Observation()
-        counted = df.observe(seen, F.count(F.lit(1)).alias("n"))
-        counted.write.parquet(f"{self.base}/{dataset_id}")
+        """Write the rows, then append the catalogue row.
+
+        The count comes from the footers of the written files, not from a second pass.
+        """
+        dataset_id = str(uuid.uuid4())
+        path = f"{self.base}/{dataset_id}"
+        df.write.parquet(path)
+        n_records = self.spark.read.schema(df.schema).parquet(path).count()
         row = {
             **{f: None for f in _FIELDS}, **metadata, "dataset_id": dataset_id, "dataset_name": name,
-            "created_at": datetime.now(timezone.utc), "n_records": seen.get["n"], "columns": df.columns,
+            "created_at": datetime.now(timezone.utc), "n_records": n_records, "columns": df.columns,
         }
         one = self.spark.createDataFrame([Row(**{f: row[f] for f in _FIELDS})], CATALOGUE_SCHEMA)
         one.coalesce(1).write.mode("append").parquet(self._table)
