@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from twinscope.frames import TablePair
 from twinscope.operators import bias, fidelity
 from twinscope.registry.base import query, r6, rounded, table
 from twinscope.registry.data import (
-    LINEITEM_COLUMNS, PART_COLUMNS, SKEWED_ORDERS_SQL, lineitem_pair, orders_pair, part_pair, skewed_orders,
+    LINEITEM_COLUMNS, SKEWED_ORDERS_SQL, lineitem_pair, part_pair, skewed_orders,
 )
 from twinscope.registry.sqltext import (
     LINEITEM, ORDERS, P_VALUE, PART, bin_cells, cells, jsd_all, jsd_of, ks_cte, tagged,
@@ -283,8 +283,6 @@ def _(spark, sf):
     CAST(row_number() OVER (ORDER BY list_position(['Critical', 'Warning', 'Acceptable', 'Excellent'], severity), jsd DESC, "column") AS INTEGER) AS place FROM diag""")
 def _(spark, sf):
     ranked = fidelity.prioritise_columns(fidelity.diagnose_columns(skewed_orders(spark, sf)))
-    from pyspark.sql import Window
-
     # One row per column.
     place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("rank", F.desc("jsd"), "column"))
     return rounded(ranked.select("column", "severity", "jsd", place.alias("place")))

@@ -7,7 +7,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from twinscope.constants import BENCHMARKS, BUCKETS, CATEGORY_GAINS, CATEGORY_ORDER, HARD_LIMITS, HIGHER, IMPACTS, LEVEL_CUTS, LEVELS
+from twinscope.constants import BENCHMARKS, BUCKETS, CATEGORY_GAINS, HARD_LIMITS, HIGHER, LEVEL_CUTS
 from twinscope.frames import TablePair
 from twinscope.operators import bias, causes, diversity, fidelity, history, profile, scores
 from twinscope.operators.cycle import diagnostic_cycle

@@ -8,7 +8,7 @@ from twinscope.constants import (
     CONSTRAINT_SIGNIFICANCES, CONSTRAINT_VARIANT_TYPES, INHERITANCE_PATTERNS, SIGNIFICANCES, VARIANT_TYPES,
 )
 from twinscope.frames import TablePair
-from twinscope.operators import bias, constraints, diversity, fidelity, privacy, sampler, scores, utility
+from twinscope.operators import constraints, diversity, fidelity, privacy, sampler, scores, utility
 from twinscope.plans.codes import attach_codes, code_dictionary
 from twinscope.registry.base import query, r6, rounded, table
 from twinscope.registry.data import (
@@ -16,7 +16,7 @@ from twinscope.registry.data import (
     variant_records, variant_records_sql,
 )
 from twinscope.registry.fidelity_queries import SKEWED, summary_sql
-from twinscope.registry.sqltext import CUSTOMER, LINEITEM, ORDERS, tagged
+from twinscope.registry.sqltext import CUSTOMER, LINEITEM, tagged
 
 # ---- codes and normalisation --------------------------------------------------------------------
 
@@ -267,7 +267,7 @@ def _(spark, sf):
 @query("forest_utility")
 def _(spark, sf):
     pair = orders_pair(spark, sf)
-    return utility.utility(pair.synthetic, pair.real, "o_orderstatus", trees=20, depth=6)
+    return utility.utility(pair.synthetic, pair.real, "o_orderstatus")
 
 
 @query("forest_cross_test")

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from twinscope.frames import (
-    TablePair, analysis_categorical, column_kinds, common_columns, diagnostic_categorical, ks_columns, small_table,
+    analysis_categorical, column_kinds, common_columns, diagnostic_categorical, ks_columns, small_table,
 )
 from twinscope.operators import constraints, diversity, profile, transforms
+from twinscope.plans.moments import column_moments
 from twinscope.registry.base import query, r6, rounded, table
 from twinscope.registry.data import (
     HOLED_ORDERS_SQL, LINEITEM_COLUMNS, PART_COLUMNS, SKEWED_ORDERS_SQL, holed_orders, lineitem_pair, part_pair,
@@ -99,8 +100,6 @@ def _moments_sql(source, columns):
 
 @query("moments", _moments_sql("lineitem", LI_NUMS))
 def _(spark, sf):
-    from twinscope.plans.moments import column_moments
-
     return rounded(column_moments(table(spark, sf, "lineitem"), LI_NUMS))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from twinscope.operators import constraints
 from twinscope.plans.scratch import scratch_root
 from twinscope.registry.base import query, r6, rounded, table
-from twinscope.registry.sqltext import cells, jsd_of
+from twinscope.registry.sqltext import jsd_of
 from twinscope.sources import audit, tables
 from twinscope.sources.catalogue import Catalogue, build_metadata
 from twinscope.streaming import streams
