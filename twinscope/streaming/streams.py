@@ -47,8 +47,9 @@ def drift(counts: DataFrame, baseline: DataFrame) -> DataFrame:
 
     All classes of a window close in the same micro-batch, so this works on one batch of counts.
     """
-    windows = [r["start"] for r in counts.select("start").distinct().collect()]  # windows closed in this batch
-    starts = F.array(*[F.lit(w) for w in windows]) if windows else F.array().cast("array<timestamp>")
+    # Only the start times of the windows closed in this batch reach the driver.
+    windows = [r[0] for r in counts.select(F.unix_micros("start")).distinct().collect()]
+    starts = F.transform(F.array(*[F.lit(w) for w in windows]).cast("array<bigint>"), F.timestamp_micros)
     base = baseline.select(
         F.explode(starts).alias("start"), "value", F.col("n").alias("n_real"), F.lit(0).cast("long").alias("n_syn")
     )
@@ -57,7 +58,7 @@ def drift(counts: DataFrame, baseline: DataFrame) -> DataFrame:
     totals = cells.groupBy("start").agg(
         F.sum("n_real").alias("tr"), F.sum("n_syn").alias("ts"), F.count("*").alias("k")
     )
-    full = cells.join(totals, "start")
+    full = cells.join(F.broadcast(totals), "start")  # one row per closed window
     term = divergence_term(*[F.col(c) for c in ("n_real", "n_syn", "tr", "ts", "k")], "relative")
     return full.groupBy("start").agg(F.greatest(F.sum(term), F.lit(0.0)).alias("jsd"))
 
