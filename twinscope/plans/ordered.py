@@ -2,7 +2,9 @@
 
 A cumulative count needs a global order.  Values are cut into buckets at approximate quantiles;
 bucket totals are prefix-summed (few rows), and each bucket is then ordered on its own.  The cut
-points only balance the work: the result is exact for any choice of them.
+points only balance the work: the result is exact for any choice of them, as long as every part of
+the plan sees the same ones.  They are therefore a function of the data alone: a sample of the values
+picked by hash, which a repeated task or a second branch of the plan reproduces.
 """
 
 from __future__ import annotations
@@ -37,16 +39,18 @@ def running_totals(counts: DataFrame, measures=(REAL, SYN), keys=KEYS, base: int
     """
     keys, base = list(keys), base or _cut_base(counts)
     n_cuts = base * base - 1
-    points = F.array(*[F.lit((i + 1) / (n_cuts + 1)) for i in range(n_cuts)])
-    per_key = (
-        counts.groupBy(*keys)
-        .agg(
-            F.percentile_approx("value", points, F.lit(max(1000, 10 * n_cuts))).alias("cuts"),
-            *[F.sum(m).alias(f"tot_{m}") for m in measures],
-        )
-        .withColumn("cuts", F.sort_array(F.array_distinct("cuts")))
+    # The measures only break ties that cannot occur; naming them keeps this branch equal to the
+    # others.  The rank filter is pushed into the map tasks as a group limit.
+    by_hash = Window.partitionBy(*keys).orderBy(F.xxhash64("value"), "value", *measures)
+    cuts = (
+        counts.withColumn("_rank", F.row_number().over(by_hash))
+        .filter(F.col("_rank") <= n_cuts)
+        .groupBy(*keys)
+        .agg(F.sort_array(F.collect_list("value")).alias("cuts"))  # at most n_cuts values
         .withColumn("coarse_cuts", F.filter("cuts", lambda _, i: (i + 1) % base == 0))
     )
+    totals = counts.groupBy(*keys).agg(*[F.sum(m).alias(f"tot_{m}") for m in measures])
+    per_key = totals.join(F.broadcast(cuts), keys)
     # One row per key (candidate x column), so the broadcast is bounded by the schema.
     located = (
         counts.join(F.broadcast(per_key), keys)
