@@ -92,17 +92,36 @@ def top(x: Words, bag: Bag) -> np.ndarray:
     return bag.bias + np.maximum.reduceat(_means(x, bag.table), x.doc[:-1])
 
 
-def train(x: Words, y: np.ndarray, width: int = 8, warm: int = 30, steps: int = 150, rate: float = 0.05, decay: float = 1e-4) -> Bag:
-    """Adam on all of the sample at each step.
+def spread(x: Words) -> np.ndarray:
+    """In how many documents each bucket occurs."""
+    doc = np.repeat(np.arange(len(x.doc) - 1), np.diff(x.passage[x.doc]))
+    n = len(x.gram_begin) - 1
+    pair = np.unique(doc * n + x.word)
+    doc, word = np.divmod(pair, max(n, 1))
+    out = np.zeros(BUCKETS, np.int64)
+    for at in range(0, len(pair), 1 << 18):
+        w = word[at: at + (1 << 18)]
+        size = np.diff(x.gram_begin)[w]
+        each = np.unique(np.repeat(doc[at: at + (1 << 18)], size) * BUCKETS + x.grams[expand(x.gram_begin[w], size)])
+        out += np.bincount(each % BUCKETS, minlength=BUCKETS)
+    return out
+
+
+def train(x: Words, y: np.ndarray, width: int = 8, warm: int = 20, steps: int = 100, rate: float = 0.3, decay: float = 1e-2, docs: int = 4) -> Bag:
+    """Gradient steps with momentum on all of the sample at once.
+
+    N-grams of fewer than ``docs`` documents of the sample stay at zero: they could only learn one
+    document by heart.
 
     The first ``warm`` steps average whole documents; then each document is represented by the
     passage that scores highest at that step, for either class. Both the embeddings and the softmax
     rows move. The classes have equal weight.
     """
     rng = np.random.default_rng(3)
-    embed = rng.normal(0, 0.1, (BUCKETS, width))
+    usable = (spread(x) >= docs).astype(float)
+    embed = rng.normal(0, 0.1, (BUCKETS, width)) * usable[:, None]
     out, bias = rng.normal(0, 0.1, (2, width)), np.zeros(2)
-    state = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in (("embed", embed), ("out", out), ("bias", bias))}
+    state = {k: [np.zeros_like(v), 0.0] for k, v in (("embed", embed), ("out", out), ("bias", bias))}
     weight = np.where(y > 0, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1))
     doc_words = x.passage[x.doc]
     per_word = np.maximum(np.diff(x.gram_begin), 1)
@@ -122,14 +141,16 @@ def train(x: Words, y: np.ndarray, width: int = 8, warm: int = 30, steps: int =
         residual = weight * (logistic(run + bias[1] - bias[0]) - y)
         count = end - begin
         share = np.bincount(x.word[expand(begin, count)], weights=np.repeat(residual / np.maximum(count, 1), count), minlength=len(per_word))
-        pull = np.bincount(x.grams, weights=(share / per_word)[owner], minlength=BUCKETS)
+        pull = np.bincount(x.grams, weights=(share / per_word)[owner], minlength=BUCKETS) * usable
         d_along = pull @ embed
-        grads = {"embed": pull[:, None] * along + decay * embed / BUCKETS, "out": np.stack([-d_along, d_along]), "bias": residual.sum() * np.array([-1.0, 1.0])}
+        grads = {"embed": pull[:, None] * along, "out": np.stack([-d_along, d_along]), "bias": residual.sum() * np.array([-1.0, 1.0])}
         for k, v in (("embed", embed), ("out", out), ("bias", bias)):
             m, s = state[k]
             m += 0.1 * (grads[k] - m)
-            s += 0.01 * (grads[k] ** 2 - s)
-            v -= rate * (m / (1 - 0.9 ** step)) / (np.sqrt(s / (1 - 0.99 ** step)) + 1e-8)
+            # One scale for all of a matrix: rare n-grams take small steps, common ones large.
+            s += 0.05 * ((grads[k] ** 2).max() - s)
+            v -= rate * (m / (1 - 0.9 ** step)) / (np.sqrt(s / (1 - 0.95 ** step)) + 1e-12) + rate * decay * v
+            state[k][1] = s
     return Bag(float(bias[1] - bias[0]), (embed @ (out[1] - out[0])).astype(np.float32))
 
 
