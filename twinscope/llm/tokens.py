@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import zlib
 from functools import partial
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,7 @@ END = 2
 LIMIT = 16          # bits of the longest code, more only for an alphabet above 32768 ids
 EVERY = 512
 BLOCK = 1 << 16     # ids in a block, about
-CACHE = 600_000     # words a worker remembers
+PIECES, PARTS = 400_000, 700_000   # pieces between blanks, and words and marks in them, that a worker remembers
 PART_BYTES = 24 << 20
 
 
@@ -51,56 +52,101 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        named = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.closes = np.zeros(max(named.values()) + 1, bool)
+        self.closes[[i for t, i in named.items() if t.endswith("</w>")]] = True
         self.clear()
 
     def clear(self) -> None:
-        self.of: dict[str, int] = {}          # piece -> number
-        self.letters: dict[str, tuple] = {}   # lower-case letters, or marks -> ids
-        self.flat = np.zeros(1 << 16, np.uint32)
-        self.used = 0
-        self.begin: list[int] = [0]
+        self.letters: dict[str, int] = {"": 0}   # lower-case letters, marks, or a whole piece -> number
+        self.letter_ids = _Rows()
+        self.letter_ids.add(np.zeros(0, np.uint32), np.zeros(1, np.int64))
+        self.clear_pieces()
+
+    def clear_pieces(self) -> None:
+        self.of: dict[str, int] = {}             # piece -> number
+        self.piece_ids = _Rows()
 
     def _learn(self, new: list[str]) -> None:
-        plan, wanted = [], set()
+        first, second, plain, odd = [], [], {}, {}
+        known, marks = self.letters, self.MARKS
         for piece in new:
-            core = piece.rstrip(self.MARKS)
-            if core and core.isalpha() and max(core) < "Ā":
-                parts = (core.lower(), piece[len(core):]) if len(core) < len(piece) else (core.lower(),)
+            core = piece.rstrip(marks)
+            if core.isalpha() and (core.isascii() or max(core) < "Ā"):
+                rest, core = piece[len(core):], core.lower()
+                for part in (core, rest):
+                    if part not in known:
+                        plain[part] = None
             else:
-                parts = (piece,)
-            plan.append(parts)
-            wanted.update(p for p in parts if p not in self.letters)
-        wanted = sorted(wanted)
-        for part, coded in zip(wanted, self.tokenizer.encode_batch_fast(wanted, add_special_tokens=False) if wanted else ()):
-            self.letters[part] = tuple(coded.ids)
-        for piece, parts in zip(new, plan):
-            ids = self.letters[parts[0]] if len(parts) == 1 else self.letters[parts[0]] + self.letters[parts[1]]
-            while self.used + len(ids) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            self.flat[self.used: self.used + len(ids)] = ids
-            self.used += len(ids)
-            self.of[piece] = len(self.begin) - 1
-            self.begin.append(self.used)
+                core, rest = piece, ""
+                if core not in known:
+                    odd[core] = None
+            first.append(core)
+            second.append(rest)
+        plain = [p for p in plain if p not in odd]
+        for at in range(0, len(plain), 2000):
+            # One pre-token each; the last token of each has the mark of a word's end.
+            part = plain[at: at + 2000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.flatnonzero(self.closes[ids]) + 1
+            if len(ends) != len(part):
+                odd.update(dict.fromkeys(part))
+                continue
+            self._add(part, ids, np.diff(ends, prepend=0))
+        odd = list(odd)
+        coded = [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(odd, add_special_tokens=False)] if odd else []
+        if odd:
+            self._add(odd, np.concatenate(coded), np.array([len(x) for x in coded]))
+        rows = np.empty(2 * len(new), np.int64)
+        rows[0::2] = np.fromiter(map(known.__getitem__, first), np.int64, len(new))
+        rows[1::2] = np.fromiter(map(known.__getitem__, second), np.int64, len(new))
+        flat, size = self.letter_ids.take(rows)
+        self.of.update(zip(new, range(len(self.of), len(self.of) + len(new))))
+        self.piece_ids.add(flat, size.reshape(-1, 2).sum(1))
+
+    def _add(self, parts: list[str], ids: np.ndarray, size: np.ndarray) -> None:
+        self.letters.update(zip(parts, range(len(self.letters), len(self.letters) + len(parts))))
+        self.letter_ids.add(ids, size)
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each with the end id, and where each text's begin."""
-        if len(self.of) > CACHE:
+        if len(self.letters) > PARTS:
             self.clear()
+        if len(self.of) > PIECES:
+            self.clear_pieces()
         split = [(t or "").replace("\n", " ").split(" ") for t in texts]
         new = set().union(*split) - self.of.keys()
-        self._learn(sorted(new))
-        begin = np.asarray(self.begin)
-        n = sum(map(len, split))
-        number = np.fromiter((k for row in split for k in map(self.of.__getitem__, row)), np.int64, n)
-        size = begin[number + 1] - begin[number]
-        row = np.repeat(np.arange(len(texts)), [len(s) for s in split])
-        per = np.bincount(row, weights=size, minlength=len(texts)).astype(np.int64) + 1
-        to = np.concatenate([[0], np.cumsum(per)])
-        out = np.full(to[-1], END, np.uint32)
-        inside = np.ones(to[-1], bool)
-        inside[to[1:] - 1] = False
-        out[inside] = self.flat[expand(begin[number], size)]
-        return out, to
+        if new:
+            self._learn(list(new))
+        count = np.array([len(row) for row in split], np.int64)
+        number = np.fromiter(map(self.of.__getitem__, chain.from_iterable(split)), np.int64, int(count.sum()))
+        ids, size = self.piece_ids.take(number)
+        upto = np.concatenate([[0], np.cumsum(size)])
+        cut = upto[np.concatenate([[0], np.cumsum(count)])]
+        return np.insert(ids, cut[1:], END), cut + np.arange(len(texts) + 1)
+
+
+class _Rows:
+    """Rows of ids of uneven length in one growing array."""
+
+    def __init__(self):
+        self.flat, self.begin = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64)
+        self.used = self.rows = 0
+
+    def add(self, ids: np.ndarray, size: np.ndarray) -> None:
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while self.rows + len(size) + 1 > len(self.begin):
+            self.begin = np.concatenate([self.begin, np.zeros_like(self.begin)])
+        self.flat[self.used: self.used + len(ids)] = ids
+        self.begin[self.rows + 1: self.rows + len(size) + 1] = self.used + np.cumsum(size)
+        self.used, self.rows = self.used + len(ids), self.rows + len(size)
+
+    def take(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the rows in turn, and how many each has."""
+        begin = self.begin[rows]
+        size = self.begin[rows + 1] - begin
+        return self.flat[expand(begin, size)], size
 
 
 _encoders: dict[str, Encoder] = {}   # of this worker process
