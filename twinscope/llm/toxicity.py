@@ -154,11 +154,12 @@ def train(x: Words, y: np.ndarray, width: int = 8, warm: int = 20, steps: int =
     return Bag(float(bias[1] - bias[0]), (embed @ (out[1] - out[0])).astype(np.float32))
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2000, modulus: int = 5, remainder: int = 0) -> Bag:
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2000, modulus: int = 5, remainder: int = 0, least: int = 50) -> Bag:
     """Fit on at most ``per_class`` labelled documents of each class, learning rows only.
 
     A fifth of the sample is kept from the training and sets the scale and the bias of the logit,
-    with the classes weighted as in all learning labels.
+    with the classes weighted as in all learning labels; where that would be under ``least``
+    documents of a class, all are trained on and the classes weigh the same.
     """
     chosen, counts = sample(docs, labels, "toxic", modulus, remainder, per_class)
     table = chosen.select("text", "y", "doc_id").toArrow().sort_by("doc_id") if counts else None
@@ -171,7 +172,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2000, modulus: int
         return flat
     text = table.column("text").combine_chunks()
     aside = np.arange(len(y)) % 5 == 0
-    if len({*y[aside]}) < 2 or len({*y[~aside]}) < 2:
+    if min(y[aside].sum(), (1 - y[aside]).sum()) < least or len({*y[~aside]}) < 2:
         return train(split(text), y)
     bag = train(split(text.filter(pa.array(~aside))), y[~aside])
     logit = top(split(text.filter(pa.array(aside))), bag)
