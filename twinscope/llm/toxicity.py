@@ -154,7 +154,7 @@ def train(x: Words, y: np.ndarray, width: int = 8, warm: int = 20, steps: int =
     return Bag(float(bias[1] - bias[0]), (embed @ (out[1] - out[0])).astype(np.float32))
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2000, modulus: int = 5, remainder: int = 0, least: int = 50) -> Bag:
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1500, modulus: int = 5, remainder: int = 0, least: int = 50) -> Bag:
     """Fit on at most ``per_class`` labelled documents of each class, learning rows only.
 
     A fifth of the sample is kept from the training and sets the scale and the bias of the logit,
