@@ -126,3 +126,42 @@ def test_large_dictionaries_are_bucketed_and_salted(spark, monkeypatch):
     coded = codes.attach_codes(df.withColumn("o", F.col("v")), table, ["v"])
     assert coded.count() == df.count()
     assert all(expected[r["o"]] == r["v"] for r in coded.collect())
+
+
+def test_forest_keeps_rows_with_missing_numbers(spark):
+    from twinscope.operators import utility
+
+    rows = [(float(k % 7) if k % 3 else None, float("nan") if k % 5 == 0 else k * 1.0, None, "a" if k % 2 else "b") for k in range(60)]
+    df = spark.createDataFrame(rows, "x double, y double, z double, label string")
+    assert utility.train_and_test(df, df, "label", trees=5).count() == 60
+
+
+def test_column_without_values_keeps_the_sample(spark):
+    from twinscope.operators import sampler
+
+    df = spark.createDataFrame([(float(k), None, "a" if k % 2 else None) for k in range(40)], "x double, y double, s string")
+    for method in ("independent", "copula"):
+        out = sampler.sample_like(df, 50, method=method).collect()
+        assert len(out) == 50 and all(r.y is None for r in out) and any(r.x is not None for r in out)
+
+
+def test_ordered_split_of_large_keys(spark):
+    from pyspark.sql import functions as F
+    from twinscope.sources import tables
+
+    for shift in (0, 2 ** 53 + 1, 2 ** 62, -5):
+        df = spark.range(1000).select((F.col("id") + F.lit(shift)).alias("k"))
+        first, rest = tables.ordered_split(df, "k")
+        assert (first.count(), rest.count()) == (700, 300)
+        assert first.agg(F.max("k")).first()[0] < rest.agg(F.min("k")).first()[0]
+
+
+def test_repeated_new_experiment_ids(spark, tmp_path):
+    from twinscope.sources import experiments
+
+    one = list(experiments.experiment("m", {"a": 1.0}))
+    one[0] = "same"
+    df = spark.createDataFrame([tuple(one), tuple(one)], experiments.EXPERIMENT_SCHEMA)
+    experiments.log_experiments(df, str(tmp_path / "runs"))
+    stored = [r.experiment_id for r in experiments.read_lines(spark, str(tmp_path / "runs")).collect()]
+    assert len(stored) == len(set(stored)) == 2 and "same" in stored

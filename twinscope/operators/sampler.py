@@ -85,12 +85,12 @@ def normal_scores(real: DataFrame, marginals: Marginals) -> DataFrame:
 
     A category takes the middle of its interval, a number its position inside its bin.
     """
-    df = null_nan(real.select(*marginals.kinds)).dropna()
+    df = null_nan(real.select(*marginals.kinds))  # correlations leave out missing values pair by pair
     for c in marginals.kinds:
         part = marginals.of(c)
         if marginals.is_category(c):
             facts = part.select(F.col("value").alias("_key"), ((F.col("cum_low") + F.col("cum_high")) / 2).alias("_p"))
-            df = lookup_join(df.withColumn("_key", F.col(c).cast("string")), facts, "_key", "inner", marginals.n_rows)
+            df = lookup_join(df.withColumn("_key", F.col(c).cast("string")), facts, "_key", "left", marginals.n_rows)
         else:
             edge = part.agg(F.min("low").alias("lo"), F.max("high").alias("hi")).first()
             lo, hi = F.lit(edge["lo"]), F.lit(edge["hi"])

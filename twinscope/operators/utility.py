@@ -7,7 +7,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
-from twinscope.frames import TablePair, column_kinds
+from twinscope.frames import TablePair, column_kinds, null_nan
 from twinscope.plans.codes import attach_codes, code_dictionary
 from twinscope.plans.ordered import running_totals
 from twinscope.plans.scratch import save_scratch
@@ -29,9 +29,11 @@ def encode_for_learning(train: DataFrame, test: DataFrame, target: str) -> tuple
 
 
 def train_and_test(train: DataFrame, test: DataFrame, target: str, trees: int = 100, seed: int = 42,
-                   depth: int = 10) -> DataFrame:
+                   depth: int = 30) -> DataFrame:
     """Random forest fitted on ``train``, applied to ``test``: (label, prediction, probability).
 
+    Every row takes part.  A missing number becomes the median of ``train``, and each column that
+    lacks numbers in ``train`` has a flag beside it; 0 stands in where ``train`` has no number at all.
     ``probability`` is an array with one entry per training class.
     """
     kinds = column_kinds(train)
@@ -44,15 +46,22 @@ def train_and_test(train: DataFrame, test: DataFrame, target: str, trees: int =
             attach_codes(t.withColumn(target, F.col(target).cast("double")), classes, [target], unknown=-1)
             for t in (train, test)
         )
-    gather = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="skip")
-    numeric = [F.col(c).cast("double").alias(c) for c in features]
+    train, test = (null_nan(t.select(target, *[F.col(c).cast("double").alias(c) for c in features])) for t in (train, test))
+    # One row: the median and the number of gaps of each column.
+    found = train.agg(*[F.percentile_approx(c, 0.5, 10_000).alias(f"m{i}") for i, c in enumerate(features)],
+                      *[F.count_if(F.col(c).isNull()).alias(f"g{i}") for i, c in enumerate(features)]).first()
+    flags = [c for i, c in enumerate(features) if found[f"g{i}"]]
+    numeric = [F.coalesce(F.col(c), F.lit(float(found[f"m{i}"] or 0.0))).alias(f"x{i}") for i, c in enumerate(features)]
+    numeric += [F.col(c).isNull().cast("double").alias(f"f{i}") for i, c in enumerate(flags)]
+    inputs = [f"x{i}" for i in range(len(features))] + [f"f{i}" for i in range(len(flags))]
+    gather = VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="error")
 
     def prepared(t):
         return gather.transform(t.select(*numeric, F.col(target).cast("double").alias("label"))).select("features", "label")
 
     # Training passes over its input many times: materialise it once.
     ready = save_scratch(prepared(train), "train")
-    forest = RandomForestClassifier(numTrees=trees, seed=seed, maxDepth=depth)
+    forest = RandomForestClassifier(numTrees=trees, seed=seed, maxDepth=depth, maxMemoryInMB=512)
     scored = forest.fit(ready).transform(prepared(test))
     return scored.select("label", "prediction", vector_to_array("probability").alias("probability"))
 

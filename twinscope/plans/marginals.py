@@ -66,10 +66,12 @@ def invert(df: DataFrame, share: Column, table: DataFrame, out: str, as_number:
     if n_table + slots <= BROADCAST_ROWS:
         facts = F.broadcast(facts)
     keyed = df.withColumn("_share", share).withColumn("_slot", F.floor(F.col("_share") * slots))
-    met = keyed.join(facts, "_slot").filter((F.col("_from") <= F.col("_share")) & (F.col("_share") < F.col("_to")))
+    facts = facts.withColumnRenamed("_slot", "_at")
+    holds = (F.col("_slot") == F.col("_at")) & (F.col("_from") <= F.col("_share")) & (F.col("_share") < F.col("_to"))
+    met = keyed.join(facts, holds, "left")  # a column without values gives NULL and keeps the row
     inside = (F.col("_share") - F.col("_from")) / (F.col("_to") - F.col("_from"))
     value = F.col("_low") + inside * (F.col("_high") - F.col("_low")) if as_number else F.col("_value")
-    return met.withColumn(out, value).drop("_share", "_slot", "_from", "_to", "_value", "_low", "_high")
+    return met.withColumn(out, value).drop("_share", "_slot", "_at", "_from", "_to", "_value", "_low", "_high")
 
 
 def saved(table: DataFrame) -> tuple[DataFrame, int]:

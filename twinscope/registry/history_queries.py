@@ -488,5 +488,5 @@ def _(spark, sf):
 def _(spark, sf):
     out = f"{scratch_root(spark)}/cycle-{uuid.uuid4().hex}"
     rules = [range_rule("price", "o_totalprice", 0, 1_000_000)]
-    tables = diagnostic_cycle(orders_pair(spark, sf), "o_orderstatus", rules, out, trees=10, depth=5)
+    tables = diagnostic_cycle(orders_pair(spark, sf), "o_orderstatus", rules, out)
     return tables["metrics"]

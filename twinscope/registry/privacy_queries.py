@@ -274,7 +274,7 @@ def _(spark, sf):
 def _(spark, sf):
     labels = table(spark, sf, "labels").join(table(spark, sf, "documents").select("doc_id", "lang", "source", "n_chars"), "doc_id")
     pair = TablePair.split(labels, F.col("doc_id") % 10 >= 7, ["lang", "source", "n_chars", "quality"])
-    return utility.cross_test(pair, "quality", trees=20, depth=6)
+    return utility.cross_test(pair, "quality")
 
 
 # ---- scores -------------------------------------------------------------------------------------
@@ -305,7 +305,7 @@ def _(spark, sf):
 
 @query("validation_end_to_end")
 def _(spark, sf):
-    return scores.validate(orders_pair(spark, sf), "o_orderstatus", trees=20, depth=6)
+    return scores.validate(orders_pair(spark, sf), "o_orderstatus")
 
 
 def _candidates(spark, sf) -> TablePair:

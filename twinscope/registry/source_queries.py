@@ -142,7 +142,7 @@ def _(spark, sf):
 
 def _event_stream(spark, sf):
     schema = table(spark, sf, "events").schema
-    raw = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    raw = spark.readStream.schema(schema).parquet(f"{sf}/[e]vents.parquet")
     return raw.withColumn("ts", F.col("ts").cast("timestamp"))
 
 

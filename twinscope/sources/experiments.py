@@ -6,7 +6,7 @@ import uuid
 from datetime import datetime, timezone
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 EXPERIMENT_SCHEMA = (
     "experiment_id string, timestamp string, dataset_version string, model_type string, status string, "
@@ -29,10 +29,13 @@ def log_experiments(records: DataFrame, path: str) -> DataFrame:
     a fresh one; the new id is derived from the record, so a repeated task writes the same."""
     spark = records.sparkSession
     known = read_lines(spark, path).select("experiment_id").distinct().withColumn("_taken", F.lit(True))
-    body = F.md5(F.concat_ws("|", F.lit(uuid.uuid4().hex), *[F.to_json(F.struct(F.col(c))) for c in _FIELDS]))
+    text = F.concat_ws("|", *[F.to_json(F.struct(F.col(c))) for c in _FIELDS])
+    body = F.md5(F.concat_ws("|", F.lit(uuid.uuid4().hex), F.col("_nth").cast("string"), text))
+    # Of new records with one id, the first keeps it if it isn't stored.
+    records = records.withColumn("_nth", F.row_number().over(Window.partitionBy("experiment_id").orderBy(text)))
     fresh = F.concat_ws("-", *[F.substring(body, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
     out = records.join(known, "experiment_id", "left").withColumn(
-        "experiment_id", F.when(F.col("_taken"), fresh).otherwise(F.col("experiment_id"))
+        "experiment_id", F.when(F.coalesce(F.col("_taken"), F.lit(False)) | (F.col("_nth") > 1), fresh).otherwise(F.col("experiment_id"))
     ).select(*_FIELDS)
     out.write.mode("append").json(path)
     return out
@@ -41,7 +44,7 @@ def log_experiments(records: DataFrame, path: str) -> DataFrame:
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """Records written by ``log_experiments``; an absent folder is an empty history."""
     try:
-        return spark.read.schema(EXPERIMENT_SCHEMA).option("mode", "DROPMALFORMED").json(path)
+        return spark.read.schema(EXPERIMENT_SCHEMA).option("mode", "DROPMALFORMED").json(path).filter("experiment_id is not null")
     except AnalysisException as missing:
         if missing.getCondition() != "PATH_NOT_FOUND":
             raise

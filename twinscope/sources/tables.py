@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from twinscope.constants import (
     CHROMOSOMES, DISEASES, GENES, INHERITANCE_PATTERNS, SIGNIFICANCES, VARIANT_TYPES,
@@ -45,6 +45,9 @@ def ordered_split(df: DataFrame, key: str, fraction: float = 0.7) -> tuple[DataF
 
     The cut key comes from running totals, so nothing is sorted in one task.
     """
+    kind = df.schema[key].dataType
+    if isinstance(kind, T.IntegralType):
+        return _integral_split(df, key, fraction)
     counts = df.select(F.lit("key").alias("column"), F.col(key).cast("double").alias("value"), F.lit(1).cast("long").alias("n"))
     run = running_totals(counts, ["n"], ["column"])
     wanted = F.floor(F.col("tot_n") * fraction)
@@ -55,6 +58,34 @@ def ordered_split(df: DataFrame, key: str, fraction: float = 0.7) -> tuple[DataF
     return df.filter(x <= cut), df.filter(x > cut)
 
 
+def _integral_split(df: DataFrame, key: str, fraction: float) -> tuple[DataFrame, DataFrame]:
+    """As above, exact for keys of any size: doubles only hold parts of a key.
+
+    Running totals over ranges of 2**20 keys find the range of the cut; the same over the keys of
+    that one range find the cut.
+    """
+    low_bits = 20
+    x = F.col(key).cast("long")
+
+    def upto(part: DataFrame, value: Column, wanted: Column | int):
+        counts = part.groupBy(value.cast("double").alias("value")).agg(F.count(F.lit(1)).alias("n")).select(F.lit("key").alias("column"), "value", "n")
+        run = running_totals(counts, ["n"], ["column"])
+        wanted = wanted if isinstance(wanted, int) else F.floor(F.col("tot_n") * fraction)
+        inside = F.col("run_n") <= wanted
+        return run.agg(F.max(F.when(inside, F.col("value"))).alias("last"), F.max(F.when(inside, F.col("run_n"))).alias("before"),
+                       F.min(F.when(~inside, F.col("value"))).alias("next"), F.max(F.floor(F.col("tot_n") * fraction)).alias("wanted")).first()  # one row
+
+    ranges = upto(df.filter(x.isNotNull()), F.shiftright(x, low_bits), F.lit(0))
+    if ranges["wanted"] is None:
+        return df.limit(0), df
+    if ranges["next"] is None:
+        return df.filter(x.isNotNull()), df.filter(x.isNull())
+    high, left = int(ranges["next"]), int(ranges["wanted"]) - int(ranges["before"] or 0)
+    within = upto(df.filter(F.shiftright(x, low_bits) == high), x.bitwiseAND(F.lit((1 << low_bits) - 1)), left)
+    cut = (high << low_bits) + (int(within["last"]) if within["last"] is not None else -1)
+    return df.filter(x <= cut), df.filter(x > cut)
+
+
 def hash_split(df: DataFrame, key: str, percent: int = 70) -> tuple[DataFrame, DataFrame]:
     """Stable split by a hash of the key: no order and no extra pass needed."""
     bucket = F.pmod(F.xxhash64(key), F.lit(100))
