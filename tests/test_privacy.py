@@ -112,8 +112,35 @@ def test_risky_rows_are_dropped_and_columns_kept(spark):
 
 
 def test_perturb_is_repeatable(spark):
-    df = spark.range(50).select(F.col("id").cast("double").alias("x"))
-    assert privacy.perturb(df, ["x"], 0.5, 7).collect() == privacy.perturb(df, ["x"], 0.5, 7).collect()
+    df = spark.range(5000).select("id", F.col("id").cast("double").alias("x"))
+    one, two = (sorted(privacy.perturb(df.repartition(n), ["x"], 0.5, "id", 7).collect()) for n in (2, 3))
+    assert one == two
+    noise = np.array([r["x"] - r["id"] for r in one])
+    assert abs(noise.mean()) < 0.03 and noise.std() == pytest.approx(0.5, rel=0.05) and len(set(noise)) == 5000
+
+
+def test_missing_numbers_have_a_distance(spark):
+    rng = np.random.default_rng(12)
+    holes = lambda n: [(float(a) if rng.random() > 0.3 else None, float(b) if rng.random() > 0.2 else float("nan"), str(c)) for a, b, c in zip(rng.random(n), rng.random(n), rng.choice(list("xyz"), n))]
+    schema = "a double, b double, s string"
+    real, syn = [*holes(80), (0.0, 0.0, "x"), (1.0, 1.0, "z")], holes(40)
+    pair = TablePair.of(spark.createDataFrame(real, schema), spark.createDataFrame(syn, schema))
+    at = lambda rows: np.array([[v for x in (a, b) for v in ((0.0, 1.0) if x is None or x != x else (x, 0.0))] + ["xyz".index(s) / 2] for a, b, s in rows])
+    want = brute(at(syn), at(real))
+    row = privacy.privacy_report(pair).first()
+    assert row["n_rows"] == 40 and row["mean"] == pytest.approx(want.mean())
+    keyed = spark.createDataFrame([(k, *r) for k, r in enumerate(syn)], "k int, " + schema)
+    got = {r["k"]: r["nnd"] for r in privacy.with_distances(pair, keyed).collect()}
+    assert np.allclose([got[k] for k in range(40)], want)
+
+
+def test_samples_do_not_depend_on_partitions(spark):
+    from twinscope.operators import sampler
+
+    df = spark.createDataFrame([(float(k), "a" if k % 3 else "b") for k in range(90)], "x double, s string")
+    one, two = (sorted(sampler.sample_like(df.repartition(n), 200, method="independent").collect()) for n in (1, 3))
+    assert one == two and len(one) == 200
+    assert 0.55 < sum(r["s"] == "a" for r in one) / 200 < 0.8
 
 
 def test_large_dictionaries_are_bucketed_and_salted(spark, monkeypatch):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, functions as F
@@ -111,3 +112,15 @@ def normal_cdf(z: Column) -> Column:
     poly = reduce(lambda acc, k: acc * t + F.lit(k), b[1:], F.lit(b[0])) * t
     upper = F.exp(-x * x / 2) * 0.3989422804014327 * poly
     return F.when(z >= 0, 1 - upper).otherwise(upper)
+
+
+def hash_uniform(seed: int, name: str, key: Column) -> Column:
+    """Uniform in [0, 1): 52 bits of a digest of (seed, name, key), so that partitions don't matter."""
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit(name), key.cast("string")))
+    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") / F.lit(2.0 ** 52)
+
+
+def hash_normal(seed: int, name: str, key: Column) -> Column:
+    """Standard normal from two such uniforms."""
+    radius = F.sqrt(-2 * F.ln(1 - hash_uniform(seed, f"{name}/radius", key)))
+    return radius * F.cos(2 * math.pi * hash_uniform(seed, f"{name}/angle", key))

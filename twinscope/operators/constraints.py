@@ -68,7 +68,7 @@ def _applicable(df: DataFrame, rules) -> list[Rule]:
 
 def with_violations(df: DataFrame, rules) -> DataFrame:
     """Add ``violated``: names of the rules each row breaks.  Narrow; works on streams."""
-    df = null_nan(df) if not df.isStreaming else df
+    df = null_nan(df)
     active = _applicable(df, rules)
     if not active:
         return df.withColumn("violated", F.array().cast("array<string>"))

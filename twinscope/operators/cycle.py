@@ -51,13 +51,17 @@ def diagnostic_cycle(pair: TablePair, target: str, rules, out_dir: str, series_i
     profiled = keep("profile", profile.profile(pair.real))
     summary = profile.dataset_summary(profiled)
     keep("size", causes.size_diagnosis(summary))
-    imbalance = profile.class_imbalance(pair.real, categorical) if categorical else None
+    imbalance = save_scratch(profile.class_imbalance(pair.real, categorical), "imbalance") if categorical else None
     metrics = keep("metrics", run_metrics(pair, target, series_id, cycle, **forest))
     keep("levels", history.benchmark_deltas(history.classify_metrics(metrics)))
     context = summary.select(
         F.lit(series_id).alias("series_id"), F.lit(cycle).alias("cycle"), "n_rows", "n_rare_columns",
-        F.lit(epochs).cast("long").alias("epochs"),
+        F.lit(epochs).cast("long").alias("epochs"), F.lit(1).alias("j"),
     )
+    if imbalance is not None:  # one-row tables side by side
+        uneven = imbalance.agg(F.count_if("flagged").alias("n_imbalanced_columns")).withColumn("j", F.lit(1))
+        context = context.join(F.broadcast(uneven), "j", "left")
+    context = context.drop("j")
     keep("causes", causes.root_causes(metrics, context))
     amplification = bias.amplification_ratio(pair, categorical) if categorical else None
     diagnosis = keep("columns", fidelity.prioritise_columns(fidelity.diagnose_columns(pair, amplification, categorical)))

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 from twinscope.frames import CANDIDATE, TablePair
-from twinscope.functions.measures import clip01
+from twinscope.functions.measures import clip01, hash_normal
 from twinscope.plans.codes import attach_codes, code_dictionary, lookup_join
 from twinscope.plans.nearest import nearest_distances
 from twinscope.plans.ordered import exact_quantiles, running_totals
@@ -18,7 +18,8 @@ MISSING = "nan"  # fixed value: name of the missing category
 
 @dataclass(frozen=True)
 class Encoder:
-    """What was fitted on the real table: codes per category, then minimum and range per column."""
+    """What was fitted on the real table: codes per category, then minimum and range per column; and
+    the number columns in which either side lacks values."""
 
     columns: tuple[str, ...]
     strings: tuple[str, ...]
@@ -26,6 +27,7 @@ class Encoder:
     low: dict[str, float]
     width: dict[str, float]
     categorical: str
+    gaps: tuple[str, ...] = ()
 
 
 def fit_encoder(pair: TablePair, categorical: str = "code") -> Encoder:
@@ -40,12 +42,15 @@ def fit_encoder(pair: TablePair, categorical: str = "code") -> Encoder:
     numbers = [c for c in pair.columns if c not in strings]
     real = pair.real
     dictionary = code_dictionary(real, strings, missing=MISSING) if strings else None
-    low, width = {}, {}
+    low, width, gaps = {}, {}, []
     if numbers:
-        row = real.agg(
-            *[F.min(F.col(c).cast("double")).alias(f"lo_{c}") for c in numbers],
-            *[F.max(F.col(c).cast("double")).alias(f"hi_{c}") for c in numbers],
+        x, fitted = {c: F.col(c).cast("double") for c in numbers}, F.col(CANDIDATE).isNull()
+        row = pair.rows.agg(  # one pass over both sides
+            *[F.min(F.when(fitted, x[c])).alias(f"lo_{c}") for c in numbers],
+            *[F.max(F.when(fitted, x[c])).alias(f"hi_{c}") for c in numbers],
+            *[F.count_if(x[c].isNull()).alias(f"na_{c}") for c in numbers],
         ).first()
+        gaps = [c for c in numbers if row[f"na_{c}"]]
         for c in numbers:
             lo, hi = row[f"lo_{c}"], row[f"hi_{c}"]
             low[c], width[c] = lo or 0.0, ((hi or 0.0) - (lo or 0.0)) or 1.0
@@ -53,23 +58,34 @@ def fit_encoder(pair: TablePair, categorical: str = "code") -> Encoder:
         tops = {r["column"]: r["top"] for r in dictionary.groupBy("column").agg(F.max("code").alias("top")).collect()}
         for c in strings:  # one row per column
             low[c], width[c] = 0.0, float(tops.get(c) or 0) or 1.0
-    return Encoder(tuple(pair.columns), tuple(strings), dictionary, low, width, categorical)
+    return Encoder(tuple(pair.columns), tuple(strings), dictionary, low, width, categorical, tuple(gaps))
 
 
 def normalise(rows: DataFrame, encoder: Encoder) -> DataFrame:
     """Encoded and scaled rows; other columns of ``rows`` pass through.
 
     Unknown categories get code 0, or in ``match`` mode a code that equals no category.  Synthetic
-    values may leave [0, 1].
+    values may leave [0, 1]; missing numbers stay NULL.
     """
     if encoder.strings:
         unknown = -1 if encoder.categorical == "match" else 0
         rows = attach_codes(rows, encoder.dictionary, encoder.strings, unknown=unknown, missing=MISSING)
     return rows.withColumns({
-        c: (F.col(c).cast("double") - F.lit(encoder.low[c])) / F.lit(encoder.width[c]) for c in encoder.columns
+        c: (F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")) - F.lit(encoder.low[c])) / F.lit(encoder.width[c])
+        for c in encoder.columns
     })
 
 
+def _gap_flags(encoder: Encoder) -> list[str]:
+    return [f"_gap_{c}" for c in encoder.gaps]
+
+
+def _placed(vectors: DataFrame, encoder: Encoder) -> DataFrame:
+    """Missing numbers at 0, with a dimension of their own that is 1 where the number is missing."""
+    flags = {f: F.col(c).isNull().cast("double") for c, f in zip(encoder.gaps, _gap_flags(encoder))}
+    return vectors.withColumns(flags).withColumns({c: F.coalesce(c, F.lit(0.0)) for c in encoder.gaps}) if flags else vectors
+
+
 def normalised_pair(pair: TablePair, categorical: str = "code") -> DataFrame:
     """Both sides normalised, tagged by ``candidate``."""
     return normalise(pair.rows, fit_encoder(pair, categorical))
@@ -79,18 +95,18 @@ def nearest_neighbour_distances(pair: TablePair, categorical: str = "code") -> D
     """Distance of each distinct synthetic vector to the closest real row.
 
     Returns (vector columns..., n, distance), ``n`` being the number of synthetic rows with that
-    vector.  Rows with a missing number have no distance and are left out.
+    vector.  A missing number lies at 0 in its column and at 1 in a dimension added for it, so it
+    is 0 from another missing one and 1 or more from any number; every row has a distance.
 
     Both sides are reduced to distinct vectors first (copies cost nothing), vectors that occur on
     both sides are 0 apart, and only the rest is searched.
     """
     encoder = fit_encoder(pair, categorical)
-    vectors = normalise(pair.rows, encoder)
-    columns = list(pair.columns)
+    complete = _placed(normalise(pair.rows, encoder), encoder)
+    columns = [*pair.columns, *_gap_flags(encoder)]
     match = encoder.strings if categorical == "match" else ()
     many = len(pair.candidates) > 1
     tag = [CANDIDATE] if many else []
-    complete = vectors.dropna(subset=columns)
     if many:
         grouped = (
             complete.groupBy(CANDIDATE, *columns).agg(F.count("*").alias("n"))
@@ -118,7 +134,9 @@ def nearest_neighbour_distances(pair: TablePair, categorical: str = "code") -> D
     far = queries.filter(~F.col("same")).select("pid", *columns)
     searched = nearest_distances(far, real, columns, match)
     distance = F.when(F.col("same"), F.lit(0.0)).otherwise(F.col("distance"))
-    return queries.join(searched, "pid", "left").select(*tag, *columns, "n", distance.alias("distance"))
+    gaps = dict(zip(encoder.gaps, _gap_flags(encoder)))
+    shown = [F.when(F.col(gaps[c]) == 0, F.col(c)).alias(c) if c in gaps else F.col(c) for c in pair.columns]
+    return queries.join(searched, "pid", "left").select(*tag, *shown, "n", distance.alias("distance"))
 
 
 def _measured(distances: DataFrame) -> tuple[DataFrame, list[str]]:
@@ -180,11 +198,12 @@ def with_distances(pair: TablePair, synthetic: DataFrame, categorical: str = "co
         renamed = renamed.withColumnRenamed(c, o)
     for c, s in shadow.items():
         renamed = renamed.withColumnRenamed(s, c)
-    coded = normalise(renamed, encoder)
+    coded = _placed(normalise(renamed, encoder), encoder)
+    keys = [*encoder.columns, *_gap_flags(encoder)]
     distances = save_scratch(
-        nearest_neighbour_distances(pair, categorical).select(*encoder.columns, F.col("distance").alias("nnd")), "nnd"
+        _placed(nearest_neighbour_distances(pair, categorical), encoder).select(*keys, F.col("distance").alias("nnd")), "nnd"
     )
-    joined = lookup_join(coded, distances, list(encoder.columns)).drop(*encoder.columns)
+    joined = lookup_join(coded, distances, keys).drop(*keys)
     for c, o in originals.items():
         joined = joined.withColumnRenamed(o, c)
     return joined
@@ -195,8 +214,11 @@ def drop_risky(with_nnd: DataFrame, threshold: float) -> DataFrame:
     return with_nnd.filter(F.col("nnd") > threshold)
 
 
-def perturb(df: DataFrame, columns, scale: float, seed: int = 42) -> DataFrame:
-    """Add Gaussian noise with deviation ``scale`` to numeric columns.  No privacy guarantee."""
-    return df.withColumns({
-        c: F.col(c).cast("double") + F.lit(scale) * F.randn(seed + i) for i, c in enumerate(columns)
-    })
+def perturb(df: DataFrame, columns, scale: float, key, seed: int = 42) -> DataFrame:
+    """Add Gaussian noise with deviation ``scale`` to numeric columns.  No privacy guarantee.
+
+    The noise is a function of (seed, column, ``key``), whatever the partitioning; ``key`` names the
+    columns that tell rows apart, and rows with one key get the same noise.
+    """
+    row = F.to_json(F.struct(*[F.col(c) for c in ([key] if isinstance(key, str) else key)]))
+    return df.withColumns({c: F.col(c).cast("double") + F.lit(scale) * hash_normal(seed, c, row) for c in columns})

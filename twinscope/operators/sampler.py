@@ -5,10 +5,10 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from twinscope.frames import column_kinds, null_nan
-from twinscope.functions.measures import inverse_normal, normal_cdf
+from twinscope.functions.measures import hash_normal, hash_uniform, inverse_normal, normal_cdf
 from twinscope.operators.constraints import rows_where
 from twinscope.plans.codes import lookup_join
 from twinscope.plans.histograms import bin_index
@@ -25,6 +25,7 @@ class Marginals:
     n_rows: int
     kinds: dict[str, str]
     bins: int
+    missing: dict[str, float]  # share of missing values of the columns that lack some
 
     def of(self, column: str) -> DataFrame:
         return self.table.filter(F.col("column") == column)
@@ -47,14 +48,22 @@ def marginal_table(real: DataFrame, columns=None, bins: int = 50) -> tuple[DataF
 
 
 def fit_marginals(real: DataFrame, columns=None, bins: int = 50) -> Marginals:
-    """Learn each column's distribution; missing values are not modelled."""
+    """Learn each column's distribution and its share of missing values."""
     table, kinds = marginal_table(real, columns, bins)
     table, n = saved(table)
-    return Marginals(table, n, kinds, bins)
-
-
-def _typed(df: DataFrame, marginals: Marginals) -> DataFrame:
-    """Cast drawn values back: whole numbers are rounded."""
+    here = null_nan(real.select(*kinds)).agg(
+        F.count(F.lit(1)).alias("n"), *[F.count(c).alias(f"c{i}") for i, c in enumerate(kinds)]
+    ).first()
+    missing = {c: 1 - here[f"c{i}"] / here["n"] for i, c in enumerate(kinds) if here[f"c{i}"] < here["n"]}
+    return Marginals(table, n, kinds, bins, missing)
+
+
+def _typed(df: DataFrame, marginals: Marginals, seed: int) -> DataFrame:
+    """Cast drawn values back: whole numbers are rounded.  Values go missing as often as in the
+    fitted table, each column on its own."""
+    df = df.withColumns({
+        c: F.when(hash_uniform(seed, f"{c}/missing", F.col("id")) >= p, F.col(c)) for c, p in marginals.missing.items()
+    }) if marginals.missing else df
     casts = {}
     for c, k in marginals.kinds.items():
         if k in ("integer", "small_integer"):
@@ -64,20 +73,14 @@ def _typed(df: DataFrame, marginals: Marginals) -> DataFrame:
     return df.withColumns(casts) if casts else df
 
 
-def _rows(spark: SparkSession, n: int) -> DataFrame:
-    """Row ids in a fixed number of partitions: seeds act per partition, so the partitioning is part
-    of the result and must not depend on the cluster."""
-    return spark.range(0, n, 1, max(1, min(2000, -(-n // 1_000_000))))
-
-
 def sample_independent(marginals: Marginals, n: int, seed: int = 42) -> DataFrame:
-    """``n`` rows, each column drawn from its own marginal."""
-    df = _rows(marginals.table.sparkSession, n)
+    """``n`` rows, each column drawn from its own marginal.  Draws are functions of (seed, column, id)."""
+    df = marginals.table.sparkSession.range(n)
     names = {c: f"_u_{c}" for c in marginals.kinds}
-    df = df.select("id", *[F.rand(seed + i).alias(u) for i, u in enumerate(names.values())])
+    df = df.select("id", *[hash_uniform(seed, c, F.col("id")).alias(u) for c, u in names.items()])
     for c, u in names.items():
         df = invert(df, F.col(u), marginals.of(c), c, not marginals.is_category(c), n_table=marginals.n_rows)
-    return _typed(df.select("id", *names), marginals)
+    return _typed(df.select("id", *names), marginals, seed)
 
 
 def normal_scores(real: DataFrame, marginals: Marginals) -> DataFrame:
@@ -125,8 +128,8 @@ def fit_copula(real: DataFrame, marginals: Marginals) -> np.ndarray:
 def sample_copula(marginals: Marginals, factor: np.ndarray, n: int, seed: int = 42) -> DataFrame:
     """``n`` rows with the fitted marginals and the fitted dependence."""
     columns = list(marginals.kinds)
-    df = _rows(marginals.table.sparkSession, n)
-    df = df.select("id", *[F.randn(seed + i).alias(f"_e{i}") for i in range(len(columns))])
+    df = marginals.table.sparkSession.range(n)
+    df = df.select("id", *[hash_normal(seed, c, F.col("id")).alias(f"_e{i}") for i, c in enumerate(columns)])
     shares = []
     for i, c in enumerate(columns):
         z = sum((F.lit(float(factor[i, j])) * F.col(f"_e{j}") for j in range(i + 1)), F.lit(0.0))
@@ -134,7 +137,7 @@ def sample_copula(marginals: Marginals, factor: np.ndarray, n: int, seed: int =
     df = df.select("id", *shares)
     for c in columns:
         df = invert(df, F.col(f"_u_{c}"), marginals.of(c), c, not marginals.is_category(c), n_table=marginals.n_rows)
-    return _typed(df.select("id", *columns), marginals)
+    return _typed(df.select("id", *columns), marginals, seed)
 
 
 def sample_like(real: DataFrame, n: int, columns=None, method: str = "copula", condition=None,

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from twinscope.constants import COMPOSITE_WEIGHTS
-from twinscope.frames import CANDIDATE, TablePair
+from twinscope.frames import CANDIDATE, TablePair, analysis_categorical
 from twinscope.functions.measures import clip01
+from twinscope.operators.bias import rare_class_totals, rare_classes
 from twinscope.operators.constraints import require_no_nulls
 from twinscope.operators.diversity import collapsed_columns
 from twinscope.operators.fidelity import fidelity_by_column, fidelity_summary
@@ -61,7 +62,7 @@ def quality_report(pair: TablePair, accuracy: DataFrame, per_column: DataFrame |
 
 def validate(pair: TablePair, target: str, **forest) -> DataFrame:
     """Full validation of one candidate: raises on missing values, then one row with fidelity,
-    both directions of utility, collapse and quality."""
+    both directions of utility, rare classes and how many of them are gone, collapse and quality."""
     require_no_nulls(pair.real, pair.synthetic)
     both = cross_test(pair, target, **forest)
 
@@ -73,7 +74,16 @@ def validate(pair: TablePair, target: str, **forest) -> DataFrame:
         pick("synthetic_to_real", "f1_score").alias("f1_score"),
         pick("synthetic_to_real", "auc").alias("auc"),
         pick("real_to_synthetic", "accuracy").alias("reverse_accuracy"),
+        pick("real_to_synthetic", "f1_score").alias("reverse_f1_score"),
+        pick("real_to_synthetic", "auc").alias("reverse_auc"),
     )
+    categorical = analysis_categorical(pair.kinds)
+    if categorical:  # one-row tables side by side
+        rare = rare_class_totals(rare_classes(pair, categorical)).agg(
+            F.coalesce(F.sum("total_rare_classes"), F.lit(0)).alias("n_rare_classes"),
+            F.coalesce(F.sum("n_missing"), F.lit(0)).alias("n_rare_classes_lost"),
+        )
+        utility = utility.withColumn("j", F.lit(1)).join(F.broadcast(rare.withColumn("j", F.lit(1))), "j").drop("j")
     return quality_report(pair, utility)
 
 

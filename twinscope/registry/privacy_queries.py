@@ -65,9 +65,6 @@ def _(spark, sf):
     return rounded(privacy.normalise(c, encoder).select("c_custkey", "c_mktsegment", "c_nationkey", "c_acctbal"))
 
 
-_LI5 = (LINEITEM[0], LINEITEM[1], LINEITEM[2], ["l_quantity", "l_discount", "l_tax"])
-
-
 def _statistics_sql(pair) -> str:
     return f"""WITH {_nnd_sql(pair)}, every AS (SELECT d FROM nnd, range(m)), cut AS (SELECT quantile_cont(d, 0.1) AS th FROM every),
       st AS (SELECT count(*) AS n_rows, avg(d) AS mean, quantile_cont(d, 0.5) AS median, min(d) AS low, max(d) AS high, stddev_pop(d) AS std,
@@ -84,9 +81,9 @@ def _(spark, sf):
     return rounded(privacy.nearest_neighbour_distances(customer_pair(spark, sf)))
 
 
-@query("distance_statistics", _statistics_sql(_LI5) + _STAT_ROW + " FROM st")
+@query("distance_statistics", _statistics_sql(LINEITEM) + _STAT_ROW + " FROM st")
 def _(spark, sf):
-    distances = privacy.nearest_neighbour_distances(lineitem_pair(spark, sf, LINEITEM_COLUMNS[:-1]))
+    distances = privacy.nearest_neighbour_distances(lineitem_pair(spark, sf, LINEITEM_COLUMNS))
     return rounded(privacy.distance_statistics(distances))
 
 
@@ -95,6 +92,18 @@ def _(spark, sf):
     return rounded(privacy.privacy_report(customer_pair(spark, sf)))
 
 
+_HOLED_LOW = f"(SELECT min(o_totalprice) FROM {HOLED_ORDERS_SQL} h2 WHERE o_orderkey % 3 > 0)"
+#: A missing price lies at the lower end of the real prices, and at 1 in a dimension of its own.
+_HOLED_PAIR = (f"""(SELECT o_orderkey, o_orderpriority, coalesce(o_totalprice, {_HOLED_LOW}) AS o_totalprice,
+    CASE WHEN o_totalprice IS NULL THEN 1.0 ELSE 0.0 END AS gap FROM {HOLED_ORDERS_SQL} h1) z""", "o_orderkey % 3 = 0", ["o_orderpriority"], ["o_totalprice", "gap"])
+
+
+@query("privacy_report_holed", _statistics_sql(_HOLED_PAIR) + _STAT_ROW + " FROM st")
+def _(spark, sf):
+    pair = TablePair.split(holed_orders(spark, sf), F.col("o_orderkey") % 3 == 0, ["o_orderpriority", "o_totalprice"])
+    return rounded(privacy.privacy_report(pair).drop("privacy_score"))
+
+
 @query("privacy_absolute_threshold", _statistics_sql(CUSTOMER) + f""" SELECT {r6('mean')} AS mean, 0.03::DOUBLE AS threshold,
     (SELECT count(*) FROM every WHERE d <= 0.03) AS high_risk_count FROM st""")
 def _(spark, sf):
@@ -111,10 +120,18 @@ def _(spark, sf):
     return privacy.drop_risky(privacy.with_distances(pair, rows), 0.03).select("c_custkey")
 
 
-@query("privacy_perturb")
+def _uniform_sql(name: str, key: str, seed: int = 42) -> str:
+    return f"(CAST('0x' || substr(md5('{seed}|{name}|' || {key}), 1, 13) AS BIGINT) / 4503599627370496.0)"
+
+
+_KEY = """('{"c_custkey":' || c_custkey || '}')"""
+
+
+@query("privacy_perturb", f"""SELECT c_custkey, {r6(f"""c_acctbal + 50 * sqrt(-2 * ln(1 - {_uniform_sql('c_acctbal/radius', _KEY)})) * cos(2 * pi() * {_uniform_sql('c_acctbal/angle', _KEY)})""")} AS c_acctbal
+    FROM customer WHERE c_custkey % 10 >= 7""")
 def _(spark, sf):
     rows = table(spark, sf, "customer").filter("c_custkey % 10 >= 7").select("c_custkey", "c_acctbal")
-    return privacy.perturb(rows, ["c_acctbal"], 50.0)
+    return rounded(privacy.perturb(rows, ["c_acctbal"], 50.0, "c_custkey"))
 
 
 # ---- constraints --------------------------------------------------------------------------------
@@ -382,15 +399,17 @@ def _(spark, sf):
 _SAMPLE_COLUMNS = ["o_orderstatus", "o_orderpriority", "o_totalprice"]
 
 
-@query("marginals", f"""WITH {tagged('orders', 'false')}, c AS (SELECT "column", 'category' AS kind, value, CAST(NULL AS DOUBLE) AS low, CAST(NULL AS DOUBLE) AS high, n,
+_MARGINALS = f"""WITH {tagged('orders', 'false')}, c AS (SELECT "column", 'category' AS kind, value, CAST(NULL AS DOUBLE) AS low, CAST(NULL AS DOUBLE) AS high, n,
       sum(n) OVER (PARTITION BY "column" ORDER BY value) AS run, sum(n) OVER (PARTITION BY "column") AS tot FROM (
       SELECT 'o_orderstatus' AS "column", o_orderstatus AS value, count(*) AS n FROM t GROUP BY o_orderstatus UNION ALL
       SELECT 'o_orderpriority', o_orderpriority, count(*) FROM t GROUP BY o_orderpriority) q),
     b AS (SELECT 'o_totalprice' AS "column", 'number' AS kind, CAST(k AS VARCHAR) AS value, lo + k * (hi - lo) / 50 AS low, lo + (k + 1) * (hi - lo) / 50 AS high, n,
       sum(n) OVER (ORDER BY k) AS run, sum(n) OVER () AS tot FROM (SELECT least(floor((o_totalprice - lo) / (hi - lo) * 50), 49)::INTEGER AS k, count(*) AS n, any_value(lo) AS lo, any_value(hi) AS hi
-        FROM t, (SELECT min(o_totalprice) AS lo, max(o_totalprice) AS hi FROM t) r GROUP BY 1) g)
-    SELECT "column", kind, value, {r6('low')} AS low, {r6('high')} AS high, n, {r6('(run - n) / tot')} AS cum_low, {r6('run / tot')} AS cum_high
-    FROM (SELECT * FROM c UNION ALL SELECT * FROM b) u""")
+        FROM t, (SELECT min(o_totalprice) AS lo, max(o_totalprice) AS hi FROM t) r GROUP BY 1) g),
+    m AS (SELECT "column", kind, value, low, high, n, (run - n) / tot AS cum_low, run / tot AS cum_high FROM (SELECT * FROM c UNION ALL SELECT * FROM b) u)"""
+
+
+@query("marginals", _MARGINALS + f"""SELECT "column", kind, value, {r6('low')} AS low, {r6('high')} AS high, n, {r6('cum_low')} AS cum_low, {r6('cum_high')} AS cum_high FROM m""")
 def _(spark, sf):
     return rounded(sampler.marginal_table(table(spark, sf, "orders"), _SAMPLE_COLUMNS)[0])
 
@@ -400,9 +419,20 @@ def _sample(spark, sf, **how):
     return sampler.sample_like(orders, orders.count(), **how)
 
 
-@query("sample_independent")
+@query("sample_independent", _MARGINALS + f""", d AS (SELECT id, {', '.join(f"{_uniform_sql(c, 'id')} AS u{i}" for i, c in enumerate(_SAMPLE_COLUMNS))} FROM (SELECT row_number() OVER () - 1 AS id FROM orders) q)
+    SELECT id, m0.value AS o_orderstatus, m1.value AS o_orderpriority, {r6('m2.low + (u2 - m2.cum_low) / (m2.cum_high - m2.cum_low) * (m2.high - m2.low)')} AS o_totalprice
+    FROM d {' '.join(f"""JOIN m m{i} ON m{i}."column" = '{c}' AND m{i}.cum_low <= u{i} AND u{i} < m{i}.cum_high""" for i, c in enumerate(_SAMPLE_COLUMNS))}""")
+def _(spark, sf):
+    return rounded(_sample(spark, sf, method="independent"))
+
+
+@query("sample_missing_values", f"""WITH p AS (SELECT 1 - count(o_orderstatus)::DOUBLE / count(*) AS s, 1 - count(o_totalprice)::DOUBLE / count(*) AS x FROM {HOLED_ORDERS_SQL} h),
+    d AS (SELECT {_uniform_sql('o_orderstatus/missing', 'id')} AS us, {_uniform_sql('o_totalprice/missing', 'id')} AS ux FROM (SELECT row_number() OVER () - 1 AS id FROM orders) q)
+    SELECT count(*) AS n_rows, count(*) FILTER (WHERE us < s) AS no_status, count(*) FILTER (WHERE ux < x) AS no_price FROM d, p""")
 def _(spark, sf):
-    return _sample(spark, sf, method="independent")
+    holed = holed_orders(spark, sf).select(*_SAMPLE_COLUMNS)
+    drawn = sampler.sample_like(holed, holed.count(), method="copula")
+    return drawn.agg(F.count("*").alias("n_rows"), F.count_if(F.col("o_orderstatus").isNull()).alias("no_status"), F.count_if(F.col("o_totalprice").isNull()).alias("no_price"))
 
 
 @query("sample_copula")

@@ -10,7 +10,7 @@ from twinscope.operators import constraints
 from twinscope.plans.scratch import scratch_root
 from twinscope.registry.base import query, r6, rounded, table
 from twinscope.registry.sqltext import jsd_of
-from twinscope.sources import audit, tables
+from twinscope.sources import audit, experiments, tables
 from twinscope.sources.catalogue import Catalogue, build_metadata
 from twinscope.streaming import streams
 
@@ -54,7 +54,8 @@ def _(spark, sf):
     return rounded(both.groupBy("side").agg(F.count("*").alias("n"), exact.alias("total")))
 
 
-@query("hash_split")
+@query("hash_split", """SELECT CASE WHEN CAST('0x' || substr(md5(CAST(o_orderkey AS VARCHAR)), 1, 8) AS BIGINT) % 100 < 70 THEN 'train' ELSE 'test' END AS side, count(*) AS n
+    FROM orders GROUP BY 1""")
 def _(spark, sf):
     train, test = tables.hash_split(table(spark, sf, "orders"), "o_orderkey")
     both = train.withColumn("side", F.lit("train")).unionByName(test.withColumn("side", F.lit("test")))
@@ -138,6 +139,16 @@ def _(spark, sf):
     return audit.actions_by_user(audit.entries(spark, _audit_log(spark, sf)))
 
 
+@query("experiment_documents", "SELECT o_orderpriority AS experiment_id, count(*)::DOUBLE AS n_orders FROM orders GROUP BY o_orderpriority")
+def _(spark, sf):
+    """One document per file, and a malformed file among them."""
+    path = _folder(spark, "documents")
+    counted = table(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("experiment_id")).agg(F.count("*").cast("double").alias("n"))
+    counted.select("experiment_id", F.create_map(F.lit("n_orders"), "n").alias("metrics")).write.option("maxRecordsPerFile", 1).json(path)
+    counted.limit(1).select(F.lit('{"experiment_id": "broken", "metrics"').alias("value")).write.mode("append").text(path)
+    return experiments.read_experiments(spark, path).select("experiment_id", F.col("metrics")["n_orders"].alias("n_orders"))
+
+
 # ---- streams ------------------------------------------------------------------------------------
 
 def _event_stream(spark, sf):

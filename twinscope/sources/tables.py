@@ -87,8 +87,8 @@ def _integral_split(df: DataFrame, key: str, fraction: float) -> tuple[DataFrame
 
 
 def hash_split(df: DataFrame, key: str, percent: int = 70) -> tuple[DataFrame, DataFrame]:
-    """Stable split by a hash of the key: no order and no extra pass needed."""
-    bucket = F.pmod(F.xxhash64(key), F.lit(100))
+    """Stable split by a digest of the key: no order and no extra pass needed; a NULL key goes first."""
+    bucket = F.coalesce(F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 8), 16, 10).cast("long") % 100, F.lit(0))
     return df.filter(bucket < percent), df.filter(bucket >= percent)
 
 

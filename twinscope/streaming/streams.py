@@ -47,11 +47,9 @@ def drift(counts: DataFrame, baseline: DataFrame) -> DataFrame:
 
     All classes of a window close in the same micro-batch, so this works on one batch of counts.
     """
-    # Only the start times of the windows closed in this batch reach the driver.
-    windows = [r[0] for r in counts.select(F.unix_micros("start")).distinct().collect()]
-    starts = F.transform(F.array(*[F.lit(w) for w in windows]).cast("array<bigint>"), F.timestamp_micros)
-    base = baseline.select(
-        F.explode(starts).alias("start"), "value", F.col("n").alias("n_real"), F.lit(0).cast("long").alias("n_syn")
+    # One row per (closed window, class) is what the sums below need; nothing reaches the driver.
+    base = counts.select("start").distinct().join(baseline.select("value", F.col("n").alias("n_real")), F.lit(True)).select(
+        "start", "value", "n_real", F.lit(0).cast("long").alias("n_syn")
     )
     both = base.unionByName(counts.select("start", "value", F.lit(0).cast("long").alias("n_real"), F.col("n").alias("n_syn")))
     cells = both.groupBy("start", "value").agg(F.sum("n_real").alias("n_real"), F.sum("n_syn").alias("n_syn"))
