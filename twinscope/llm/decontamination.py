@@ -47,7 +47,10 @@ class Index:
     item: np.ndarray
     impact: np.ndarray
     opens: np.ndarray        # whether the posting's block may be opened by this term
-    best: np.ndarray         # term x block: the largest impact
+    blocks: int
+    pair: np.ndarray         # sorted term * blocks + block, of the blocks that hold the term
+    pair_begin: np.ndarray   # where each pair's postings begin
+    best: np.ndarray         # the largest impact of each pair
     span: int                # words of the longest item
     ids: list
     halves: list             # per item: shingles of question and of answer
@@ -88,9 +91,20 @@ def build(ids: list, texts: list[str | None], answers: list[str | None] | None =
     run -= np.repeat(run[first] - impact[order][first], np.bincount(item, minlength=len(rows))) if len(rows) else 0
     opens = np.zeros(len(item), bool)
     opens[order] = run >= THRESHOLD - 1e-9
-    best = np.zeros((len(vocabulary), max(1, -(-len(rows) // BLOCK))), np.float32)
-    np.maximum.at(best, (term, item // BLOCK), (impact * (1 + 1e-6)).astype(np.float32))
-    return Index(vocabulary, np.searchsorted(term, np.arange(len(vocabulary) + 1)), item, impact, opens, best, int(n.max(initial=1)), ids, halves)
+    # Postings are in the order of these pairs, so that the index grows with the postings alone.
+    blocks = max(1, -(-len(rows) // BLOCK))
+    key = term * blocks + item // BLOCK
+    new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else key
+    best = np.maximum.reduceat(impact, new) * (1 + 1e-6) if len(key) else impact
+    return Index(vocabulary, np.searchsorted(term, np.arange(len(vocabulary) + 1)), item, impact, opens, blocks, key[new], np.append(new, len(key)), best, int(n.max(initial=1)), ids, halves)
+
+
+def _pairs(index: Index, term: np.ndarray, block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the terms the blocks hold, and the numbers of those pairs in the index."""
+    key = term * index.blocks + block
+    at = np.minimum(np.searchsorted(index.pair, key), len(index.pair) - 1)
+    held = np.flatnonzero(index.pair[at] == key)
+    return held, at[held]
 
 
 def search(index: Index, column: pa.Array) -> list[tuple[int, int, float, float, float]]:
@@ -112,14 +126,14 @@ def search(index: Index, column: pa.Array) -> list[tuple[int, int, float, float,
     term = np.where(index.term[term] == hashed, term, -1)
 
     # Pivot terms open blocks, in the passages of their own segment and of the one before.
-    blocks = index.best.shape[1]
+    blocks = index.blocks
     ess = np.flatnonzero(index.opens)
     ess_term = np.searchsorted(index.posting, ess, "right") - 1
-    pair = np.unique(ess_term * blocks + index.item[ess] // BLOCK)
-    ess_begin = np.searchsorted(pair // blocks, np.arange(len(index.term) + 1))
+    opening = np.unique(ess_term * blocks + index.item[ess] // BLOCK)
+    ess_begin = np.searchsorted(opening // blocks, np.arange(len(index.term) + 1))
     hit = np.flatnonzero((term >= 0) & (np.diff(ess_begin)[np.maximum(term, 0)] > 0))
     count = np.diff(ess_begin)[term[hit]]
-    block = pair[expand(ess_begin[term[hit]], count)] % blocks
+    block = opening[expand(ess_begin[term[hit]], count)] % blocks
     own, doc = np.repeat(segment[hit], count), np.repeat(row[hit], count)
     passage = np.concatenate([np.minimum(own, last[doc]), np.maximum(np.minimum(own - 1, last[doc]), base[doc])])
     opened = np.unique(passage * blocks + np.concatenate([block, block]))
@@ -139,24 +153,25 @@ def search(index: Index, column: pa.Array) -> list[tuple[int, int, float, float,
         who, terms = np.divmod(key, len(index.term))
         term_begin = np.searchsorted(who, np.arange(len(lead) + 1))
         count = np.diff(term_begin)[back]
-        bound = np.bincount(np.repeat(np.arange(len(back)), count), minlength=len(back),
-                            weights=index.best[terms[expand(term_begin[back], count)], np.repeat(block, count)])
-        for k in np.flatnonzero(bound >= THRESHOLD):
-            mine = terms[term_begin[back[k]]: term_begin[back[k] + 1]]
-            count = np.diff(index.posting)[mine]
-            post = expand(index.posting[mine], count)
-            post = post[index.item[post] // BLOCK == block[k]]
-            score = np.bincount(index.item[post] - block[k] * BLOCK, weights=index.impact[post], minlength=BLOCK)
-            good = np.flatnonzero(score >= THRESHOLD)
-            if not len(good):
-                continue
+        owner = np.repeat(np.arange(len(back)), count)
+        held, pair = _pairs(index, terms[expand(term_begin[back], count)], block[owner])
+        owner = owner[held]
+        bound = np.bincount(owner, weights=index.best[pair], minlength=len(back))
+        reached = bound[owner] >= THRESHOLD
+        owner, pair = owner[reached], pair[reached]
+        count = np.diff(index.pair_begin)[pair]
+        post = expand(index.pair_begin[pair], count)
+        score = np.bincount(np.repeat(owner, count) * BLOCK + index.item[post] % BLOCK, weights=index.impact[post])
+        there, of = np.zeros(0, U), -1
+        for g in np.flatnonzero(score >= THRESHOLD):
+            k = g // BLOCK
             lo, hi = seg_begin[lead[back[k]]], seg_begin[upto[back[k]]]
-            there = np.unique(shingles(hashed[lo:hi], np.array([0, hi - lo]))[0])
-            for j in good:
-                i = block[k] * BLOCK + j
-                overlap = [_share(half, there, hashed[lo:hi]) for half in index.halves[i]]
-                if min(overlap) >= OVERLAP:
-                    found.append((int(seg_row[lead[back[k]]]), int(i), float(score[j]), overlap[0], overlap[-1]))
+            if of != back[k]:
+                there, of = np.unique(shingles(hashed[lo:hi], np.array([0, hi - lo]))[0]), back[k]
+            i = block[k] * BLOCK + g % BLOCK
+            overlap = [_share(half, there, hashed[lo:hi]) for half in index.halves[i]]
+            if min(overlap) >= OVERLAP:
+                found.append((int(seg_row[lead[back[k]]]), int(i), float(score[g]), overlap[0], overlap[-1]))
     return found
 
 
