@@ -62,12 +62,12 @@ def test_ks_matches_numpy(numbers):
     assert 0 <= row["p_value"] <= 1
 
 
-@pytest.mark.parametrize("base", [2, 4, 9])
-def test_running_totals_equal_one_window_per_column(numbers, base):
+@pytest.mark.parametrize("bucket_rows", [3, 40, 100_000])
+def test_running_totals_equal_one_window_per_column(numbers, bucket_rows):
     counts = pair_counts(numbers[0], ["x"], "double").cache()
     simple = counts.withColumn("run_n_real", F.sum("n_real").over(Window.partitionBy(*KEYS).orderBy("value")))
     expected = {r["value"]: r["run_n_real"] for r in simple.collect()}
-    got = {r["value"]: r["run_n_real"] for r in running_totals(counts, base=base).collect()}
+    got = {r["value"]: r["run_n_real"] for r in running_totals(counts, bucket_rows=bucket_rows).collect()}
     assert got == expected
 
 
@@ -190,3 +190,17 @@ def test_diagnosis_flags_a_shift(spark):
     pair = pair_of(spark, [(float(v),) for v in real], [(float(v),) for v in syn], "x double")
     row = fidelity.diagnose_columns(pair).first()
     assert row["severity"] == "Critical" and "KS test rejects equality" in row["issues"]
+
+
+def test_running_best_of_large_keys(spark):
+    rng = np.random.default_rng(6)
+    score = rng.random(300).tolist()
+    first = (1 << 62) + 1
+    df = spark.createDataFrame([("g" if k % 10 else "h", first + k, s) for k, s in enumerate(score)], "g string, t long, s double")
+    got = {r["t"] - first: (r["best_before"], r["best"]) for r in running_best(df, ["g"], "t", "s", bucket_rows=20).collect() if r["g"] == "g"}
+    best, want = None, {}
+    for k, s in enumerate(score):
+        if k % 10:
+            want[k] = (best, max(best or s, s))
+            best = want[k][1]
+    assert got == want

@@ -34,12 +34,12 @@ def test_search_equals_brute_force(spark, monkeypatch, dims, broadcast):
     assert np.allclose([got[i] for i in range(len(asked))], brute(asked, real), rtol=1e-12, atol=0)
 
 
-def test_last_level_keeps_what_is_left(spark):
+def test_tight_clusters_are_divided_to_the_end(spark):
     rng = np.random.default_rng(3)
-    real = 0.5 + rng.random((50, 2)) * 1e-9
+    real = 0.5 + rng.random((50, 2)) * 2.0 ** -rng.integers(1, 45, (50, 1))
     q = spark.createDataFrame([(0, 0.1, 0.2)], ["pid", "a", "b"])
     r = spark.createDataFrame([tuple(map(float, v)) for v in real], ["a", "b"])
-    got = nearest.nearest_distances(q, r, ["a", "b"], leaf_size=4, max_levels=2).first()["distance"]
+    got = nearest.nearest_distances(q, r, ["a", "b"], leaf_size=4).first()["distance"]
     assert got == pytest.approx(brute(np.array([[0.1, 0.2]]), real)[0])
 
 
@@ -147,7 +147,7 @@ def test_large_dictionaries_are_bucketed_and_salted(spark, monkeypatch):
     df = spark.createDataFrame([(f"http://site/{i % 700:04d}",) for i in range(1500)] + [("http://hot",)] * 800, "v string")
     expected = {v: i for i, v in enumerate(sorted({r["v"] for r in df.collect()}))}
     monkeypatch.setattr(codes, "BROADCAST_ROWS", 0)
-    monkeypatch.setattr(codes, "_bucketed_codes", lambda v, k, f=codes._bucketed_codes: f(v, k, sample=60, block=8))
+    monkeypatch.setattr(codes, "_bucketed_codes", lambda v, k, f=codes._bucketed_codes: f(v, k, bucket_rows=12))
     table = codes.code_dictionary(df, ["v"])
     assert {r["value"]: r["code"] for r in table.collect()} == expected
     coded = codes.attach_codes(df.withColumn("o", F.col("v")), table, ["v"])
@@ -155,6 +155,25 @@ def test_large_dictionaries_are_bucketed_and_salted(spark, monkeypatch):
     assert all(expected[r["o"]] == r["v"] for r in coded.collect())
 
 
+def test_several_large_dictionaries_take_one_pass(spark, monkeypatch):
+    rows = [(k, f"v{k % 7}" if k % 5 else None, f"w{k % 11}", k % 2) for k in range(120)]
+    df = spark.createDataFrame([*rows, rows[3]], "k int, a string, b string, small int")
+    fitted = df.filter("a is null or a <> 'v6'")
+    for missing in (None, "nan"):
+        table = codes.code_dictionary(fitted, ["a", "b"], missing=missing)
+        want = sorted(codes.attach_codes(df, table, ["a", "b"], unknown=-1, missing=missing).collect())
+        monkeypatch.setattr(codes, "BROADCAST_ROWS", 0)
+        coded = codes.attach_codes(df, table, ["a", "b"], unknown=-1, missing=missing)
+        monkeypatch.undo()
+        assert coded.columns == df.columns and sorted(coded.collect()) == want and len(want) == 121
+
+
+def test_long_texts_are_not_broadcast(spark):
+    df = spark.createDataFrame([("x" * 1000,), (None,)], "t string")
+    assert df.agg(codes.row_equivalents(df)).first()[0] == 4
+    assert df.limit(0).agg(codes.row_equivalents(df)).first()[0] == 0
+
+
 def test_forest_keeps_rows_with_missing_numbers(spark):
     from twinscope.operators import utility
 

@@ -2,24 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from twinscope.plans.cuts import BUCKET_ROWS, bucket_of, cut_lists, cut_share, is_cut
 from twinscope.plans.frequencies import melt
 from twinscope.plans.scratch import save_scratch
 
-BROADCAST_ROWS = 200_000  # rows of (key, fact) pairs that are safe to send to every executor
+BROADCAST_ROWS = 200_000  # rows of ROW_BYTES that are safe to send to every executor
+ROW_BYTES = 256
 SALTS = 16
 
 
+def row_equivalents(df: DataFrame) -> Column:
+    """An aggregate: the rows of ``df``, or its texts in units of ROW_BYTES if that is more."""
+    texts = [F.coalesce(F.octet_length(c), F.lit(0)) for c, kind in df.dtypes if kind in ("string", "binary")]
+    size = F.coalesce(F.sum(sum(texts, F.lit(0)).cast("long")), F.lit(0)) / ROW_BYTES
+    return F.greatest(F.count(F.lit(1)), F.ceil(size))
+
+
 def lookup_join(df: DataFrame, facts: DataFrame, on, how: str = "left", n_facts: int | None = None) -> DataFrame:
     """Join ``facts`` (unique on ``on``) to ``df``, safe for a hot key.
 
-    ``facts`` is counted first.  A small one is broadcast.  A large one is joined on (key, salt):
-    the salt is the input partition number, so a key that fills a third of ``df`` is spread over
-    SALTS tasks, and recomputing a lost partition gives the same salt.
+    ``facts`` is measured first (``row_equivalents``).  A small one is broadcast.  A large one is
+    joined on (key, salt): the salt is the input partition number, so a key that fills a third of
+    ``df`` is spread over SALTS tasks, which adaptive execution splits further where they are large;
+    recomputing a lost partition gives the same salt.
     """
     on = [on] if isinstance(on, str) else list(on)
-    n_facts = facts.count() if n_facts is None else n_facts
+    n_facts = facts.agg(row_equivalents(facts)).first()[0] if n_facts is None else n_facts
     if n_facts <= BROADCAST_ROWS:
         return df.join(F.broadcast(facts), on, how)
     salted = df.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(SALTS)))
@@ -39,33 +49,21 @@ def code_dictionary(df: DataFrame, columns, by=(), missing: str | None = None) -
         df = df.select(*by, *[F.coalesce(F.col(c).cast("string"), F.lit(missing)).alias(c) for c in columns])
     keys = [*by, "column"]
     values = save_scratch(melt(df, columns, "string", by).distinct(), "values")
-    if values.count() <= BROADCAST_ROWS:
+    if values.agg(row_equivalents(values)).first()[0] <= BROADCAST_ROWS:
         order = Window.partitionBy(*keys).orderBy("value")
         return values.withColumn("code", (F.row_number().over(order) - 1).cast("long"))
     return save_scratch(_bucketed_codes(values, keys), "codes")
 
 
-def _bucketed_codes(values: DataFrame, keys, sample: int = 1024, block: int = 32) -> DataFrame:
-    """Codes without ranking a whole column in one task.
-
-    Cut points are an order-independent sample of the values (the smallest hashes, at most
-    ``sample`` per column); rows are ranked inside their bucket and shifted by the sizes of the
-    buckets before it.
-    """
-    by_hash = Window.partitionBy(*keys).orderBy(F.xxhash64("value"), "value")
-    cuts = (
-        values.withColumn("_r", F.row_number().over(by_hash))
-        .filter(F.col("_r") <= sample)  # pushed into the map tasks as a group limit
-        .groupBy(*keys)
-        .agg(F.sort_array(F.collect_list("value")).alias("cuts"))
-        .withColumn("coarse", F.filter("cuts", lambda _, i: (i + 1) % block == 0))
-    )
-    step = F.size(F.filter("coarse", lambda c: c < F.col("value")))
+def _bucketed_codes(values: DataFrame, keys, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """Codes without ranking a whole column in one task: rows are ranked inside their bucket and
+    shifted by the sizes of the buckets before it."""
+    shares = values.groupBy(*keys).agg(F.count(F.lit(1)).alias("_k")).select(*keys, cut_share(bucket_rows).alias("_share"))
+    picked = values.join(F.broadcast(shares), keys).filter(is_cut("value", F.col("_share")))
+    cuts = shares.select(*keys).join(cut_lists(picked, keys, "value"), keys, "left")
     located = (
-        values.join(F.broadcast(cuts), keys)  # one row per column, at most `sample` values each
-        .withColumn("_step", step)
-        .withColumn("_part", F.slice("cuts", F.col("_step") * block + 1, F.lit(block)))
-        .withColumn("bucket", F.col("_step") * block + F.size(F.filter("_part", lambda c: c < F.col("value"))))
+        values.join(F.broadcast(cuts), keys)  # one row per column
+        .withColumn("bucket", bucket_of(F.col("value")))
         .select(*keys, "value", "bucket")
     )
     before = Window.partitionBy(*keys).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -84,16 +82,37 @@ def attach_codes(df: DataFrame, dictionary: DataFrame, columns, unknown=0, missi
     """Replace each column by its code; values not in the dictionary become ``unknown``.
 
     ``missing`` must match the one given to ``code_dictionary``; without it NULL is "unknown".
+    Columns with a small dictionary are looked up by broadcast, all others together in one pass.
     """
-    by = list(by)
-    n_codes = dictionary.count()
+    by, columns = list(by), list(columns)
+    measured = dictionary.groupBy("column").agg(row_equivalents(dictionary).alias("n")).collect()  # one row per column
+    sizes = {r["column"]: r["n"] for r in measured}
+    large = [c for c in columns if sizes.get(c, 0) > BROADCAST_ROWS]
+    if len(large) > 1:
+        df = _look_up_together(df, dictionary, large, missing, by, sum(sizes[c] for c in large))
     for c in columns:
         key, code = f"_value_{c}", f"_code_{c}"
-        facts = dictionary.filter(F.col("column") == c).select(
-            *by, F.col("value").alias(key), F.col("code").alias(code)
-        )
-        text = F.col(c).cast("string")
-        df = df.withColumn(key, text if missing is None else F.coalesce(text, F.lit(missing)))
-        df = lookup_join(df, facts, [*by, key], "left", n_codes).drop(key)
+        if len(large) < 2 or c not in large:
+            facts = dictionary.filter(F.col("column") == c).select(
+                *by, F.col("value").alias(key), F.col("code").alias(code)
+            )
+            df = lookup_join(df.withColumn(key, _text(c, missing)), facts, [*by, key], "left", sizes.get(c, 0)).drop(key)
         df = df.withColumn(f"{c}{suffix}", F.coalesce(F.col(code), F.lit(unknown)).cast("double")).drop(code)
     return df
+
+
+def _text(column: str, missing: str | None) -> Column:
+    text = F.col(column).cast("string")
+    return text if missing is None else F.coalesce(text, F.lit(missing))
+
+
+def _look_up_together(df: DataFrame, dictionary: DataFrame, columns, missing, by, n_codes: int) -> DataFrame:
+    """Add ``_code_<c>`` for several columns: the wide rows are written once and shuffled once, by a
+    row number, however many columns there are; only (row, column, value) goes to the dictionary."""
+    rows = save_scratch(df.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), _text(c, missing).alias("value")) for c in columns])
+    long = rows.select("_row", *by, F.inline(cells)).filter(F.col("value").isNotNull())
+    facts = dictionary.filter(F.col("column").isin(columns)).select(*by, "column", "value", "code")
+    met = lookup_join(long, facts, [*by, "column", "value"], "inner", n_codes)
+    codes = met.groupBy("_row").agg(*[F.max(F.when(F.col("column") == c, F.col("code"))).alias(f"_code_{c}") for c in columns])
+    return rows.join(codes, "_row", "left").drop("_row")

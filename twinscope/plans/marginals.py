@@ -47,22 +47,23 @@ def number_marginals(df: DataFrame, columns, bins: int) -> DataFrame:
     )
 
 
-def invert(df: DataFrame, share: Column, table: DataFrame, out: str, as_number: bool, slots: int = 1024,
-           n_table: int | None = None) -> DataFrame:
+def invert(df: DataFrame, share: Column, table: DataFrame, out: str, as_number: bool, n_table: int | None = None) -> DataFrame:
     """Add ``out``: the value whose cumulative interval holds ``share`` (uniform in [0, 1)).
 
     ``table`` is the marginal of one column.  Its rows are copied into the slots of [0, 1) they
     touch, and the lookup is an equi-join on the slot plus an interval test.  Shares are uniform
     over slots, so the join is balanced however skewed the values are; a frequent value simply owns
-    many slots.  The table has (values + slots) rows and is broadcast only when counted small.
+    many slots.  There are as many slots as values, so a slot holds a few of them; the table has
+    (values + slots) rows and is broadcast only when counted small.
     """
+    n_table = table.count() if n_table is None else n_table
+    slots = max(1024, n_table)
     first = F.floor(F.col("cum_low") * slots)
     last = F.least(F.floor(F.col("cum_high") * slots), F.lit(slots - 1))
     facts = table.select(
         F.explode(F.sequence(first, last)).alias("_slot"), F.col("cum_low").alias("_from"), F.col("cum_high").alias("_to"),
         F.col("value").alias("_value"), F.col("low").alias("_low"), F.col("high").alias("_high"),
     )
-    n_table = table.count() if n_table is None else n_table
     if n_table + slots <= BROADCAST_ROWS:
         facts = F.broadcast(facts)
     keyed = df.withColumn("_share", share).withColumn("_slot", F.floor(F.col("_share") * slots))

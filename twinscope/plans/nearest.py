@@ -18,6 +18,7 @@ level is written to scratch, which cuts the lineage.
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -88,8 +89,7 @@ def _meet(queries: DataFrame, facts: DataFrame, key: str, n_facts: int) -> DataF
     return salted.join(facts.withColumn("_salt", F.explode(every)), [key, "_salt"]).drop("_salt")
 
 
-def nearest_distances(queries: DataFrame, real: DataFrame, columns, match=(), leaf_size: int = 128,
-                      max_levels: int = 30) -> DataFrame:
+def nearest_distances(queries: DataFrame, real: DataFrame, columns, match=(), leaf_size: int = 128) -> DataFrame:
     """(pid, distance) for every query: Euclidean distance to the nearest real vector.
 
     ``queries`` has (pid, columns...) with distinct ``pid``; ``real`` has distinct vectors with
@@ -109,9 +109,9 @@ def nearest_distances(queries: DataFrame, real: DataFrame, columns, match=(), le
     sample_distance = squared_distance(asked, [F.col(f"at_{c}") for c in columns], match)
     exact_distance = squared_distance(asked, [F.col(c) for c in columns], match)
     bounds = []
-    for level in range(1, max_levels + 1):
-        # The last level keeps whatever is left as leaves, so the search always ends, exactly.
-        leaf = (F.col("size") <= leaf_size) if level < max_levels else F.lit(True)
+    # Distinct vectors differ in some dimension, whose turn separates the ends of the box, so every
+    # cell is divided until it is a leaf.
+    for level in count(1):
         boxes = save_scratch(
             keyed.groupBy("cell", "child")
             .agg(
@@ -121,7 +121,7 @@ def nearest_distances(queries: DataFrame, real: DataFrame, columns, match=(), le
                 *[F.min(c).alias(f"lo_{c}") for c in columns],
                 *[F.max(c).alias(f"hi_{c}") for c in columns],
             )
-            .withColumn("leaf", leaf),
+            .withColumn("leaf", F.col("size") <= leaf_size),
             "boxes",
         )
         size = boxes.agg(
@@ -133,6 +133,7 @@ def nearest_distances(queries: DataFrame, real: DataFrame, columns, match=(), le
         # Safe for a cell that holds a third of the vectors: see lookup_join.
         leaf_cells = boxes.filter("leaf").select("cell", "child")
         leaves = lookup_join(keyed, leaf_cells, ["cell", "child"], "left_semi", size["n"]).select("child", *columns)
+        leaves = save_scratch(leaves, "leaves")  # both searches of the level read it
 
         def search(hits):
             return _meet(hits, leaves, "child", size["vectors"]).groupBy("pid").agg(F.min(exact_distance).alias("d2"))

@@ -1,64 +1,41 @@
 """Running totals in value order without sorting a whole column in one task.
 
-A cumulative count needs a global order.  Values are cut into buckets at approximate quantiles;
-bucket totals are prefix-summed (few rows), and each bucket is then ordered on its own.  The cut
-points only balance the work: the result is exact for any choice of them, as long as every part of
-the plan sees the same ones.  They are therefore a function of the data alone: a sample of the values
-picked by hash, which a repeated task or a second branch of the plan reproduces.
+A cumulative count needs a global order.  Values are cut into buckets (see ``cuts``), bucket totals
+are prefix-summed (few rows), and each bucket is then ordered on its own.
 """
 
 from __future__ import annotations
 
-import math
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from twinscope.plans.codes import lookup_join
+from twinscope.plans.cuts import BUCKET_ROWS, bucket_of, cut_lists, cut_share, is_cut
 from twinscope.plans.frequencies import KEYS, REAL, SYN
 from twinscope.plans.scratch import save_scratch
 
 
-def _cut_base(counts: DataFrame) -> int:
-    """Square root of the number of buckets: about two buckets per shuffle partition."""
-    parts = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(4, min(64, math.ceil(math.sqrt(2 * parts))))
-
-
-def _bucket(value: Column, base: int) -> Column:
-    """How many cut points lie below ``value``: a two-step search, about 2*base comparisons."""
-    coarse = F.size(F.filter("coarse_cuts", lambda c: c < value))
-    block = F.slice("cuts", coarse * base + 1, F.lit(base))
-    return (coarse * base + F.size(F.filter(block, lambda c: c < value))).cast("int")
-
-
-def running_totals(counts: DataFrame, measures=(REAL, SYN), keys=KEYS, base: int | None = None) -> DataFrame:
+def running_totals(counts: DataFrame, measures=(REAL, SYN), keys=KEYS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Add ``run_<m>`` (inclusive running sum in ``value`` order) and ``tot_<m>`` per key.
 
     ``counts`` must have one row per (keys, value).  Every branch reads all measures, so the
     shuffle that made ``counts`` is executed once and reused.
     """
-    keys, base = list(keys), base or _cut_base(counts)
-    n_cuts = base * base - 1
-    # The measures only break ties that cannot occur; naming them keeps this branch equal to the
-    # others.  The rank filter is pushed into the map tasks as a group limit.
-    by_hash = Window.partitionBy(*keys).orderBy(F.xxhash64("value"), "value", *measures)
-    cuts = (
-        counts.withColumn("_rank", F.row_number().over(by_hash))
-        .filter(F.col("_rank") <= n_cuts)
-        .groupBy(*keys)
-        .agg(F.sort_array(F.collect_list("value")).alias("cuts"))  # at most n_cuts values
-        .withColumn("coarse_cuts", F.filter("cuts", lambda _, i: (i + 1) % base == 0))
-    )
-    totals = counts.groupBy(*keys).agg(*[F.sum(m).alias(f"tot_{m}") for m in measures])
-    per_key = totals.join(F.broadcast(cuts), keys)
-    # One row per key (candidate x column), so the broadcast is bounded by the schema.
+    keys = list(keys)
+    # Counts are never negative; naming them all keeps every branch equal to the others.
+    counted = reduce(lambda a, b: a & b, [F.col(m) >= 0 for m in measures])
+    totals = counts.groupBy(*keys).agg(F.count_if(counted).alias("_k"), *[F.sum(m).alias(f"tot_{m}") for m in measures])
+    # One row per key (candidate x column), so the broadcasts are bounded by the schema.
+    picked = counts.join(F.broadcast(totals.withColumn("_share", cut_share(bucket_rows))), keys).filter(counted & is_cut("value", F.col("_share")))
+    per_key = totals.drop("_k").join(F.broadcast(cut_lists(picked, keys, "value")), keys, "left")
     located = (
         counts.join(F.broadcast(per_key), keys)
-        .withColumn("bucket", _bucket(F.col("value"), base))
-        .drop("cuts", "coarse_cuts")
+        .withColumn("bucket", bucket_of(F.col("value")))
+        .drop("cuts", "coarse_cuts", "step")
     )
     before = Window.partitionBy(*keys).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    # At most base*base rows per key go through this window.
+    # One row per key and bucket goes through this window.
     starts = (
         located.groupBy(*keys, "bucket")
         .agg(*[F.sum(m).alias(m) for m in measures], *[F.first(f"tot_{m}").alias(f"tot_{m}") for m in measures])
@@ -104,27 +81,22 @@ def exact_quantiles(ordered: DataFrame, probs: dict[str, float], measure: str, k
     return picked.select(*keys, *out)
 
 
-def running_best(rows: DataFrame, keys, order: str, value: str) -> DataFrame:
+def running_best(rows: DataFrame, keys, order: str, value: str, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Add ``best_before`` and ``best``: the running maximum of ``value`` in the order of a unique
-    numeric column, by the same bucket scheme (a key may hold any number of rows)."""
-    keys, base = list(keys), _cut_base(rows)
-    n_cuts = base * base - 1
-    points = F.array(*[F.lit((i + 1) / (n_cuts + 1)) for i in range(n_cuts)])
-    located = rows.withColumn("_at", F.col(order).cast("double"))
-    cuts = (
-        located.groupBy(*keys)
-        .agg(F.percentile_approx("_at", points, F.lit(max(1000, 10 * n_cuts))).alias("cuts"))
-        .withColumn("cuts", F.sort_array(F.array_distinct("cuts")))
-        .withColumn("coarse_cuts", F.filter("cuts", lambda _, i: (i + 1) % base == 0))
-    )
-    # One row per key, written and counted: few are broadcast, many are joined with salt, since one
-    # key may own a third of the rows.
-    located = lookup_join(located, save_scratch(cuts, "cuts"), keys, "inner").withColumn("_bucket", _bucket(F.col("_at"), base)).drop("cuts", "coarse_cuts")
+    column of any type, by the same bucket scheme (a key may hold any number of rows)."""
+    keys = list(keys)
+    located = rows.filter(F.col(order).isNotNull()).withColumn("_at", F.col(order))
+    # Only keys with more rows than a bucket holds are cut.
+    large = save_scratch(located.groupBy(*keys).agg(F.count(F.lit(1)).alias("_k")).filter(F.col("_k") > bucket_rows), "large-keys")
+    picked = lookup_join(located, large.select(*keys, cut_share(bucket_rows).alias("_share")), keys, "inner").filter(is_cut("_at", F.col("_share")))
+    cuts = save_scratch(cut_lists(picked, keys, "_at"), "cuts")
+    n_cuts = cuts.agg(F.coalesce(F.sum(F.size("cuts")), F.lit(0))).first()[0]
+    located = lookup_join(located, cuts, keys, "left", n_cuts).withColumn("_bucket", bucket_of(F.col("_at"))).drop("cuts", "coarse_cuts", "step")
     earlier = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
         located.groupBy(*keys, "_bucket").agg(F.max(value).alias(value))
         .select(*keys, "_bucket", F.max(value).over(earlier).alias(value))
-        .withColumn("_at", F.lit(None).cast("double"))
+        .withColumn("_at", F.lit(None).cast(rows.schema[order].dataType))
     )
     line = Window.partitionBy(*keys, "_bucket").orderBy(F.col("_at").asc_nulls_first())
     return (
