@@ -17,20 +17,15 @@ RUN = ["series_id", "cycle"]
 SERIES = ["series_id"]
 STALL_WINDOW, STALL_GAIN = 3, 0.001  # fixed values
 
-# One short action per metric, in our own words.
+# What to look at, by the kind of metric; the direction comes from the benchmark.
+FOCUS = {
+    "quality": "compare the columns that diverge most",
+    "utility": "compare what a model learns on either side",
+    "privacy": "look at the rows nearest to real ones",
+    "bias": "compare class shares column by column",
+}
 ACTION_HINTS = {
-    "quality_score": "review divergence metrics, then retrain longer or switch model",
-    "mean_ks": "check preprocessing of the numeric columns",
-    "mean_jsd": "use more representative training data or more capacity",
-    "max_jsd": "find the worst column and treat it separately",
-    "ml_accuracy": "check feature correlations and the label distribution",
-    "f1_score": "check that minority classes survive",
-    "auc": "check class separability or resample",
-    "privacy_score": "add noise or fit less closely",
-    "mean_nnd": "rows are near copies: strengthen privacy or train shorter",
-    "high_risk_pct": "drop or perturb the closest rows",
-    "max_column_jsd": "rebalance the most biased column",
-    "max_amplification_ratio": "correct class balance after generation",
+    m: f"{'raise' if direction == HIGHER else 'lower'} {m}: {FOCUS[BUCKETS[m]]}" for m, (_, direction) in BENCHMARKS.items() if m in BUCKETS
 }
 
 

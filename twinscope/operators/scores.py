@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from twinscope.constants import COMPOSITE_WEIGHTS
@@ -12,7 +14,7 @@ from twinscope.operators.constraints import require_no_nulls
 from twinscope.operators.diversity import collapsed_columns
 from twinscope.operators.fidelity import fidelity_by_column, fidelity_summary
 from twinscope.operators.privacy import privacy_report
-from twinscope.operators.utility import cross_test
+from twinscope.operators.utility import cross_test, utility
 from twinscope.plans.scratch import save_scratch
 
 
@@ -87,11 +89,32 @@ def validate(pair: TablePair, target: str, **forest) -> DataFrame:
     return quality_report(pair, utility)
 
 
-def evaluate_candidates(pair: TablePair, accuracy: DataFrame) -> DataFrame:
+def candidate_utility(pair: TablePair, target: str, **forest) -> DataFrame:
+    """(candidate, accuracy, f1_score, auc): a forest trained on each candidate and tested on the
+    real rows.  A candidate without rows gets none; each forest is a Spark job of its own."""
+    found = []
+    for name in pair.candidates:
+        rows = pair.rows.filter(F.col(CANDIDATE) == name).drop(CANDIDATE)
+        if not rows.isEmpty():
+            found.append(utility(rows, pair.real, target, **forest).select(F.lit(name).alias(CANDIDATE), "*"))
+    if not found:
+        raise ValueError("no candidate has rows")
+    return save_scratch(reduce(DataFrame.unionByName, found), "utility")
+
+
+def evaluate_candidates(pair: TablePair, accuracy: DataFrame | None = None, target: str | None = None, **forest) -> DataFrame:
     """All candidates against one real table, tagged by ``candidate`` in the same plans: quality,
-    privacy, bias level and composite score per candidate."""
+    privacy, bias level and composite score per candidate.
+
+    ``accuracy`` is a table of (candidate, accuracy); without it forests are trained to predict
+    ``target`` and their scores are reported too.
+    """
+    if (accuracy is None) == (target is None):
+        raise ValueError("give either accuracy or target")
     if len(pair.candidates) < 2:
         raise ValueError("evaluate_candidates compares at least two candidates")
+    if accuracy is None:
+        accuracy = candidate_utility(pair, target, **forest)
     per_column = save_scratch(fidelity_by_column(pair), "fidelity")  # serves quality and bias
     quality = quality_report(pair, accuracy, per_column)
     privacy = privacy_report(pair).select(CANDIDATE, "privacy_score")

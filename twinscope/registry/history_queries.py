@@ -21,15 +21,23 @@ from twinscope.registry.profile_queries import _profile_sql
 from twinscope.registry.sqltext import ORDERS, bin_sql, jsd_of, literal_rows
 from twinscope.sources import experiments
 
-FIRST_DAY, LAST_DAY, GROUPS = 16, 30, 3
-RUNS = [f"{g}-{d:02d}" for g in range(GROUPS) for d in range(FIRST_DAY, LAST_DAY + 1)]
+FIRST_DAY, GROUPS = 16, 3
+_DAY = "CAST(date_diff('day', (SELECT min(ts) FROM events), ts) + 1 AS INTEGER)"
+
+
+def numbered_days(spark, sf):
+    """Events with ``day``, counted from the first one in the table."""
+    events = table(spark, sf, "events")
+    first = events.agg(F.min(F.to_date("ts"))).first()[0]
+    return events.withColumn("day", F.datediff(F.to_date("ts"), F.lit(first).cast("date")) + 1)
 
 
 def runs_pair(spark, sf) -> TablePair:
     """Days 1-15 as the real table, each (user group, later day) as one candidate."""
-    day = F.dayofmonth("ts")
-    name = F.concat_ws("-", (F.col("user_id") % GROUPS).cast("string"), F.lpad(day.cast("string"), 2, "0"))
-    return TablePair.tagged(table(spark, sf, "events"), F.when(day >= FIRST_DAY, name), RUNS, ["event_type", "value"])
+    events = numbered_days(spark, sf)
+    name = F.when(F.col("day") >= FIRST_DAY, F.concat_ws("-", (F.col("user_id") % GROUPS).cast("string"), F.col("day").cast("string")))
+    runs = [r[0] for r in events.select(name).where(name.isNotNull()).distinct().sort(name).collect()]  # one per group and day
+    return TablePair.tagged(events, name, runs, ["event_type", "value"])
 
 
 def history_metrics(spark, sf):
@@ -67,7 +75,7 @@ def history_metrics(spark, sf):
 
 
 _HAVE = [m for m in BUCKETS if m not in ("auc", "mean_nnd")]
-_WIDE = f"""ev AS (SELECT event_type, value, CASE WHEN day(ts) >= {FIRST_DAY} THEN concat(user_id % {GROUPS}, '-', lpad(CAST(day(ts) AS VARCHAR), 2, '0')) END AS cand FROM events),
+_WIDE = f"""ev AS (SELECT event_type, value, CASE WHEN {_DAY} >= {FIRST_DAY} THEN concat(user_id % {GROUPS}, '-', {_DAY}) END AS cand FROM events),
   names AS (SELECT DISTINCT cand FROM ev WHERE cand IS NOT NULL),
   ct AS (SELECT cand, v, sum(r) AS nr, sum(s) AS ns FROM (SELECT n.cand, event_type AS v, 1 AS r, 0 AS s FROM ev e, names n WHERE e.cand IS NULL
       UNION ALL SELECT cand, event_type, 0, 1 FROM ev WHERE cand IS NOT NULL) q GROUP BY cand, v),
@@ -205,7 +213,7 @@ def _(spark, sf):
 
 
 @query("focus_metric", _with(_BS, _TR) + f"""SELECT series_id, cycle, metric, {r6('progress')} AS progress, trend, CASE trend WHEN 'degrading' THEN 'revert recent changes' WHEN 'stable' THEN 'try another strategy' END AS advice
-    FROM (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY progress, metric) AS rk FROM bs WHERE NOT met AND value IS NOT NULL AND cycle = {LAST_DAY}) q LEFT JOIN tr USING (series_id, metric) WHERE rk = 1""")
+    FROM (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY progress, metric) AS rk FROM bs WHERE NOT met AND value IS NOT NULL AND cycle = (SELECT max(b2.cycle) FROM bs b2 WHERE b2.series_id = bs.series_id)) q LEFT JOIN tr USING (series_id, metric) WHERE rk = 1""")
 def _(spark, sf):
     have = {m: BENCHMARKS[m] for m in _HAVE}  # only the metrics this history records
     return rounded(history.focus_metric(history_metrics(spark, sf), have))
@@ -346,13 +354,13 @@ def _(spark, sf):
 
 _VALUES = ", ".join(f"max(CASE WHEN metric = '{m}' THEN value END) AS {m}, max(CASE WHEN metric = '{m}' THEN level END) AS {m}_level" for m in BUCKETS)
 _WL = f"wl AS (SELECT series_id, cycle, {_VALUES} FROM lv GROUP BY series_id, cycle)"
-_CX = f"""cx AS (SELECT CAST(user_id % {GROUPS} AS VARCHAR) AS series_id, CAST(day(ts) AS INTEGER) AS cycle, count(*) AS n_rows, count(*) FILTER (WHERE value > 200) AS n_rare_columns
-    FROM events WHERE day(ts) >= {FIRST_DAY} GROUP BY 1, 2)"""
+_CX = f"""cx AS (SELECT CAST(user_id % {GROUPS} AS VARCHAR) AS series_id, {_DAY} AS cycle, count(*) AS n_rows, count(*) FILTER (WHERE value > 200) AS n_rare_columns
+    FROM events WHERE {_DAY} >= {FIRST_DAY} GROUP BY 1, 2)"""
 
 
 def _context(spark, sf):
-    e = table(spark, sf, "events").filter(F.dayofmonth("ts") >= FIRST_DAY)
-    keys = [(F.col("user_id") % GROUPS).cast("string").alias("series_id"), F.dayofmonth("ts").alias("cycle")]
+    e = numbered_days(spark, sf).filter(F.col("day") >= FIRST_DAY)
+    keys = [(F.col("user_id") % GROUPS).cast("string").alias("series_id"), F.col("day").alias("cycle")]
     rows = e.groupBy(*keys).agg(F.count("*").alias("n_rows"), F.count_if(F.col("value") > 200).alias("n_rare_columns"))
     return rows.withColumn("epochs", F.col("cycle") * 7)
 

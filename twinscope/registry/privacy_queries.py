@@ -344,6 +344,11 @@ def _candidate_scores(spark, sf):
     return scores.evaluate_candidates(pair, accuracy)
 
 
+@query("candidate_utility")
+def _(spark, sf):
+    return rounded(scores.evaluate_candidates(_candidates(spark, sf), target="c_mktsegment"))
+
+
 def _candidate_sql() -> str:
     src = """(SELECT c_custkey, CASE WHEN c_custkey % 10 = 9 THEN c_acctbal * 1.5 + 500 ELSE c_acctbal END AS c_acctbal,
         CASE WHEN c_custkey % 10 = 9 AND c_custkey % 3 > 0 THEN 'BUILDING' ELSE c_mktsegment END AS c_mktsegment FROM customer) z"""
@@ -445,6 +450,16 @@ def _(spark, sf):
     return _sample(spark, sf, method="copula", condition=("o_orderstatus", "F"))
 
 
+@query("sample_post_check", """SELECT * FROM (VALUES ('null_values', 0::BIGINT), ('out_of_range_share', 0::BIGINT)) c("check", n)
+    WHERE (SELECT count(*) FROM orders WHERE o_orderstatus IS NULL OR o_totalprice IS NULL) = 0""")
+def _(spark, sf):
+    """The shares of prices that a sample of the orders lies at: within the fitted range, none missing."""
+    edge = table(spark, sf, "orders").agg(F.min("o_totalprice").alias("lo"), F.max("o_totalprice").alias("hi"))
+    drawn = _sample(spark, sf).join(F.broadcast(edge))  # one row
+    share = F.try_divide(F.col("o_totalprice") - F.col("lo"), F.col("hi") - F.col("lo"))
+    return constraints.schema_check(drawn.withColumn("share", share), ["o_orderstatus", "share"], ["share"])
+
+
 @query("sample_fidelity")
 def _(spark, sf):
     real = table(spark, sf, "orders").select(*_SAMPLE_COLUMNS)
