@@ -1,6 +1,7 @@
 """Each operator against a brute-force version on a small table with nulls, empty and long texts, ties and repeats."""
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -10,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from twinscope.llm import decontamination, jaccard, language, mixing, quality, secrets, suffixes, tokens, topk, toxicity
+from twinscope.llm import decontamination, jaccard, language, mixing, quality, queries, secrets, suffixes, tokens, topk, toxicity
 from twinscope.llm.queries import tokenizer_path
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, size int, score double, key string, places string"
@@ -167,6 +168,15 @@ def test_topk(spark):
     assert topk.search(empty, empty).count() == 0
 
 
+def test_topk_equals_its_sql(spark):
+    duckdb, sf = pytest.importorskip("duckdb"), "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("no test tables")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{sf}/embeddings.parquet'")
+    assert sorted(map(tuple, queries.op4_topk(spark, sf).collect())) == sorted(con.execute(queries.SQL["op4_topk"]).fetchall())
+
+
 def test_topk_large_values():
     q, b = np.array([[2 ** 40, -3]]), np.array([[2 ** 20, 1], [2 ** 20, 0], [5, 5]])
     assert [x.tolist() for x in topk.bounded_search(q, np.array([9]), b, np.arange(3), 2)] == [[0, 0], [1, 0], [2 ** 60, 2 ** 60 - 3]]
