@@ -260,6 +260,35 @@ def test_block_bounds_lose_no_hit():
     assert {(k, k) for k in range(60)} <= found
 
 
+def test_one_word_edits_against_brute_force():
+    rng = random.Random(12)
+    pool = [f"w{k}" for k in range(400)]
+    items = [" ".join(rng.choice(pool) for _ in range(n)) for n in (6, 9, 12, 19, 25, 38, 38, 60)]
+    grams = lambda t: {tuple(t[k: k + 5]) for k in range(len(t) - 4)}
+    edited = []
+    for item in items:
+        w = item.split()
+        for k in range(len(w)):
+            edited += [w[:k] + ["changed"] + w[k + 1:], w[:k] + w[k + 1:], w[:k] + ["added"] + w[k:]]
+    texts = [[f"x{rng.randrange(99)}" for _ in range(rng.randrange(90))] + e + [f"y{rng.randrange(99)}" for _ in range(30)] for e in edited]
+    want = {(r, i) for r, t in enumerate(texts) for i, x in enumerate(items) if len(grams(x.split()) & grams(t)) >= 0.8 * len(grams(x.split()))}
+    column = pa.array([" ".join(t) for t in texts])
+    found = decontamination.search(decontamination.build(list(range(len(items))), items), column)
+    assert {(r, i) for r, i, *_ in found} == want and len(want) > 400
+    assert all(q == a >= 0.8 for *_, q, a in found)
+    # With an answer column each part is held to 0.8; an item without an answer of its own is one part.
+    asked = [" ".join(x.split()[: len(x.split()) // 2]) for x in items]
+    answers = [" ".join(x.split()[len(x.split()) // 2:]) for x in items]
+    two = decontamination.search(decontamination.build(list(range(len(items))), asked, answers), column)
+    part = lambda x: grams(x) or {tuple(x)}
+    runs = lambda t, x: grams(t) if len(x) > 4 else {tuple(t[k: k + len(x)]) for k in range(len(t) - len(x) + 1)}
+    holds = lambda t, x: len(part(x) & runs(t, x)) >= 0.8 * len(part(x))
+    assert {(r, i) for r, i, *_ in two} == {
+        (r, i) for r, t in enumerate(texts) for i in range(len(items)) if holds(t, asked[i].split()) and holds(t, answers[i].split())}
+    alone = decontamination.search(decontamination.build(list(range(len(items))), items, [None] * len(items)), column)
+    assert {(r, i) for r, i, *_ in alone} == want
+
+
 def _labelled(spark, good, bad, n=240):
     rng = random.Random(2)
     rows, labels = [], []

@@ -9,8 +9,9 @@ passage covers, and one threshold serves all items. Retrieval is block-max WAND,
              terms reach the threshold
   scoring    items of the blocks left are scored in full; all at or above the threshold are hits
 
-Every hit is verified: the five-word shingles of the item's question and of its answer must each be
-found in the passage to 0.8 or more. An item without parts of its own is cut in half by words.
+Every hit is verified: 0.8 or more of the item's five-word shingles must be found in the passage.
+Where question and answer are columns of their own, that holds for each of the two; an item without
+an answer is one part, and both overlaps are its share.
 
 Passages are pairs of neighbouring segments as long as the longest item, so any place where an
 item may lie is within one passage. Items are indexed in shards of bounded size; a shard's index is
@@ -35,7 +36,7 @@ from twinscope.llm.arrays import ALNUM, U, expand, pieces, prefix, shingles, spa
 
 K1, B = 1.2, 0.75
 THRESHOLD = 0.5      # share of an item's weight that a passage must cover to be verified
-OVERLAP = 0.8        # share of the shingles of each half that must be found
+OVERLAP = 0.8        # share of the shingles of each part that must be found
 BLOCK = 16           # items in a block
 SHARD_BYTES = 4 << 20
 
@@ -53,7 +54,7 @@ class Index:
     best: np.ndarray         # the largest impact of each pair
     span: int                # words of the longest item
     ids: list
-    halves: list             # per item: shingles of question and of answer
+    parts: list              # per item: shingles of question and of answer, or of the whole
 
 
 def _text_words(column: pa.Array):
@@ -69,12 +70,12 @@ def build(ids: list, texts: list[str | None], answers: list[str | None] | None =
     n = np.diff(begin)
     kept = np.flatnonzero(n > 0)
     ids = [ids[k] for k in kept]
-    cut = np.diff(_text_words(pa.array(texts, pa.string()))[1]) if answers else (n + 1) // 2
+    cut = np.diff(_text_words(pa.array(texts, pa.string()))[1]) if answers else n
     rows = [hashed[begin[k]: begin[k + 1]] for k in kept]
-    halves = []
+    parts = []
     for k, row in zip(kept, rows):
-        parts = [p for p in (row[: cut[k]], row[cut[k]:]) if len(p)]
-        halves.append([np.unique(shingles(p, np.array([0, len(p)]))[0]) for p in parts])
+        held = [p for p in (row[: cut[k]], row[cut[k]:]) if len(p)]
+        parts.append([np.unique(shingles(p, np.array([0, len(p)]))[0]) for p in held])
     owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows]) if rows else np.zeros(0, np.int64)
     vocabulary, number = np.unique(np.concatenate(rows) if rows else np.zeros(0, U), return_inverse=True)
     key, times = np.unique(number * max(len(rows), 1) + owner, return_counts=True)   # by term, then item
@@ -96,7 +97,7 @@ def build(ids: list, texts: list[str | None], answers: list[str | None] | None =
     key = term * blocks + item // BLOCK
     new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else key
     best = np.maximum.reduceat(impact, new) * (1 + 1e-6) if len(key) else impact
-    return Index(vocabulary, np.searchsorted(term, np.arange(len(vocabulary) + 1)), item, impact, opens, blocks, key[new], np.append(new, len(key)), best, int(n.max(initial=1)), ids, halves)
+    return Index(vocabulary, np.searchsorted(term, np.arange(len(vocabulary) + 1)), item, impact, opens, blocks, key[new], np.append(new, len(key)), best, int(n.max(initial=1)), ids, parts)
 
 
 def _pairs(index: Index, term: np.ndarray, block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -169,20 +170,20 @@ def search(index: Index, column: pa.Array) -> list[tuple[int, int, float, float,
             if of != back[k]:
                 there, of = np.unique(shingles(hashed[lo:hi], np.array([0, hi - lo]))[0]), back[k]
             i = block[k] * BLOCK + g % BLOCK
-            overlap = [_share(half, there, hashed[lo:hi]) for half in index.halves[i]]
+            overlap = [_share(part, there, hashed[lo:hi]) for part in index.parts[i]]
             if min(overlap) >= OVERLAP:
                 found.append((int(seg_row[lead[back[k]]]), int(i), float(score[g]), overlap[0], overlap[-1]))
     return found
 
 
-def _share(half: np.ndarray, there: np.ndarray, hashed: np.ndarray) -> float:
-    """The share of a half's shingles in a passage; a half of under five words has one of its own length."""
-    share = float(np.isin(half, there).mean())
-    if share < OVERLAP and len(half) == 1:
+def _share(part: np.ndarray, there: np.ndarray, hashed: np.ndarray) -> float:
+    """The share of a part's shingles in a passage; a part of under five words has one of its own length."""
+    share = float(np.isin(part, there).mean())
+    if share < OVERLAP and len(part) == 1:
         for size in range(1, min(5, len(hashed) + 1)):
             runs = np.lib.stride_tricks.sliding_window_view(hashed, size)
             begin = np.arange(0, size * len(runs) + 1, size)
-            if half[0] in shingles(np.ascontiguousarray(runs).ravel(), begin)[0]:
+            if part[0] in shingles(np.ascontiguousarray(runs).ravel(), begin)[0]:
                 return 1.0
     return share
 
