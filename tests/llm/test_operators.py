@@ -289,6 +289,31 @@ def test_one_word_edits_against_brute_force():
     assert {(r, i) for r, i, *_ in alone} == want
 
 
+def test_decisions_act_on_their_own_rows(spark, docs):
+    rng = random.Random(21)
+    texts = [" ".join(_words(rng, 120)) for _ in range(6)]
+    item = " ".join(_words(rng, 30))
+    schema = "doc_id long, text string, source string"
+    # A hit without an id, and a hit and a clean text under one id.
+    df = spark.createDataFrame([(None, texts[0] + " " + item, "a"), (None, texts[1], "a"), (7, texts[2] + " " + item, "a"), (7, texts[3], "a"), (8, None, "a")], schema)
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert sorted(map(str, decontamination.clean(df, bench).collect())) == sorted(map(str, df.where("text is null or not contains(text, '%s')" % item).collect()))
+    # The copy under id 5 goes, the other text of 5 stays; of two near texts of one id one stays.
+    near = texts[2].split()
+    near[0] = "changed"
+    df = spark.createDataFrame([(1, texts[0], "a"), (5, texts[0], "a"), (5, texts[1], "a"), (6, texts[2], "a"), (6, " ".join(near), "a"), (None, texts[0], "a")], schema)
+    kept = [(r.doc_id, r.text) for r in jaccard.one_of_each(df).collect()]
+    assert {(1, texts[0]), (5, texts[1]), (None, texts[0])} <= set(kept) and len(kept) == 4 and sum(d == 6 for d, _ in kept) == 1
+    # Each row of an id as often as the schedule took it.
+    rows = [(None if k % 2 else 3, " ".join(_words(rng, 700)), "abc"[k % 3]) for k in range(24)]
+    df = spark.createDataFrame(rows, schema).coalesce(1)
+    want = Counter()
+    for r in mixing.mix(df).collect():
+        want[rows[r.row][1]] += int(r.taken / r.size + 0.5)
+    got = Counter(r.text for r in mixing.mixed(df).collect())
+    assert got == +want and len(set(want.values())) > 1
+
+
 def _labelled(spark, good, bad, n=240):
     rng = random.Random(2)
     rows, labels = [], []

@@ -198,26 +198,41 @@ def _hits(shared, batches):
             pa.array(q, pa.float64()), pa.array(a, pa.float64())], names=["doc_id", "item_id", "bm25_share", "question_overlap", "answer_overlap"])
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, item_id, bm25_share, question_overlap, answer_overlap): the best passage of each pair."""
-    spark = docs.sparkSession
+def _unhit(shared, batches):
+    """The rows of the batches in which no item is found."""
+    index = shared.value
+    for piece in pieces(batches):
+        kept = np.ones(piece.num_rows, bool)
+        kept[[r for r, *_ in search(index, piece.column("text"))]] = False
+        yield piece.filter(pa.array(kept))
+
+
+def _indexes(spark, benchmark: DataFrame):
+    """The broadcast index of each shard of the items, one after another."""
     answer = [c for c in ("answer",) if c in benchmark.columns]
     items = benchmark.where(F.col("item_id").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text", *answer)
     size = items.agg(F.sum(sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in ("text", *answer)), F.lit(0)))).first()[0] or 0
     shards = -(-size // SHARD_BYTES) or 1
-    out = None
     for k in range(shards):
         part = items.where(F.pmod(F.xxhash64("item_id"), F.lit(shards)) == k).dropDuplicates().orderBy("item_id", "text").collect()   # SHARD_BYTES, about
-        index = build([r["item_id"] for r in part], [r["text"] for r in part], [r["answer"] for r in part] if answer else None)
+        yield spark.sparkContext.broadcast(build([r["item_id"] for r in part], [r["text"] for r in part], [r["answer"] for r in part] if answer else None))
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """(doc_id, item_id, bm25_share, question_overlap, answer_overlap): the best passage of each pair."""
+    out = None
+    for index in _indexes(docs.sparkSession, benchmark):
         kind = docs.schema["doc_id"].dataType.simpleString()
         hits = docs.select("doc_id", "text").mapInArrow(
-            partial(_hits, spark.sparkContext.broadcast(index)), f"doc_id {kind}, item_id long, bm25_share double, question_overlap double, answer_overlap double")
+            partial(_hits, index), f"doc_id {kind}, item_id long, bm25_share double, question_overlap double, answer_overlap double")
         out = hits if out is None else out.unionByName(hits)
     best = F.max(F.struct("bm25_share", "question_overlap", "answer_overlap"))
     return out.groupBy("doc_id", "item_id").agg(best.alias("b")).select("doc_id", "item_id", "b.*")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents in which no item was found, all columns."""
-    leaked = leaks(docs, benchmark).where(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(leaked, F.col("doc_id") == F.col("_id"), "left_anti")
+    """The documents in which no item was found, all columns; each row is judged by its own text."""
+    out = docs
+    for index in _indexes(docs.sparkSession, benchmark):
+        out = out.mapInArrow(partial(_unhit, index), docs.schema)
+    return out

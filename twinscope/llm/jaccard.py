@@ -282,10 +282,13 @@ def join(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents with the smallest id of their class, repeated rows once; all columns.
+    """One document of each class, the smallest id, and of its texts the one with the least digest; all columns.
 
-    Rows without an id, and texts without words, stay.
+    Rows count by id and text, so another text under the id of one that goes isn't touched; repeated
+    rows stay once. Rows without an id, and texts without words, stay.
     """
-    gone = join(docs).where(F.col("doc_id") != F.col("class_id")).select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.join(gone, F.col("doc_id") == F.col("_id"), "left_anti")
+    row = F.when(F.col("doc_id").isNotNull(), F.struct(F.col("doc_id").alias("id"), F.xxhash64("text").alias("digest")))
+    found = join(docs.select(row.alias("doc_id"), "text"))
+    gone = found.where(F.col("doc_id") != F.col("class_id")).select(F.col("doc_id").alias("_row")).distinct()
+    kept = docs.join(gone, row == F.col("_row"), "left_anti")
     return kept.dropDuplicates(["doc_id", "text"])

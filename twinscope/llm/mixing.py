@@ -31,10 +31,11 @@ PHI = 0.6180339887498949
 CELLS = 4096         # equal parts of the line that slots and intervals meet in
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    """(row, doc_id, source, size), written once: the texts are read this one time."""
+def sized(docs: DataFrame, row: Column | None = None) -> DataFrame:
+    """(row, doc_id, source, size), written once: the texts are read this one time. ``row`` is a unique number."""
+    row = F.monotonically_increasing_id() if row is None else row
     size = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
-    return saved(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.col("source").cast("string").alias("source"), size.alias("size")), "mix-sizes")
+    return saved(docs.select(row.alias("row"), "doc_id", F.col("source").cast("string").alias("source"), size.alias("size")), "mix-sizes")
 
 
 def targets(sizes: DataFrame) -> DataFrame:
@@ -116,9 +117,9 @@ def schedule(spark, shares: DataFrame, n: int, block: int) -> DataFrame:
     return ranked.unionByName(closing)
 
 
-def mix(docs: DataFrame, seed: int = 1, block: int = BLOCK) -> DataFrame:
+def mix(docs: DataFrame, seed: int = 1, block: int = BLOCK, row: Column | None = None) -> DataFrame:
     """(row, doc_id, source, size, source_size, target, taken), one row per document."""
-    sizes = sized(docs)
+    sizes = sized(docs, row)
     shares = saved(targets(sizes), "mix-targets")
     n = shares.agg(F.coalesce(F.floor(F.sum("target") / block), F.lit(0)).cast("long")).first()[0]
     slots = schedule(docs.sparkSession, shares, n, block)
@@ -132,9 +133,11 @@ def mixed(docs: DataFrame, seed: int = 1) -> DataFrame:
     """The documents as the mix has them: once or twice, or not at all.
 
     A document cut by the end of its source's target stays if half of it or more is taken. One
-    without words is in no block, and goes.
+    without words is in no block, and goes. Rows are numbered and written with their numbers, so
+    each comes as often as the schedule took that row, whatever id it has.
     """
-    share = mix(docs, seed).groupBy("doc_id").agg(F.sum("taken").alias("_taken"), F.sum("size").alias("_size"))
-    copies = share.where(F.col("_size") > 0).select(F.col("doc_id").alias("_id"), F.floor(F.col("_taken") / F.col("_size") + 0.5).cast("int").alias("_copies")).where(F.col("_copies") > 0)
-    out = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("_id")))
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[docs[c] for c in docs.columns])
+    rows = saved(docs.withColumn("_row", F.monotonically_increasing_id()), "mix-rows")
+    share = mix(rows, seed, row=F.col("_row"))
+    copies = share.where(F.col("size") > 0).select(F.col("row").alias("_id"), F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias("_copies")).where(F.col("_copies") > 0)
+    out = rows.join(copies, F.col("_row") == F.col("_id"))
+    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[rows[c] for c in docs.columns])
