@@ -1,8 +1,8 @@
-"""Suffix-array dedup: distributed prefix doubling over anchored suffixes.
+"""Dedup of repeated 200-byte strings by content-defined fingerprints, in place of prefix doubling.
 
-Every byte that lies in a 200-byte string which also starts elsewhere goes. Suffixes are told apart
-as in prefix doubling, by sorting (rank, rank) pairs of ever longer strings and ranking anew until a
-suffix is unique or known past the threshold; but not from every byte:
+Every byte that lies in a 200-byte string which also starts elsewhere goes. No (rank, rank) pairs are
+sorted and no offset doubles: strings of a few fixed lengths are hashed at chosen places and their
+hashes are counted, until a window is known to be unique or repeated:
 
   anchors  Of the 65-byte strings in each 200-byte window the one with the least hash is the
            window's anchor. That depends on the window's bytes alone, so equal windows have their
@@ -16,8 +16,8 @@ suffix is unique or known past the threshold; but not from every byte:
            reaches (216) occur again all are.
   200      The windows of blocks between the two are ranked one by one.
 
-Ranks are 64-bit hashes of the strings, so that equal rank stands for equal string. Sorting and
-counting is by Spark; equal anchors of one batch of documents are sent as one row, so a passage
+Ranks are 64-bit hashes of the strings, so that equal rank stands for equal string. Counting is by
+Spark; equal anchors of one batch of documents are sent as one row, so a passage
 that a third of all documents share is summed up before it's shuffled.
 
 Cases: a null text is empty; texts under 200 bytes lose nothing; repeated rows are repeats of one
