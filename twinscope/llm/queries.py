@@ -1,4 +1,4 @@
-"""The ten operators over their whole tables, with production parameters, and their check SQL."""
+"""The operators over their whole tables, with production parameters, and their check SQL."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from twinscope.llm import decontamination, jaccard, language, mixing, quality, secrets, suffixes, tokens, topk, toxicity
+from twinscope.llm import decontamination, jaccard, language, lexical, mixing, multiindex, quality, secrets, suffixes, tokens, topk, toxicity, whitening
 from twinscope.llm.labelled import held_out
 
 
@@ -68,6 +68,20 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(_table(spark, sf_dir, "documents"))
 
 
+def op11_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").cast("long"))
+
+
+def op13_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return multiindex.Index(vectors).search(vectors.where(F.col("vec_id") % 50 == 0))
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_quality, op2_suffix_dedup, op3_tokens, op4_topk, op5_mixing, op6_toxicity, op7_decontamination, op8_secrets, op9_language, op10_ngram_join)}
-SQL = {"op4_topk": topk.SQL}
+    op1_quality, op2_suffix_dedup, op3_tokens, op4_topk, op5_mixing, op6_toxicity, op7_decontamination, op8_secrets, op9_language, op10_ngram_join,
+    op11_lexical, op12_whitening, op13_neighbours)}
+SQL = {"op4_topk": topk.SQL, "op11_lexical": lexical.SQL}
