@@ -129,7 +129,7 @@ def test_encoder_matches_the_tokenizer():
     from tokenizers import Tokenizer
 
     odd = ["İstanbul ΣΑΣ x's don't <|endoftext|> a\tb\r\nc 12ab. ½x² é  z ... ?!", "ﬁ ǅ ß ſ ª º µ", " two  blanks ", "", None, "é x"]
-    ids, to = tokens.Encoder(tokenizer_path()).encode(odd)
+    ids, to = tokens.Encoder(tokenizer_path()).encode(pa.array(odd))
     tokenizer = Tokenizer.from_file(tokenizer_path())
     for text, a, b in zip(odd, to[:-1], to[1:]):
         assert ids[a:b].tolist() == tokenizer.encode(text or "", add_special_tokens=False).ids + [2]

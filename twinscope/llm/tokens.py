@@ -17,36 +17,50 @@ order of their token ids; an empty table makes no blocks.
 
 from __future__ import annotations
 
+import json
 import zlib
 from functools import partial
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
-from twinscope.llm.arrays import expand, pieces
+from twinscope.llm.arrays import U, expand, pieces, prefix, span_hash, utf8, words
 from twinscope.llm.store import saved
 
 END = 2
 LIMIT = 16          # bits of the longest code, more only for an alphabet above 32768 ids
 EVERY = 512
 BLOCK = 1 << 16     # ids in a block, about
-PIECES, PARTS = 400_000, 700_000   # pieces between blanks, and words and marks in them, that a worker remembers
+STRINGS = 1_500_000   # that a worker remembers
 PART_BYTES = 24 << 20
 
+_PIECE = np.ones(256, bool)
+_PIECE[[0x20, 0x0A]] = False
+_MARK = np.zeros(256, bool)
+_MARK[list(b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~")] = True
+_ASCII_LETTER = np.zeros(256, bool)
+_LOWER = np.arange(256, dtype=np.uint8)
+for _a, _b in (("A", "Z"), ("a", "z")):
+    _ASCII_LETTER[ord(_a): ord(_b) + 1] = True
+_LOWER[ord("A"): ord("Z") + 1] += 32
 
-class Encoder:
-    """Token ids of texts, by way of remembered words.
 
-    Blanks and line ends end a pre-token whatever stands around them, so the ids of a text are
-    those of its pieces in turn. A piece that is a word of plain Latin letters with marks after it
-    is looked up by its lower-case letters and its marks, as the tokenizer splits them; every other
-    piece goes to the tokenizer as it is.
+class Encoder:
+    """Token ids of texts, by way of remembered strings.
+
+    Blanks and line ends end a pre-token whatever stands around them, so the ids of a text are those
+    of its pieces in turn. A piece of plain Latin letters with marks after it is two strings, its
+    letters in lower case and its marks, as the tokenizer splits them; every other piece is one, as it
+    is. Strings are found by their hashes among the remembered ones and confirmed by their bytes; new
+    ones go to the tokenizer. That holds for the normaliser and splitter below; with any other,
+    whole texts go to the tokenizer.
     """
 
-    MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+    # The only definition for which texts may be cut at blanks and marks.
+    NORMALIZERS = ["NFC", "Replace", "Lowercase"]
+    SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -55,82 +69,125 @@ class Encoder:
         named = self.tokenizer.get_vocab(with_added_tokens=True)
         self.closes = np.zeros(max(named.values()) + 1, bool)
         self.closes[[i for t, i in named.items() if t.endswith("</w>")]] = True
+        made = json.loads(self.tokenizer.to_str())
+        normal, split = (made.get("normalizer") or {}).get("normalizers", []), (made.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
+        replaced = {(n["pattern"].get("Regex"), n["content"]) for n in normal if n["type"] == "Replace"}
+        pattern = split[0].get("pattern", {}).get("Regex")
+        suffix = made["model"].get("end_of_word_suffix") == "</w>"
+        self.splits = [n["type"] for n in normal] == self.NORMALIZERS and replaced == {(r"\s+", " ")} and pattern == self.SPLIT and suffix
         self.clear()
 
     def clear(self) -> None:
-        self.letters: dict[str, int] = {"": 0}   # lower-case letters, marks, or a whole piece -> number
-        self.letter_ids = _Rows()
-        self.letter_ids.add(np.zeros(0, np.uint32), np.zeros(1, np.int64))
-        self.clear_pieces()
-
-    def clear_pieces(self) -> None:
-        self.of: dict[str, int] = {}             # piece -> number
-        self.piece_ids = _Rows()
-
-    def _learn(self, new: list[str]) -> None:
-        first, second, plain, odd = [], [], {}, {}
-        known, marks = self.letters, self.MARKS
-        for piece in new:
-            core = piece.rstrip(marks)
-            if core.isalpha() and (core.isascii() or max(core) < "Ā"):
-                rest, core = piece[len(core):], core.lower()
-                for part in (core, rest):
-                    if part not in known:
-                        plain[part] = None
-            else:
-                core, rest = piece, ""
-                if core not in known:
-                    odd[core] = None
-            first.append(core)
-            second.append(rest)
-        plain = [p for p in plain if p not in odd]
-        for at in range(0, len(plain), 2000):
+        self.hashes, self.rows = np.zeros(0, U), np.zeros(0, np.int64)   # in order of hash
+        self.strings, self.ids = _Rows(np.uint8), _Rows(np.uint32)
+        self._add(np.zeros(0, np.uint8), np.zeros(1, np.int64), np.zeros(0, np.uint32), np.zeros(1, np.int64))   # row 0: nothing
+
+    def _add(self, data, size, ids, count) -> None:
+        self.strings.add(data, size)
+        self.ids.add(ids, count)
+
+    def _learn(self, text: np.ndarray, start: np.ndarray, end: np.ndarray, plain: np.ndarray) -> np.ndarray:
+        """Remember the strings [start, end) of the text; returns their rows."""
+        size = end - start
+        data = text[expand(start, size)]
+        ends = np.cumsum(size)
+        ids: list[np.ndarray | None] = [None] * len(start)
+        letters = np.flatnonzero(plain)
+        whole, counts = [], np.zeros(len(start), np.int64)
+        odd = np.flatnonzero(~plain).tolist()
+        for at in range(0, len(letters), 2000):
             # One pre-token each; the last token of each has the mark of a word's end.
-            part = plain[at: at + 2000]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.uint32)
-            ends = np.flatnonzero(self.closes[ids]) + 1
-            if len(ends) != len(part):
-                odd.update(dict.fromkeys(part))
+            some = letters[at: at + 2000]
+            joined = np.full(int(size[some].sum()) + len(some), 0x20, np.uint8)
+            joined[expand(np.cumsum(size[some] + 1) - size[some] - 1, size[some])] = data[expand(ends[some] - size[some], size[some])]
+            coded = np.array(self.tokenizer.encode_batch_fast([joined.tobytes().decode()], add_special_tokens=False)[0].ids, np.uint32)
+            last = np.flatnonzero(self.closes[coded]) + 1
+            if len(last) != len(some):
+                odd += some.tolist()
                 continue
-            self._add(part, ids, np.diff(ends, prepend=0))
-        odd = list(odd)
-        coded = [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(odd, add_special_tokens=False)] if odd else []
+            counts[some] = np.diff(last, prepend=0)
+            whole.append((some, coded))
+        raw = data.tobytes()
+        coded = self.tokenizer.encode_batch_fast([raw[b - n: b].decode() for b, n in zip(ends[odd].tolist(), size[odd].tolist())], add_special_tokens=False) if odd else []
+        counts[odd] = [len(c.ids) for c in coded]
+        flat = np.zeros(int(counts.sum()), np.uint32)
+        begin = np.cumsum(counts) - counts
+        for some, got in whole:
+            flat[expand(begin[some], counts[some])] = got
         if odd:
-            self._add(odd, np.concatenate(coded), np.array([len(x) for x in coded]))
-        rows = np.empty(2 * len(new), np.int64)
-        rows[0::2] = np.fromiter(map(known.__getitem__, first), np.int64, len(new))
-        rows[1::2] = np.fromiter(map(known.__getitem__, second), np.int64, len(new))
-        flat, size = self.letter_ids.take(rows)
-        self.of.update(zip(new, range(len(self.of), len(self.of) + len(new))))
-        self.piece_ids.add(flat, size.reshape(-1, 2).sum(1))
-
-    def _add(self, parts: list[str], ids: np.ndarray, size: np.ndarray) -> None:
-        self.letters.update(zip(parts, range(len(self.letters), len(self.letters) + len(parts))))
-        self.letter_ids.add(ids, size)
-
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+            flat[expand(begin[odd], counts[odd])] = np.concatenate([np.array(c.ids, np.uint32) for c in coded])
+        first = self.strings.rows
+        self._add(data, size, flat, counts)
+        return first + np.arange(len(start))
+
+    def _found(self, text, start, end, plain) -> np.ndarray:
+        """The row of each string; a hash proposes, the bytes decide."""
+        hashes = span_hash(prefix(text), start, end)
+        distinct, first, number = np.unique(hashes, return_index=True, return_inverse=True)
+        at = np.minimum(np.searchsorted(self.hashes, distinct), max(len(self.hashes) - 1, 0))
+        known = self.hashes[at] == distinct if len(self.hashes) else np.zeros(len(distinct), bool)
+        row = np.zeros(len(distinct), np.int64)
+        row[known] = self.rows[at[known]]
+        new = np.flatnonzero(~known)
+        if len(new):
+            row[new] = self._learn(text, start[first[new]], end[first[new]], plain[first[new]])
+            both, rows = np.concatenate([self.hashes, distinct[new]]), np.concatenate([self.rows, row[new]])
+            order = np.argsort(both, kind="stable")
+            self.hashes, self.rows = both[order], rows[order]
+        out = row[number]
+        size = end - start
+        same = self.strings.size(out) == size
+        at = np.flatnonzero(same)
+        equal = text[expand(start[at], size[at])] == self.strings.take(out[at])[0]
+        if not equal.all():
+            same[at] = np.logical_and.reduceat(equal, np.cumsum(size[at]) - size[at])
+        other = np.flatnonzero(~same)      # two strings with one hash
+        if len(other):
+            out[other] = self._learn(text, start[other], end[other], plain[other])
+        return out
+
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each with the end id, and where each text's begin."""
-        if len(self.letters) > PARTS:
+        if not self.splits:
+            rows = [np.array([*x.ids, END], np.uint32) for x in self.tokenizer.encode_batch_fast([t or "" for t in column.to_pylist()], add_special_tokens=False)]
+            return np.concatenate([np.zeros(0, np.uint32), *rows]), np.cumsum([0, *map(len, rows)])
+        if len(self.hashes) > STRINGS:
             self.clear()
-        if len(self.of) > PIECES:
-            self.clear_pieces()
-        split = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        new = set().union(*split) - self.of.keys()
-        if new:
-            self._learn(list(new))
-        count = np.array([len(row) for row in split], np.int64)
-        number = np.fromiter(map(self.of.__getitem__, chain.from_iterable(split)), np.int64, int(count.sum()))
-        ids, size = self.piece_ids.take(number)
-        upto = np.concatenate([[0], np.cumsum(size)])
-        cut = upto[np.concatenate([[0], np.cumsum(count)])]
-        return np.insert(ids, cut[1:], END), cut + np.arange(len(texts) + 1)
+        buf, offsets = utf8(column)
+        start, end, begin = words(buf, offsets, _PIECE)
+        if not len(start):
+            return np.full(len(offsets) - 1, END, np.uint32), np.arange(len(offsets))
+        letter, text = _ASCII_LETTER[buf], buf.copy()
+        lead = np.flatnonzero(buf[:-1] == 0xC3)            # letters from U+00C0 on, but for two signs
+        after = buf[lead + 1]
+        letter[lead] = letter[lead + 1] = (after != 0x97) & (after != 0xB7)
+        lower = _LOWER[buf]
+        lower[lead + 1] += np.where((after <= 0x9E) & (after != 0x97), 32, 0).astype(np.uint8)
+        place = np.where(_MARK[buf], 0, np.arange(1, len(buf) + 1))
+        middle = np.maximum(np.maximum.accumulate(place)[end - 1], start)          # where the marks at the end begin
+        upto = np.concatenate([[0], np.cumsum(letter)])
+        plain = (middle > start) & (upto[middle] - upto[start] == middle - start)
+        middle = np.where(plain, middle, end)
+        step = np.zeros(len(buf) + 1, np.int8)
+        step[start[plain]] += 1
+        step[middle[plain]] -= 1
+        inside = np.cumsum(step[:-1], dtype=np.int8).astype(bool)
+        text[inside] = lower[inside]
+        marks = np.flatnonzero(end > middle)
+        found = self._found(text, np.concatenate([start, middle[marks]]), np.concatenate([middle, end[marks]]), np.concatenate([plain, np.zeros(len(marks), bool)]))
+        row = np.zeros(2 * len(start), np.int64)
+        row[0::2] = found[: len(start)]
+        row[2 * marks + 1] = found[len(start):]
+        ids, size = self.ids.take(row)
+        cut = np.concatenate([[0], np.cumsum(size)])[2 * begin]
+        return np.insert(ids, cut[1:], END), cut + np.arange(len(cut))
 
 
 class _Rows:
-    """Rows of ids of uneven length in one growing array."""
+    """Rows of uneven length in one growing array."""
 
-    def __init__(self):
-        self.flat, self.begin = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64)
+    def __init__(self, kind):
+        self.flat, self.begin = np.zeros(1 << 16, kind), np.zeros(1 << 14, np.int64)
         self.used = self.rows = 0
 
     def add(self, ids: np.ndarray, size: np.ndarray) -> None:
@@ -142,8 +199,11 @@ class _Rows:
         self.begin[self.rows + 1: self.rows + len(size) + 1] = self.used + np.cumsum(size)
         self.used, self.rows = self.used + len(ids), self.rows + len(size)
 
+    def size(self, rows: np.ndarray) -> np.ndarray:
+        return self.begin[rows + 1] - self.begin[rows]
+
     def take(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of the rows in turn, and how many each has."""
+        """What the rows hold in turn, and how many each."""
         begin = self.begin[rows]
         size = self.begin[rows + 1] - begin
         return self.flat[expand(begin, size)], size
@@ -161,7 +221,7 @@ def _encoder(path: str) -> Encoder:
 def _tokenize(path: str, batches):
     encoder = _encoder(path)
     for piece in pieces(batches):
-        ids, to = encoder.encode(piece.column("text").to_pylist())
+        ids, to = encoder.encode(piece.column("text"))
         # Two planes, high halves and low, so that compression sees alike bytes together.
         planes = [ids[a:b].astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes() if int(ids[a:b].max()) > 0xFFFF else
                   ids[a:b].astype("<u2").view(np.uint8).reshape(-1, 2).T.tobytes() for a, b in zip(to[:-1], to[1:])]
@@ -351,7 +411,7 @@ def write(docs: DataFrame, tokenizer: str) -> tuple[DataFrame, DataFrame]:
 
 def _decode(lengths, batches):
     code = _code(lengths.value)
-    for piece in _small(batches, "payload", 1 << 20):
+    for piece in _small(batches, "payload", 4 << 20):
         n = np.asarray(pc.list_flatten(piece.column("n_tokens")), np.int64)
         docs = pc.list_flatten(piece.column("doc_ids"))
         per_block = np.asarray(pc.list_value_length(piece.column("n_tokens")), np.int64)
