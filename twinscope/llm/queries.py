@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from twinscope.llm import decontamination, jaccard, language, lexical, mixing, multiindex, quality, secrets, suffixes, tokens, topk, toxicity, whitening
@@ -12,7 +13,8 @@ from twinscope.llm.labelled import held_out
 
 def tokenizer_path() -> str:
     """The vocabulary file; another folder of public tokenizers may be named by TOKENIZER_DIR."""
-    return os.path.join(os.environ.get("TOKENIZER_DIR", "/opt/tokenizers"), "word_bpe_49k.json")
+    folder = os.environ.get("TOKENIZER_DIR")
+    return os.path.join(folder, "word_bpe_49k.json") if folder else public_tokenizers.path("word_bpe_49k.json")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

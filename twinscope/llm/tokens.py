@@ -344,13 +344,16 @@ def _encode(lengths, batches):
     for piece in _small(batches, "planes", 2 << 20):
         n = piece.column("n").to_numpy().astype(np.int64)
         ids, to = _ids(n, piece.column("planes").to_pylist())
+        # A missing id is below all others.
+        doc = np.asarray(pc.fill_null(piece.column("doc_id"), -(1 << 63)), np.int64)
+        part = np.searchsorted(np.array(lengths.value[2], np.int64), doc).astype(np.int32)
         data, begin, at = code.encode(ids, to)
         per = -(-n // EVERY)
         marks = np.repeat(to[:-1], per) + EVERY * expand(np.zeros(len(n), np.int64), per)
         ends = pa.array(np.concatenate([[0], np.cumsum(per)]), pa.int32())
         offsets = pa.py_buffer(begin.astype(np.int32))
         yield pa.RecordBatch.from_arrays([
-            piece.column("part"), piece.column("doc_id"), piece.column("n"), pa.ListArray.from_arrays(ends, pa.array(at[marks])),
+            pa.array(part), piece.column("doc_id"), piece.column("n"), pa.ListArray.from_arrays(ends, pa.array(at[marks])),
             pa.Array.from_buffers(pa.binary(), len(n), [None, offsets, pa.py_buffer(np.ascontiguousarray(data))])], names=["part", "doc_id", "n", "marks", "data"])
 
 
@@ -398,13 +401,12 @@ def write(docs: DataFrame, tokenizer: str) -> tuple[DataFrame, DataFrame]:
     number, bits = number[order], code_lengths(n[order])
     lengths = saved(spark.createDataFrame(pa.table({"id": pa.array(number, pa.int32()), "bits": pa.array(bits, pa.int32())})), "code-lengths")
     total = int((n[order] * bits).sum() // 8) if len(n) else 0
+    # Weighted by nothing: documents are of bounded length against a part. The summary is as fine as the parts need.
     parts = max(1, total // PART_BYTES)
-    # Weighted by nothing: documents are of bounded length against a part.
-    cuts = ids.agg(F.percentile_approx("doc_id", F.array(*[F.lit((k + 1) / parts) for k in range(parts - 1)]), 10_000)).first()[0] if parts > 1 else []
+    cuts = ids.agg(F.percentile_approx("doc_id", F.array(*[F.lit((k + 1) / parts) for k in range(parts - 1)]), max(10_000, 20 * parts))).first()[0] if parts > 1 else []
     bounds = sorted(set(cuts or []))
-    part = F.coalesce(F.size(F.filter(F.array(*[F.lit(b).cast("long") for b in bounds]), lambda b: b < F.col("doc_id"))), F.lit(0)) if bounds else F.lit(0)
-    shared = spark.sparkContext.broadcast((number.tolist(), bits.tolist()))   # one entry an id of the vocabulary
-    coded = ids.withColumn("part", part.cast("int")).mapInArrow(partial(_encode, shared), "part int, doc_id long, n int, marks array<long>, data binary")
+    shared = spark.sparkContext.broadcast((number.tolist(), bits.tolist(), bounds))   # one entry an id of the vocabulary, and one a part
+    coded = ids.mapInArrow(partial(_encode, shared), "part int, doc_id long, n int, marks array<long>, data binary")
     ordered = coded.repartitionById(len(bounds) + 1, F.col("part")).sortWithinPartitions(F.col("part"), F.col("doc_id").asc_nulls_first(), "data")
     return saved(ordered.mapInArrow(_blocks, FILES), "token-files", "uncompressed"), lengths
 
