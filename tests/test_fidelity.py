@@ -204,3 +204,40 @@ def test_running_best_of_large_keys(spark):
             want[k] = (best, max(best or s, s))
             best = want[k][1]
     assert got == want
+
+
+def test_candidates_share_the_real_side(spark):
+    """Each candidate gets what it gets alone: gaps, bins of its own range, absent and new classes."""
+    rng = np.random.default_rng(8)
+    rows = [(None, "abcdef"[k % 6], float(k % 40) / 8, k % 7) for k in range(400)]
+    rows += [("low", "a", float(v), 1) for v in range(-3, 2)] + [("one", "b", 2.5, 3)] * 4
+    rows += [("empty", None, None, None)] * 3 + [("holes", None if k % 3 else "z", None if k % 2 else k / 5, k) for k in range(30)]
+    rows += [("wide", "abcxyz"[rng.integers(6)], float(rng.normal(3, 9)), int(rng.integers(9))) for _ in range(200)]
+    rows += [("same", r[1], r[2], r[3]) for r in rows[:400]]
+    names = ["empty", "holes", "low", "one", "same", "wide"]
+    table = spark.createDataFrame(rows, "c string, label string, x double, n int").repartition(3)
+    many = TablePair.tagged(table, F.col("c"), names, ["label", "x", "n"])
+
+    def values(df, name=None):
+        rows = df.collect()
+        return {r["column"]: tuple(round(r[c], 9) for c in df.columns if isinstance(r[c], float)) for r in rows if name is None or r["candidate"] == name}
+
+    forms = [
+        lambda p: fidelity.fidelity_by_column(p), lambda p: fidelity.ks_test(p),
+        lambda p: fidelity.js_divergence(p), lambda p: fidelity.js_divergence(p, ["label"], ["x", "n"], 30, "epsilon"),
+        lambda p: bias.bias_amplification(p, ["label", "n"]), lambda p: bias.amplification_ratio(p, ["label", "n"]),
+    ]
+    together = [form(many).cache() for form in forms]
+    for name in names:
+        alone = TablePair.split(table.filter(F.col("c").isNull() | (F.col("c") == name)), F.col("c").isNotNull(), ["label", "x", "n"])
+        for form, all_of_them in zip(forms, together):
+            assert values(all_of_them, name) == values(form(alone))
+
+
+def test_a_thousand_candidates(spark):
+    table = spark.range(30_000).select(
+        F.when(F.col("id") >= 10_000, F.concat(F.lit("c"), (F.col("id") % 1000).cast("string"))).alias("c"),
+        (F.col("id") % 13).cast("string").alias("label"), (F.col("id") * 7919 % 9973).cast("double").alias("x"))
+    got = fidelity.fidelity_by_column(TablePair.tagged(table, F.col("c"), [f"c{k}" for k in range(1000)], ["label", "x"]))
+    rows = got.collect()
+    assert len(rows) == 2000 and all(0 <= r["jsd"] < 0.7 for r in rows) and all((r["ks"] is None) == (r["column"] == "label") for r in rows)

@@ -6,15 +6,21 @@ from pyspark.sql import DataFrame, functions as F
 
 from twinscope.frames import CANDIDATE, TablePair, analysis_categorical, without_candidate
 from twinscope.operators.fidelity import feature_bias
-from twinscope.plans.frequencies import KEYS, REAL, SYN, pair_counts, with_totals
+from twinscope.plans.frequencies import KEYS, REAL, SYN, pair_counts, pooled_counts, with_totals
+from twinscope.plans.scratch import save_scratch
+from twinscope.plans.shared import own_counts
 
 TOT_REAL, TOT_SYN = f"tot_{REAL}", f"tot_{SYN}"
 
 
-def class_frequencies(pair: TablePair, columns=None) -> DataFrame:
-    """(column, value, n_real, n_syn, real_frequency, synthetic_frequency), outer-aligned."""
+def class_frequencies(pair: TablePair, columns=None, own: bool = False) -> DataFrame:
+    """(column, value, n_real, n_syn, real_frequency, synthetic_frequency), outer-aligned.
+
+    With ``own``, classes that a candidate lacks are left out: no row of the real side is repeated.
+    """
     columns = analysis_categorical(pair.kinds) if columns is None else list(columns)
-    out = with_totals(pair_counts(pair, columns)).select(
+    counts = own_counts(save_scratch(pooled_counts(pair, columns), "pooled")) if own else with_totals(pair_counts(pair, columns))
+    out = counts.select(
         *KEYS, "value", REAL, SYN,
         F.coalesce(F.try_divide(F.col(REAL), F.col(TOT_REAL)), F.lit(0.0)).alias("real_frequency"),
         F.coalesce(F.try_divide(F.col(SYN), F.col(TOT_SYN)), F.lit(0.0)).alias("synthetic_frequency"),
@@ -45,7 +51,7 @@ def rare_class_totals(rare: DataFrame) -> DataFrame:
 def bias_amplification(pair: TablePair, columns=None, threshold: float = 0.20) -> DataFrame:
     """Largest / smallest frequency among classes that both sides have; flagged when the synthetic
     ratio exceeds the real one by more than ``threshold``.  Needs two shared classes."""
-    shared = class_frequencies(pair, columns).filter((F.col(REAL) > 0) & (F.col(SYN) > 0))
+    shared = class_frequencies(pair, columns, own=len(pair.candidates) > 1).filter((F.col(REAL) > 0) & (F.col(SYN) > 0))
     by = [c for c in KEYS if c in shared.columns]
     ratios = (
         shared.groupBy(*by)

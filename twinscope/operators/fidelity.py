@@ -17,6 +17,7 @@ from twinscope.plans.frequencies import KEYS, REAL, SYN, pair_counts, with_total
 from twinscope.plans.histograms import histograms_of_counts, pair_histograms
 from twinscope.plans.moments import pair_correlations
 from twinscope.plans.ordered import running_totals
+from twinscope.plans.shared import Cumulative, category_counts
 
 TOT_REAL, TOT_SYN = f"tot_{REAL}", f"tot_{SYN}"
 
@@ -26,6 +27,10 @@ TOT_REAL, TOT_SYN = f"tot_{REAL}", f"tot_{SYN}"
 
 # ---- Kolmogorov-Smirnov -------------------------------------------------------------------------
 
+def _with_p(gaps: DataFrame) -> DataFrame:
+    return gaps.select(*KEYS, "statistic", kolmogorov_p(F.col("statistic"), F.col("n"), F.col("m")).alias("p_value"))
+
+
 def ks_of_ordered(ordered: DataFrame) -> DataFrame:
     """(candidate, column, statistic, p_value) from running totals."""
     gap = F.abs(
@@ -35,8 +40,7 @@ def ks_of_ordered(ordered: DataFrame) -> DataFrame:
     return (
         ordered.groupBy(*KEYS)
         .agg(F.max(gap).alias("statistic"), F.max(TOT_REAL).alias("n"), F.max(TOT_SYN).alias("m"))
-        .filter((F.col("n") > 0) & (F.col("m") > 0))
-        .select(*KEYS, "statistic", kolmogorov_p(F.col("statistic"), F.col("n"), F.col("m")).alias("p_value"))
+        .filter((F.col("n") > 0) & (F.col("m") > 0)).transform(_with_p)
     )
 
 
@@ -46,7 +50,10 @@ def ks_test(pair: TablePair, columns=None, empty_as_null: bool = False) -> DataF
     A column with no values on one side gets (1, 0), or NULLs with ``empty_as_null``.
     """
     columns = ks_columns(pair.kinds) if columns is None else list(columns)
-    found = ks_of_ordered(running_totals(pair_counts(pair, columns, "double")))
+    if len(pair.candidates) == 1:
+        found = ks_of_ordered(running_totals(pair_counts(pair, columns, "double")))
+    else:
+        found = _with_p(Cumulative(pair, columns).gaps())
     out = pair.column_list(columns).join(F.broadcast(found), KEYS, "left")
     if not empty_as_null:
         out = out.withColumn("statistic", F.coalesce("statistic", F.lit(1.0)))
@@ -58,12 +65,24 @@ def ks_test(pair: TablePair, columns=None, empty_as_null: bool = False) -> DataF
 
 def _divergence(counts: DataFrame, scheme: str, k=None) -> DataFrame:
     """(candidate, column, jsd) from categories or bins; ``k`` overrides the category count."""
-    full = with_totals(counts)
+    return _summed(with_totals(counts), scheme, k)
+
+
+def _category_divergence(pair: TablePair, columns, scheme: str) -> DataFrame:
+    if len(pair.candidates) == 1:
+        return _divergence(pair_counts(pair, columns), scheme)
+    counts, times = category_counts(pair, columns), F.col("times")
+    totals = counts.groupBy(*KEYS).agg(*[F.sum(F.col(m) * times).alias(f"tot_{m}") for m in (REAL, SYN)], F.sum(times).alias("k"))
+    return _summed(counts.join(F.broadcast(totals), KEYS), scheme, times=times)
+
+
+def _summed(full: DataFrame, scheme: str, k=None, times=None) -> DataFrame:
     term = divergence_term(
         F.col(REAL), F.col(SYN), F.col(TOT_REAL), F.col(TOT_SYN),
         F.col("k") if k is None else F.lit(k), scheme,
     )
     both = (F.col(TOT_REAL) > 0) & (F.col(TOT_SYN) > 0)
+    term = term if times is None else term * times
     return full.filter(both).groupBy(*KEYS).agg(F.greatest(F.sum(term), F.lit(0.0)).alias("jsd"))
 
 
@@ -78,12 +97,10 @@ def js_divergence(pair: TablePair, categorical=None, numeric=None, bins: int = 2
     numeric = analysis_numeric(pair.kinds) if numeric is None else list(numeric)
     parts = []
     if categorical:
-        parts.append(_divergence(pair_counts(pair, categorical), smoothing))
+        parts.append(_category_divergence(pair, categorical, smoothing))
     if numeric:
-        if len(pair.candidates) == 1:
-            bins_table = pair_histograms(pair, numeric, bins)
-        else:
-            bins_table = histograms_of_counts(pair_counts(pair, numeric, "double"), bins)
+        one = len(pair.candidates) == 1
+        bins_table = pair_histograms(pair, numeric, bins) if one else Cumulative(pair, numeric, bins).histograms()
         parts.append(_divergence(bins_table, smoothing, k=bins))
     found = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     kind = F.when(F.col("column").isin(categorical), "categorical").otherwise("continuous")
@@ -206,8 +223,12 @@ def fidelity_by_column(pair: TablePair) -> DataFrame:
     categorical, numeric = analysis_categorical(pair.kinds), analysis_numeric(pair.kinds)
     parts, ks = [], None
     if categorical:
-        parts.append(_divergence(pair_counts(pair, categorical), "relative"))
-    if numeric:
+        parts.append(_category_divergence(pair, categorical, "relative"))
+    if numeric and len(pair.candidates) > 1:
+        both = Cumulative(pair, numeric, 20)
+        parts.append(_divergence(both.histograms(), "relative", k=20))
+        ks = _with_p(both.gaps())
+    elif numeric:
         counts = pair_counts(pair, numeric, "double")
         parts.append(_divergence(histograms_of_counts(counts, 20), "relative", k=20))
         ks = ks_of_ordered(running_totals(counts))

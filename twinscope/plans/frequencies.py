@@ -29,14 +29,25 @@ def value_counts(df: DataFrame, columns, as_type: str = "string", by=()) -> Data
     return melt(df, columns, as_type, by).groupBy(*by, "column", "value").agg(F.count("*").alias("n"))
 
 
+def pooled_counts(pair: TablePair, columns, as_type: str = "string") -> DataFrame:
+    """(column, value, n_real, own): ``own`` lists (candidate, n) of the candidates that hold the value."""
+    counted = melt(pair.rows, columns, as_type, [CANDIDATE]).groupBy(CANDIDATE, "column", "value").agg(F.count("*").alias("n"))
+    real = F.col(CANDIDATE).isNull()
+    return counted.groupBy("column", "value").agg(
+        F.sum(F.when(real, F.col("n")).otherwise(0)).alias(REAL),
+        F.collect_list(F.when(~real, F.struct(CANDIDATE, "n"))).alias("own"),   # at most one entry a candidate
+    )
+
+
 def pair_counts(pair: TablePair, columns, as_type: str = "string") -> DataFrame:
     """(candidate, column, value, n_real, n_syn) with zero where a side lacks the value.
 
     This replaces a full outer join of two frequency tables by one grouped sum.  With several
-    candidates the real side is counted once and only its *counts* are repeated per candidate.
+    candidates it is an alignment, a row for every candidate and value, made after the last shuffle
+    from one row a value; operators that need less than that use ``plans.shared``.
     """
-    long = melt(pair.rows, columns, as_type, [CANDIDATE])
     if len(pair.candidates) == 1:
+        long = melt(pair.rows, columns, as_type, [CANDIDATE])
         return (
             long.groupBy("column", "value")
             .agg(
@@ -45,20 +56,10 @@ def pair_counts(pair: TablePair, columns, as_type: str = "string") -> DataFrame:
             )
             .select(F.lit(pair.candidates[0]).alias(CANDIDATE), "column", "value", REAL, SYN)
         )
-    counted = long.groupBy(CANDIDATE, "column", "value").agg(F.count("*").alias("n"))
-    is_real = F.col(CANDIDATE).isNull()
     everyone = F.array(*[F.lit(c) for c in pair.candidates])
-    spread = counted.select(
-        F.explode(F.when(is_real, everyone).otherwise(F.array(CANDIDATE))).alias("to"),
-        "column",
-        "value",
-        F.when(is_real, F.col("n")).otherwise(F.lit(0)).alias(REAL),
-        F.when(is_real, F.lit(0)).otherwise(F.col("n")).alias(SYN),
-    )
-    return (
-        spread.groupBy(F.col("to").alias(CANDIDATE), "column", "value")
-        .agg(F.sum(REAL).alias(REAL), F.sum(SYN).alias(SYN))
-    )
+    lacking = F.when(F.col(REAL) > 0, F.array_except(everyone, F.col(f"own.{CANDIDATE}"))).otherwise(F.array().cast("array<string>"))
+    aligned = F.concat(F.col("own"), F.transform(lacking, lambda c: F.struct(c.alias(CANDIDATE), F.lit(0).cast("long").alias("n"))))
+    return pooled_counts(pair, columns, as_type).select("column", "value", REAL, F.inline(aligned)).select(*KEYS, "value", REAL, F.col("n").alias(SYN))
 
 
 def with_totals(counts: DataFrame, measures=(REAL, SYN), keys=KEYS) -> DataFrame:

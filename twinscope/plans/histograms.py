@@ -31,7 +31,7 @@ def pair_histograms(pair: TablePair, columns, bins: int) -> DataFrame:
     Two narrow scans (range, then bins); at most ``bins`` rows per column leave each task.
     """
     if len(pair.candidates) != 1:
-        raise ValueError("several candidates have several ranges: use histograms_of_counts")
+        raise ValueError("several candidates have several ranges: use plans.shared")
     long = melt(pair.rows, columns, "double", [CANDIDATE])
     ranges = long.groupBy("column").agg(F.min("value").alias("low"), F.max("value").alias("high"))
     binned = long.join(F.broadcast(ranges), "column").withColumn(
@@ -48,9 +48,9 @@ def pair_histograms(pair: TablePair, columns, bins: int) -> DataFrame:
 
 
 def histograms_of_counts(counts: DataFrame, bins: int) -> DataFrame:
-    """The same from (candidate, column, value, n_real, n_syn), for any number of candidates.
+    """The same from (candidate, column, value, n_real, n_syn) of a pair with one candidate.
 
-    Each candidate has its own pooled range.  Used where the counts exist anyway (KS).
+    Used where the counts exist anyway (KS).
     """
     ranges = (
         counts.filter(F.col(REAL) + F.col(SYN) > 0)

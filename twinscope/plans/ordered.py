@@ -16,7 +16,7 @@ from twinscope.plans.frequencies import KEYS, REAL, SYN
 from twinscope.plans.scratch import save_scratch
 
 
-def running_totals(counts: DataFrame, measures=(REAL, SYN), keys=KEYS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def running_totals(counts: DataFrame, measures=(REAL, SYN), keys=KEYS, bucket_rows: int = BUCKET_ROWS, keep_bucket: bool = False) -> DataFrame:
     """Add ``run_<m>`` (inclusive running sum in ``value`` order) and ``tot_<m>`` per key.
 
     ``counts`` must have one row per (keys, value).  Every branch reads all measures, so the
@@ -34,6 +34,13 @@ def running_totals(counts: DataFrame, measures=(REAL, SYN), keys=KEYS, bucket_ro
         .withColumn("bucket", bucket_of(F.col("value")))
         .drop("cuts", "coarse_cuts", "step")
     )
+    out = running_in_buckets(located, measures, keys)
+    return out if keep_bucket else out.drop("bucket")
+
+
+def running_in_buckets(located: DataFrame, measures, keys) -> DataFrame:
+    """Add ``run_<m>`` to rows that have a ``bucket`` (ascending with ``value``) and ``tot_<m>`` already."""
+    keys, measures = list(keys), list(measures)
     before = Window.partitionBy(*keys).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     # One row per key and bucket goes through this window.
     starts = (
@@ -43,7 +50,7 @@ def running_totals(counts: DataFrame, measures=(REAL, SYN), keys=KEYS, bucket_ro
             *keys, "bucket", *[f"tot_{m}" for m in measures],
             *[F.coalesce(F.sum(m).over(before), F.lit(0)).alias(m) for m in measures],
         )
-        .withColumn("value", F.lit(None).cast(counts.schema["value"].dataType))
+        .withColumn("value", F.lit(None).cast(located.schema["value"].dataType))
     )
     # The start of each bucket travels as a leading row with a NULL value: no join needed.
     inside = (
@@ -55,7 +62,6 @@ def running_totals(counts: DataFrame, measures=(REAL, SYN), keys=KEYS, bucket_ro
         located.unionByName(starts, allowMissingColumns=True)
         .select("*", *[F.sum(m).over(inside).alias(f"run_{m}") for m in measures])
         .filter(F.col("value").isNotNull())
-        .drop("bucket")
     )
 
 
