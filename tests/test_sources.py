@@ -176,3 +176,35 @@ def test_full_cycle_writes_every_table(spark, variants, tmp_path):
     assert out["metrics"].count() == 12 and out["benchmarks"].count() == 12 and out["profile"].count() == 7
     assert out["stall"].first()["stalled"] is False
     assert {r["series_id"] for r in out["recommendations"].collect()} == {"series"}
+
+
+def test_history_store_computes_each_run_once(spark, tmp_path):
+    from twinscope.sources.history_store import HistoryStore
+
+    store, asked = HistoryStore(spark, str(tmp_path / "history")), []
+
+    def compute(missing):
+        asked.append(sorted((r.series_id, r.cycle) for r in missing.collect()))
+        return missing.selectExpr("series_id", "cycle", "explode(array('a', 'b')) AS metric", "cast(cycle AS double) AS value")
+
+    runs = spark.createDataFrame([(s, c) for s in ("x", "y") for c in (1, 2)] + [("x", 1), (None, 1)], "series_id string, cycle int")
+    assert store.read().count() == 0 and store.missing(runs).count() == 4
+    assert store.update(runs.where("cycle = 1"), compute) == 2
+    assert store.update(runs, compute) == 2 and store.update(runs, compute) == 0
+    assert asked == [[("x", 1), ("y", 1)], [("x", 2), ("y", 2)]]
+    more = runs.unionByName(spark.createDataFrame([("z", 1)], "series_id string, cycle int"))
+    assert store.update(more, compute) == 1
+    rows = {(r.series_id, r.cycle, r.metric): (r.value, r.update) for r in store.read().collect()}
+    assert len(rows) == 10 and rows["x", 1, "a"] == (1.0, 1) and rows["y", 2, "b"] == (2.0, 2) and rows["z", 1, "a"] == (1.0, 3)
+
+    def fails(missing):
+        raise RuntimeError("lost")
+
+    late = spark.createDataFrame([("x", 9)], "series_id string, cycle int")
+    with pytest.raises(RuntimeError):
+        store.update(late, fails)
+    assert store.missing(late).count() == 1 and store.read().count() == 10
+    # A run stored again takes the place of its former rows, and of no others.
+    store.write(spark.createDataFrame([("x", 1, "a", 7.0), ("x", 1, "a", None)], "series_id string, cycle int, metric string, value double"))
+    rows = {(r.series_id, r.cycle, r.metric): r.value for r in store.read().collect()}
+    assert len(rows) == 9 and rows["x", 1, "a"] == 7.0 and rows["y", 1, "a"] == 1.0

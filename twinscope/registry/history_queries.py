@@ -20,6 +20,7 @@ from twinscope.registry.privacy_queries import quality_sql
 from twinscope.registry.profile_queries import _profile_sql
 from twinscope.registry.sqltext import ORDERS, bin_sql, jsd_of, literal_rows
 from twinscope.sources import experiments
+from twinscope.sources.history_store import HistoryStore, source_key
 
 FIRST_DAY, GROUPS = 16, 3
 _DAY = "CAST(date_diff('day', (SELECT min(ts) FROM events), ts) + 1 AS INTEGER)"
@@ -32,26 +33,42 @@ def numbered_days(spark, sf):
     return events.withColumn("day", F.datediff(F.to_date("ts"), F.lit(first).cast("date")) + 1)
 
 
-def runs_pair(spark, sf) -> TablePair:
-    """Days 1-15 as the real table, each (user group, later day) as one candidate."""
+_SERIES, _LATER = (F.col("user_id") % GROUPS).cast("string"), F.col("day") >= FIRST_DAY
+
+
+def all_runs(spark, sf):
+    """(series_id, cycle): a run for each user group and each day from ``FIRST_DAY`` on."""
+    return numbered_days(spark, sf).where(_LATER).select(_SERIES.alias("series_id"), F.col("day").cast("int").alias("cycle")).distinct()
+
+
+def runs_pair(spark, sf, runs=None) -> TablePair:
+    """Days 1-15 as the real table, each of the ``runs`` (all of them by default) as one candidate."""
     events = numbered_days(spark, sf)
-    name = F.when(F.col("day") >= FIRST_DAY, F.concat_ws("-", (F.col("user_id") % GROUPS).cast("string"), F.col("day").cast("string")))
-    runs = [r[0] for r in events.select(name).where(name.isNotNull()).distinct().sort(name).collect()]  # one per group and day
-    return TablePair.tagged(events, name, runs, ["event_type", "value"])
+    names = sorted(f"{r.series_id}-{r.cycle}" for r in (all_runs(spark, sf) if runs is None else runs).collect())  # one per group and day
+    name = F.concat_ws("-", _SERIES, F.col("day").cast("string"))
+    wanted = events.withColumn("run", F.when(_LATER, name)).where(~_LATER | F.col("run").isin(names))
+    return TablePair.tagged(wanted, F.col("run"), names, ["event_type", "value"])
 
 
 def history_metrics(spark, sf):
-    """(series_id, cycle, metric, value): ten of the twelve metrics for each run, in one plan.
+    """(series_id, cycle, metric, value) from the stored history of the events; runs that are not
+    stored yet are computed and added first."""
+    store = HistoryStore(spark, f"{scratch_root(spark).rstrip('/')}/history-{source_key(table(spark, sf, 'events'))}")
+    store.update(all_runs(spark, sf), lambda missing: run_metrics(runs_pair(spark, sf, missing)))
+    return store.read().select("series_id", "cycle", "metric", "value")
+
+
+def run_metrics(pair: TablePair):
+    """(series_id, cycle, metric, value): ten of the twelve metrics for each candidate, in one plan.
 
     Accuracy and F1 are those of always guessing the run's largest class.
     """
-    pair = runs_pair(spark, sf)
     per_column = fidelity.fidelity_by_column(pair)
     fit = per_column.groupBy("candidate").agg(
         F.avg("ks").alias("mean_ks"), F.avg("jsd").alias("mean_jsd"), F.max("jsd").alias("max_jsd"),
     )
     top = diversity.dominant_classes(pair.synthetic, ["event_type"], ["candidate"])
-    shares = bias.class_frequencies(pair, ["event_type"]).select("candidate", F.col("value").alias("dominant_class"), "real_frequency")
+    shares = bias.class_frequencies(pair, ["event_type"], own=True).select("candidate", F.col("value").alias("dominant_class"), "real_frequency")
     guess = top.join(shares, ["candidate", "dominant_class"]).select(
         "candidate", F.col("real_frequency").alias("ml_accuracy"), (F.col("frequency") >= 0.9).cast("int").alias("n_collapsed"),
     )
@@ -70,8 +87,7 @@ def history_metrics(spark, sf):
     run = F.split("candidate", "-")
     keys = [run[0].alias("series_id"), run[1].cast("int").alias("cycle")]
     have = [m for m in BUCKETS if m in wide.columns]
-    # A history is a table: operators read it more than once.
-    return save_scratch(wide.select(*keys, *have).unpivot(["series_id", "cycle"], have, "metric", "value"), "history")
+    return wide.select(*keys, *have).unpivot(["series_id", "cycle"], have, "metric", "value")
 
 
 _HAVE = [m for m in BUCKETS if m not in ("auc", "mean_nnd")]
@@ -134,6 +150,16 @@ def _with(*ctes: str) -> str:
     return "WITH " + ", ".join((_WIDE, *ctes)) + " "
 
 
+@query("history_append", _with() + f"SELECT series_id, cycle, metric, {r6('value')} AS value, CASE WHEN cycle < 24 THEN 1 ELSE 2 END AS update FROM h")
+def _(spark, sf):
+    """Three updates: the days before the 24th, then all days, which computes the rest only, then all again, which computes nothing."""
+    store = HistoryStore(spark, f"{scratch_root(spark).rstrip('/')}/history-{uuid.uuid4().hex}")
+    runs = all_runs(spark, sf)
+    for part in (runs.where("cycle < 24"), runs, runs):
+        store.update(part, lambda missing: run_metrics(runs_pair(spark, sf, missing)))
+    return rounded(store.read().select("series_id", "cycle", "metric", "value", "update"))
+
+
 @query("metric_extraction", _with() + f"""SELECT series_id, cycle, b.bucket, b.metric, {r6("coalesce(value, CASE b.metric WHEN 'max_amplification_ratio' THEN 1.0 ELSE 0.0 END)")} AS value
     FROM (SELECT DISTINCT series_id, cycle FROM h) g CROSS JOIN (VALUES {literal_rows([(m, k) for m, k in BUCKETS.items()])}) b(metric, bucket) LEFT JOIN h USING (series_id, cycle, metric)""")
 def _(spark, sf):
