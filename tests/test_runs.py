@@ -183,3 +183,23 @@ def test_conditional_sample(spark):
     with pytest.raises(ValueError):
         sampler.sample_like(real, 10, condition=("g", "none"))
     assert constraints.schema_check(made, ["g", "x"], []).first()["n"] == 0
+
+
+def test_forests_of_all_candidates_grow_together(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for name, noise in ((None, 0.0), ("good", 0.05), ("bad", 0.9)):
+        for k, x in enumerate(rng.random(150)):
+            y = "hi" if (x > 0.5) != (rng.random() < noise) else "lo"
+            rows.append((name, y, None if k % 20 == 0 else float(x), ["u", "v", None][k % 3], k % 2 == 0))
+    rows += [("lone", "hi", 0.2, "u", True)]
+    df = spark.createDataFrame(rows, "c string, y string, x double, s string, b boolean")
+    pair = TablePair.tagged(df, F.col("c"), ["good", "bad", "lone", "none"], ["y", "x", "s", "b"])
+    together = {r["candidate"]: r for r in utility.candidate_forests(pair, "y", trees=6, depth=4, bins=16, features_a_node=None).collect()}
+    assert set(together) == {"good", "bad", "lone"}
+    assert together["good"]["accuracy"] > 0.9 and together["good"]["auc"] > 0.9 and together["bad"]["accuracy"] < 0.4
+    alone = TablePair.tagged(df.filter("c is null or c = 'good'"), F.col("c"), ["good"], ["y", "x", "s", "b"])
+    row = utility.candidate_forests(alone, "y", trees=6, depth=4, bins=16, features_a_node=None).first()
+    assert row.asDict() == together["good"].asDict()
+    with pytest.raises(ValueError):
+        utility.candidate_forests(pair, "y", depth=40)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from twinscope.constants import COMPOSITE_WEIGHTS
@@ -14,7 +12,7 @@ from twinscope.operators.constraints import require_no_nulls
 from twinscope.operators.diversity import collapsed_columns
 from twinscope.operators.fidelity import fidelity_by_column, fidelity_summary
 from twinscope.operators.privacy import privacy_report
-from twinscope.operators.utility import cross_test, utility
+from twinscope.operators.utility import candidate_forests, cross_test
 from twinscope.plans.scratch import save_scratch
 
 
@@ -91,15 +89,8 @@ def validate(pair: TablePair, target: str, **forest) -> DataFrame:
 
 def candidate_utility(pair: TablePair, target: str, **forest) -> DataFrame:
     """(candidate, accuracy, f1_score, auc): a forest trained on each candidate and tested on the
-    real rows.  A candidate without rows gets none; each forest is a Spark job of its own."""
-    found = []
-    for name in pair.candidates:
-        rows = pair.rows.filter(F.col(CANDIDATE) == name).drop(CANDIDATE)
-        if not rows.isEmpty():
-            found.append(utility(rows, pair.real, target, **forest).select(F.lit(name).alias(CANDIDATE), "*"))
-    if not found:
-        raise ValueError("no candidate has rows")
-    return save_scratch(reduce(DataFrame.unionByName, found), "utility")
+    real rows, all in one plan.  A candidate without rows gets none."""
+    return save_scratch(candidate_forests(pair, target, **forest), "utility")
 
 
 def evaluate_candidates(pair: TablePair, accuracy: DataFrame | None = None, target: str | None = None, **forest) -> DataFrame:

@@ -7,8 +7,9 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
-from twinscope.frames import TablePair, column_kinds, null_nan
+from twinscope.frames import CANDIDATE, TablePair, column_kinds, null_nan
 from twinscope.plans.codes import attach_codes, code_dictionary
+from twinscope.plans.forest import class_shares, train
 from twinscope.plans.ordered import running_totals
 from twinscope.plans.scratch import save_scratch
 
@@ -68,17 +69,21 @@ def train_and_test(train: DataFrame, test: DataFrame, target: str, trees: int =
 
 def classification_scores(predictions: DataFrame) -> DataFrame:
     """One row: accuracy and support-weighted F1 (0 where undefined) from (label, prediction)."""
-    cells = predictions.groupBy("label", "prediction").agg(F.count("*").alias("n"))
+    return _scores_of_cells(predictions.groupBy("label", "prediction").agg(F.count("*").alias("n")))
+
+
+def _scores_of_cells(cells: DataFrame, by=()) -> DataFrame:
+    """The same from (by..., label, prediction, n)."""
     hit = F.when(F.col("label") == F.col("prediction"), F.col("n")).otherwise(0)
     long = cells.select(
-        F.inline(F.array(
+        *by, F.inline(F.array(
             F.struct(F.col("label").alias("class"), F.col("n").alias("support"), F.lit(0).cast("long").alias("predicted"), hit.alias("tp")),
             F.struct(F.col("prediction").alias("class"), F.lit(0).cast("long").alias("support"), F.col("n").alias("predicted"), F.lit(0).cast("long").alias("tp")),
         ))
     )
-    per_class = long.groupBy("class").agg(*[F.sum(c).alias(c) for c in ("support", "predicted", "tp")])
+    per_class = long.groupBy(*by, "class").agg(*[F.sum(c).alias(c) for c in ("support", "predicted", "tp")])
     f1 = F.coalesce(F.try_divide(2 * F.col("tp"), F.col("support") + F.col("predicted")), F.lit(0.0))
-    return per_class.agg(
+    return per_class.groupBy(*by).agg(
         F.try_divide(F.sum("tp"), F.sum("support")).alias("accuracy"),
         F.try_divide(F.sum(f1 * F.col("support")), F.sum("support")).alias("f1_score"),
     )
@@ -91,21 +96,27 @@ def auc_one_vs_rest(scores: DataFrame, binary_is_zero: bool = False) -> DataFram
     score are accumulated in score order over buckets, so no class is ranked in one task.
     ``binary_is_zero`` reproduces the behaviour of reporting 0 for two classes.
     """
-    counts = scores.groupBy("class", F.col("score").cast("double").alias("value")).agg(
-        F.count_if("is_class").alias("pos"), F.count_if(~F.col("is_class")).alias("neg")
+    return _areas(scores, F.lit(1), (), binary_is_zero)
+
+
+def _areas(scores: DataFrame, weight, by=(), binary_is_zero: bool = False) -> DataFrame:
+    by = list(by)
+    hit = F.col("is_class")
+    counts = scores.groupBy(*by, "class", F.col("score").cast("double").alias("value")).agg(
+        F.sum(F.when(hit, weight).otherwise(0)).cast("long").alias("pos"), F.sum(F.when(~hit, weight).otherwise(0)).cast("long").alias("neg")
     )
-    run = running_totals(counts, ["pos", "neg"], ["class"])
+    run = running_totals(counts, ["pos", "neg"], [*by, "class"])
     below = F.col("run_neg") - F.col("neg") / 2.0  # ties count half
-    per_class = run.groupBy("class").agg(
+    per_class = run.groupBy(*by, "class").agg(
         F.sum(F.col("pos") * below).alias("wins"), F.max("tot_pos").alias("p"), F.max("tot_neg").alias("q")
     )
     area = F.try_divide(F.col("wins"), F.col("p").cast("double") * F.col("q"))
-    total = per_class.agg(
+    total = per_class.groupBy(*by).agg(
         F.try_divide(F.sum(area * F.col("p")), F.sum(F.when(area.isNotNull(), F.col("p")))).alias("auc"),
         F.count("*").alias("k"),
     )
     auc = F.coalesce("auc", F.lit(0.0))
-    return total.select(F.when((F.col("k") <= 2) & F.lit(binary_is_zero), 0.0).otherwise(auc).alias("auc"))
+    return total.select(*by, F.when((F.col("k") <= 2) & F.lit(binary_is_zero), 0.0).otherwise(auc).alias("auc"))
 
 
 def class_scores(predictions: DataFrame) -> DataFrame:
@@ -122,6 +133,28 @@ def utility(train: DataFrame, test: DataFrame, target: str, **forest) -> DataFra
     return scores.join(auc_one_vs_rest(class_scores(predictions)).withColumn("j", F.lit(1)), "j", "left").drop("j")
 
 
+def candidate_forests(pair: TablePair, target: str, **forest) -> DataFrame:
+    """(candidate, accuracy, f1_score, auc): forests of all candidates grown in one plan (``plans.forest``),
+    tested on the real rows, which are read once.
+
+    Columns are as in ``train_and_test``: a class that a candidate lacks becomes its first one if the
+    target is a string, and can never be right otherwise. A candidate without rows gets none.
+    """
+    grown, real = train(pair, target, **forest)
+    shares = save_scratch(class_shares(grown, real), "shares")
+    # The best score and, among equals, the smaller class.
+    guess = shares.groupBy(CANDIDATE, "bins").agg(F.min(F.struct((-F.col("score")).alias("s"), "class")).alias("m")).select(CANDIDATE, "bins", F.col("m.class").alias("prediction"))
+    unseen = F.col("classes")[0] if pair.kinds[target] == "string" else F.lit(None).cast("string")
+    truth = real.join(guess, "bins").join(F.broadcast(grown.classes), CANDIDATE).withColumn(   # one row a candidate
+        "label", F.when(F.array_contains("classes", F.col("label")), F.col("label")).otherwise(unseen))
+    truth = save_scratch(truth.groupBy(CANDIDATE, "bins", "classes", "label", "prediction").agg(F.sum("n").alias("n")), "tested")
+    cells = truth.groupBy(CANDIDATE, "label", "prediction").agg(F.sum("n").alias("n"))
+    held = truth.select(CANDIDATE, "bins", F.explode("classes").alias("class"), "label", "n")
+    scored = held.join(shares, [CANDIDATE, "bins", "class"], "left").select(
+        CANDIDATE, "class", F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce(F.col("label") == F.col("class"), F.lit(False)).alias("is_class"), "n")
+    return _scores_of_cells(cells, [CANDIDATE]).join(_areas(scored, F.col("n"), [CANDIDATE]), CANDIDATE, "left")
+
+
 def cross_test(pair: TablePair, target: str, **forest) -> DataFrame:
     """(direction, accuracy, f1_score, auc) for both directions."""
     there = utility(pair.synthetic, pair.real, target, **forest).withColumn("direction", F.lit("synthetic_to_real"))

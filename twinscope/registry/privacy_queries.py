@@ -349,6 +349,64 @@ def _(spark, sf):
     return rounded(scores.evaluate_candidates(_candidates(spark, sf), target="c_mktsegment"))
 
 
+def _orders_candidates(spark, sf) -> TablePair:
+    """Seven tenths of the orders against three others; one has every price moved."""
+    k = F.col("o_orderkey") % 10
+    name = F.when(k == 7, "plain_a").when(k == 8, "plain_b").when(k == 9, "shifted")
+    price = F.when(k == 9, F.col("o_totalprice") * 1.25).otherwise(F.col("o_totalprice"))
+    rows = table(spark, sf, "orders").withColumns({"o_totalprice": price, "month": F.month("o_orderdate"), "year": F.year("o_orderdate")})
+    return TablePair.tagged(rows, name, ["plain_a", "plain_b", "shifted"], ["o_orderstatus", "o_orderpriority", "o_totalprice", "month", "year"])
+
+
+def _tree_sql(bins: int, depth: int) -> str:
+    """One tree a candidate, level by level, on the bins of the real side; then accuracy, F1 and AUC on it."""
+    features = ["o_orderpriority", "o_totalprice", "month", "year"]
+    ctes = [f"""src AS (SELECT row_number() OVER (ORDER BY o_orderkey) AS id, CASE o_orderkey % 10 WHEN 7 THEN 'plain_a' WHEN 8 THEN 'plain_b' WHEN 9 THEN 'shifted' END AS cand, o_orderstatus AS label,
+        o_orderpriority, CASE WHEN o_orderkey % 10 = 9 THEN o_totalprice * 1.25::DOUBLE ELSE o_totalprice END AS o_totalprice, month(o_orderdate) AS month, year(o_orderdate) AS year FROM orders)"""]
+    for f, c in enumerate(features):
+        ctes.append(f"""cut{f} AS (SELECT min(v) AS cut FROM (SELECT {c} AS v, ((rank() OVER (ORDER BY {c}) - 1) * {bins}) // count(*) OVER () AS b FROM src WHERE cand IS NULL) q GROUP BY b)""")
+    cells = " UNION ALL ".join(f"SELECT id, {f} AS f, 1 + (SELECT count(*) FROM cut{f} WHERE cut <= {c}) AS b FROM src" for f, c in enumerate(features))
+    ctes += [f"x AS ({cells})", "n0 AS (SELECT id, cand, label, 1 AS node FROM src WHERE cand IS NOT NULL)",
+             "m0 AS (SELECT s.id, c.cand, s.label, 1 AS node FROM src s, (SELECT DISTINCT cand FROM src WHERE cand IS NOT NULL) c WHERE s.cand IS NULL)"]
+    for d in range(depth):
+        ctes += [
+            f"g{d} AS (SELECT cand, node, f, b, label, count(*)::DOUBLE AS n FROM n{d} JOIN x USING (id) GROUP BY ALL)",
+            f"t{d} AS (SELECT cand, node, sum(n) AS total, sum(n * n) AS squares FROM (SELECT cand, node, label, count(*)::DOUBLE AS n FROM n{d} GROUP BY ALL) q GROUP BY ALL)",
+            f"k{d} AS (SELECT DISTINCT cand, node, f, b FROM g{d})",
+            f"""c{d} AS (SELECT k.cand, k.node, k.f, k.b, g.label, sum(g.n) FILTER (WHERE g.b <= k.b) AS l, sum(g.n) FILTER (WHERE g.b > k.b) AS r
+                FROM k{d} k JOIN g{d} g ON g.cand = k.cand AND g.node = k.node AND g.f = k.f GROUP BY ALL)""",
+            f"""p{d} AS (SELECT cand, node, f, b, round(sum(l * l) / sum(l) + sum(r * r) / sum(r), 6) AS purity FROM c{d} GROUP BY ALL HAVING sum(r) > 0)""",
+            f"""s{d} AS (SELECT cand, node, f, b FROM (SELECT *, row_number() OVER (PARTITION BY cand, node ORDER BY purity DESC, f, b) AS rk FROM p{d} JOIN t{d} USING (cand, node)
+                WHERE purity > round(squares / total, 6)) q WHERE rk = 1)"""]
+        for side in "nm":
+            ctes.append(f"""{side}{d + 1} AS (SELECT r.id, r.cand, r.label, CASE WHEN s.f IS NULL THEN r.node ELSE 2 * r.node + CASE WHEN x.b > s.b THEN 1 ELSE 0 END END AS node
+                FROM {side}{d} r LEFT JOIN s{d} s ON s.cand = r.cand AND s.node = r.node LEFT JOIN x ON x.id = r.id AND x.f = s.f)""")
+    ctes += [
+        f"leaf AS (SELECT cand, node, label AS class, count(*) * 1.0 / sum(count(*)) OVER (PARTITION BY cand, node) AS share FROM n{depth} GROUP BY cand, node, label)",
+        "kl AS (SELECT DISTINCT cand, label AS class FROM n0)",
+        f"sc AS (SELECT m.id, m.cand, m.label, kl.class, coalesce(round(l.share, 12), 0) AS score FROM m{depth} m JOIN kl USING (cand) LEFT JOIN leaf l ON l.cand = m.cand AND l.node = m.node AND l.class = kl.class)",
+        "pr AS (SELECT cand, id, any_value(label) AS label, first(class ORDER BY score DESC, class) AS prediction FROM sc GROUP BY cand, id)",
+        "f AS (SELECT cand, class, count(*) FILTER (WHERE label = class) AS support, 2.0 * count(*) FILTER (WHERE label = class AND prediction = class) / (count(*) FILTER (WHERE label = class) + count(*) FILTER (WHERE prediction = class)) AS f1 FROM pr JOIN kl USING (cand) GROUP BY cand, class)",
+        "w AS (SELECT cand, avg(CASE WHEN label = prediction THEN 1.0 ELSE 0.0 END) AS accuracy FROM pr GROUP BY cand)",
+        "rk AS (SELECT cand, class, label = class AS hit, rank() OVER (PARTITION BY cand, class ORDER BY score) + (count(*) OVER (PARTITION BY cand, class, score) - 1) / 2.0 AS r FROM sc)",
+        "a AS (SELECT cand, class, count(*) FILTER (WHERE hit)::DOUBLE AS n1, count(*) FILTER (WHERE NOT hit)::DOUBLE AS n0, sum(CASE WHEN hit THEN r END) AS s FROM rk GROUP BY cand, class)",
+        "au AS (SELECT cand, sum((s - n1 * (n1 + 1) / 2) / (n1 * n0) * n1) / sum(n1) AS auc FROM a WHERE n1 > 0 AND n0 > 0 GROUP BY cand)",
+    ]
+    return "WITH " + ", ".join(ctes) + f""" SELECT cand AS candidate, {r6('accuracy')} AS accuracy, {r6('sum(coalesce(f1, 0) * support) / sum(support)')} AS f1_score, {r6('auc')} AS auc
+        FROM f JOIN w USING (cand) JOIN au USING (cand) GROUP BY cand, accuracy, auc"""
+
+
+@query("candidate_trees", _tree_sql(16, 3))
+def _(spark, sf):
+    """One plain tree of depth 3 a candidate: no draws, so that SQL repeats it."""
+    return rounded(utility.candidate_forests(_orders_candidates(spark, sf), "o_orderstatus", bins=16, trees=1, depth=3, bootstrap=False, features_a_node=None))
+
+
+@query("candidate_forests")
+def _(spark, sf):
+    return rounded(utility.candidate_forests(_orders_candidates(spark, sf), "o_orderstatus"))
+
+
 def _candidate_sql() -> str:
     src = """(SELECT c_custkey, CASE WHEN c_custkey % 10 = 9 THEN c_acctbal * 1.5 + 500 ELSE c_acctbal END AS c_acctbal,
         CASE WHEN c_custkey % 10 = 9 AND c_custkey % 3 > 0 THEN 'BUILDING' ELSE c_mktsegment END AS c_mktsegment FROM customer) z"""
