@@ -208,3 +208,30 @@ def test_history_store_computes_each_run_once(spark, tmp_path):
     store.write(spark.createDataFrame([("x", 1, "a", 7.0), ("x", 1, "a", None)], "series_id string, cycle int, metric string, value double"))
     rows = {(r.series_id, r.cycle, r.metric): r.value for r in store.read().collect()}
     assert len(rows) == 9 and rows["x", 1, "a"] == 7.0 and rows["y", 1, "a"] == 1.0
+
+
+@pytest.mark.parametrize("kind", ["int", "double", "decimal(12,2)"])
+def test_rows_without_a_key_stay(spark, kind):
+    df = spark.range(100).select(F.when(F.col("id") % 10 != 0, F.col("id") / 2).cast(kind).alias("k"), "id").repartition(3)
+    first, rest = tables.ordered_split(df, "k")
+    assert first.count() + rest.count() == 100 and first.filter("k is null").count() == 0 and rest.filter("k is null").count() == 10
+    if kind != "int":
+        assert first.count() == 62 and first.agg(F.max("k")).first()[0] < rest.agg(F.min("k")).first()[0]
+
+
+def test_records_without_an_id_get_one(spark, tmp_path):
+    path = str(tmp_path / "log")
+    records = spark.createDataFrame([experiments.experiment("m", {"a": k}) for k in (1.0, 2.0, 2.0)], experiments.EXPERIMENT_SCHEMA)
+    experiments.log_experiments(records.withColumn("experiment_id", F.lit(None).cast("string")), path)
+    read = experiments.read_lines(spark, path).collect()
+    assert len({r["experiment_id"] for r in read}) == 3 and sorted(r["metrics"]["a"] for r in read) == [1.0, 2.0, 2.0]
+
+
+def test_late_rows_are_counted_and_open_windows_computed(spark):
+    at = lambda day, hour: datetime(2024, 1, day, hour)
+    rows = spark.createDataFrame([(at(1, 1), "a"), (at(1, 2), "b"), (at(1, 3), "b"), (at(2, 1), "a"), (None, "a")], "t timestamp, c string")
+    baseline = spark.createDataFrame([("a", 1), ("b", 1)], "value string, n long")
+    closed = spark.createDataFrame([(at(1, 0), 0.0, 2)], "start timestamp, jsd double, n long")   # one row came late
+    got = {r["start"].day: r for r in streams.complete_drift(closed, rows, baseline, "t", "c").collect()}
+    assert (got[1]["n"], got[1]["n_late"], got[1]["closed"]) == (2, 1, True)
+    assert (got[2]["n"], got[2]["n_late"], got[2]["closed"]) == (1, 0, False) and got[2]["jsd"] > 0.1

@@ -3,11 +3,14 @@
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from twinscope.frames import TablePair
+from twinscope.frames import TablePair, null_nan
 from twinscope.operators import constraints, diversity, profile, transforms
+from twinscope.plans.gram import wide_correlations
+from twinscope.plans.moments import pair_correlations
 
 
 def test_profile_of_edge_columns(spark):
@@ -168,3 +171,24 @@ def test_transforms(spark):
     assert {r["v"] for r in transforms.bucket_rare(syn, real, ["v"], 0.5).collect()} == {None, "Other"}
     logs = [r["x"] for r in transforms.log_transform(spark.createDataFrame([(0.0,), (-2.0,)], "x double"), ["x"]).collect()]
     assert logs == [0.0, None]
+
+
+def test_wide_correlations_take_one_scan(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(400, 300)) @ rng.normal(size=(300, 300)) * 1e-3 + 1e6
+    x[rng.random(x.shape) < 0.05] = np.nan
+    x[:, 7], x[:, 8], x[:399, 9] = 5.0, np.nan, np.nan
+    names = [f"c{k}" for k in range(300)]
+    df = spark.createDataFrame(pd.DataFrame(x, columns=names).assign(g=np.where(np.arange(400) % 3 == 0, "a", "b")))
+    got = pair_correlations(df, names).toPandas()
+    assert len(got) == 300 * 299 // 2
+    want = pd.DataFrame(x, columns=names).corr().to_numpy()
+    found = np.full((300, 300), np.nan)
+    found[got.x.str[1:].astype(int), got.y.str[1:].astype(int)] = got.r
+    upper = np.triu_indices(300, 1)
+    assert np.array_equal(np.isnan(found[upper]), np.isnan(want[upper])) and np.nanmax(np.abs(found[upper] - want[upper])) < 1e-7
+    plan = pair_correlations(df, names)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan") == 1
+    some = wide_correlations(df, names[:5], ["g"]).toPandas().set_index(["g", "x", "y"]).r
+    few = pair_correlations(null_nan(df), names[:5], ["g"]).toPandas().set_index(["g", "x", "y"]).r
+    assert np.abs(some - few).max() < 1e-7

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import DataFrame, functions as F
 
 from twinscope.functions.measures import pearson
+from twinscope.plans.gram import wide_correlations
 
 
 def column_moments(df: DataFrame, columns, by=()) -> DataFrame:
@@ -38,20 +38,19 @@ def column_moments(df: DataFrame, columns, by=()) -> DataFrame:
     return wide.select(*by, F.inline(F.array(*[F.col(f"m_{c}") for c in columns])))
 
 
-PAIRS_PER_PASS = 300  # three aggregates each; more would make the generated plan unwieldy
+MOST_PAIRS = 300  # three aggregates each; more would make the generated plan unwieldy
 
 
 def pair_correlations(df: DataFrame, columns, by=()) -> DataFrame:
     """(by..., x, y, r): Pearson r of every unordered column pair, pairwise complete rows.
 
     Centred sums are merged across tasks (numerically stable), and the division is guarded, so a
-    constant column gives NULL instead of an error.  Very wide tables take several passes.
+    constant column gives NULL instead of an error.  Wide tables take one scan too (``plans.gram``).
     """
     pairs = list(combinations(columns, 2))
     if not pairs:
         raise ValueError("a correlation needs at least two columns")
-    passes = [_correlate(df, pairs[i : i + PAIRS_PER_PASS], by) for i in range(0, len(pairs), PAIRS_PER_PASS)]
-    return reduce(DataFrame.unionByName, passes)
+    return _correlate(df, pairs, by) if len(pairs) <= MOST_PAIRS else wide_correlations(df, columns, by)
 
 
 def _correlate(df: DataFrame, pairs, by) -> DataFrame:

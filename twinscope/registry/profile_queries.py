@@ -9,6 +9,7 @@ from twinscope.frames import (
 )
 from twinscope.operators import constraints, diversity, profile, transforms
 from twinscope.plans.moments import column_moments
+from twinscope.plans.moments import pair_correlations
 from twinscope.registry.base import query, r6, rounded, table
 from twinscope.registry.data import (
     HOLED_ORDERS_SQL, LINEITEM_COLUMNS, PART_COLUMNS, SKEWED_ORDERS_SQL, holed_orders, lineitem_pair, part_pair,
@@ -296,13 +297,30 @@ def _(spark, sf):
     return diversity.duplicate_rows(o, "o_orderkey", ["o_orderstatus", "o_orderpriority", "yr"])
 
 
+_WIDE = 60   # columns: 1770 pairs
+
+
+def _wide_columns() -> list[tuple[str, str]]:
+    """(name, SQL) of columns derived from lineitem, with holes."""
+    base = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+    return [(f"c{k}", f"CASE WHEN l_orderkey % {k + 7} <> 0 THEN {base[k % 4]} * {k + 1} + l_linenumber * {k % 5} + l_suppkey % {k + 2} END") for k in range(_WIDE)]
+
+
+@query("correlation_wide", "WITH w AS (SELECT " + ", ".join(f"CAST({sql} AS DOUBLE) AS {c}" for c, sql in _wide_columns()) + " FROM lineitem), p AS (SELECT unnest([" + ", ".join(
+    f"{{'x': 'c{i}', 'y': 'c{j}', 'r': corr(c{i}, c{j})}}" for i in range(_WIDE) for j in range(i + 1, _WIDE)) + f"], recursive := true) FROM w) SELECT x, y, {r6('r')} AS r FROM p")
+def _(spark, sf):
+    """All pairs of sixty columns, with missing values, in one scan."""
+    wide = table(spark, sf, "lineitem").selectExpr(*[f"CAST({sql} AS DOUBLE) AS {c}" for c, sql in _wide_columns()])
+    return rounded(pair_correlations(wide, [c for c, _ in _wide_columns()]))
+
+
 @query("exact_copies", f"""WITH {tagged('lineitem', LINEITEM[1])}
     SELECT count(*) AS n_rows, count(*) FILTER (WHERE r.l_quantity IS NOT NULL) AS n_copies,
       {r6('count(*) FILTER (WHERE r.l_quantity IS NOT NULL) * 1.0 / count(*)')} AS copy_rate
-    FROM t s LEFT JOIN (SELECT DISTINCT l_returnflag, l_linestatus, l_quantity, l_discount, l_tax FROM t WHERE NOT syn) r
-    USING (l_returnflag, l_linestatus, l_quantity, l_discount, l_tax) WHERE s.syn""")
+    FROM t s LEFT JOIN (SELECT DISTINCT l_returnflag, l_linestatus, l_quantity, l_discount, l_tax, l_extendedprice FROM t WHERE NOT syn) r
+    USING (l_returnflag, l_linestatus, l_quantity, l_discount, l_tax, l_extendedprice) WHERE s.syn""")
 def _(spark, sf):
-    return rounded(diversity.exact_copies(lineitem_pair(spark, sf, LINEITEM_COLUMNS[:-1])))
+    return rounded(diversity.exact_copies(lineitem_pair(spark, sf, LINEITEM_COLUMNS)))
 
 
 @query("entropy", f"""WITH c AS ({_long('part', ['p_brand', 'p_type', 'p_size'])})

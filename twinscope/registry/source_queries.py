@@ -62,9 +62,29 @@ def _(spark, sf):
     return both.groupBy("side").agg(F.count("*").alias("n"))
 
 
-@query("fingerprint")
+_LINEITEM = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
+
+
+def _fingerprint_sql(name: str, columns) -> str:
+    """The same digest in SQL."""
+    columns = sorted(columns)
+    text = " || ".join(f"coalesce(CAST(length(CAST({c} AS VARCHAR)) AS VARCHAR) || ':' || CAST({c} AS VARCHAR), '-1:')" for c in columns)
+    return f"""SELECT n_rows, md5('{",".join(columns)}|' || n_rows || '|' || a || '|' || b) AS fingerprint FROM (
+      SELECT count(*) AS n_rows, coalesce(sum(CAST('0x' || h[1:15] AS HUGEINT)), 0) AS a, coalesce(sum(CAST('0x' || h[16:30] AS HUGEINT)), 0) AS b FROM (SELECT md5({text}) AS h FROM {name}) q) z"""
+
+
+@query("ordered_split_null_keys", """SELECT side, count(*) AS n, count(k) AS n_keys FROM (SELECT k, CASE WHEN k IS NOT NULL AND row_number() OVER (ORDER BY k NULLS LAST) <= floor(count(k) OVER () * 0.7) THEN 'first' ELSE 'rest' END AS side
+    FROM (SELECT CASE WHEN o_orderkey % 10 <> 3 THEN CAST(o_orderkey AS DECIMAL(12, 2)) / 4 END AS k FROM orders) q) z GROUP BY side""")
+def _(spark, sf):
+    key = F.when(F.col("o_orderkey") % 10 != 3, (F.col("o_orderkey") / F.lit(4.0)).cast("decimal(14,2)"))
+    first, rest = tables.ordered_split(table(spark, sf, "orders").select(key.alias("k")), "k")
+    both = first.withColumn("side", F.lit("first")).unionByName(rest.withColumn("side", F.lit("rest")))
+    return both.groupBy("side").agg(F.count("*").alias("n"), F.count("k").alias("n_keys"))
+
+
+@query("fingerprint", _fingerprint_sql("lineitem", _LINEITEM))
 def _(spark, sf):
-    return tables.fingerprint(table(spark, sf, "lineitem"))
+    return tables.fingerprint(table(spark, sf, "lineitem"), _LINEITEM)
 
 
 # ---- catalogue ----------------------------------------------------------------------------------
@@ -178,14 +198,16 @@ _DAYS = """SELECT d."column", value, n_real, n_syn FROM (SELECT DISTINCT CAST(da
       count(*) FILTER (WHERE CAST(date_trunc('day', ts) AS DATE) = d."column") AS n_syn FROM events e GROUP BY event_type) x ON true"""
 
 
-@query("stream_window_drift", f"""WITH cells AS ({_DAYS}) SELECT CAST("column" AS VARCHAR) AS day, {r6('jsd')} AS jsd FROM ({jsd_of('cells', 'relative')}) q
-    WHERE "column" < (SELECT CAST(date_trunc('day', max(ts)) AS DATE) FROM events)""")
+@query("stream_window_drift", f"""WITH cells AS ({_DAYS}) SELECT CAST("column" AS VARCHAR) AS day, {r6('jsd')} AS jsd, n, 0::BIGINT AS n_late FROM ({jsd_of('cells', 'relative')}) q
+    JOIN (SELECT CAST(date_trunc('day', ts) AS DATE) AS "column", count(*) AS n FROM events GROUP BY 1) z USING ("column")""")
 def _(spark, sf):
     baseline = table(spark, sf, "events").filter("user_id % 2 = 0").groupBy(F.col("event_type").alias("value")).agg(F.count("*").alias("n"))
     base = _folder(spark, "drift")
     streams.drift_query(_event_stream(spark, sf), baseline, "ts", "event_type", f"{base}/out", f"{base}/state").awaitTermination()
-    out = spark.read.schema("start timestamp, jsd double").parquet(f"{base}/out")
-    return rounded(out.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "jsd"))
+    closed = spark.read.schema("start timestamp, jsd double, n long").parquet(f"{base}/out")
+    events = table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    out = streams.complete_drift(closed, events, baseline, "ts", "event_type")
+    return rounded(out.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "jsd", "n", "n_late"))
 
 
 @query("stream_audit_ingest", "SELECT event_type AS action, count(*) AS n FROM events GROUP BY event_type")

@@ -26,16 +26,18 @@ def read_experiments(spark: SparkSession, path: str) -> DataFrame:
 
 def log_experiments(records: DataFrame, path: str) -> DataFrame:
     """Append records as JSON lines and return them.  An id that is already stored is replaced by
-    a fresh one; the new id is derived from the record, so a repeated task writes the same."""
+    a fresh one, and so is a missing id; the new id is derived from the record, so a repeated task
+    writes the same."""
     spark = records.sparkSession
     known = read_lines(spark, path).select("experiment_id").distinct().withColumn("_taken", F.lit(True))
     text = F.concat_ws("|", *[F.to_json(F.struct(F.col(c))) for c in _FIELDS])
     body = F.md5(F.concat_ws("|", F.lit(uuid.uuid4().hex), F.col("_nth").cast("string"), text))
     # Of new records with one id, the first keeps it if it isn't stored.
-    records = records.withColumn("_nth", F.row_number().over(Window.partitionBy("experiment_id").orderBy(text)))
+    group = F.coalesce(F.col("experiment_id"), F.concat(F.lit("-"), F.md5(text)))
+    records = records.withColumn("_nth", F.row_number().over(Window.partitionBy(group).orderBy(text)))
     fresh = F.concat_ws("-", *[F.substring(body, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
     out = records.join(known, "experiment_id", "left").withColumn(
-        "experiment_id", F.when(F.coalesce(F.col("_taken"), F.lit(False)) | (F.col("_nth") > 1), fresh).otherwise(F.col("experiment_id"))
+        "experiment_id", F.when(F.col("experiment_id").isNull() | F.coalesce(F.col("_taken"), F.lit(False)) | (F.col("_nth") > 1), fresh).otherwise(F.col("experiment_id"))
     ).select(*_FIELDS)
     out.write.mode("append").json(path)
     return out

@@ -43,29 +43,33 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | str | None
 def ordered_split(df: DataFrame, key: str, fraction: float = 0.7) -> tuple[DataFrame, DataFrame]:
     """First ``fraction`` of the rows in the order of a unique numeric key, and the rest.
 
-    The cut key comes from running totals, so nothing is sorted in one task.
+    The cut key comes from running totals, so nothing is sorted in one task.  Rows without a key
+    are among the rest; decimals of up to 18 digits are compared exactly, as whole numbers.
     """
     kind = df.schema[key].dataType
     if isinstance(kind, T.IntegralType):
-        return _integral_split(df, key, fraction)
-    counts = df.select(F.lit("key").alias("column"), F.col(key).cast("double").alias("value"), F.lit(1).cast("long").alias("n"))
+        return _integral_split(df, F.col(key).cast("long"), fraction)
+    if isinstance(kind, T.DecimalType) and kind.precision <= 18:
+        whole = F.col(key).cast(T.DecimalType(38, kind.scale)) * F.lit(10 ** kind.scale).cast("decimal(19,0)")
+        return _integral_split(df, whole.cast("long"), fraction)
+    keys = df.select(F.lit("key").alias("column"), F.col(key).cast("double").alias("value"), F.lit(1).cast("long").alias("n"))
+    counts = keys.filter(F.col("value").isNotNull())
     run = running_totals(counts, ["n"], ["column"])
     wanted = F.floor(F.col("tot_n") * fraction)
     cut = run.filter(F.col("run_n") <= wanted).agg(F.max("value").alias("cut")).first()["cut"]  # one number
     if cut is None:
         return df.limit(0), df
     x = F.col(key).cast("double")
-    return df.filter(x <= cut), df.filter(x > cut)
+    return df.filter(x <= cut), df.filter((x > cut) | x.isNull())
 
 
-def _integral_split(df: DataFrame, key: str, fraction: float) -> tuple[DataFrame, DataFrame]:
+def _integral_split(df: DataFrame, x: Column, fraction: float) -> tuple[DataFrame, DataFrame]:
     """As above, exact for keys of any size: doubles only hold parts of a key.
 
     Running totals over ranges of 2**20 keys find the range of the cut; the same over the keys of
     that one range find the cut.
     """
     low_bits = 20
-    x = F.col(key).cast("long")
 
     def upto(part: DataFrame, value: Column, wanted: Column | int):
         counts = part.groupBy(value.cast("double").alias("value")).agg(F.count(F.lit(1)).alias("n")).select(F.lit("key").alias("column"), "value", "n")
@@ -83,7 +87,7 @@ def _integral_split(df: DataFrame, key: str, fraction: float) -> tuple[DataFrame
     high, left = int(ranges["next"]), int(ranges["wanted"]) - int(ranges["before"] or 0)
     within = upto(df.filter(F.shiftright(x, low_bits) == high), x.bitwiseAND(F.lit((1 << low_bits) - 1)), left)
     cut = (high << low_bits) + (int(within["last"]) if within["last"] is not None else -1)
-    return df.filter(x <= cut), df.filter(x > cut)
+    return df.filter(x <= cut), df.filter((x > cut) | x.isNull())
 
 
 def hash_split(df: DataFrame, key: str, percent: int = 70) -> tuple[DataFrame, DataFrame]:
@@ -120,14 +124,17 @@ def sample_variants(spark: SparkSession, n: int = 100, seed: int = 42) -> DataFr
 def fingerprint(df: DataFrame, columns=None) -> DataFrame:
     """One row: n_rows and a hex digest that does not depend on row order or partitioning.
 
-    Sum and xor of row hashes combine in the map tasks; repeated rows change the sum.
+    A row's digest is the MD5 of its columns as text, each with its length before it and NULL as
+    ``-1:``; the sums of its two halves combine in the map tasks, and repeated rows change them.
     """
     columns = sorted(df.columns if columns is None else columns)
-    h = F.xxhash64(*[F.col(c) for c in columns])
-    parts = df.agg(
-        F.count("*").alias("n_rows"),
-        F.coalesce(F.sum(h.cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)")).alias("total"),
-        F.coalesce(F.bit_xor(h), F.lit(0).cast("long")).alias("mix"),
-    )
-    text = F.concat_ws("|", F.lit(",".join(columns)), F.col("n_rows").cast("string"), F.col("total").cast("string"), F.col("mix").cast("string"))
+    text = [F.col(c).cast("string") for c in columns]
+    row = F.md5(F.concat(*[F.coalesce(F.concat(F.length(t).cast("string"), F.lit(":"), t), F.lit("-1:")) for t in text]))
+
+    def total(first: int) -> Column:
+        part = F.conv(F.substring(row, first, 15), 16, 10).cast("decimal(38,0)")
+        return F.coalesce(F.sum(part), F.lit(0).cast("decimal(38,0)")).cast("string")
+
+    parts = df.agg(F.count("*").alias("n_rows"), total(1).alias("a"), total(16).alias("b"))
+    text = F.concat_ws("|", F.lit(",".join(columns)), F.col("n_rows").cast("string"), "a", "b")
     return parts.select("n_rows", F.md5(text).alias("fingerprint"))

@@ -63,10 +63,10 @@ def drift(counts: DataFrame, baseline: DataFrame) -> DataFrame:
 
 def drift_query(stream: DataFrame, baseline: DataFrame, time: str, category: str, out_path: str, checkpoint: str,
                 window: str = "1 day", delay: str = "1 hour") -> StreamingQuery:
-    """Write (start, jsd) for every window when it closes; the last window stays open until later
-    data moves the watermark."""
+    """Write (start, jsd, n) for every window when it closes; the last window stays open until later
+    data moves the watermark (see ``complete_drift``)."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        drift(batch.persist(), baseline).write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
+        _drift_and_rows(batch.persist(), baseline).write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
         batch.unpersist()
 
     return (
@@ -76,6 +76,27 @@ def drift_query(stream: DataFrame, baseline: DataFrame, time: str, category: str
     )
 
 
+def _drift_and_rows(counts: DataFrame, baseline: DataFrame) -> DataFrame:
+    return drift(counts, baseline).join(counts.groupBy("start").agg(F.sum("n").alias("n")), "start")
+
+
+def complete_drift(closed: DataFrame, rows: DataFrame, baseline: DataFrame, time: str, category: str,
+                   window: str = "1 day") -> DataFrame:
+    """(start, jsd, n, n_late, closed) of every window, once a stream has read all there is.
+
+    ``closed`` is what ``drift_query`` wrote, ``rows`` the same source read as a table. Windows that the
+    watermark has not closed are computed from the rows; for closed ones ``n_late`` says how many
+    rows came after the delay and are not in them.
+    """
+    counts = rows.filter(F.col(time).isNotNull()).groupBy(F.window(time, window), category).agg(F.count("*").alias("n"))
+    counts = counts.select(F.col("window.start").alias("start"), F.col(category).alias("value"), "n")
+    there = counts.groupBy("start").agg(F.sum("n").alias("n_all"))
+    done = closed.join(there, "start", "left").select(
+        "start", "jsd", "n", (F.coalesce("n_all", "n") - F.col("n")).alias("n_late"), F.lit(True).alias("closed"))
+    left = _drift_and_rows(counts.join(closed.select("start"), "start", "left_anti"), baseline)
+    return done.unionByName(left.select("start", "jsd", "n", F.lit(0).cast("long").alias("n_late"), F.lit(False).alias("closed")))
+
+
 def audit_stream(spark: SparkSession, path: str) -> DataFrame:
     """Audit entries as they are appended."""
     return spark.readStream.schema(AUDIT_SCHEMA).json(path)
