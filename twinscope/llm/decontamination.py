@@ -33,6 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from twinscope.llm.arrays import ALNUM, U, expand, pieces, prefix, shingles, span_hash, utf8, words
+from twinscope.llm.store import saved
 
 K1, B = 1.2, 0.75
 THRESHOLD = 0.5      # share of an item's weight that a passage must cover to be verified
@@ -63,10 +64,24 @@ def _text_words(column: pa.Array):
     return (span_hash(prefix(buf), start, end) if len(start) else np.zeros(0, U)), begin
 
 
-def build(ids: list, texts: list[str | None], answers: list[str | None] | None = None) -> Index:
-    """The index of one shard; an answer column, where there is one, is the second part."""
-    whole = [f"{t or ''} {a or ''}" for t, a in zip(texts, answers)] if answers else texts
-    hashed, begin = _text_words(pa.array(whole, pa.string()))
+@dataclass
+class Statistics:
+    """Of all items: how many have words, their mean and largest number, and how many hold each term of a shard."""
+
+    items: int
+    mean: float
+    span: int
+    terms: np.ndarray        # sorted hashes
+    df: np.ndarray
+
+
+def build(ids: list, texts: list[str | None], answers: list[str | None] | None = None, whole: Statistics | None = None) -> Index:
+    """The index of one shard; an answer column, where there is one, is the second part.
+
+    ``whole`` has the statistics of all shards; without it the items are all there are.
+    """
+    both = [f"{t or ''} {a or ''}" for t, a in zip(texts, answers)] if answers else texts
+    hashed, begin = _text_words(pa.array(both, pa.string()))
     n = np.diff(begin)
     kept = np.flatnonzero(n > 0)
     ids = [ids[k] for k in kept]
@@ -82,8 +97,11 @@ def build(ids: list, texts: list[str | None], answers: list[str | None] | None =
     term, item = key // max(len(rows), 1), key % max(len(rows), 1)
     df = np.bincount(term, minlength=len(vocabulary))
     length = np.array([len(r) for r in rows], float)
-    idf = np.log(1 + (len(rows) - df + 0.5) / (df + 0.5))
-    weight = idf[term] * times * (K1 + 1) / (times + K1 * (1 - B + B * length[item] / length.mean())) if len(rows) else np.zeros(0)
+    if whole:
+        df = whole.df[np.searchsorted(whole.terms, vocabulary)]
+    n_items, mean = (whole.items, whole.mean) if whole else (len(rows), length.mean() if len(rows) else 1.0)
+    idf = np.log(1 + (n_items - df + 0.5) / (df + 0.5))
+    weight = idf[term] * times * (K1 + 1) / (times + K1 * (1 - B + B * length[item] / mean)) if len(rows) else np.zeros(0)
     impact = weight / np.bincount(item, weights=weight, minlength=len(rows))[item] if len(rows) else weight
     # By item from the commonest term on: those that stay below the threshold together open nothing.
     order = np.lexsort((term, -df[term], item))
@@ -97,7 +115,7 @@ def build(ids: list, texts: list[str | None], answers: list[str | None] | None =
     key = term * blocks + item // BLOCK
     new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else key
     best = np.maximum.reduceat(impact, new) * (1 + 1e-6) if len(key) else impact
-    return Index(vocabulary, np.searchsorted(term, np.arange(len(vocabulary) + 1)), item, impact, opens, blocks, key[new], np.append(new, len(key)), best, int(n.max(initial=1)), ids, parts)
+    return Index(vocabulary, np.searchsorted(term, np.arange(len(vocabulary) + 1)), item, impact, opens, blocks, key[new], np.append(new, len(key)), best, whole.span if whole else int(n.max(initial=1)), ids, parts)
 
 
 def _pairs(index: Index, term: np.ndarray, block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -207,15 +225,42 @@ def _unhit(shared, batches):
         yield piece.filter(pa.array(kept))
 
 
+def _item_terms(answer: bool, batches):
+    """(shard, n, terms): the words of each item, counted, and its distinct terms."""
+    for batch in batches:
+        text = batch.column("text")
+        if answer:
+            text = pc.binary_join_element_wise(pc.fill_null(text, ""), pc.fill_null(batch.column("answer"), ""), " ")
+        hashed, begin = _text_words(text)
+        rows = [np.unique(hashed[a:b]).view(np.int64) for a, b in zip(begin[:-1], begin[1:])]
+        yield pa.RecordBatch.from_pydict({"shard": batch.column("shard"), "n": pa.array(np.diff(begin)), "terms": pa.array([r.tolist() for r in rows], pa.list_(pa.int64()))})
+
+
+def _statistics(items: DataFrame, answer: bool, shards: int):
+    """Statistics over all items, with the terms of one shard at a time."""
+    shard = F.pmod(F.xxhash64("item_id"), F.lit(shards)).cast("int").alias("shard")
+    found = saved(items.select(shard, "text", *(["answer"] if answer else [])).mapInArrow(partial(_item_terms, answer), "shard int, n long, terms array<long>"), "item-terms")
+    total = found.where("n > 0").agg(F.count(F.lit(1)).alias("items"), F.avg("n").alias("mean"), F.max("n").alias("span")).first()
+    held = found.select("shard", F.explode("terms").alias("term"))
+    df = saved(held.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "item-frequencies")
+    for k in range(shards):
+        mine = held.where(F.col("shard") == k).select("term").distinct().join(df, "term").toArrow()   # terms of SHARD_BYTES of text, about
+        terms = mine.column("term").to_numpy().astype(np.int64).view(U)
+        order = np.argsort(terms)
+        yield Statistics(total["items"], total["mean"] or 1.0, total["span"] or 1, terms[order], mine.column("df").to_numpy()[order])
+
+
 def _indexes(spark, benchmark: DataFrame):
-    """The broadcast index of each shard of the items, one after another."""
+    """The broadcast index of each shard of the items, one after another; frequencies, lengths and
+    passages are those of all items, so that results don't depend on the shards."""
     answer = [c for c in ("answer",) if c in benchmark.columns]
-    items = benchmark.where(F.col("item_id").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text", *answer)
+    items = benchmark.where(F.col("item_id").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text", *answer).dropDuplicates()
     size = items.agg(F.sum(sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in ("text", *answer)), F.lit(0)))).first()[0] or 0
     shards = -(-size // SHARD_BYTES) or 1
-    for k in range(shards):
-        part = items.where(F.pmod(F.xxhash64("item_id"), F.lit(shards)) == k).dropDuplicates().orderBy("item_id", "text").collect()   # SHARD_BYTES, about
-        yield spark.sparkContext.broadcast(build([r["item_id"] for r in part], [r["text"] for r in part], [r["answer"] for r in part] if answer else None))
+    items = saved(items, "items") if shards > 1 else items
+    for k, whole in enumerate(_statistics(items, bool(answer), shards) if shards > 1 else [None]):
+        part = items.where(F.pmod(F.xxhash64("item_id"), F.lit(shards)) == k).orderBy("item_id", "text").collect()   # SHARD_BYTES, about
+        yield spark.sparkContext.broadcast(build([r["item_id"] for r in part], [r["text"] for r in part], [r["answer"] for r in part] if answer else None, whole))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -9,8 +9,10 @@ as reaching. The candidates left are then scored in full. Bounds of many queries
 as matrix products. The best k of every block and query meet in one last ranking.
 
 Cases: vectors that are null or hold a null, NaN or infinite component, and null ids, take no part;
-vectors of other lengths are padded with zeros; repeated rows count once; the query's own id is no
-candidate. With fewer than k candidates all are returned. Ties go to the smaller id.
+vectors of other lengths are padded with zeros; repeated rows are rows of their own, as candidates and
+as queries (more than k of a kind change no result and are left out); the query's own id is no
+candidate. With fewer than k candidates all are returned. Ties go to the smaller id. Components from
+2**53 / 256 on and products beyond 64 bits raise an error.
 """
 
 from __future__ import annotations
@@ -30,10 +32,11 @@ def integers(embeddings: DataFrame) -> DataFrame:
     """(vec_id, v): floor(256 * x) of each component; rows that take no part are gone."""
     x = F.transform("embedding", lambda c: c.cast("double"))
     fine = F.forall("embedding", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c.cast("double")) < F.lit(float("inf"))))
-    return (
-        embeddings.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).where(fine)
-        .select("vec_id", F.transform(x, lambda c: F.floor(c * 256).cast("long")).alias("v")).dropDuplicates()
-    )
+    large = F.exists(x, lambda c: F.abs(c) * 256 >= F.lit(float(1 << 53)))
+    v = F.when(large, F.raise_error(F.lit("a component is beyond 2**53 / 256"))).otherwise(F.transform(x, lambda c: F.floor(c * 256).cast("long")))
+    rows = embeddings.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).where(fine).select("vec_id", v.alias("v"))
+    times = F.least(F.count(F.lit(1)), F.lit(K)).cast("int")
+    return rows.groupBy("vec_id", "v").agg(times.alias("n")).select("vec_id", "v", F.explode(F.array_repeat(F.lit(True), F.col("n"))).alias("_")).drop("_")
 
 
 def bounded_search(queries: np.ndarray, query_ids: np.ndarray, block: np.ndarray, ids: np.ndarray, k: int = K):
@@ -42,10 +45,11 @@ def bounded_search(queries: np.ndarray, query_ids: np.ndarray, block: np.ndarray
     The block is in ascending order of id, and a query's own id is left out.
     """
     n, width = block.shape
-    peak = float(np.abs(block).max(initial=0)) * float(np.abs(queries).max(initial=0)) * width
-    kind = np.float32 if peak < 2 ** 23 else np.float64  # products and sums are exact in it
-    if peak >= 2 ** 52:
-        return _direct(queries, query_ids, block, ids, k)
+    peak = int(np.abs(block).max(initial=0)) * int(np.abs(queries).max(initial=0)) * width
+    if peak >= 2 ** 63:
+        raise ValueError("inner products may go beyond 64 bits")
+    kind = np.float32 if peak < 2 ** 23 else np.float64 if peak < 2 ** 52 else np.int64  # products and sums are exact in it
+    lowest = np.iinfo(np.int64).min if kind is np.int64 else -np.inf
     q, b = queries.astype(kind), block.astype(kind)
     up, down = np.maximum(q, 0), np.minimum(q, 0)
     order = np.argsort(b, axis=0, kind="stable")
@@ -63,7 +67,7 @@ def bounded_search(queries: np.ndarray, query_ids: np.ndarray, block: np.ndarray
         # Unread: a favoured component is at most the last value read, and at least the list's other end.
         upper = known + (up * last_high) @ (~high).T.astype(kind) + (down * last_low) @ (~low).T.astype(kind)
         lower = known + (up * lists[0]) @ (~high).T.astype(kind) + (down * lists[-1]) @ (~low).T.astype(kind)
-        floor = np.partition(np.where(own, -np.inf, lower), n - kk, axis=1)[:, n - kk]
+        floor = np.partition(np.where(own, lowest, lower), n - kk, axis=1)[:, n - kk]
         alive &= upper >= floor[:, None]
         if alive.sum() <= 4 * kk * len(q):
             break
@@ -79,17 +83,6 @@ def bounded_search(queries: np.ndarray, query_ids: np.ndarray, block: np.ndarray
     return row[best], column[best], score[best]
 
 
-def _direct(queries, query_ids, block, ids, k):
-    """Values too large for exact floating-point bounds: Python's integers, one query at a time."""
-    rows = []
-    big = block.astype(object)
-    for i, q in enumerate(queries.astype(object)):
-        score = big @ q
-        order = [j for j in sorted(range(len(ids)), key=lambda j: (-score[j], ids[j])) if ids[j] != query_ids[i]][:k]
-        rows += [(i, j, int(score[j])) for j in order]
-    return tuple(np.array([r[c] for r in rows], np.int64) for c in range(3))
-
-
 def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
     lists = column.combine_chunks()
     out = np.zeros((len(lists), width), np.int64)
