@@ -73,7 +73,7 @@ def _fingerprint_sql(name: str, columns) -> str:
       SELECT count(*) AS n_rows, coalesce(sum(CAST('0x' || h[1:15] AS HUGEINT)), 0) AS a, coalesce(sum(CAST('0x' || h[16:30] AS HUGEINT)), 0) AS b FROM (SELECT md5({text}) AS h FROM {name}) q) z"""
 
 
-@query("ordered_split_null_keys", """SELECT side, count(*) AS n, count(k) AS n_keys FROM (SELECT k, CASE WHEN k IS NOT NULL AND row_number() OVER (ORDER BY k NULLS LAST) <= floor(count(k) OVER () * 0.7) THEN 'first' ELSE 'rest' END AS side
+@query("ordered_split_null_keys", """SELECT side, count(*) AS n, count(k) AS n_keys FROM (SELECT k, CASE WHEN k IS NOT NULL AND row_number() OVER (ORDER BY k NULLS LAST) <= floor(count(k) OVER () * 0.7::DOUBLE) THEN 'first' ELSE 'rest' END AS side
     FROM (SELECT CASE WHEN o_orderkey % 10 <> 3 THEN CAST(o_orderkey AS DECIMAL(12, 2)) / 4 END AS k FROM orders) q) z GROUP BY side""")
 def _(spark, sf):
     key = F.when(F.col("o_orderkey") % 10 != 3, (F.col("o_orderkey") / F.lit(4.0)).cast("decimal(14,2)"))
