@@ -33,20 +33,24 @@ def numbered_days(spark, sf):
     return events.withColumn("day", F.datediff(F.to_date("ts"), F.lit(first).cast("date")) + 1)
 
 
-_SERIES, _LATER = (F.col("user_id") % GROUPS).cast("string"), F.col("day") >= FIRST_DAY
+def _series_and_later():
+    """The series of an event, and whether it belongs to a run."""
+    return (F.col("user_id") % GROUPS).cast("string"), F.col("day") >= FIRST_DAY
 
 
 def all_runs(spark, sf):
     """(series_id, cycle): a run for each user group and each day from ``FIRST_DAY`` on."""
-    return numbered_days(spark, sf).where(_LATER).select(_SERIES.alias("series_id"), F.col("day").cast("int").alias("cycle")).distinct()
+    series, later = _series_and_later()
+    return numbered_days(spark, sf).where(later).select(series.alias("series_id"), F.col("day").cast("int").alias("cycle")).distinct()
 
 
 def runs_pair(spark, sf, runs=None) -> TablePair:
     """Days 1-15 as the real table, each of the ``runs`` (all of them by default) as one candidate."""
     events = numbered_days(spark, sf)
     names = sorted(f"{r.series_id}-{r.cycle}" for r in (all_runs(spark, sf) if runs is None else runs).collect())  # one per group and day
-    name = F.concat_ws("-", _SERIES, F.col("day").cast("string"))
-    wanted = events.withColumn("run", F.when(_LATER, name)).where(~_LATER | F.col("run").isin(names))
+    series, later = _series_and_later()
+    name = F.concat_ws("-", series, F.col("day").cast("string"))
+    wanted = events.withColumn("run", F.when(later, name)).where(~later | F.col("run").isin(names))
     return TablePair.tagged(wanted, F.col("run"), names, ["event_type", "value"])
 
 
