@@ -5,6 +5,8 @@ By default a spread of queries runs; set TWINSCOPE_ALL=1 to run all of them.
 
 import math
 import os
+import subprocess
+import sys
 
 import pytest
 
@@ -53,3 +55,9 @@ def test_query_matches_sql(spark, duck, name):
 def test_contract(spark):
     assert set(oracle_sql()) <= set(queries())
     assert entry(spark).count() == 6
+
+
+def test_entry_imports_without_a_session():
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    done = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; assert set(e.oracle_sql()) <= set(e.queries())"], cwd=root, capture_output=True, text=True)
+    assert done.returncode == 0, done.stderr
