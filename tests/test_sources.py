@@ -235,3 +235,24 @@ def test_late_rows_are_counted_and_open_windows_computed(spark):
     got = {r["start"].day: r for r in streams.complete_drift(closed, rows, baseline, "t", "c").collect()}
     assert (got[1]["n"], got[1]["n_late"], got[1]["closed"]) == (2, 1, True)
     assert (got[2]["n"], got[2]["n_late"], got[2]["closed"]) == (1, 0, False) and got[2]["jsd"] > 0.1
+
+
+def test_lanes_keep_every_record(spark, tmp_path):
+    lines = ["id,name,x", '1,"a, b",1.5', "2,,", "3,c,many", "4", "5,d,2,more", "", "six,e,1"]
+    (tmp_path / "t.csv").write_text("\n".join(lines))
+    lanes = tables.read_lanes(spark, str(tmp_path / "t.csv"), "id long, name string, x double", required=["x"])
+    assert sorted(tuple(r) for r in lanes.rows.collect()) == [(1, "a, b", 1.5)]
+    found = sorted((r["reason"], r["record"]) for r in lanes.rejects.collect())
+    assert found == [("fields", "4"), ("fields", "5,d,2,more"), ("missing:x", '{"id":2}'), ("value:id", "six,e,1"), ("value:x", "3,c,many")]
+    assert all(r["file"].endswith("t.csv") for r in lanes.rejects.collect())
+
+
+def test_lanes_of_json(spark, tmp_path):
+    lines = ['{"id": 1, "x": 2}', '{"id": "one"}', '{"id": 3', "[]", "null", '{"other": 1}']
+    (tmp_path / "t.json").write_text("\n".join(lines))
+    lanes = tables.read_lanes(spark, str(tmp_path / "t.json"), "id long, x double", required=["id"])
+    assert [tuple(r) for r in lanes.rows.collect()] == [(1, 2.0)]
+    reasons = sorted(r["reason"] for r in lanes.rejects.collect())
+    assert reasons == ["malformed", "malformed", "malformed", "missing:id", "value:id"]
+    with pytest.raises(ValueError):
+        tables.read_lanes(spark, str(tmp_path / "t.json"), "id long", required=["absent"])

@@ -45,6 +45,55 @@ def _(spark, sf):
     return rows.filter("l_quantity > 25").groupBy("l_returnflag").agg(F.count("*").alias("n"))
 
 
+# Every 50th price is no number, every next one lacks its last field, every next one has one too many.
+_LANE = "CASE o_orderkey % 50 WHEN 0 THEN 'value:o_totalprice' WHEN 1 THEN 'fields' WHEN 2 THEN 'fields' END"
+_LANES_SQL = "SELECT coalesce({reason}, '') AS reason, count(*) AS n, sum(o_orderkey)::BIGINT AS keys FROM orders GROUP BY 1"
+
+
+def _lane_counts(lanes: tables.ReadLanes, key, rejected_key):
+    """(reason, n, keys): an empty reason for the rows that were read."""
+    read = lanes.rows.select(F.lit("").alias("reason"), key.alias("key"))
+    return read.unionByName(lanes.rejects.select("reason", rejected_key.cast("long").alias("key"))).groupBy("reason").agg(
+        F.count("*").alias("n"), F.sum("key").alias("keys"))
+
+
+@query("csv_rejects", _LANES_SQL.format(reason=_LANE))
+def _(spark, sf):
+    """Orders as lines of text, some of them broken."""
+    k, path = F.col("o_orderkey"), _folder(spark, "lines")
+    price = F.when(k % 50 == 0, "n/a").otherwise(F.col("o_totalprice").cast("string"))
+    fields = F.concat_ws(",", k.cast("string"), "o_orderstatus", price, F.when(k % 50 != 1, F.col("o_orderpriority")), F.when(k % 50 == 2, "more"))
+    table(spark, sf, "orders").select(fields.alias(",".join(_ORDER_COLUMNS))).write.option("quote", "").csv(path, header=True, sep="\u0001")
+    lanes = tables.read_lanes(spark, path, _ORDER_SCHEMA, "csv")
+    return _lane_counts(lanes, k, F.substring_index("record", ",", 1))
+
+
+@query("json_rejects", _LANES_SQL.format(reason="CASE o_orderkey % 50 WHEN 0 THEN 'value:o_totalprice' WHEN 1 THEN 'malformed' WHEN 2 THEN 'missing:o_orderstatus' END"))
+def _(spark, sf):
+    k, path = F.col("o_orderkey"), _folder(spark, "lines")
+    whole = F.to_json(F.struct("o_orderkey", F.when(k % 50 != 2, F.col("o_orderstatus")).alias("o_orderstatus"), "o_totalprice", "o_orderpriority"))
+    wrong = F.to_json(F.struct("o_orderkey", "o_orderstatus", F.lit("n/a").alias("o_totalprice")))
+    line = F.when(k % 50 == 0, wrong).when(k % 50 == 1, F.concat(F.lit('{"o_orderkey":'), k.cast("string"), F.lit(',"o_'))).otherwise(whole)
+    table(spark, sf, "orders").select(line.alias("value")).write.text(path)
+    lanes = tables.read_lanes(spark, path, _ORDER_SCHEMA, "json", required=["o_orderkey", "o_orderstatus"])
+    return _lane_counts(lanes, k, F.regexp_extract("record", r'"o_orderkey":(\d+)', 1))
+
+
+@query("experiment_rejects", """SELECT CASE WHEN user_id % 40 = 0 THEN 'malformed' WHEN user_id % 40 = 1 THEN 'missing:experiment_id' WHEN user_id % 40 = 2 THEN 'value:metrics' ELSE '' END AS reason,
+    count(*) AS n FROM events GROUP BY 1""")
+def _(spark, sf):
+    """Every event as a record of its own."""
+    u, path = F.col("user_id"), _folder(spark, "records")
+    named = F.when(u % 40 != 1, F.concat(F.lit("run-"), F.col("event_id").cast("string"))).alias("experiment_id")
+    record = F.to_json(F.struct(named, F.col("event_type").alias("model_type"), F.create_map(F.lit("value"), F.col("value").cast("double")).alias("metrics")))
+    odd = F.to_json(F.struct(named, F.lit("none").alias("metrics")))
+    line = F.when(u % 40 == 0, F.substring(record, 1, 12)).when(u % 40 == 2, odd).otherwise(record)
+    table(spark, sf, "events").select(line.alias("value")).write.text(path)
+    lanes = experiments.read_experiment_lanes(spark, path)
+    reasons = lanes.rows.select(F.lit("").alias("reason")).unionByName(lanes.rejects.select("reason"))
+    return reasons.groupBy("reason").agg(F.count("*").alias("n"))
+
+
 @query("ordered_split", f"""SELECT CASE WHEN rn <= floor(n * 0.7) THEN 'train' ELSE 'test' END AS side, count(*) AS n, sum(CAST(o_totalprice AS DECIMAL(20, 2)))::DOUBLE AS total
     FROM (SELECT o_totalprice, row_number() OVER (ORDER BY o_orderkey) AS rn, count(*) OVER () AS n FROM orders) q GROUP BY 1""")
 def _(spark, sf):

@@ -8,6 +8,8 @@ from datetime import datetime, timezone
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from twinscope.sources.tables import ReadLanes, read_lanes
+
 EXPERIMENT_SCHEMA = (
     "experiment_id string, timestamp string, dataset_version string, model_type string, status string, "
     "preprocessing_config map<string,string>, model_config map<string,string>, training_config map<string,string>, "
@@ -24,6 +26,12 @@ def read_experiments(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def read_experiment_lanes(spark: SparkSession, path: str) -> ReadLanes:
+    """Records of JSON lines with those that can't be read beside them, each with its file and
+    reason; a record without an id is one of them."""
+    return read_lanes(spark, path, EXPERIMENT_SCHEMA, "json", required=["experiment_id"])
+
+
 def log_experiments(records: DataFrame, path: str) -> DataFrame:
     """Append records as JSON lines and return them.  An id that is already stored is replaced by
     a fresh one, and so is a missing id; the new id is derived from the record, so a repeated task

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from twinscope.constants import (
@@ -9,6 +11,7 @@ from twinscope.constants import (
 )
 from twinscope.frames import null_nan
 from twinscope.plans.ordered import running_totals
+from twinscope.plans.scratch import save_scratch
 
 VARIANT_SCHEMA = T.StructType([
     T.StructField("gene_symbol", T.StringType()),
@@ -40,6 +43,74 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | str | None
     return null_nan(df)
 
 
+@dataclass(frozen=True)
+class ReadLanes:
+    """``rows`` that fit the schema, and ``rejects`` (file, record, reason) that don't."""
+
+    rows: DataFrame
+    rejects: DataFrame
+
+
+_RECORD, _FILE = "_corrupt_record", "_source_file"
+
+
+def read_lanes(spark: SparkSession, path: str, schema: T.StructType | str, fmt: str | None = None, required=()) -> ReadLanes:
+    """Scan CSV (with header) or JSON lines without losing a record: rows + rejects = records.
+
+    The files are parsed once and written to scratch, so both lanes see the same records.  A record
+    is rejected with the first reason that holds: ``malformed`` (no record of that format),
+    ``value:<column>`` (the first column whose text is not a value of its type), ``fields`` (too
+    many or too few of them), ``missing:<column>`` (a required column that is empty).  Blank lines
+    are no records.
+    """
+    fmt = fmt or ("json" if path.rstrip("/").endswith(".json") else "csv")
+    if fmt not in ("csv", "json"):
+        raise ValueError(f"no lanes for {fmt!r}")
+    schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    clash = {_RECORD, _FILE} & set(schema.names)
+    if clash:
+        raise ValueError(f"reserved columns: {sorted(clash)}")
+    unknown = sorted(set(required) - set(schema.names))
+    if unknown:
+        raise ValueError(f"columns missing: {unknown}")
+    asked = T.StructType([*schema.fields, T.StructField(_RECORD, T.StringType())])
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _RECORD}
+    if fmt == "csv":
+        parsed = spark.read.schema(asked).options(**options).csv(path, header=True).select("*", F.col("_metadata.file_path").alias(_FILE))
+    else:
+        # Line by line: the reader of JSON files makes no row of a line like ``null`` or ``[]``.
+        lines = spark.read.text(path).select(F.col("value").alias("_line"), F.col("_metadata.file_path").alias(_FILE))
+        fields = lines.filter(F.trim("_line") != "").withColumn("_row", F.from_json("_line", asked, options))
+        record = F.when(F.get_json_object("_line", "$").startswith("{") & F.col(f"_row.{_RECORD}").isNull(), None).otherwise(F.col("_line"))
+        parsed = fields.select(*[F.col(f"_row.{c}").alias(c) for c in schema.names], record.alias(_RECORD), _FILE)
+    parsed = save_scratch(parsed, "lanes")
+    rejects = _rejected(parsed.filter(F.col(_RECORD).isNotNull()), schema, fmt)
+    good = null_nan(parsed.filter(F.col(_RECORD).isNull()).drop(_RECORD))
+    if required:
+        lacking = F.coalesce(*[F.when(F.col(c).isNull(), F.lit(f"missing:{c}")) for c in required])
+        record = F.to_json(F.struct(*schema.names))
+        rejects = rejects.unionByName(good.filter(lacking.isNotNull()).select(F.col(_FILE).alias("file"), record.alias("record"), lacking.alias("reason")))
+        good = good.filter(lacking.isNull())
+    return ReadLanes(good.drop(_FILE), rejects)
+
+
+def _rejected(broken: DataFrame, schema: T.StructType, fmt: str) -> DataFrame:
+    """Name the reason: the record is parsed again with every column as text."""
+    names = schema.names
+    plain = T.StructType([T.StructField(c, T.StringType()) for c in names])
+    options = {"mode": "PERMISSIVE"}
+    if fmt == "csv":
+        text = F.from_csv(F.col(_RECORD), plain.simpleString()[len("struct<"):-1].replace(":", " "), options)
+        readable = F.lit(True)
+    else:
+        text = F.from_json(F.col(_RECORD), plain, options)
+        readable = F.coalesce(F.get_json_object(_RECORD, "$").startswith("{"), F.lit(False))
+    broken = broken.withColumn("_text", text).withColumn("_readable", readable)
+    unread = [F.when(F.col(f"_text.{c}").isNotNull() & F.col(c).isNull(), F.lit(f"value:{c}")) for c in names]
+    reason = F.when(~F.col("_readable"), F.lit("malformed")).otherwise(F.coalesce(*unread, F.lit("fields")))
+    return broken.select(F.col(_FILE).alias("file"), F.col(_RECORD).alias("record"), reason.alias("reason"))
+
+
 def ordered_split(df: DataFrame, key: str, fraction: float = 0.7) -> tuple[DataFrame, DataFrame]:
     """First ``fraction`` of the rows in the order of a unique numeric key, and the rest.
 
