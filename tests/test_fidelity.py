@@ -1,9 +1,11 @@
 import math
+from itertools import combinations
 
 import numpy as np
 import pytest
 from pyspark.sql import Window, functions as F
 
+from twinscope.functions.measures import lattice_share, small_sample_p
 from twinscope.frames import TablePair, UnsupportedColumn, column_kinds, diagnostic_categorical, null_nan
 from twinscope.operators import bias, fidelity
 from twinscope.plans.frequencies import KEYS, pair_counts
@@ -242,3 +244,28 @@ def test_a_thousand_candidates(spark):
     got = fidelity.fidelity_by_column(TablePair.tagged(table, F.col("c"), [f"c{k}" for k in range(1000)], ["label", "x"]))
     rows = got.collect()
     assert len(rows) == 2000 and all(0 <= r["jsd"] < 0.7 for r in rows) and all((r["ks"] is None) == (r["column"] == "label") for r in rows)
+
+
+def test_small_sample_p_counts_paths():
+    for n in range(1, 9):
+        for m in range(1, 9):
+            gaps = []
+            for chosen in combinations(range(n + m), n):
+                i, largest = 0, 0
+                for k in range(n + m):
+                    i += k in chosen
+                    largest = max(largest, abs(i * m - (k + 1 - i) * n))
+                gaps.append(largest)
+            for gap in {0, *gaps}:
+                want = sum(g >= gap for g in gaps) / len(gaps)
+                assert lattice_share(gap / (n * m), n, m) == pytest.approx(want, abs=1e-12)
+
+
+def test_small_sample_p_in_a_plan(spark):
+    real = spark.range(40).select((F.col("id") * 1.0).alias("x"), F.lit(None).cast("double").alias("y"))
+    pair = TablePair.of(real, spark.range(30).select((F.col("id") * 1.0 + 12).alias("x"), F.lit(1.0).alias("y")))
+    found = {r["column"]: r["p_value"] for r in fidelity.ks_test(pair, exact=True).collect()}
+    assert found["x"] == pytest.approx(lattice_share(12 / 40, 40, 30), abs=1e-12)
+    assert found["y"] == 0.0  # no values on one side
+    large = spark.range(3000).select(F.lit(0.02).alias("d"), F.lit(20_000).alias("n"), F.lit(20_000).alias("m")).limit(1)
+    assert large.select(small_sample_p(F.col("d"), F.col("n"), F.col("m"))).first()[0] == pytest.approx(0.00066, abs=5e-5)

@@ -9,7 +9,7 @@ from twinscope.frames import (
     without_candidate,
 )
 from twinscope.functions.measures import (
-    clip01, divergence_term, kolmogorov_p, messages, rank_of, severity_above,
+    clip01, divergence_term, kolmogorov_p, messages, rank_of, severity_above, small_sample_p,
 )
 from twinscope.constants import LEVELS
 from twinscope.plans.codes import attach_codes, code_dictionary
@@ -18,6 +18,7 @@ from twinscope.plans.histograms import histograms_of_counts, pair_histograms
 from twinscope.plans.moments import pair_correlations
 from twinscope.plans.ordered import running_totals
 from twinscope.plans.shared import Cumulative, category_counts
+from twinscope.ship import ship
 
 TOT_REAL, TOT_SYN = f"tot_{REAL}", f"tot_{SYN}"
 
@@ -27,11 +28,11 @@ TOT_REAL, TOT_SYN = f"tot_{REAL}", f"tot_{SYN}"
 
 # ---- Kolmogorov-Smirnov -------------------------------------------------------------------------
 
-def _with_p(gaps: DataFrame) -> DataFrame:
-    return gaps.select(*KEYS, "statistic", kolmogorov_p(F.col("statistic"), F.col("n"), F.col("m")).alias("p_value"))
+def _with_p(gaps: DataFrame, p_value=kolmogorov_p) -> DataFrame:
+    return gaps.select(*KEYS, "statistic", p_value(F.col("statistic"), F.col("n"), F.col("m")).alias("p_value"))
 
 
-def ks_of_ordered(ordered: DataFrame) -> DataFrame:
+def ks_of_ordered(ordered: DataFrame, p_value=kolmogorov_p) -> DataFrame:
     """(candidate, column, statistic, p_value) from running totals."""
     gap = F.abs(
         F.try_divide(F.col(f"run_{REAL}"), F.col(TOT_REAL))
@@ -40,20 +41,25 @@ def ks_of_ordered(ordered: DataFrame) -> DataFrame:
     return (
         ordered.groupBy(*KEYS)
         .agg(F.max(gap).alias("statistic"), F.max(TOT_REAL).alias("n"), F.max(TOT_SYN).alias("m"))
-        .filter((F.col("n") > 0) & (F.col("m") > 0)).transform(_with_p)
+        .filter((F.col("n") > 0) & (F.col("m") > 0)).transform(_with_p, p_value)
     )
 
 
-def ks_test(pair: TablePair, columns=None, empty_as_null: bool = False) -> DataFrame:
-    """Two-sample KS statistic and asymptotic p-value per numeric column.
+def ks_test(pair: TablePair, columns=None, empty_as_null: bool = False, exact: bool = False) -> DataFrame:
+    """Two-sample KS statistic and p-value per numeric column.
 
-    A column with no values on one side gets (1, 0), or NULLs with ``empty_as_null``.
+    The p-value is the asymptotic one, or with ``exact`` that of finite samples (``small_sample_p``:
+    one evaluation a column and candidate, after the values have been counted).  A column with no
+    values on one side gets (1, 0), or NULLs with ``empty_as_null``.
     """
+    if exact:
+        ship(pair.rows.sparkSession)
+    p_value = small_sample_p if exact else kolmogorov_p
     columns = ks_columns(pair.kinds) if columns is None else list(columns)
     if len(pair.candidates) == 1:
-        found = ks_of_ordered(running_totals(pair_counts(pair, columns, "double")))
+        found = ks_of_ordered(running_totals(pair_counts(pair, columns, "double")), p_value)
     else:
-        found = _with_p(Cumulative(pair, columns).gaps())
+        found = _with_p(Cumulative(pair, columns).gaps(), p_value)
     out = pair.column_list(columns).join(F.broadcast(found), KEYS, "left")
     if not empty_as_null:
         out = out.withColumn("statistic", F.coalesce("statistic", F.lit(1.0)))

@@ -8,10 +8,10 @@ from twinscope.frames import TablePair
 from twinscope.operators import bias, fidelity
 from twinscope.registry.base import query, r6, rounded, table
 from twinscope.registry.data import (
-    LINEITEM_COLUMNS, SKEWED_ORDERS_SQL, lineitem_pair, part_pair, skewed_orders,
+    LINEITEM_COLUMNS, SKEWED_ORDERS_SQL, customer_pair, lineitem_pair, part_pair, skewed_orders,
 )
 from twinscope.registry.sqltext import (
-    LINEITEM, ORDERS, P_VALUE, PART, bin_cells, cells, jsd_all, jsd_of, ks_cte, tagged,
+    CUSTOMER, LINEITEM, ORDERS, P_VALUE, PART, bin_cells, cells, jsd_all, jsd_of, ks_cte, tagged,
 )
 
 SKEWED = (SKEWED_ORDERS_SQL + " z", ORDERS[1], ORDERS[2], ORDERS[3])
@@ -36,6 +36,19 @@ def _(spark, sf):
     return rounded(fidelity.ks_test(lineitem_pair(spark, sf)).drop("statistic"))
 
 
+@query("ks_p_value_small", f"""WITH RECURSIVE {tagged(*CUSTOMER[:2])}, {ks_cte(CUSTOMER[3])},
+    s AS (SELECT "column", CAST(n AS BIGINT) AS n, CAST(m AS BIGINT) AS m, CAST(round(d * n * m) AS BIGINT) AS h FROM ks),
+    w AS (SELECT "column", n, m, h, 0::BIGINT AS k, list_transform(range(0, n + 2), lambda x: 0.0::DOUBLE) AS u FROM s UNION ALL
+      SELECT "column", n, m, h, k + 1, list_concat([0.0::DOUBLE], list_transform(range(0, n + 1), lambda i: CASE
+        WHEN i > k + 1 OR k + 1 - i > m THEN 0.0 WHEN abs(i * m - (k + 1 - i) * n) >= h THEN 1.0::DOUBLE
+        ELSE (i * u[i + 1] + (k + 1 - i) * u[i + 2]) / (k + 1) END)) FROM w WHERE k < n + m)
+    SELECT "column", {r6('least(1.0, u[n + 2])')} AS p_value, u[n + 2] < 0.05 AS differs FROM w WHERE k = n + m AND greatest(n, m) <= 10000""")
+def _(spark, sf):
+    """Account balances and nations of two groups of customers, by counted lattice paths."""
+    found = fidelity.ks_test(customer_pair(spark, sf), exact=True)
+    return rounded(found.select("column", "p_value", (F.col("p_value") < 0.05).alias("differs")))
+
+
 @query("ks_empty_side", """SELECT 'o_totalprice' AS "column", 1.0::DOUBLE AS statistic, 0.0::DOUBLE AS p_value FROM orders HAVING count(*) > 0""")
 def _(spark, sf):
     o = table(spark, sf, "orders").select("o_totalprice")
