@@ -192,3 +192,19 @@ def test_wide_correlations_take_one_scan(spark):
     some = wide_correlations(df, names[:5], ["g"]).toPandas().set_index(["g", "x", "y"]).r
     few = pair_correlations(null_nan(df), names[:5], ["g"]).toPandas().set_index(["g", "x", "y"]).r
     assert np.abs(some - few).max() < 1e-7
+
+
+def test_diversity_by_candidate_is_the_report_of_each(spark):
+    real = spark.range(400).select((F.col("id") % 4).cast("string").alias("a"), (F.col("id") % 7 == 0).alias("b"), F.col("id").alias("x"))
+    sides = {
+        "same": real, "flat": real.withColumn("a", F.lit("1")), "copies": real.withColumn("x", F.col("x") % 50),
+        "odd": real.withColumn("a", F.when(F.col("x") % 9 != 0, F.lit("new")).otherwise(F.col("a"))),
+        "none": real.filter("x < 0"), "holes": real.withColumn("a", F.lit(None).cast("string")),
+    }
+    got = {r["candidate"]: r.asDict() for r in diversity.diversity_by_candidate(TablePair.of_candidates(real, sides), ["a", "b"]).collect()}
+    assert set(got) == set(sides)
+    for name, rows in sides.items():
+        want = diversity.diversity_report(TablePair.of(real, rows), ["a", "b"]).first().asDict()
+        mine = {k: v for k, v in got[name].items() if k != "candidate"}
+        assert {k: round(v, 9) if isinstance(v, float) else v for k, v in mine.items()} == {k: round(v, 9) if isinstance(v, float) else v for k, v in want.items()}, name
+    assert got["flat"]["n_collapsed"] == 1 and got["none"]["n_rows"] == 0 and got["copies"]["n_unique"] < 400

@@ -7,21 +7,24 @@ from pyspark.sql import Column, DataFrame, functions as F
 from twinscope.constants import (
     CRITICAL_UNIQUE_RATIO, MAX_DUPLICATE_RATE, MAX_ENTROPY_RATIO, MIN_ENTROPY_RATIO, MIN_UNIQUE_RATIO,
 )
-from twinscope.frames import CANDIDATE, TablePair, column_kinds, diagnostic_categorical, null_nan, without_candidate
+from twinscope.frames import CANDIDATE, TablePair, column_kinds, diagnostic_categorical, null_nan, small_table, without_candidate
 from twinscope.functions.measures import clip01, messages
 from twinscope.operators.profile import frequencies, top_values
 from twinscope.plans.frequencies import KEYS, REAL, SYN, pair_counts, with_totals
+from twinscope.plans.shared import category_counts
 
 
-def uniqueness(df: DataFrame, columns=None) -> DataFrame:
-    """One row: n_rows, n_unique, unique_ratio, duplicate_count, duplicate_rate.
+def uniqueness(df: DataFrame, columns=None, by=()) -> DataFrame:
+    """One row (of each group ``by``): n_rows, n_unique, unique_ratio, duplicate_count, duplicate_rate.
 
     Copies collapse in the map tasks, so a row that occurs a billion times costs one shuffled row.
     """
-    columns = df.columns if columns is None else list(columns)
-    copies = null_nan(df.select(*columns)).groupBy(*columns).agg(F.count("*").alias("n"))
+    by = list(by)
+    columns = [c for c in df.columns if c not in by] if columns is None else list(columns)
+    copies = null_nan(df.select(*by, *columns)).groupBy(*by, *columns).agg(F.count("*").alias("n"))
     rows, distinct = F.coalesce(F.sum("n"), F.lit(0)), F.count("*")
-    return copies.agg(rows.alias("n_rows"), distinct.alias("n_unique")).select(
+    return copies.groupBy(*by).agg(rows.alias("n_rows"), distinct.alias("n_unique")).select(
+        *by,
         "n_rows",
         "n_unique",
         F.coalesce(F.try_divide(F.col("n_unique"), F.col("n_rows")), F.lit(1.0)).alias("unique_ratio"),
@@ -70,9 +73,9 @@ def exact_copies(pair: TablePair) -> DataFrame:
     ).withColumn("copy_rate", F.coalesce(F.try_divide(F.col("n_copies"), F.col("n_rows")), F.lit(0.0)))
 
 
-def _entropy(n: Column, total: Column) -> Column:
+def _entropy(n: Column, total: Column, times: Column | int = 1) -> Column:
     share = n / total
-    return F.coalesce(-F.sum(F.when(n > 0, share * F.ln(share))), F.lit(0.0))
+    return F.coalesce(-F.sum(F.when(n > 0, share * F.ln(share) * times)), F.lit(0.0))
 
 
 def entropy(df: DataFrame, columns) -> DataFrame:
@@ -91,11 +94,12 @@ def entropy_ratios(pair: TablePair, columns) -> DataFrame:
         F.coalesce("real_entropy", F.lit(0.0)).alias("real_entropy"),
         F.coalesce("synthetic_entropy", F.lit(0.0)).alias("synthetic_entropy"),
     )
-    # Sums of logarithms leave a residue near 1e-17 where the entropy is exactly zero.
-    ratio = F.when(F.col("real_entropy") < 1e-15, F.lit(1.0)).otherwise(
-        F.try_divide(F.col("synthetic_entropy"), F.col("real_entropy"))
-    )
-    return without_candidate(out.withColumn("ratio", ratio), pair)
+    return without_candidate(out.withColumn("ratio", _entropy_ratio()), pair)
+
+
+def _entropy_ratio() -> Column:
+    """Sums of logarithms leave a residue near 1e-17 where the entropy is exactly zero."""
+    return F.when(F.col("real_entropy") < 1e-15, F.lit(1.0)).otherwise(F.try_divide(F.col("synthetic_entropy"), F.col("real_entropy")))
 
 
 def dominant_classes(df: DataFrame, columns, by=()) -> DataFrame:
@@ -117,7 +121,10 @@ def collapsed_columns(df: DataFrame, columns=None, threshold: float = 0.90, by=(
     return dominant_classes(df, columns, by).filter(F.col("frequency") >= threshold)
 
 
-def mode_collapse(df: DataFrame, columns, threshold: float = 0.95, by=()) -> DataFrame:
+COLLAPSED = 0.95  # share of the top class above which a column has collapsed
+
+
+def mode_collapse(df: DataFrame, columns, threshold: float = COLLAPSED, by=()) -> DataFrame:
     """Categorical columns whose top class exceeds ``threshold`` or that have a single class."""
     return dominant_classes(df, columns, by).filter((F.col("frequency") > threshold) | (F.col("n_unique") < 2))
 
@@ -136,28 +143,52 @@ def diversity_score(unique: Column, duplicate_rate: Column, mean_closeness: Colu
 def diversity_report(pair: TablePair, categorical=None) -> DataFrame:
     """One row: uniqueness, duplicates, entropy closeness, collapse, score, severity, issues.
 
-    For one candidate; evaluate several by calling it per candidate.
+    For one candidate; ``diversity_by_candidate`` reports on several.
+    """
+    return diversity_by_candidate(pair, categorical).drop(CANDIDATE)
+
+
+def diversity_by_candidate(pair: TablePair, categorical=None) -> DataFrame:
+    """The report, a row for each candidate, from one count of rows and one of categories.
+
+    The real side is counted once.  A candidate without rows has 0 of all counts and a
+    unique_ratio of 1, as an empty table has.
     """
-    synthetic = pair.synthetic
     if categorical is None:
         categorical = diagnostic_categorical(pair.real, pair.kinds)
-    base = uniqueness(synthetic).withColumn("j", F.lit(1))
+    synthetic = pair.rows.filter(F.col(CANDIDATE).isNotNull())
+    everyone = small_table(pair.rows.sparkSession, [(c,) for c in pair.candidates], f"{CANDIDATE} string")
+    found = uniqueness(synthetic, pair.columns, [CANDIDATE])
+    zero, one = F.lit(0).cast("long"), F.lit(1.0)
+    empty = {"n_rows": zero, "n_unique": zero, "unique_ratio": one, "duplicate_count": zero, "duplicate_rate": F.lit(0.0)}
+    # One row a candidate in every join below.
+    base = everyone.join(F.broadcast(found), CANDIDATE, "left").select(CANDIDATE, *[F.coalesce(c, v).alias(c) for c, v in empty.items()])
+    counts = ["n_low_entropy", "n_high_entropy", "n_collapsed"]
     if categorical:
-        ratio = F.col("ratio")
-        ratios = entropy_ratios(pair, categorical).agg(
-            F.avg(1 - F.abs(ratio - 1) / 0.10).alias("closeness"),
-            F.count_if(ratio < MIN_ENTROPY_RATIO).alias("n_low_entropy"),
-            F.count_if(ratio > MAX_ENTROPY_RATIO).alias("n_high_entropy"),
+        one_row_each = len(pair.candidates) == 1
+        cells = pair_counts(pair, list(categorical)).withColumn("times", F.lit(1)) if one_row_each else category_counts(pair, list(categorical))
+        times = F.col("times")  # categories that a candidate lacks stand together
+        totals = cells.groupBy(*KEYS).agg(*[F.sum(F.col(n) * times).alias(f"tot_{n}") for n in (REAL, SYN)])
+        full = cells.join(F.broadcast(totals), KEYS)  # a row for each candidate and column
+        entropies = [_entropy(F.col(n), F.nullif(F.col(f"tot_{n}"), F.lit(0)), times) for n in (REAL, SYN)]
+        top, held = F.max(F.try_divide(F.col(SYN), F.col(f"tot_{SYN}"))), F.sum(F.when(F.col(SYN) > 0, times).otherwise(0))
+        columns = full.groupBy(*KEYS).agg(*[e.alias(n) for e, n in zip(entropies, ("real_entropy", "synthetic_entropy"))],
+                                          ((held > 0) & ((top > COLLAPSED) | (held < 2))).alias("collapsed"))
+        columns = pair.column_list(categorical).drop("position").join(F.broadcast(columns), KEYS, "left").fillna(0.0).fillna(False)
+        per = columns.withColumn("ratio", _entropy_ratio()).groupBy(CANDIDATE).agg(
+            F.avg(1 - F.abs(F.col("ratio") - 1) / 0.10).alias("closeness"),
+            F.count_if(F.col("ratio") < MIN_ENTROPY_RATIO).alias("n_low_entropy"),
+            F.count_if(F.col("ratio") > MAX_ENTROPY_RATIO).alias("n_high_entropy"),
+            F.count_if("collapsed").alias("n_collapsed"),
         )
-        collapse = mode_collapse(synthetic, categorical).agg(F.count("*").alias("n_collapsed"))
-        for side in (ratios, collapse):  # one-row results side by side
-            base = base.join(F.broadcast(side.withColumn("j", F.lit(1))), "j", "left")
+        base = base.join(F.broadcast(per), CANDIDATE, "left")
     else:
-        zero = F.lit(0).cast("long")
-        base = base.withColumns({
-            "closeness": F.lit(None).cast("double"), "n_low_entropy": zero,
-            "n_high_entropy": zero, "n_collapsed": zero,
-        })
+        base = base.withColumns({"closeness": F.lit(None).cast("double"), **{c: zero for c in counts}})
+    return _judged(base)
+
+
+def _judged(base: DataFrame) -> DataFrame:
+    """Score, severity and issues from the figures of a report."""
     unique, dup = F.col("unique_ratio"), F.col("duplicate_rate")
     odd = (F.col("n_low_entropy") > 0) | (F.col("n_high_entropy") > 0)
     severity = (
@@ -174,7 +205,7 @@ def diversity_report(pair: TablePair, categorical=None) -> DataFrame:
         (F.col("n_low_entropy") > 0, F.lit("entropy too low")),
         (F.col("n_high_entropy") > 0, F.lit("entropy too high")),
     )
-    return base.drop("j").withColumns({
+    return base.withColumns({
         "diversity_score": diversity_score(unique, dup, F.col("closeness")),
         "severity": severity,
         "issues": issues,

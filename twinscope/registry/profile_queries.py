@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from twinscope.frames import (
-    analysis_categorical, column_kinds, common_columns, diagnostic_categorical, ks_columns, small_table,
+    TablePair, analysis_categorical, column_kinds, common_columns, diagnostic_categorical, ks_columns, small_table,
 )
 from twinscope.operators import constraints, diversity, profile, transforms
 from twinscope.plans.moments import column_moments
@@ -365,22 +365,47 @@ def _(spark, sf):
     return rounded(diversity.mode_collapse(skewed_orders(spark, sf).synthetic, ["o_orderstatus", "o_orderpriority"]))
 
 
-@query("diversity_report", f"""WITH {_entropy_sql('part', PART[1], ['p_brand', 'p_type'])},
-    u AS (SELECT sum(n)::BIGINT AS n_rows, count(*) AS n_unique FROM (SELECT count(*) AS n FROM t WHERE syn GROUP BY p_brand, p_type, p_size) q),
-    e AS (SELECT avg(1 - abs(x - 1) / 0.10) AS closeness, count(*) FILTER (WHERE x < 0.90) AS n_low_entropy,
-        count(*) FILTER (WHERE x > 1.10) AS n_high_entropy FROM (SELECT CASE WHEN re < 1e-15 THEN 1.0 ELSE se / re END AS x FROM ent) q),
-    k AS (SELECT count(*) AS n_collapsed FROM (SELECT "column", max(n_syn) * 1.0 / sum(n_syn) AS f, count(*) FILTER (WHERE n_syn > 0) AS d
-        FROM cells GROUP BY "column") q WHERE f > 0.95 OR d < 2),
-    a AS (SELECT *, n_unique * 1.0 / n_rows AS ur, (n_rows - n_unique) * 1.0 / n_rows AS dr FROM u, e, k)
-    SELECT n_rows, n_unique, {r6('ur')} AS unique_ratio, n_rows - n_unique AS duplicate_count, {r6('dr')} AS duplicate_rate,
+def _diversity_sql(source: str, flag: str, columns, categories, first: str = "") -> str:
+    """The report as a SELECT; ``first`` is a constant column before the others."""
+    return f"""SELECT {first}n_rows, n_unique, {r6('ur')} AS unique_ratio, n_rows - n_unique AS duplicate_count, {r6('dr')} AS duplicate_rate,
       {r6('closeness')} AS closeness, n_low_entropy, n_high_entropy, n_collapsed,
       {r6('least(1.0, greatest(0.0, least(ur / 0.95, 1.0) * 0.4 + CASE WHEN dr < 0.02 THEN (1 - dr / 0.02) * 0.3 ELSE 0 END + greatest(closeness, 0) * 0.3))')} AS diversity_score,
       CASE WHEN n_collapsed > 0 OR ur < 0.80 THEN 'Critical' WHEN ur < 0.95 OR dr > 0.02 THEN 'Warning'
-        WHEN n_low_entropy + n_high_entropy > 0 THEN 'Acceptable' ELSE 'Excellent' END AS severity FROM a""")
+        WHEN n_low_entropy + n_high_entropy > 0 THEN 'Acceptable' ELSE 'Excellent' END AS severity FROM (
+    WITH {_entropy_sql(source, flag, categories)},
+    u AS (SELECT sum(n)::BIGINT AS n_rows, count(*) AS n_unique FROM (SELECT count(*) AS n FROM t WHERE syn GROUP BY {', '.join(columns)}) q),
+    e AS (SELECT avg(1 - abs(x - 1) / 0.10) AS closeness, count(*) FILTER (WHERE x < 0.90) AS n_low_entropy,
+        count(*) FILTER (WHERE x > 1.10) AS n_high_entropy FROM (SELECT CASE WHEN re < 1e-15 THEN 1.0 ELSE se / re END AS x FROM ent) q),
+    k AS (SELECT count(*) AS n_collapsed FROM (SELECT "column", max(n_syn) * 1.0 / sum(n_syn) AS f, count(*) FILTER (WHERE n_syn > 0) AS d
+        FROM cells GROUP BY "column") q WHERE f > 0.95 OR d < 2)
+    SELECT *, n_unique * 1.0 / n_rows AS ur, (n_rows - n_unique) * 1.0 / n_rows AS dr FROM u, e, k) a"""
+
+
+@query("diversity_report", _diversity_sql("part", PART[1], ["p_brand", "p_type", "p_size"], ["p_brand", "p_type"]))
 def _(spark, sf):
     return rounded(diversity.diversity_report(part_pair(spark, sf, ["p_brand", "p_type", "p_size"])).drop("issues"))
 
 
+_DIVERSE = ["l_returnflag", "l_linestatus", "l_quantity", "l_extendedprice"]
+
+
+def _lineitem_side(condition: str) -> str:
+    """The real lines and one candidate's, marked."""
+    return f"(SELECT *, ({condition}) AS mine FROM lineitem WHERE l_orderkey % 10 < 7 OR ({condition})) z"
+
+
+# Candidates of lineitem: the rest of the orders, its returned lines, its cheap lines.
+_CANDIDATES = {"rest": "l_orderkey % 10 >= 7", "returned": "l_orderkey % 10 >= 7 AND l_returnflag = 'R'", "few": "l_orderkey % 10 >= 7 AND l_quantity <= 10"}
+
+
+@query("diversity_by_candidate", " UNION ALL ".join(
+    _diversity_sql(_lineitem_side(c), "mine", _DIVERSE, ["l_returnflag", "l_linestatus"], f"'{name}' AS candidate, ") for name, c in _CANDIDATES.items()))
+def _(spark, sf):
+    lines = table(spark, sf, "lineitem").select("l_orderkey", *_DIVERSE)
+    pair = TablePair.of_candidates(lines.filter("l_orderkey % 10 < 7"), {name: lines.filter(c) for name, c in _CANDIDATES.items()}, _DIVERSE)
+    return rounded(diversity.diversity_by_candidate(pair, ["l_returnflag", "l_linestatus"]).drop("issues"))
+
+
 @query("compare_diversity", f"""WITH {tagged('lineitem', LINEITEM[1])}
     SELECT CASE WHEN syn THEN 'synthetic' ELSE 'real' END AS side, sum(n)::BIGINT AS n_rows, count(*) AS n_unique, {r6('count(*) / sum(n)')} AS unique_ratio
     FROM (SELECT syn, count(*) AS n FROM t GROUP BY syn, l_returnflag, l_linestatus, l_quantity, l_discount) q GROUP BY syn""")
