@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 import twinscope.plans.codes as codes
 import twinscope.plans.nearest as nearest
 from twinscope.frames import TablePair
-from twinscope.operators import privacy
+from twinscope.operators import conditional, privacy
 
 
 def brute(queries, real):
@@ -211,3 +211,58 @@ def test_repeated_new_experiment_ids(spark, tmp_path):
     experiments.log_experiments(df, str(tmp_path / "runs"))
     stored = [r.experiment_id for r in experiments.read_lines(spark, str(tmp_path / "runs")).collect()]
     assert len(stored) == len(set(stored)) == 2 and "same" in stored
+
+
+# ---- sampling by condition ----------------------------------------------------------------------
+
+def _conditioned(spark):
+    k = F.col("id")
+    noise = F.pmod(F.xxhash64("id"), F.lit(1000)) / 1000.0
+    rows = spark.range(3000).select(
+        F.when(k % 10 == 9, None).when(k % 3 == 0, "up").when(k % 30 == 1, "few").otherwise("down").alias("g"), (k % 1000 / 1000.0).alias("x"), noise.alias("e"), k)
+    y = F.when(F.col("g") == "up", F.col("x") + 0.3 * F.col("e")).otherwise(-F.col("x") + 0.3 * F.col("e"))
+    return rows.select("g", "x", y.alias("y"), F.when(F.col("g") != "few", F.concat(F.lit("w"), (F.col("id") % 700).cast("string"))).alias("word"),
+                       F.when(k % 4 != 0, (k % 5).cast("int")).alias("whole"), (k % 2 == 0).alias("flag"))
+
+
+@pytest.mark.parametrize("large", [False, True])
+def test_sample_by_condition(spark, monkeypatch, large):
+    if large:  # salted lookups, dealt blocks and cut columns in place of broadcasts
+        from twinscope.plans import codes
+
+        for module in (codes, conditional):
+            monkeypatch.setattr(module, "BROADCAST_ROWS", 20)
+        monkeypatch.setattr(conditional, "BLOCK", 64)
+    real = _conditioned(spark)
+    drawn = conditional.sample_by_condition(real, "g").toPandas()
+    have = real.filter("g is not null").toPandas()
+    assert drawn.groupby("g").size().to_dict() == have.groupby("g").size().to_dict()
+    assert not drawn.duplicated(["g", "id"]).any() and list(drawn.columns) == ["g", "id", "x", "y", "word", "whole", "flag"]
+    for g, sign in (("up", 1), ("down", -1)):
+        mine, theirs = drawn[drawn.g == g], have[have.g == g]
+        assert sign * mine.x.corr(mine.y) > 0.8
+        assert mine.x.between(theirs.x.min(), theirs.x.max()).all() and set(mine.word) <= set(theirs.word)
+        assert abs(mine.whole.isna().mean() - theirs.whole.isna().mean()) < 0.05
+        assert abs(mine.flag.mean() - theirs.flag.mean()) < 0.06
+    assert drawn[drawn.g == "few"].word.isna().all()
+    again = conditional.sample_by_condition(real.repartition(7), "g").toPandas()
+    assert sorted(map(str, again[["g", "id", "word", "whole"]].values.tolist())) == sorted(map(str, drawn[["g", "id", "word", "whole"]].values.tolist()))
+
+
+def test_sample_by_condition_edges(spark):
+    real = _conditioned(spark)
+    assert conditional.sample_by_condition(real.filter("g = 'none'"), "g", method="independent").count() == 0
+    assert conditional.sample_by_condition(real.filter("g is null"), "g").count() == 0
+    each = conditional.sample_by_condition(real.withColumn("g", F.length("g")), "g", n_each=5, columns=["whole"])
+    assert each.schema["g"].dataType.simpleString() == "int" and each.groupBy("g").count().filter("count = 5").count() == each.select("g").distinct().count()
+    with pytest.raises(ValueError):
+        conditional.sample_by_condition(real, "g", columns=["g"])
+
+
+def test_running_totals_of_many_cuts_large_keys(spark):
+    from twinscope.plans.ordered import running_totals_of_many
+
+    counts = spark.range(500).select(F.when(F.col("id") < 450, "a").otherwise("b").alias("k"), F.format_string("%05d", F.col("id")).alias("value"), (F.col("id") % 3 + 1).alias("n"))
+    for size in (20, 10_000):
+        got = running_totals_of_many(counts, ["n"], ["k"], bucket_rows=size).toPandas().sort_values(["k", "value"])
+        assert (got.groupby("k").n.cumsum() == got.run_n).all() and (got.groupby("k").n.transform("sum") == got.tot_n).all() and len(got) == 500

@@ -118,11 +118,16 @@ def fit_copula(real: DataFrame, marginals: Marginals) -> np.ndarray:
         at = {c: i for i, c in enumerate(columns)}
         for r in pair_correlations(normal_scores(real, marginals), columns).collect():
             matrix[at[r["x"]], at[r["y"]]] = matrix[at[r["y"]], at[r["x"]]] = r["r"] or 0.0
+    return correlation_factor(matrix)
+
+
+def correlation_factor(matrix: np.ndarray) -> np.ndarray:
+    """Cholesky factor of a correlation matrix that was estimated pair by pair."""
     # Pairwise correlations may be slightly indefinite: lift small eigenvalues, restore the diagonal.
     values, vectors = np.linalg.eigh(matrix)
     fixed = (vectors * np.maximum(values, 1e-9)) @ vectors.T
     scale = np.sqrt(np.diag(fixed))
-    return np.linalg.cholesky(fixed / np.outer(scale, scale) + 1e-12 * np.eye(len(columns)))
+    return np.linalg.cholesky(fixed / np.outer(scale, scale) + 1e-12 * np.eye(len(matrix)))
 
 
 def sample_copula(marginals: Marginals, factor: np.ndarray, n: int, seed: int = 42) -> DataFrame:

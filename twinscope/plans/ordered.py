@@ -38,6 +38,23 @@ def running_totals(counts: DataFrame, measures=(REAL, SYN), keys=KEYS, bucket_ro
     return out if keep_bucket else out.drop("bucket")
 
 
+def running_totals_of_many(counts: DataFrame, measures, keys, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """As ``running_totals``, for any number of keys: nothing with a row a key is broadcast unless it
+    is counted small, and only keys with more values than a bucket holds are cut."""
+    keys, measures = list(keys), list(measures)
+    counts = save_scratch(counts, "counts")
+    totals = save_scratch(counts.groupBy(*keys).agg(F.count(F.lit(1)).alias("_k"), *[F.sum(m).alias(f"tot_{m}") for m in measures]), "totals")
+    located = lookup_join(counts, totals.drop("_k"), keys, "inner")
+    large = totals.filter(F.col("_k") > bucket_rows)
+    if large.isEmpty():
+        return running_in_buckets(located.withColumn("bucket", F.lit(0)), measures, keys).drop("bucket")
+    picked = lookup_join(counts, large.select(*keys, cut_share(bucket_rows).alias("_share")), keys, "inner").filter(is_cut("value", F.col("_share")))
+    cuts = save_scratch(cut_lists(picked, keys, "value"), "cuts")
+    n_cuts = cuts.agg(F.coalesce(F.sum(F.size("cuts")), F.lit(0))).first()[0]
+    located = lookup_join(located, cuts, keys, "left", n_cuts).withColumn("bucket", bucket_of(F.col("value"))).drop("cuts", "coarse_cuts", "step")
+    return running_in_buckets(located, measures, keys).drop("bucket")
+
+
 def running_in_buckets(located: DataFrame, measures, keys) -> DataFrame:
     """Add ``run_<m>`` to rows that have a ``bucket`` (ascending with ``value``) and ``tot_<m>`` already."""
     keys, measures = list(keys), list(measures)

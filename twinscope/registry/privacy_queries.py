@@ -8,8 +8,8 @@ from twinscope.constants import (
     CONSTRAINT_SIGNIFICANCES, CONSTRAINT_VARIANT_TYPES, INHERITANCE_PATTERNS, SIGNIFICANCES, VARIANT_TYPES,
 )
 from twinscope.frames import TablePair
-from twinscope.operators import constraints, diversity, fidelity, privacy, sampler, scores, utility
-from twinscope.plans.codes import attach_codes, code_dictionary
+from twinscope.operators import conditional, constraints, diversity, fidelity, privacy, sampler, scores, utility
+from twinscope.plans.codes import attach_codes, code_dictionary, lookup_join
 from twinscope.registry.base import query, r6, rounded, table
 from twinscope.registry.data import (
     HOLED_ORDERS_SQL, LINEITEM_COLUMNS, customer_pair, holed_orders, lineitem_pair, orders_pair, skewed_orders,
@@ -508,6 +508,37 @@ def _(spark, sf):
     return _sample(spark, sf, method="copula", condition=("o_orderstatus", "F"))
 
 
+_GIVEN = "o_orderpriority"
+_BY_CONDITION = f"""WITH t AS (SELECT {_GIVEN} AS g, o_orderstatus, o_totalprice, least(floor((o_totalprice - lo) / (hi - lo) * 50), 49)::INTEGER AS b, lo, hi FROM orders
+      JOIN (SELECT {_GIVEN} AS p, min(o_totalprice) AS lo, max(o_totalprice) AS hi FROM orders GROUP BY 1) r ON p = {_GIVEN}),
+    c AS (SELECT g, o_orderstatus AS value, count(*) AS n FROM t GROUP BY ALL),
+    s AS (SELECT g, value, (run - n) / tot AS cum_low, run / tot AS cum_high FROM (SELECT *, sum(n) OVER (PARTITION BY g ORDER BY value) AS run, sum(n) OVER (PARTITION BY g) AS tot FROM c) q),
+    x AS (SELECT g, any_value(lo) + b * (any_value(hi) - any_value(lo)) / 50 AS low, any_value(lo) + (b + 1) * (any_value(hi) - any_value(lo)) / 50 AS high, b, count(*) AS n FROM t GROUP BY g, b),
+    y AS (SELECT *, (run - n) / tot AS cum_low, run / tot AS cum_high FROM (SELECT *, sum(n) OVER (PARTITION BY g ORDER BY b) AS run, sum(n) OVER (PARTITION BY g) AS tot FROM x) q),
+    d AS (SELECT g, id, {_uniform_sql('o_orderstatus', "g || '|' || id")} AS us, {_uniform_sql('o_totalprice', "g || '|' || id")} AS ux
+      FROM (SELECT g, row_number() OVER (PARTITION BY g) - 1 AS id FROM t) q)"""
+
+
+@query("sample_conditional_all", _BY_CONDITION + f""" SELECT d.g AS {_GIVEN}, id, s.value AS o_orderstatus,
+      (round(CAST(y.low + (ux - y.cum_low) / (y.cum_high - y.cum_low) * (y.high - y.low) AS DECIMAL(38, 12)), 4)::DOUBLE + 0.0) AS o_totalprice
+    FROM d JOIN s ON s.g = d.g AND s.cum_low <= us AND us < s.cum_high JOIN y ON y.g = d.g AND y.cum_low <= ux AND ux < y.cum_high""")
+def _(spark, sf):
+    """As many orders of each priority as there are."""
+    return rounded(conditional.sample_by_condition(table(spark, sf, "orders").select(*_SAMPLE_COLUMNS), _GIVEN, method="independent"), 4)
+
+
+@query("sample_conditional_copula", "SELECT p_brand, count(*) AS n, count(*) AS n_types, count(*) AS n_in_range FROM part GROUP BY p_brand")
+def _(spark, sf):
+    """Parts of every brand; all types and prices drawn are the brand's own."""
+    part = table(spark, sf, "part").select("p_brand", "p_type", "p_size", "p_retailprice")
+    drawn = conditional.sample_by_condition(part, "p_brand")
+    known = part.select("p_brand", "p_type").distinct().withColumn("known", F.lit(True))
+    ends = part.groupBy("p_brand").agg(F.min("p_retailprice").alias("lo"), F.max("p_retailprice").alias("hi"))
+    inside = F.col("p_retailprice").between(F.col("lo") - 1e-6, F.col("hi") + 1e-6)
+    return lookup_join(lookup_join(drawn, known, ["p_brand", "p_type"]), ends, "p_brand").groupBy("p_brand").agg(
+        F.count("*").alias("n"), F.count("known").alias("n_types"), F.count_if(inside).alias("n_in_range"))
+
+
 @query("sample_post_check", """SELECT * FROM (VALUES ('null_values', 0::BIGINT), ('out_of_range_share', 0::BIGINT)) c("check", n)
     WHERE (SELECT count(*) FROM orders WHERE o_orderstatus IS NULL OR o_totalprice IS NULL) = 0""")
 def _(spark, sf):
