@@ -10,6 +10,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from twinscope.llm import decontamination, jaccard, language, mixing, quality, queries, secrets, suffixes, tokens, topk, toxicity
 from twinscope.llm.queries import tokenizer_path
@@ -391,6 +392,47 @@ def test_toxicity(spark, none):
     assert toxicity.score(none, model).count() == 0
 
 
+def test_language_bundles_equal_letter_by_letter(monkeypatch):
+    texts = ["Ab c", "привет мир, привет", "καλημέρα κόσμε", "こんにちは 世界", "ä â ù û", "x", "", None, "12 34", "𐐀𐐁a"]
+    whole, lettered = language.bundles(pa.array(texts))
+    for row, text in enumerate(texts):
+        letters = "".join(c if c.isalpha() else " " for c in (text or "").lower())
+        padded = f" {' '.join(letters.split())} " if letters.strip() else ""
+        # Runs of others at an edge are a gap beside the edge's own one, as they are inside the operator.
+        lead, trail = letters[:1] == " " and padded, letters[-1:] == " " and padded
+        padded = (" " if lead else "") + padded + (" " if trail else "")
+        want = np.zeros(language.WIDTH)
+        for k in range(len(padded) - 2):
+            a, b, c = language.letter_vectors(np.array([ord(x) for x in padded[k: k + 3]])).astype(int)
+            want += np.roll(a, 2) * np.roll(b, 1) * c
+        assert lettered[row] == bool(letters.strip())
+        if lettered[row]:
+            assert np.allclose(whole[row], want / np.linalg.norm(want), atol=1e-5), text
+    monkeypatch.setattr(language, "GRAMS", 3)
+    assert np.allclose(language.bundles(pa.array(texts))[0], whole, atol=1e-5)
+
+
+def test_language_letters_and_scripts(spark):
+    points = np.concatenate([np.arange(0x61, 0x7B), np.arange(0xDF, 0x250), np.arange(0x370, 0x530), np.arange(0x3041, 0x30FF), np.arange(0x4E00, 0x5200)])
+    vectors = language.letter_vectors(points).astype(np.int32)
+    assert np.abs(vectors @ vectors.T - language.WIDTH * np.eye(len(points), dtype=int)).max() < 220  # no two alike
+    words = {
+        "ru": "привет мир сегодня хорошая погода большой город", "uk": "привіт світ сьогодні гарна погода велике місто",
+        "el": "καλημέρα κόσμε σήμερα καλός καιρός μεγάλη πόλη", "ja": "こんにちは せかい きょうは いい てんき おおきな まち",
+        "fr": "où êtes vous âme près forêt même été", "en": "where are you today good weather large city",
+    }
+    rows, k = [], 0
+    for lang, text in words.items():
+        for place in range(30):
+            parts = text.split()
+            rows.append((k, lang, " ".join(parts[(place * 3 + j * (1 + place % 3)) % len(parts)] for j in range(4))))
+            k += 1
+    df = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    names, prototypes = language.fit(df, F.col("doc_id") % 3 != 1)
+    found = language.predict(df.filter("doc_id % 3 = 1"), names, prototypes).join(df, "doc_id")
+    assert found.filter("lang_pred <> lang").count() == 0
+
+
 def test_language(spark, docs, none):
     rng = random.Random(3)
     kinds = {"aa": "tho wher ing ion the and".split(), "bb": "schö ung der keit ein über".split(), "cc": "ción ñar que los mente".split()}

@@ -1,9 +1,10 @@
 """Language identification with hyperdimensional profiles.
 
-Each letter has a random vector of +1 and -1 (drawn from its code point); an n-gram is the
-product (binding) of its letters' vectors, each cyclically permuted by its place; a document is the
-sum (bundling) of its n-grams, and a language the sum of its documents' unit vectors. A document
-gets the language of the nearest prototype by cosine.
+Each letter has a random vector of +1 and -1 of its own (bits of a hash of its code point, made in
+the tasks for the letters that occur); an n-gram is the product (binding) of its letters' vectors,
+each cyclically permuted by its place; a document is the sum (bundling) of its n-grams, and a
+language the sum of its documents' unit vectors. A document gets the language of the nearest
+prototype by cosine.
 
 All learning rows take part: tasks bundle their rows by language, the sums are added up by Spark as
 integers, so that their order doesn't matter, and one vector per language is broadcast.
@@ -22,30 +23,41 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from twinscope.llm.arrays import U, mix, pieces, utf8
 
 WIDTH = 1024
-SYMBOLS = 64          # 26 letters, 37 for all other letters by hash, and the gap between words
-GAP = SYMBOLS - 1
+GAP = 32              # the space, which stands for every run of other characters
+BITS = 21             # of a code point; three of them are one number
 SCALE = 1 << 24
-ROWS = 128            # documents bundled in one matrix product
+ROWS = 128            # documents, and
+GRAMS = 16_384        # n-grams, bundled in one matrix product
 
-_signs = np.unpackbits(mix(np.arange(SYMBOLS * WIDTH // 64, dtype=U) * U(0x9E3779B97F4A7C15) + U(11)).view(np.uint8)).reshape(SYMBOLS, WIDTH)
-_LETTER = (2 * _signs.astype(np.int8) - 1)
-_PLACE = [np.roll(_LETTER, k, axis=1) for k in (2, 1, 0)]
+
+def letter_vectors(points: np.ndarray) -> np.ndarray:
+    """The vector of +1 and -1 of each code point, a row each: bits of a hash of (code point, word)."""
+    seeds = mix(points.astype(U) * U(0x9E3779B97F4A7C15) + U(11))
+    words = mix(seeds[:, None] + np.arange(1, WIDTH // 64 + 1, dtype=U) * U(0xD1B54A32D192ED03))
+    return 2 * np.unpackbits(words.view(np.uint8), axis=1).astype(np.int8) - 1
+
+
+def _bound(grams: np.ndarray) -> np.ndarray:
+    """The product of the letters' vectors, each moved by its place, of n-grams given as numbers."""
+    letters = np.stack([grams >> (2 * BITS), grams >> BITS & ((1 << BITS) - 1), grams & ((1 << BITS) - 1)])
+    points, at = np.unique(letters, return_inverse=True)
+    vectors, at = letter_vectors(points), at.reshape(letters.shape)
+    return np.roll(vectors, 2, axis=1)[at[0]] * np.roll(vectors, 1, axis=1)[at[1]] * vectors[at[2]]
 
 
 def _symbols(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The letters of all rows as symbol numbers, every run of others as one gap; where rows begin."""
+    """The letters of all rows as code points, every run of others as one gap; where rows begin."""
     lowered = pc.replace_substring_regex(pc.utf8_lower(pc.fill_null(column, "")), pattern=r"\PL+", replacement=" ")
     buf, offsets = utf8(lowered)
     lead = (buf & 0xC0) != 0x80
     at = np.flatnonzero(lead)
-    head = buf[at].astype(np.int64)
-    code = head.copy()  # the code point's bytes as one number
-    more = head >= 0xC0
-    if more.any():
+    symbol = buf[at].astype(np.int64)
+    size = 1 + (symbol >= 0xC0) + (symbol >= 0xE0) + (symbol >= 0xF0)
+    if (size > 1).any():
+        symbol &= np.array([0, 0x7F, 0x1F, 0x0F, 0x07])[size]
         for k in range(1, 4):
-            there = more & (head >= (0, 0xC0, 0xE0, 0xF0)[k])
-            code[there] = code[there] * 256 + buf[at[there] + k]
-    symbol = np.where(code == 32, GAP, np.where((code >= 97) & (code <= 122), code - 97, 26 + (mix(code.astype(U)) % U(GAP - 26)).astype(np.int64)))
+            there = np.flatnonzero(size > k)
+            symbol[there] = (symbol[there] << 6) + (buf[at[there] + k] & 0x3F)
     return symbol, np.searchsorted(at, offsets)
 
 
@@ -61,7 +73,7 @@ def bundles(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     inner = np.ones(len(row), bool)
     inner[edge[:-1]] = inner[edge[1:] - 1] = False
     padded[inner] = symbol
-    gram = (padded[:-2] * SYMBOLS + padded[1:-1]) * SYMBOLS + padded[2:]
+    gram = (padded[:-2] << (2 * BITS)) + (padded[1:-1] << BITS) + padded[2:]
     whole = row[:-2] == row[2:]
     gram, row = gram[whole], row[:-2][whole]
     out = np.zeros((n, WIDTH), np.float32)
@@ -70,10 +82,12 @@ def bundles(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         if cut[k] == cut[k + 1]:
             continue
         used, back = np.unique(gram[cut[k]: cut[k + 1]], return_inverse=True)
-        bound = _PLACE[0][used // SYMBOLS // SYMBOLS] * _PLACE[1][used // SYMBOLS % SYMBOLS] * _PLACE[2][used % SYMBOLS]
-        rows = min(ROWS, n - k * ROWS)
-        counts = np.bincount((row[cut[k]: cut[k + 1]] - k * ROWS) * len(used) + back, minlength=rows * len(used)).reshape(rows, len(used))
-        out[k * ROWS: k * ROWS + rows] = counts.astype(np.float32) @ bound.astype(np.float32)
+        rows, of = min(ROWS, n - k * ROWS), row[cut[k]: cut[k + 1]] - k * ROWS
+        for first in range(0, len(used), GRAMS):
+            width = min(GRAMS, len(used) - first)
+            here = slice(None) if width == len(used) else (back >= first) & (back < first + width)
+            counts = np.bincount(of[here] * width + back[here] - first, minlength=rows * width).reshape(rows, width)
+            out[k * ROWS: k * ROWS + rows] += counts.astype(np.float32) @ _bound(used[first: first + width]).astype(np.float32)
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9), lettered
 
 
