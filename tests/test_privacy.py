@@ -266,3 +266,25 @@ def test_running_totals_of_many_cuts_large_keys(spark):
     for size in (20, 10_000):
         got = running_totals_of_many(counts, ["n"], ["k"], bucket_rows=size).toPandas().sort_values(["k", "value"])
         assert (got.groupby("k").n.cumsum() == got.run_n).all() and (got.groupby("k").n.transform("sum") == got.tot_n).all() and len(got) == 500
+
+
+def test_check_sample(spark):
+    from twinscope.operators import sampler
+
+    real = spark.createDataFrame([("a", 1.0, None, True), ("b", 5.0, None, True), ("b", float("nan"), None, True)], "c string, x double, e double, f boolean")
+    sample = spark.createDataFrame([("a", 0.5, 1.0, False), (None, None, None, True), ("z", 5.0, 2.0, None), ("z", 9.0, None, True)], "c string, x double, e double, f boolean")
+    got = {(r["column"], r["check"]): r["n"] for r in sampler.check_sample(real, sample).collect()}
+    assert got == {("c", "missing_values"): 1, ("x", "missing_values"): 0, ("e", "missing_values"): 0, ("f", "missing_values"): 1,
+                   ("x", "out_of_range"): 2, ("e", "out_of_range"): 2, ("c", "unknown_value"): 2, ("f", "unknown_value"): 1}
+    assert {r["n"] for r in sampler.check_sample(real, sample.limit(0)).collect()} == {0}
+    with pytest.raises(ValueError):
+        sampler.check_sample(real, sample.drop("x"))
+
+
+def test_cuts_tell_texts_with_a_common_beginning_apart(spark):
+    from twinscope.plans.cuts import bucket_of, cut_lists, is_cut
+
+    rows = spark.range(5000).select(F.lit("k").alias("key"), F.concat(F.repeat(F.lit("https://example.org/"), 20), F.format_string("%06d", F.col("id"))).alias("value"))
+    lists = cut_lists(rows.filter(is_cut("value", F.lit(0.01))), ["key"], "value")
+    sizes = rows.join(F.broadcast(lists), "key").groupBy(bucket_of(F.col("value")).alias("b")).count().toPandas()
+    assert len(sizes) > 20 and sizes["count"].max() < 1000

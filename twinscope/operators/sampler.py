@@ -7,10 +7,11 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from twinscope.frames import column_kinds, null_nan
+from twinscope.frames import TablePair, column_kinds, null_nan
 from twinscope.functions.measures import hash_normal, hash_uniform, inverse_normal, normal_cdf
 from twinscope.operators.constraints import rows_where
 from twinscope.plans.codes import lookup_join
+from twinscope.plans.frequencies import REAL, SYN, pair_counts
 from twinscope.plans.histograms import bin_index
 from twinscope.plans.marginals import category_marginals, invert, number_marginals, saved
 from twinscope.plans.moments import pair_correlations
@@ -163,3 +164,44 @@ def sample_like(real: DataFrame, n: int, columns=None, method: str = "copula", c
     if condition and condition[0] in columns:
         out = out.withColumn(condition[0], F.lit(condition[1])).select("id", *columns)
     return out
+
+
+def check_sample(real: DataFrame, sample: DataFrame, columns=None) -> DataFrame:
+    """(column, check, n): sampled values that the real table rules out.
+
+    ``missing_values`` counts them in columns that have none in ``real``, ``out_of_range`` numbers
+    below its smallest or above its largest value, ``unknown_value`` categories that it lacks.  A
+    column without any real value rules out every value.  Raises when a column is absent.
+    """
+    kinds = column_kinds(real, columns)
+    absent = sorted(set(kinds) - set(sample.columns))
+    if absent:
+        raise ValueError(f"columns missing: {absent}")
+    real, sample = null_nan(real.select(*kinds)), null_nan(sample.select(*kinds))
+    categories = [c for c, k in kinds.items() if k in ("string", "boolean")]
+    numbers = [c for c in kinds if c not in categories]
+    seen = real.agg(  # one row
+        *[F.count_if(F.col(c).isNull()).alias(f"gaps_{i}") for i, c in enumerate(kinds)],
+        *[end(F.col(c).cast("double")).alias(f"{name}_{i}") for i, c in enumerate(numbers) for name, end in (("low", F.min), ("high", F.max))],
+    ).first()
+    counts = [F.count_if(F.col(c).isNull() & F.lit(not seen[f"gaps_{i}"])).alias(f"gaps_{i}") for i, c in enumerate(kinds)]
+    for i, c in enumerate(numbers):
+        x, low, high = F.col(c).cast("double"), seen[f"low_{i}"], seen[f"high_{i}"]
+        odd = x.isNotNull() if low is None else (x < low) | (x > high)
+        counts.append(F.count_if(odd).alias(f"odd_{i}"))
+    cells = [F.struct(F.lit(c).alias("column"), F.lit("missing_values").alias("check"), F.col(f"gaps_{i}").alias("n")) for i, c in enumerate(kinds)]
+    cells += [F.struct(F.lit(c).alias("column"), F.lit("out_of_range").alias("check"), F.col(f"odd_{i}").alias("n")) for i, c in enumerate(numbers)]
+    out = sample.agg(*counts).select(F.inline(F.array(*cells)))
+    if not categories:
+        return out
+    # Categories are counted on both sides in one grouped pass: a frequent one leaves a task as one row.
+    pair = TablePair.of(real, sample, categories)
+    unknown = pair_counts(pair, categories).filter(F.col(REAL) == 0).groupBy("column").agg(F.sum(SYN).alias("n"))
+    per = pair.column_list(categories).select("column").join(F.broadcast(unknown), "column", "left")
+    return out.unionByName(per.select("column", F.lit("unknown_value").alias("check"), F.coalesce("n", F.lit(0)).alias("n")))
+
+
+def checked_sample(real: DataFrame, n: int, columns=None, **how) -> tuple[DataFrame, DataFrame]:
+    """``sample_like`` written once, and what ``check_sample`` finds in it."""
+    sample = save_scratch(sample_like(real, n, columns, **how), "sample")
+    return sample, check_sample(real, sample, columns)

@@ -11,7 +11,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 BUCKET_ROWS = 20_000  # rows, about, in a bucket
 MOST_CUTS = 1 << 16   # per key; beyond it buckets grow, since the cuts are sent to every task
-PREFIX = 64           # characters of a text that serve as its cut
+PREFIX = 1024         # characters of a text that serve as its cut, or
+LEAST_PREFIX = 64     # fewer, not less than these, where the cuts of a key would exceed
+LIST_CHARS = 1 << 24  # all in all
 
 
 def cut_share(bucket_rows: int = BUCKET_ROWS) -> Column:
@@ -24,9 +26,19 @@ def is_cut(value: str, share: Column) -> Column:
 
 
 def cut_lists(picked: DataFrame, keys, value: str) -> DataFrame:
-    """(keys..., cuts, step, coarse_cuts) from the rows that ``is_cut`` kept."""
-    cut = F.substring(value, 1, PREFIX) if dict(picked.dtypes)[value] == "string" else F.col(value)
+    """(keys..., cuts, step, coarse_cuts) from the rows that ``is_cut`` kept.
+
+    A text's cut is its beginning: 1024 characters up to 16,384 cuts, fewer beyond.  Texts that
+    agree that far share a bucket.
+    """
+    text = dict(picked.dtypes)[value] == "string"
+    cut = F.substring(value, 1, PREFIX) if text else F.col(value)
     lists = picked.groupBy(*keys).agg(F.sort_array(F.collect_set(cut)).alias("cuts"))
+    if text:
+        room = F.greatest(F.lit(LEAST_PREFIX), F.floor(F.lit(LIST_CHARS) / F.size("cuts"))).cast("int")
+        # Beginnings of sorted texts are sorted.
+        lists = lists.withColumn("_room", room).withColumn(
+            "cuts", F.array_distinct(F.transform("cuts", lambda c: F.substring(c, F.lit(1), F.col("_room"))))).drop("_room")
     lists = lists.withColumn("step", F.ceil(F.sqrt(F.size("cuts"))).cast("int"))
     return lists.withColumn("coarse_cuts", F.filter("cuts", lambda _, i: (i + 1) % F.col("step") == 0))
 

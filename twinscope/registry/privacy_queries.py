@@ -12,7 +12,7 @@ from twinscope.operators import conditional, constraints, diversity, fidelity, p
 from twinscope.plans.codes import attach_codes, code_dictionary, lookup_join
 from twinscope.registry.base import query, r6, rounded, table
 from twinscope.registry.data import (
-    HOLED_ORDERS_SQL, LINEITEM_COLUMNS, customer_pair, holed_orders, lineitem_pair, orders_pair, skewed_orders,
+    HOLED_ORDERS_SQL, LINEITEM_COLUMNS, SKEWED_ORDERS_SQL, customer_pair, holed_orders, lineitem_pair, orders_pair, skewed_orders,
     variant_records, variant_records_sql,
 )
 from twinscope.registry.fidelity_queries import SKEWED, summary_sql
@@ -549,6 +549,34 @@ def _(spark, sf):
     return constraints.schema_check(drawn.withColumn("share", share), ["o_orderstatus", "share"], ["share"])
 
 
+_CHECKED = [("o_orderstatus", "missing_values"), ("o_orderpriority", "missing_values"), ("o_totalprice", "missing_values"),
+            ("o_totalprice", "out_of_range"), ("o_orderstatus", "unknown_value"), ("o_orderpriority", "unknown_value")]
+
+
+@query("sample_checks_found", f"""WITH r AS (SELECT min(o_totalprice) AS lo, max(o_totalprice) AS hi FROM orders WHERE o_orderkey % 10 < 7),
+    s AS (SELECT CASE WHEN o_orderkey % 40 <> 9 THEN o_orderstatus END AS o_orderstatus, o_orderpriority, o_totalprice * 1.0::DOUBLE AS o_totalprice FROM {SKEWED_ORDERS_SQL} z WHERE o_orderkey % 10 >= 7)
+    SELECT 'o_orderstatus' AS "column", 'missing_values' AS "check", count(*) FILTER (WHERE o_orderstatus IS NULL) AS n FROM s
+    UNION ALL SELECT 'o_orderpriority', 'missing_values', count(*) FILTER (WHERE o_orderpriority IS NULL) FROM s
+    UNION ALL SELECT 'o_totalprice', 'missing_values', count(*) FILTER (WHERE o_totalprice IS NULL) FROM s
+    UNION ALL SELECT 'o_totalprice', 'out_of_range', count(*) FILTER (WHERE o_totalprice < lo OR o_totalprice > hi) FROM s, r
+    UNION ALL SELECT 'o_orderstatus', 'unknown_value', count(*) FROM s WHERE o_orderstatus NOT IN (SELECT o_orderstatus FROM orders WHERE o_orderkey % 10 < 7)
+    UNION ALL SELECT 'o_orderpriority', 'unknown_value', count(*) FROM s WHERE o_orderpriority NOT IN (SELECT o_orderpriority FROM orders WHERE o_orderkey % 10 < 7)""")
+def _(spark, sf):
+    """Relabelled, dearer and partly empty orders, against those that they should look like."""
+    k, orders = F.col("o_orderkey"), table(spark, sf, "orders")
+    priority = F.when(k % 97 == 0, "0-RARE").when(k % 3 != 0, "1-URGENT").otherwise(F.col("o_orderpriority"))
+    status = F.when(k % 40 != 9, F.when(k % 100 != 8, "F").otherwise(F.col("o_orderstatus")))
+    odd = orders.filter(k % 10 >= 7).select(status.alias("o_orderstatus"), priority.alias("o_orderpriority"), (F.col("o_totalprice") * 1.1).alias("o_totalprice"))
+    return sampler.check_sample(orders.filter(k % 10 < 7).select(*_SAMPLE_COLUMNS), odd)
+
+
+@query("sample_checked", "SELECT * FROM (VALUES " + ", ".join(f"('{c}', '{k}', 0::BIGINT)" for c, k in _CHECKED) + """) z("column", "check", n) WHERE (SELECT count(*) FROM orders) > 0""")
+def _(spark, sf):
+    """A sample of the orders has nothing that the orders rule out."""
+    orders = table(spark, sf, "orders").select(*_SAMPLE_COLUMNS)
+    return sampler.checked_sample(orders, orders.count())[1]
+
+
 @query("sample_fidelity")
 def _(spark, sf):
     real = table(spark, sf, "orders").select(*_SAMPLE_COLUMNS)
