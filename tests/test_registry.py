@@ -18,7 +18,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 SOME = [
     "null_counts", "table_profile", "correlation_matrix", "transform_impute", "duplicate_rows", "ks_statistic", "jsd_numeric",
     "fidelity_summary", "bias_report", "column_diagnosis", "privacy_report", "constraint_summary", "auc_one_vs_rest",
-    "candidate_ranking", "marginals", "benchmark_status", "root_causes", "stream_window_drift", "catalogue_lineage",
+    "candidate_ranking", "marginals", "benchmark_status", "root_causes", "stream_window_drift", "catalogue_lineage", "catalogue_stopped_save",
 ]
 CHOSEN = sorted(oracle_sql()) if os.environ.get("TWINSCOPE_ALL") else SOME
 

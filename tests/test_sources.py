@@ -1,6 +1,7 @@
 """Sources, sinks, streams, scratch."""
 
 import json
+from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime
 
 import pytest
@@ -82,6 +83,48 @@ def test_catalogue(spark, tmp_path):
         build_metadata("m", 1, {}, shoe_size=3)
 
 
+def test_a_stopped_save_is_not_seen(spark, tmp_path, monkeypatch):
+    store = Catalogue(spark, str(tmp_path / "store"))
+    assert store.leftovers().count() == 0 and store.manifest().count() == 0
+    df = spark.range(100).repartition(3)
+    kept = store.save(df, build_metadata("copula", 1, {}), "kept")
+
+    def stop(*args):
+        raise OSError("stopped")
+
+    for step in ("_commit", "_files"):          # after the manifest, and after the rows
+        with monkeypatch.context() as m:
+            m.setattr(store, step, stop)
+            with pytest.raises(OSError):
+                store.save(df, build_metadata("copula", 2, {}), "lost")
+    assert [r["dataset_name"] for r in store.list().collect()] == ["kept"]
+    left = store.leftovers().collect()
+    assert len(left) == 2 and kept not in {r["dataset_id"] for r in left}
+    for r in left:
+        with pytest.raises(FileNotFoundError):
+            store.load(r["dataset_id"])
+    assert store.damage().count() == 0
+
+
+def test_files_beside_the_manifest_are_not_read(spark, tmp_path):
+    store = Catalogue(spark, str(tmp_path / "store"))
+    kept = store.save(spark.range(10).coalesce(1), build_metadata("copula", 1, {}), "kept")
+    spark.range(5).coalesce(1).write.mode("append").parquet(f"{tmp_path}/store/{kept}")
+    rows, meta = store.load(kept)
+    assert rows.count() == 10 and meta.first()["n_records"] == 10
+    assert [(r["dataset_id"], r["n_files"]) for r in store.leftovers().collect()] == [(kept, 1)]
+    spark.range(50).coalesce(1).write.mode("overwrite").parquet(f"{tmp_path}/store/{kept}")
+    assert [r["found_bytes"] for r in store.damage().collect()] == [None]
+
+
+def test_saves_at_once_both_appear(spark, tmp_path):
+    store = Catalogue(spark, str(tmp_path / "store"))
+    with ThreadPoolExecutor(4) as pool:
+        ids = list(pool.map(lambda k: store.save(spark.range(10 * k), build_metadata("copula", k, {}), f"n{k}"), range(6)))
+    assert {r["dataset_id"]: r["n_records"] for r in store.list().collect()} == {d: 10 * k for k, d in enumerate(ids)}
+    assert [store.load(d)[0].count() for d in ids] == [10 * k for k in range(6)] and store.leftovers().count() == 0
+
+
 def test_audit(spark, tmp_path):
     path = str(tmp_path / "log")
     for i in range(5):

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from twinscope.operators import constraints
 from twinscope.plans.scratch import scratch_root
@@ -185,6 +186,21 @@ def _(spark, sf):
     return tables.read_table(spark, store.export(found["dataset_id"], "json"), _ORDER_SCHEMA)
 
 
+@query("catalogue_stopped_save", """SELECT 'orders-' || o_orderstatus AS dataset_name, count(*) AS n_records, count(*) AS n_read, 0::BIGINT AS n_damaged
+    FROM orders GROUP BY o_orderstatus""")
+def _(spark, sf):
+    """Saves stopped after their rows, and a file put beside those of a data set: neither changes what is read."""
+    store = _filled(spark, sf)
+    orders = table(spark, sf, "orders").select(*_ORDER_COLUMNS)
+    store._write(orders, str(uuid.uuid4()))
+    saved = store.list().collect()
+    orders.write.mode("append").parquet(f"{store.base}/{saved[0]['dataset_id']}")
+    read = reduce(DataFrame.unionByName, [store.load(r["dataset_id"])[0].select(F.lit(r["dataset_id"]).alias("dataset_id")) for r in saved])
+    damaged = store.damage().groupBy("dataset_id").agg(F.count("*").alias("n_damaged"))
+    out = store.list().join(read.groupBy("dataset_id").agg(F.count("*").alias("n_read")), "dataset_id", "left").join(damaged, "dataset_id", "left")
+    return out.select("dataset_name", "n_records", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_read", "n_damaged")])
+
+
 # ---- audit --------------------------------------------------------------------------------------
 
 def _audit_log(spark, sf) -> str:
