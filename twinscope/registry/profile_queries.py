@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from twinscope.frames import (
@@ -10,12 +12,15 @@ from twinscope.frames import (
 from twinscope.operators import constraints, diversity, profile, transforms
 from twinscope.plans.moments import column_moments
 from twinscope.plans.moments import pair_correlations
+from twinscope.plans.scratch import save_scratch, scratch_root
 from twinscope.registry.base import query, r6, rounded, table
 from twinscope.registry.data import (
     HOLED_ORDERS_SQL, LINEITEM_COLUMNS, PART_COLUMNS, SKEWED_ORDERS_SQL, holed_orders, lineitem_pair, part_pair,
     skewed_orders,
 )
 from twinscope.registry.sqltext import LINEITEM, PART, cells, tagged
+from twinscope.sources import profile_store
+from twinscope.sources.profile_store import ProfileStore
 
 PART_ALL = ["p_partkey", *PART_COLUMNS]
 LI_CATS, LI_NUMS = LINEITEM[2], LINEITEM[3]
@@ -419,3 +424,57 @@ def _(spark, sf):
       SELECT "column", value, 'synthetic', n_syn FROM cells WHERE n_syn > 0) a) b WHERE rk <= 3""")
 def _(spark, sf):
     return diversity.top_categories(part_pair(spark, sf), ["p_brand", "p_type"])
+
+
+# ---- profiles that merge ------------------------------------------------------------------------
+
+_PROFILED = ["event_id", "user_id", "event_type", "value"]
+
+
+def _event_states(parts: str, keys: str, updates: str) -> str:
+    return " UNION ALL ".join(
+        f"""SELECT {parts}, '{c}' AS "column", count(*) AS n_rows, count(*) - count({c}) AS n_null, {low} AS low, {high} AS high, {mean} AS mean{updates}
+            FROM events GROUP BY {keys}"""
+        for c in _PROFILED
+        for low, high, mean in [("NULL::DOUBLE", "NULL::DOUBLE", "NULL::DOUBLE") if c == "event_type" else (r6(f"min({c})"), r6(f"max({c})"), r6(f"avg({c})"))]
+    )
+
+
+@query("profile_refresh", _event_states("strftime(ts, '%Y-%m-%d') AS part", "1, day(ts)", ", CASE WHEN day(ts) < 15 THEN 1 ELSE 2 END AS update"))
+def _(spark, sf):
+    """Three refreshes: the first half of each month, then all days, which reads the rest only, then all again, which reads nothing."""
+    store = ProfileStore(spark, f"{scratch_root(spark).rstrip('/')}/profiles-{uuid.uuid4().hex}")
+    events, day = table(spark, sf, "events"), F.date_format("ts", "yyyy-MM-dd")
+    for rows in (events.where("day(ts) < 15"), events, events):
+        store.refresh(rows, day, _PROFILED)
+    return rounded(store.read().select("part", "column", "n_rows", "n_null", "low", "high", "mean", "update"))
+
+
+def _lineitem_years() -> str:
+    of = {c: r6(f"avg({c})") for c in LI_NUMS}
+    return " UNION ALL ".join(
+        f"""SELECT strftime(l_shipdate, '%Y') AS year, '{c}' AS "column", count(*) AS n_rows, count(*) - count({c}) AS n_null, {of.get(c, 'NULL::DOUBLE')} AS mean,
+            {r6(f'stddev_samp({c})') if c in of else 'NULL::DOUBLE'} AS std, TRUE AS n_unique_ok, {'TRUE' if c in of else 'NULL::BOOLEAN'} AS median_ok FROM lineitem GROUP BY 1"""
+        for c in [*LI_NUMS, *LI_CATS]
+    )
+
+
+@query("profile_merged", _lineitem_years())
+def _(spark, sf):
+    """Months of lineitem merged into years; the sketches' estimates are held against exact counts and ranks."""
+    items, columns = table(spark, sf, "lineitem"), [*LI_NUMS, *LI_CATS]
+    states = save_scratch(profile_store.sketch(items, F.date_format("l_shipdate", "yyyy-MM"), columns), "months")
+    years = save_scratch(profile_store.estimates(profile_store.merge(states.withColumn("year", F.substring("part", 1, 4)), ["year"])), "years")
+    year = F.date_format("l_shipdate", "yyyy")
+    # One row a year: the median of each number.
+    medians = years.where(F.col("column").isin(LI_NUMS)).groupBy("year").pivot("column", LI_NUMS).agg(F.first("median"))
+    medians = medians.select("year", *[F.col(c).alias(f"m_{c}") for c in LI_NUMS])
+    exact = items.withColumn("year", year).join(F.broadcast(medians), "year").groupBy("year").agg(F.array(*[
+        F.struct(F.lit(c).alias("column"), F.count_distinct(F.col(c)).alias("unique"),
+                 *([F.count_if(F.col(c) < F.col(f"m_{c}")).alias("below"), F.count_if(F.col(c) <= F.col(f"m_{c}")).alias("upto"), F.count(c).alias("n")]
+                   if c in LI_NUMS else [F.lit(None).cast("long").alias(a) for a in ("below", "upto", "n")])) for c in columns]).alias("s")).select("year", F.inline("s"))
+    within, half = profile_store.rank_error() * F.col("n") + 1, F.col("n") / 2
+    return rounded(years.join(exact, ["year", "column"]).select(
+        "year", "column", "n_rows", "n_null", "mean", "std",
+        (F.abs(F.col("n_unique") - F.col("unique")) <= F.greatest(F.lit(1.0), profile_store.DISTINCT_ERROR * F.col("unique"))).alias("n_unique_ok"),
+        ((F.col("below") <= half + within) & (F.col("upto") >= half - within)).alias("median_ok")))
