@@ -13,7 +13,8 @@ def held_out(modulus: int, remainder: int) -> Column:
 def sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, remainder: int, per_class: int) -> tuple[DataFrame, dict]:
     """(text, n_chars, y) of at most ``per_class`` documents of each class, and rows by class over all.
 
-    Ids whose labels disagree, or are missing, are left out; ids repeat once. The sample takes the
+    Ids whose labels disagree, or are missing, are left out. An id on several rows of ``docs`` counts
+    once, with the text of the least hash, so the sample is bounded whatever repeats. It takes the
     smallest hashes of the ids, so it is the same on every run. A longer table has a longer list to
     choose from, never a larger sample.
     """
@@ -27,6 +28,8 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, remaind
     for y in (0, 1):
         part = known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id", F.lit(17)), "doc_id").limit(per_class)
         picked = part if picked is None else picked.unionByName(part)
-    texts = docs.select("doc_id", "text", *(["n_chars"] if "n_chars" in docs.columns else []))
-    # The picked ids are 2 * per_class rows at most.
-    return texts.join(F.broadcast(picked), "doc_id"), counts
+    given = ["text", *(["n_chars"] if "n_chars" in docs.columns else [])]
+    # The picked ids are 2 * per_class rows at most; rows of one id meet after a map-side minimum.
+    texts = docs.select("doc_id", *given).join(F.broadcast(picked), "doc_id")
+    once = texts.groupBy("doc_id", "y").agg(F.min(F.struct(F.xxhash64(*given).alias("_h"), *given)).alias("_row"))
+    return once.select("doc_id", "y", *[F.col(f"_row.{c}").alias(c) for c in given]), counts
