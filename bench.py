@@ -16,7 +16,7 @@ HEADLINE = [
     "fidelity_by_column", "fidelity_summary", "column_diagnosis_lineitem", "feature_bias", "bias_report",
     "rare_classes", "table_profile", "exact_quantiles", "outlier_counts", "uniqueness", "duplicate_rows",
     "exact_copies", "diversity_report", "constraint_summary", "constraint_filter", "normalised_vectors",
-    "nearest_neighbour_distances", "distance_statistics", "privacy_report", "auc_one_vs_rest",
+    "nearest_neighbour_distances", "distance_statistics", "privacy_report", "privacy_report_lineitem", "auc_one_vs_rest",
     "classification_scores", "quality_report", "candidate_evaluation", "marginals", "sample_copula",
     "metric_analysis", "benchmark_status", "root_causes", "best_trial_so_far",
 ]

@@ -26,6 +26,14 @@ def test_profile_of_edge_columns(spark):
     assert got["b"]["mean"] == 0.5
 
 
+def test_profile_of_floats_has_one_value_a_number(spark):
+    df = spark.createDataFrame([(123456.7,), (123456.7,), (0.1,)], "f float")
+    row = profile.profile(df).first()
+    stored, tenth = float(np.float32(123456.7)), float(np.float32(0.1))
+    assert row["high"] == row["median"] == row["q3"] == stored and float(row["most_common"][0]["value"]) == stored
+    assert row["low"] == pytest.approx(tenth, abs=1e-6) and row["mean"] == pytest.approx((2 * stored + tenth) / 3, abs=1e-6)
+
+
 def test_profile_of_empty_table(spark):
     df = spark.createDataFrame([], "a string, x double")
     rows = profile.profile(df).collect()

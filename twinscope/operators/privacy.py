@@ -152,8 +152,11 @@ def distance_statistics(distances: DataFrame, percentile: float = 90,
 
     The threshold is the (100 - percentile) quantile, so about that share is flagged by
     construction; ``absolute_threshold`` replaces it by a fixed distance.
+
+    The distances are counted once and written: the quantiles and the deviation need them again.
     """
     values, by = _measured(distances)
+    values = save_scratch(values, "distances")
     keys = [*by, "column"]
     marks = exact_quantiles(
         running_totals(values, ["n"], keys), {"median": 0.5, "cut": (100 - percentile) / 100}, "n", keys
@@ -181,8 +184,7 @@ def distance_statistics(distances: DataFrame, percentile: float = 90,
 def privacy_report(pair: TablePair, percentile: float = 90, categorical: str = "code",
                    absolute_threshold: float | None = None) -> DataFrame:
     """Distance statistics, risk and privacy score = min(1, mean distance) - high-risk share."""
-    distances = save_scratch(nearest_neighbour_distances(pair, categorical), "distances")
-    stats = distance_statistics(distances, percentile, absolute_threshold)
+    stats = distance_statistics(nearest_neighbour_distances(pair, categorical), percentile, absolute_threshold)
     score = clip01(F.least(F.lit(1.0), F.col("mean")) - F.col("high_risk_percentage"))
     return stats.withColumn("privacy_score", score)
 

@@ -168,6 +168,8 @@ def profile(df: DataFrame, columns=None) -> DataFrame:
     numeric = [c for c, k in kinds.items() if k != "string"]
     strict = number_columns(kinds)
     plain = df.withColumns({c: F.col(c).cast("int") for c, k in kinds.items() if k == "boolean"})
+    # A float's own text is another number than its value as a double.
+    plain = plain.withColumns({c: F.col(c).cast("double") for c, t in df.dtypes if t == "float"})
     counts = value_counts(plain, list(kinds))
     totals = counts.groupBy("column").agg(F.sum("n").alias("n_values"), F.count("*").alias("n_unique"))
     common = (

@@ -87,11 +87,19 @@ def _(spark, sf):
     return rounded(privacy.distance_statistics(distances))
 
 
-@query("privacy_report", _statistics_sql(CUSTOMER) + _STAT_ROW + f""", {r6('least(1.0, greatest(0.0, least(1.0, mean) - high_risk_count * 1.0 / n_rows))')} AS privacy_score FROM st""")
+_SCORE = f""", {r6('least(1.0, greatest(0.0, least(1.0, mean) - high_risk_count * 1.0 / n_rows))')} AS privacy_score FROM st"""
+
+
+@query("privacy_report", _statistics_sql(CUSTOMER) + _STAT_ROW + _SCORE)
 def _(spark, sf):
     return rounded(privacy.privacy_report(customer_pair(spark, sf)))
 
 
+@query("privacy_report_lineitem", _statistics_sql(LINEITEM) + _STAT_ROW + _SCORE)
+def _(spark, sf):
+    return rounded(privacy.privacy_report(lineitem_pair(spark, sf, LINEITEM_COLUMNS)))
+
+
 _HOLED_LOW = f"(SELECT min(o_totalprice) FROM {HOLED_ORDERS_SQL} h2 WHERE o_orderkey % 3 > 0)"
 #: A missing price lies at the lower end of the real prices, and at 1 in a dimension of its own.
 _HOLED_PAIR = (f"""(SELECT o_orderkey, o_orderpriority, coalesce(o_totalprice, {_HOLED_LOW}) AS o_totalprice,
