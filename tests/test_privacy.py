@@ -43,6 +43,26 @@ def test_tight_clusters_are_divided_to_the_end(spark):
     assert got == pytest.approx(brute(np.array([[0.1, 0.2]]), real)[0])
 
 
+@pytest.mark.parametrize("match", [(), ("a", "b")])
+def test_search_over_many_blocks_writes_no_table_a_level(spark, monkeypatch, match):
+    monkeypatch.setattr(nearest, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(nearest, "SAMPLE_ROWS", 300)
+    monkeypatch.setattr(nearest, "TASK_QUERIES", 20)
+    written, save = [], nearest.save_scratch
+    monkeypatch.setattr(nearest, "save_scratch", lambda df, label: written.append(label) or save(df, label))
+    rng = np.random.default_rng(5)
+    draw = lambda n: np.column_stack([rng.integers(0, 3, n) / 2.0, rng.integers(0, 5, n) / 4.0, rng.random(n)])
+    real = np.unique(draw(900), axis=0)
+    asked = np.vstack([draw(200), draw(20) * 3 - 1, real[:3]])
+    q = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(asked)], ["pid", "a", "b", "c"])
+    r = spark.createDataFrame([tuple(map(float, v)) for v in real], ["a", "b", "c"])
+    got = {x["pid"]: x["distance"] for x in nearest.nearest_distances(q, r, ["a", "b", "c"], match, leaf_size=4).collect()}
+    gap = asked[:, None, :] - real[None, :, :]
+    gap[:, :, :2] = gap[:, :, :2] != 0 if match else gap[:, :, :2]
+    assert np.allclose([got[i] for i in range(len(asked))], np.sqrt((gap ** 2).sum(-1)).min(1), rtol=1e-12, atol=0)
+    assert len(written) <= 3   # the search by levels wrote seven tables a level
+
+
 def test_copies_have_distance_zero(variants):
     report = privacy.privacy_report(TablePair.of(variants, variants)).first()
     assert report["low"] == report["high"] == 0.0

@@ -1,192 +1,248 @@
 """Exact nearest-neighbour distance between two large sets of vectors.
 
-The real vectors are cut by a hierarchy of cells, each a grid over the bounding box of its parent.
-A cell keeps its own tight box and one of its vectors; with at most ``leaf_size`` vectors it is a
-leaf.  Query vectors descend
-level by level, in three steps per level:
-
-1. distance to the cells' sample vectors gives an upper bound, and the closest cell, if it is a
-   leaf, is searched at once, which makes the bound nearly tight;
-2. only cells whose box lies within the bound are kept;
-3. kept leaves are searched, kept inner cells go to the next level.
-
-So the work per query follows the cells around it, not the size of the real table, and a cell never
-pairs more than ``leaf_size`` vectors with a query.  Distances stay squared until the end.  Every
-level is written to scratch, which cuts the lineage.
+The real vectors are dealt to blocks by a k-d tree whose cuts come from a bounded sample of them;
+the cuts balance the work and do not affect the result. Each block keeps its own tight box. Queries
+are searched in two rounds:
+
+1. in the block whose region they lie in, which makes the bound nearly tight;
+2. in the other blocks whose box lies within that bound; few queries have any.
+
+A task meets one block and at most ``TASK_QUERIES`` of its queries (busy blocks are repeated for
+more). Inside it the block's vectors are cut into balanced leaves of at most ``leaf_size``, again
+with tight boxes, and a query reads the leaves within its bound only. So the work per query follows
+the vectors around it, not the size of the real table. Distances stay squared until the end.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-from itertools import count
+from functools import partial
 
-from pyspark.sql import Column, DataFrame, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F
 
-from twinscope.plans.codes import BROADCAST_ROWS, SALTS, lookup_join
+from twinscope.plans.codes import BROADCAST_ROWS
 from twinscope.plans.scratch import save_scratch
+from twinscope.ship import ship
 
 _SLACK = 1.0 + 1e-9  # rounding guard: a box is dropped only when it is clearly too far
-_CELL_BITS = 6  # about 64 sub-cells per cell and level
-
-
-def _split_bits(dims: int, level: int) -> list[int]:
-    """How often each dimension is halved on one level; with more than six dimensions they take
-    turns."""
-    if dims <= _CELL_BITS:
-        return [_CELL_BITS // dims] * dims
-    start = (level - 1) * _CELL_BITS
-    turn = {(start + i) % dims for i in range(_CELL_BITS)}
-    return [1 if i in turn else 0 for i in range(dims)]
-
-
-def _child_key(columns, level: int) -> Column:
-    """Sub-cell of a vector: a grid over the *bounding box* of its cell (``lo_``/``hi_`` columns),
-    so a tight cluster is divided as quickly as spread-out data."""
-    parts = []
-    for c, bits in zip(columns, _split_bits(len(columns), level)):
-        if bits:
-            place = F.try_divide(F.col(c) - F.col(f"lo_{c}"), F.col(f"hi_{c}") - F.col(f"lo_{c}"))
-            parts.append(F.floor(F.coalesce(place, F.lit(0.0)) * float(2 ** bits)))
-    # A hash collision merges two cells: the box grows, the result stays exact.
-    return F.xxhash64("cell", *parts)
-
-
-def _sum(terms) -> Column:
-    return reduce(lambda a, b: a + b, terms)
-
-
-def squared_distance(queries, vectors, match) -> Column:
-    """Sum of squared differences; columns flagged in ``match`` count 1 when they differ at all."""
-    terms = [
-        F.when(q == v, 0.0).otherwise(1.0) if m else (q - v) * (q - v)
-        for q, v, m in zip(queries, vectors, match)
-    ]
-    return _sum(terms)
-
-
-def _box_distance(columns, match) -> Column:
-    """Least squared distance from the query to anything in the box."""
-    def least(c, m):
-        q, low, high = F.col(f"q_{c}"), F.col(f"lo_{c}"), F.col(f"hi_{c}")
-        if m:  # differs from every code in the box?
-            return F.when((q < low) | (q > high), 1.0).otherwise(0.0)
-        gap = F.greatest(low - q, q - high, F.lit(0.0))
-        return gap * gap
-
-    return _sum([least(c, m) for c, m in zip(columns, match)])
-
-
-def _meet(queries: DataFrame, facts: DataFrame, key: str, n_facts: int) -> DataFrame:
-    """Queries joined to what their cells hold.
-
-    Few facts are broadcast.  Otherwise the join is on (key, salt), the salt taken from the query
-    id, so a cell that a third of the queries visit is spread over SALTS tasks.
-    """
-    if n_facts <= BROADCAST_ROWS:
-        return queries.join(F.broadcast(facts), key)
-    salted = queries.withColumn("_salt", F.pmod(F.xxhash64("pid"), F.lit(SALTS)))
-    every = F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")
-    return salted.join(facts.withColumn("_salt", F.explode(every)), [key, "_salt"]).drop("_salt")
-
-
-def nearest_distances(queries: DataFrame, real: DataFrame, columns, match=(), leaf_size: int = 128) -> DataFrame:
+BLOCK_ROWS = 1 << 14     # real vectors in a block, about
+MOST_BLOCKS = 4096       # beyond that blocks grow
+SAMPLE_ROWS, SAMPLE_BYTES = 1 << 16, 16 << 20  # of real vectors, to choose the cuts
+TASK_QUERIES = 1 << 15
+MOST_TASKS = 2000
+_CHUNK = 1024            # queries searched together
+_PAIRS = 1 << 15         # pairs of a query and a leaf measured together
+
+
+def _cuts(sample: np.ndarray, depth: int, match: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Dimension and value of the cut at each inner node; node k has the children 2k and 2k + 1, and
+    a vector goes to the second from the value on. Vectors that agree are not cut."""
+    dim, value = np.zeros(1 << depth, np.int64), np.full(1 << depth, np.inf)
+    rows = {1: sample}
+    for node in range(1, 1 << depth):
+        x = rows.pop(node, sample[:0])
+        if len(x) > 1:
+            spread = np.ptp(x, axis=0)
+            d = int(np.argmax(np.where(match, spread > 0, spread)))
+            if spread[d] > 0:
+                column = np.sort(x[:, d])
+                middle = column[len(column) // 2]
+                # From the middle value on, or beyond it, whichever halves better; never all on one side.
+                first, last = np.searchsorted(column, middle, "left"), np.searchsorted(column, middle, "right")
+                if last < len(column) and abs(len(column) - 2 * last) < abs(len(column) - 2 * first):
+                    middle = column[last]
+                dim[node], value[node] = d, middle
+                right = x[:, d] >= middle
+                rows[2 * node], rows[2 * node + 1] = x[~right], x[right]
+                continue
+        rows[2 * node] = x
+    return dim, value
+
+
+def _region(x: np.ndarray, dim: np.ndarray, value: np.ndarray, depth: int) -> np.ndarray:
+    node = np.ones(len(x), np.int64)
+    for _ in range(depth):
+        node = 2 * node + (x[np.arange(len(x)), dim[node]] >= value[node])
+    return node - (1 << depth)
+
+
+class Boxes:
+    """Tight boxes of 2**depth leaves and of all nodes above; an empty leaf has an inverted box."""
+
+    def __init__(self, low: np.ndarray, high: np.ndarray, match: np.ndarray):
+        self.first, self.match = len(low), match
+        self.low, self.high = np.empty((2 * len(low), low.shape[1])), np.empty((2 * len(low), low.shape[1]))
+        self.low[self.first:], self.high[self.first:] = low, high
+        at = self.first
+        while at > 1:
+            at //= 2
+            self.low[at: 2 * at] = np.minimum(self.low[2 * at: 4 * at: 2], self.low[2 * at + 1: 4 * at: 2])
+            self.high[at: 2 * at] = np.maximum(self.high[2 * at: 4 * at: 2], self.high[2 * at + 1: 4 * at: 2])
+
+    def distance(self, q: np.ndarray, row: np.ndarray, node: np.ndarray) -> np.ndarray:
+        """Least squared distance from query ``row`` to anything in the box of ``node``."""
+        out = np.zeros(len(row))
+        for d, m in enumerate(self.match):
+            x = q[row, d]
+            gap = np.maximum(self.low[node, d] - x, x - self.high[node, d])
+            if m:  # differs from every code in the box?
+                out += gap > 0
+            else:
+                gap = np.maximum(gap, 0.0)
+                out += gap * gap
+        return out
+
+    def closest(self, q: np.ndarray) -> np.ndarray:
+        """A leaf near each query: the closer child at every node."""
+        row, node = np.arange(len(q)), np.ones(len(q), np.int64)
+        for _ in range(self.first.bit_length() - 1):
+            node = 2 * node + (self.distance(q, row, 2 * node + 1) < self.distance(q, row, 2 * node))
+        return node - self.first
+
+    def within(self, q: np.ndarray, best: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(query, leaf) wherever the leaf's box is within the query's squared bound."""
+        row, node = np.arange(len(q)), np.ones(len(q), np.int64)
+        for _ in range(self.first.bit_length() - 1):
+            row, node = np.repeat(row, 2), np.repeat(2 * node, 2)
+            node[1::2] += 1
+            near = ~(self.distance(q, row, node) > best[row] * _SLACK)
+            row, node = row[near], node[near]
+        return row, node - self.first
+
+
+def _leaves(x: np.ndarray, leaf_size: int, match: np.ndarray) -> tuple[np.ndarray, Boxes]:
+    """The vectors as (dimension, leaf, place) and the leaves' boxes: every node is halved by rank
+    along its widest dimension; a shorter leaf repeats its last vector."""
+    n, depth = len(x), 0
+    while (n >> depth) >= leaf_size and (n >> depth) > 1:
+        depth += 1
+    for level in range(depth):
+        begin = np.arange((1 << level) + 1) * n >> level
+        spread = np.maximum.reduceat(x, begin[:-1]) - np.minimum.reduceat(x, begin[:-1])
+        widest = np.argmax(np.where(match, spread > 0, spread), axis=1)
+        node = np.repeat(np.arange(1 << level), np.diff(begin))
+        x = x[np.lexsort((x[np.arange(n), widest[node]], node))]
+    begin = np.arange((1 << depth) + 1) * n >> depth
+    boxes = Boxes(np.minimum.reduceat(x, begin[:-1]), np.maximum.reduceat(x, begin[:-1]), match)
+    place = np.minimum(begin[:-1, None] + np.arange(np.diff(begin).max()), begin[1:, None] - 1)
+    return np.ascontiguousarray(x[place].transpose(2, 0, 1)), boxes
+
+
+def _least(q: np.ndarray, row: np.ndarray, leaf: np.ndarray, cells: np.ndarray, match: np.ndarray, best: np.ndarray) -> None:
+    """Lower ``best`` by the distances of each pair's query to its leaf's vectors."""
+    for at in range(0, len(row), _PAIRS):
+        r, where = row[at: at + _PAIRS], leaf[at: at + _PAIRS]
+        total = np.zeros((len(r), cells.shape[2]))
+        for d, m in enumerate(match):
+            gap = q[r, d][:, None] - cells[d][where]
+            total += gap != 0 if m else gap * gap
+        np.fmin.at(best, r, np.fmin.reduce(total, axis=1))
+
+
+def _matrix(table, names) -> np.ndarray:
+    return np.column_stack([np.asarray(table.column(c).to_numpy(zero_copy_only=False) if isinstance(table, pa.RecordBatch)
+                                       else table.column(c).to_numpy(), np.float64) for c in names])
+
+
+def _search(left: pa.Table, right: pa.Table, names, leaf_size: int, match: np.ndarray) -> pa.Table:
+    """The queries of one block with their squared bounds lowered by it."""
+    q, best = _matrix(left, names), np.array(left.column("best").to_numpy(), np.float64)
+    if left.num_rows and right.num_rows:
+        with np.errstate(invalid="ignore", over="ignore"):
+            cells, boxes = _leaves(_matrix(right, names), leaf_size, match)
+            for at in range(0, len(q), _CHUNK):
+                some, bound = q[at: at + _CHUNK], best[at: at + _CHUNK]   # views: bounds are lowered in place
+                done = boxes.closest(some)
+                _least(some, np.arange(len(some)), done, cells, match, bound)
+                row, leaf = boxes.within(some, bound)
+                rest = leaf != done[row]
+                _least(some, row[rest], leaf[rest], cells, match, bound)
+    return left.select([c for c in left.column_names if c != "part"]).set_column(
+        left.column_names.index("best"), "best", pa.array(best))
+
+
+def _placed(plan, names, batches):
+    """Rows with the block whose region they lie in."""
+    dim, value, depth = plan.value
+    for batch in batches:
+        block = _region(_matrix(batch, names), dim, value, depth)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(block.astype(np.int32))], names=[*batch.schema.names, "block"])
+
+
+def _elsewhere(plan, names, batches):
+    """A row for each other block that may hold something closer."""
+    boxes = plan.value
+    for batch in batches:
+        q, best, home = _matrix(batch, names), np.asarray(batch.column("best")), np.asarray(batch.column("block"))
+        for at in range(0, len(q), _CHUNK):
+            with np.errstate(invalid="ignore", over="ignore"):
+                row, block = boxes.within(q[at: at + _CHUNK], best[at: at + _CHUNK])
+            empty = boxes.low[boxes.first + block, 0] > boxes.high[boxes.first + block, 0]
+            other = (block != home[at + row]) & ~empty
+            row, block = row[other] + at, block[other]
+            part = batch.take(pa.array(row))
+            yield part.set_column(part.schema.get_field_index("block"), "block", pa.array(block.astype(np.int32)))
+
+
+def _round(asked: DataFrame, points: DataFrame, blocks: int, search, schema: str) -> DataFrame:
+    """``asked`` (pid, x..., best, block) after the search of its blocks."""
+    counts = [(r["block"], -(-r["count"] // TASK_QUERIES)) for r in asked.groupBy("block").count().collect()]   # one row a block
+    tasks = min(MOST_TASKS, max(1, blocks, sum(p for _, p in counts)))
+    parts = asked.sparkSession.createDataFrame(counts, "block int, parts int")
+    parts = F.broadcast(parts) if blocks <= BROADCAST_ROWS else parts
+    left = asked.join(parts, "block").withColumn("part", F.pmod(F.xxhash64("pid"), "parts").cast("int")).drop("parts")
+    right = points.join(parts, "block").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    keys = ["block", "part"]
+    left, right = (t.repartition(tasks, *keys).groupBy(*keys) for t in (left, right))
+    return left.cogroup(right).applyInArrow(search, schema)
+
+
+def nearest_distances(queries: DataFrame, real: DataFrame, columns, match=(), leaf_size: int = 32) -> DataFrame:
     """(pid, distance) for every query: Euclidean distance to the nearest real vector.
 
     ``queries`` has (pid, columns...) with distinct ``pid``; ``real`` has distinct vectors with
     coordinates in [0, 1].  Queries may lie outside.  Columns named in ``match`` are codes whose
     distance is 0 or 1.
     """
-    columns = list(columns)
-    match = [c in set(match) for c in columns]
-    asked = [F.col(f"q_{c}") for c in columns]
-    carried = ["pid", *[f"q_{c}" for c in columns]]
-    root = F.lit(0).cast("long").alias("cell")
-    frontier = queries.select(
-        "pid", *[F.col(c).alias(f"q_{c}") for c in columns], F.lit(float("inf")).alias("best"), root
-    )
-    unit = [F.lit(float(v)).alias(f"{e}_{c}") for c in columns for e, v in (("lo", 0), ("hi", 1))]
-    keyed = real.select(*columns, root, *unit).select(*columns, "cell", _child_key(columns, 1).alias("child"))
-    sample_distance = squared_distance(asked, [F.col(f"at_{c}") for c in columns], match)
-    exact_distance = squared_distance(asked, [F.col(c) for c in columns], match)
-    bounds = []
-    # Distinct vectors differ in some dimension, whose turn separates the ends of the box, so every
-    # cell is divided until it is a leaf.
-    for level in count(1):
-        boxes = save_scratch(
-            keyed.groupBy("cell", "child")
-            .agg(
-                F.count("*").alias("size"),
-                # All of these see the same row first, so together they are one real vector.
-                *[F.first(c).alias(f"at_{c}") for c in columns],
-                *[F.min(c).alias(f"lo_{c}") for c in columns],
-                *[F.max(c).alias(f"hi_{c}") for c in columns],
-            )
-            .withColumn("leaf", F.col("size") <= leaf_size),
-            "boxes",
-        )
-        size = boxes.agg(
-            F.count("*").alias("n"),
-            F.count_if(~F.col("leaf")).alias("inner"),
-            F.coalesce(F.sum(F.when(F.col("leaf"), F.col("size"))), F.lit(0)).alias("vectors"),
-        ).first()
-
-        # Safe for a cell that holds a third of the vectors: see lookup_join.
-        leaf_cells = boxes.filter("leaf").select("cell", "child")
-        leaves = lookup_join(keyed, leaf_cells, ["cell", "child"], "left_semi", size["n"]).select("child", *columns)
-        leaves = save_scratch(leaves, "leaves")  # both searches of the level read it
-
-        def search(hits):
-            return _meet(hits, leaves, "child", size["vectors"]).groupBy("pid").agg(F.min(exact_distance).alias("d2"))
-
-        # Step 1: bound.  The grouped minimum combines inside the tasks that made the join.
-        samples = boxes.select("cell", "child", "leaf", *[f"at_{c}" for c in columns])
-        started = save_scratch(
-            _meet(frontier, samples, "cell", size["n"])
-            .groupBy(*carried)
-            .agg(
-                F.least(F.min("best"), F.min(sample_distance)).alias("best"),
-                F.min_by(F.when(F.col("leaf"), F.col("child")), sample_distance).alias("child"),
-            ),
-            "started",
-        )
-        probed = search(started.filter("child is not null").select("child", *carried))
-        bound = save_scratch(
-            started.join(probed, "pid", "left").select(
-                "pid", F.least("best", F.coalesce("d2", "best")).alias("best"), F.col("child").alias("done")
-            ),
-            "bound",
-        )
-        bounds.append(bound.select("pid", F.col("best").alias("d2")))
-
-        # Step 2: keep the cells within the bound, without the leaf that was searched already.
-        kept = (
-            _meet(frontier.drop("best").join(bound, "pid"),
-                  boxes.select("cell", "child", "leaf", *[f"{e}_{c}" for c in columns for e in ("lo", "hi")]),
-                  "cell", size["n"])
-            .filter(_box_distance(columns, match) <= F.col("best") * _SLACK)
-            .filter(~F.col("child").eqNullSafe(F.col("done")))
-            .select(*carried, "best", "child", "leaf")
-        )
-        kept = save_scratch(kept, "kept")
-
-        # Step 3: search the kept leaves.
-        resolved = save_scratch(search(kept.filter("leaf").select("child", *carried)), "resolved")
-        bounds.append(resolved)
-        if size["inner"] == 0:
-            break
-        frontier = save_scratch(
-            kept.filter(~F.col("leaf")).join(resolved, "pid", "left").select(
-                *carried, F.least("best", F.coalesce("d2", "best")).alias("best"), F.col("child").alias("cell")
-            ),
-            "frontier",
-        )
-        if frontier.isEmpty():
-            break
-        # Cells that no query wants any more are not divided further.
-        wanted = frontier.select(F.col("cell").alias("child")).distinct()
-        inner_cells = boxes.filter(~F.col("leaf")).join(wanted, "child", "left_semi").select("cell", "child", *[f"{e}_{c}" for c in columns for e in ("lo", "hi")])
-        inner = lookup_join(keyed, inner_cells, ["cell", "child"], "inner", size["n"])
-        moved = inner.drop("cell").withColumnRenamed("child", "cell").withColumn("child", _child_key(columns, level + 1))
-        keyed = save_scratch(moved.select(*columns, "cell", "child"), "points")
-    # Sample distances are distances to real vectors too, so the smallest bound is the answer.
-    return reduce(DataFrame.unionByName, bounds).groupBy("pid").agg(F.sqrt(F.min("d2")).alias("distance"))
+    columns, spark = list(columns), real.sparkSession
+    ship(spark)
+    flags = np.array([c in set(match) for c in columns])
+    names = [f"x{i}" for i in range(len(columns))]
+    pid = queries.schema["pid"].dataType.simpleString()
+    vectors = [F.col(c).cast("double").alias(x) for c, x in zip(columns, names)]
+    doubles = ", ".join(f"{x} double" for x in names)
+    points = real.select(*vectors)
+    n = points.count()
+    if n == 0:
+        return spark.createDataFrame([], f"pid {pid}, distance double")
+
+    # A bounded hash sample chooses the cuts.
+    most = max(1, min(SAMPLE_ROWS, SAMPLE_BYTES // (8 * len(names))))
+    sample = points.filter(F.pmod(F.xxhash64(F.lit("cuts"), *names), F.lit(-(-n // most))) == 0)
+    sample = _matrix(sample.orderBy(*names).toArrow(), names)
+    depth = 0
+    while depth < MOST_BLOCKS.bit_length() - 1 and (n >> depth) > BLOCK_ROWS and (len(sample) >> depth) > 1:
+        depth += 1
+    plan = spark.sparkContext.broadcast((*_cuts(sample, depth, flags), depth))
+    points = save_scratch(points.mapInArrow(partial(_placed, plan, names), f"{doubles}, block int"), "points")
+    asked = queries.select("pid", *vectors, F.lit(float("inf")).alias("best")).mapInArrow(
+        partial(_placed, plan, names), f"pid {pid}, {doubles}, best double, block int")
+
+    # One row a block; as arrays they are broadcast.
+    found = points.groupBy("block").agg(*[f(x).alias(f"{f.__name__}_{x}") for x in names for f in (F.min, F.max)]).toArrow()
+    low, high = np.full((1 << depth, len(names)), np.inf), np.full((1 << depth, len(names)), -np.inf)
+    block = found.column("block").to_numpy()
+    low[block], high[block] = (_matrix(found, [f"{e}_{x}" for x in names]) for e in ("min", "max"))
+    boxes = spark.sparkContext.broadcast(Boxes(low, high, flags))
+
+    schema = f"pid {pid}, {doubles}, best double, block int"
+
+    def meet(left, right):
+        return _search(left, right, names, leaf_size, flags)
+
+    near = save_scratch(_round(asked, points, 1 << depth, meet, schema), "near")
+    others = save_scratch(near.mapInArrow(partial(_elsewhere, boxes, names), schema), "others")
+    farther = _round(others, points, 1 << depth, meet, schema)
+    bounds = near.select("pid", "best").unionByName(farther.select("pid", "best"))
+    return bounds.groupBy("pid").agg(F.sqrt(F.min("best")).alias("distance"))
