@@ -195,6 +195,23 @@ def test_stream_split(spark, tmp_path):
     assert sorted((r["k"], tuple(r["violated"])) for r in bad.collect()) == [(2, ("unit",)), (3, ("unit",))]
 
 
+def test_drift_keeps_its_state_in_few_partitions(spark, tmp_path):
+    src, schema = str(tmp_path / "src"), "ts timestamp, kind string"
+    spark.sql("select timestamp'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, cast(id as int)) ts, if(id % 3 = 0, 'a', 'b') kind from range(100)").write.json(src)
+    base = spark.createDataFrame([("a", 1), ("b", 2)], "value string, n long")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 60)
+    try:
+        streams.drift_query(_stream(spark, src, schema), base, "ts", "kind", str(tmp_path / "d"), str(tmp_path / "c")).awaitTermination()
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "60"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    # Each task of the state plan sends a number for each partition to the driver.
+    assert len([f for f in (tmp_path / "c" / "state" / "0").iterdir() if f.name.isdigit()]) <= streams.STATE_PARTITIONS
+    rows = spark.read.schema("start timestamp, jsd double, n long").parquet(str(tmp_path / "d")).collect()
+    assert sorted(r["n"] for r in rows) == [24, 24, 24, 24]
+
+
 def test_stream_duplicates_and_drift(spark, tmp_path):
     src = tmp_path / "in"
     rows = [(datetime(2024, 1, d, h), "a" if d == 1 else "b", d) for d in (1, 2, 4) for h in (1, 1, 5)]
