@@ -185,6 +185,23 @@ def test_multi_index_retrieves_every_code_within_the_radius():
         assert sorted(zip(q.tolist(), row.tolist())) == sorted(zip(*(x.tolist() for x in np.nonzero(full <= radius))))
 
 
+def test_brute_force_by_products_holds_the_true_neighbours():
+    rng = np.random.default_rng(2)
+    v = rng.normal(size=(200, 8))
+    v[150:160] = v[3] * 2.0   # equal cosines
+    class Shared: value = multiindex.Codes(v)  # noqa: E701
+    import pyarrow as pa
+    batch = pa.RecordBatch.from_pydict({"vec_id": pa.array(range(200)), "v": pa.array(v.tolist())})
+    block = multiindex.Block(next(multiindex._build(Shared, 8, [batch])).to_pylist()[0], 8)
+    asked, own = v[:20], np.arange(20)
+    q, row = block.nearest(asked, own[:, None] != block.ids, 5)
+    assert len(q) < 20 * 40   # few are scored one by one
+    order = multiindex._best(q, block.ids[row], block.cosine(asked, q, row), row, 5)
+    every = np.nonzero(own[:, None] != block.ids)
+    true = multiindex._best(every[0], block.ids[every[1]], block.cosine(asked, *every), every[1], 5)
+    assert list(zip(q[order], row[order])) == list(zip(every[0][true], every[1][true]))
+
+
 def test_neighbours(shipped):
     rows, bad = _embeddings()
     table = _vectors(shipped, rows + bad + [(5000, [0.0] * 24)])

@@ -133,13 +133,15 @@ class Block:
         for j, order in enumerate(np.frombuffer(row["sorted"], "<u4").reshape(-1, n)):
             value = pieces[order, j]
             begin = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]]))
-            self.tables.append((value[begin], begin, np.diff(np.append(begin, n)), order))
+            slot = np.full(1 << PIECE, -1, np.int32)   # where in the table each value is
+            slot[value[begin]] = np.arange(len(begin))
+            self.tables.append((value[begin], slot, begin, np.diff(np.append(begin, n)), order))
 
     def within(self, words: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
         """(query number, row) of every code within the radius."""
         asked, m = _pieces(words), len(self.tables)
         seen = np.zeros((len(words), len(self.ids)), bool)
-        for j, (values, begin, count, order) in enumerate(self.tables):
+        for j, (values, slot, begin, count, order) in enumerate(self.tables):
             reach = radius // m if j <= radius % m else radius // m - 1
             if reach < 0:
                 continue
@@ -147,15 +149,20 @@ class Block:
             if flips is None:
                 q, at = np.nonzero(np.bitwise_count(asked[:, j, None] ^ values) <= reach)
             else:
-                probe = asked[:, j, None] ^ flips
-                at = np.minimum(np.searchsorted(values, probe), len(values) - 1)
-                q, which = np.nonzero(values[at] == probe)
+                at = slot[asked[:, j, None] ^ flips]
+                q, which = np.nonzero(at >= 0)
                 at = at[q, which]
             seen[np.repeat(q, count[at]), order[expand(begin[at], count[at])]] = True
         q, row = np.nonzero(seen)
         near = np.bitwise_count(words[q] ^ self.words[row]).sum(1, dtype=np.int64) <= radius
         return q[near], row[near]
 
+    def nearest(self, v: np.ndarray, other: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(query number, row) of the k nearest of each query by brute force, with all that rounding may swap with them."""
+        score = np.where(other, (v / np.linalg.norm(v, axis=1, keepdims=True)) @ (self.vectors / self.norms[:, None]).T, -np.inf)
+        at = len(self.ids) - min(k, len(self.ids))
+        return np.nonzero(other & (score >= np.partition(score, at, axis=1)[:, at, None] - 1e-9))
+
     def cosine(self, v: np.ndarray, q: np.ndarray, row: np.ndarray) -> np.ndarray:
         out = np.empty(len(q))
         norms = np.sqrt((v * v).sum(1))
@@ -196,11 +203,11 @@ def _search(shared, batches):
             for lo in range(0, len(own), step):
                 part = slice(lo, lo + step)
                 if radius is None:   # brute force
-                    q, row = (x.ravel() for x in np.indices((len(own[part]), len(block.ids))))
+                    q, row = block.nearest(v[part], own[part][:, None] != block.ids, k)
                 else:
                     q, row = block.within(words[part], radius)
-                other = block.ids[row] != own[part][q]
-                q, row = q[other], row[other]
+                    other = block.ids[row] != own[part][q]
+                    q, row = q[other], row[other]
                 score = block.cosine(v[part], q, row)
                 order = _best(q, block.ids[row], score, row, k)
                 q, row, score = q[order], row[order], score[order]
