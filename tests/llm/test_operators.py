@@ -493,3 +493,14 @@ def test_pipeline_columns(spark):
         at = stage(spark, at, sf)
         assert at.columns == docs.columns
     assert corpus_pipeline.run(spark, sf).count() > 0
+
+
+def test_windows_of_long_texts_are_ranked_a_few_at_a_time():
+    import pyarrow as pa
+    from twinscope.llm import suffixes
+    text = "".join(chr(97 + i * i % 23) for i in range(20_000))
+    places = [[{"off": o, "lo": 0, "hi": suffixes.WINDOWS - 1} for o in range(200, 19_000, 68)]] * 20
+    kind = pa.list_(pa.struct([("off", pa.int32()), ("lo", pa.int32()), ("hi", pa.int32())]))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(20)), pa.array([text] * 20), pa.array(places, kind)], names=["key", "text", "places"])
+    sizes = [b.num_rows for b in suffixes._window_rows([batch])]
+    assert sum(sizes) == 20 * len(places[0]) * suffixes.WINDOWS and max(sizes) < 3 * suffixes.WINDOW_BYTES

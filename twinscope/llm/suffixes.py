@@ -39,6 +39,7 @@ LENGTH = 200
 GRAM = 65
 WINDOWS = LENGTH - GRAM + 1     # windows that hold a given 65-byte string: 136
 PART = 17                       # windows in a block
+BLOCK_BYTES, WINDOW_BYTES = 512 << 10, 128 << 10   # of text taken together, where a byte makes up to 1/8 and 2 rows
 PLACE = np.dtype([("key", "<i8"), ("off", "<i4"), ("lo", "u1"), ("hi", "u1")])
 _LOW = U((1 << 28) - 1)
 
@@ -117,7 +118,7 @@ def _listed(piece: pa.RecordBatch, names: list[str]):
 
 
 def _block_rows(batches):
-    for piece in pieces(batches):
+    for piece in pieces(batches, limit=BLOCK_BYTES):
         buf, offsets = utf8(piece.column("text"))
         sums = prefix(buf)
         row, off, lo, hi = _listed(piece, ["off", "lo", "hi"])
@@ -135,7 +136,7 @@ def _block_rows(batches):
 
 
 def _window_rows(batches):
-    for piece in pieces(batches):
+    for piece in pieces(batches, limit=WINDOW_BYTES):
         buf, offsets = utf8(piece.column("text"))
         row, off, lo, hi = _listed(piece, ["off", "lo", "hi"])
         n = np.maximum(hi - lo + 1, 0)
