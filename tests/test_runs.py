@@ -203,3 +203,9 @@ def test_forests_of_all_candidates_grow_together(spark):
     assert row.asDict() == together["good"].asDict()
     with pytest.raises(ValueError):
         utility.candidate_forests(pair, "y", depth=40)
+
+
+def test_forest_rows_are_spread_over_the_cores(spark):
+    rows = spark.range(100_000, numPartitions=1)
+    assert utility._spread(rows, 100_000).rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism
+    assert utility._spread(rows, 100).rdd.getNumPartitions() == 1

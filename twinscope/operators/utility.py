@@ -14,6 +14,7 @@ from twinscope.plans.ordered import running_totals
 from twinscope.plans.scratch import save_scratch
 
 MISSING = "nan"  # fixed value: name of the missing category
+TASK_ROWS = 4096  # of a forest's table: a row costs a walk down every tree on every level
 
 
 def encode_for_learning(train: DataFrame, test: DataFrame, target: str) -> tuple[DataFrame, DataFrame]:
@@ -29,6 +30,12 @@ def encode_for_learning(train: DataFrame, test: DataFrame, target: str) -> tuple
     )
 
 
+def _spread(rows: DataFrame, n: int) -> DataFrame:
+    """Rows over all cores: a forest's table has few bytes, so that its scan would be a task or two."""
+    parts = min(-(-n // TASK_ROWS), 4 * rows.sparkSession.sparkContext.defaultParallelism)
+    return rows.repartition(parts) if parts > 1 else rows
+
+
 def train_and_test(train: DataFrame, test: DataFrame, target: str, trees: int = 100, seed: int = 42,
                    depth: int = 30) -> DataFrame:
     """Random forest fitted on ``train``, applied to ``test``: (label, prediction, probability).
@@ -48,8 +55,8 @@ def train_and_test(train: DataFrame, test: DataFrame, target: str, trees: int =
             for t in (train, test)
         )
     train, test = (null_nan(t.select(target, *[F.col(c).cast("double").alias(c) for c in features])) for t in (train, test))
-    # One row: the median and the number of gaps of each column.
-    found = train.agg(*[F.percentile_approx(c, 0.5, 10_000).alias(f"m{i}") for i, c in enumerate(features)],
+    # One row: the number of rows, the median and the number of gaps of each column.
+    found = train.agg(F.count("*").alias("n"), *[F.percentile_approx(c, 0.5, 10_000).alias(f"m{i}") for i, c in enumerate(features)],
                       *[F.count_if(F.col(c).isNull()).alias(f"g{i}") for i, c in enumerate(features)]).first()
     flags = [c for i, c in enumerate(features) if found[f"g{i}"]]
     numeric = [F.coalesce(F.col(c), F.lit(float(found[f"m{i}"] or 0.0))).alias(f"x{i}") for i, c in enumerate(features)]
@@ -61,9 +68,9 @@ def train_and_test(train: DataFrame, test: DataFrame, target: str, trees: int =
         return gather.transform(t.select(*numeric, F.col(target).cast("double").alias("label"))).select("features", "label")
 
     # Training passes over its input many times: materialise it once.
-    ready = save_scratch(prepared(train), "train")
+    ready = save_scratch(_spread(prepared(train), found["n"]), "train")
     forest = RandomForestClassifier(numTrees=trees, seed=seed, maxDepth=depth, maxMemoryInMB=512)
-    scored = forest.fit(ready).transform(prepared(test))
+    scored = forest.fit(ready).transform(_spread(prepared(test), test.count()))
     return scored.select("label", "prediction", vector_to_array("probability").alias("probability"))
 
 
