@@ -26,7 +26,7 @@ from twinscope.plans.scratch import save_scratch
 from twinscope.ship import ship
 
 _SLACK = 1.0 + 1e-9  # rounding guard: a box is dropped only when it is clearly too far
-BLOCK_ROWS = 1 << 14     # real vectors in a block, about
+BLOCK_ROWS = 8192        # real vectors in a block, about
 MOST_BLOCKS = 4096       # beyond that blocks grow
 SAMPLE_ROWS, SAMPLE_BYTES = 1 << 16, 16 << 20  # of real vectors, to choose the cuts
 TASK_QUERIES = 1 << 15
