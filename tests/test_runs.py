@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from twinscope.frames import TablePair
 from twinscope.operators import causes, constraints, history, sampler, scores, utility
 from twinscope.operators.fidelity import fidelity_by_column
+from twinscope.plans import bagging
 from twinscope.plans.moments import pair_correlations
 
 LINE = "series_id string, cycle int, metric string, value double"
@@ -209,3 +210,53 @@ def test_forest_rows_are_spread_over_the_cores(spark):
     rows = spark.range(100_000, numPartitions=1)
     assert utility._spread(rows, 100_000).rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism
     assert utility._spread(rows, 100).rdd.getNumPartitions() == 1
+
+
+def patterned(spark, n):
+    """Labels that depend on a wide number, on few-valued ones and on chance."""
+    rng = np.random.default_rng(11)
+    a, b, c = rng.random(n) * 100, rng.integers(0, 3, n), rng.integers(0, 4, n)
+    y = np.where(rng.random(n) < 0.2, "x", np.where(np.sin(a / 10) + b / 2 + rng.random(n) > 1.2, "p", "q"))
+    return spark.createDataFrame([(float(i), "uvw"[j], int(k), str(l)) for i, j, k, l in zip(a, b, c, y)], "a double, b string, c int, y string").cache()
+
+
+def test_rows_of_few_bins_are_counted_before_a_forest_grows(spark, monkeypatch):
+    df = patterned(spark, 9000)
+    train, test = df.filter("a * 1000 % 10 >= 4"), df.filter("a * 1000 % 10 < 4")
+
+    def found():
+        rows = utility.train_and_test(train, test, "y", trees=20)
+        assert rows.count() == test.count()
+        shares = rows.groupBy("label").agg(*[F.avg(F.col("probability")[i]) for i in range(3)]).orderBy("label").collect()
+        return utility.classification_scores(rows).first()["accuracy"], np.array([tuple(r) for r in shares])
+
+    with monkeypatch.context() as m:
+        m.setattr(utility, "TASK_ROWS", 10 ** 9)
+        accuracy, shares = found()                     # Spark ML's forest, row by row
+    monkeypatch.setattr(utility, "RandomForestClassifier", None)
+    counted = found()
+    assert counted[0] == pytest.approx(accuracy, abs=0.02)
+    assert counted[1] == pytest.approx(shares, abs=0.02)
+    again = found()
+    assert again[0] == counted[0] and (again[1] == pytest.approx(counted[1], abs=1e-12))
+
+
+def test_tree_finds_the_best_splits():
+    cells, labels, n = np.array([[0, 0], [1, 0], [2, 0], [0, 1], [1, 1], [2, 1]]), np.array([0, 0, 1, 0, 0, 2]), np.array([5, 1, 9, 4, 2, 7])
+    rng = np.random.default_rng(0)
+    tree = bagging.grow_tree(cells, labels, n, [3, 2], 3, 30, 2, rng)
+    assert tree.shares(cells).tolist() == np.eye(3)[labels].tolist()
+    assert (tree.feature[0], tree.bin[0]) == (0, 1) and tree.counts[0].tolist() == [12, 9, 7]
+    one = bagging.grow_tree(cells, labels, n, [3, 2], 3, 1, 2, rng)   # one level: class 0, and 1 beside 2
+    assert one.shares(cells)[2].tolist() == [0, 9 / 16, 7 / 16] and one.shares(cells)[0].tolist() == [1, 0, 0]
+    assert bagging.grow_tree(cells, labels, 0 * n, [3, 2], 3, 30, 2, rng).shares(cells).sum() == 0
+
+
+def test_thresholds_lie_between_all_few_values_and_part_many(spark):
+    rows = [(float(i % 5), 0.0 if i % 2 else float(i)) for i in range(6000)]
+    df = spark.createDataFrame(rows, "few double, many double")
+    got = bagging.thresholds(df, ["few", "many"])
+    assert got["few"] == [0.5, 1.5, 2.5, 3.5]
+    many = np.array([r[1] for r in rows])
+    held = np.diff([0, *[(many <= t).sum() for t in got["many"]], 6000])
+    assert len(got["many"]) == 31 and held[1:].max() < 200 and held[1:].min() > 50   # half of the rows are 0

@@ -8,6 +8,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
 from twinscope.frames import CANDIDATE, TablePair, column_kinds, null_nan
+from twinscope.plans import bagging
 from twinscope.plans.codes import attach_codes, code_dictionary
 from twinscope.plans.forest import class_shares, train
 from twinscope.plans.ordered import running_totals
@@ -43,6 +44,9 @@ def train_and_test(train: DataFrame, test: DataFrame, target: str, trees: int =
     Every row takes part.  A missing number becomes the median of ``train``, and each column that
     lacks numbers in ``train`` has a flag beside it; 0 stands in where ``train`` has no number at all.
     ``probability`` is an array with one entry per training class.
+
+    More than TASK_ROWS rows are counted by their bins, if those are few enough, and grow the trees as such
+    (``plans.bagging``); Spark ML grows all other forests.
     """
     kinds = column_kinds(train)
     train, test = encode_for_learning(train, test, target)
@@ -62,10 +66,19 @@ def train_and_test(train: DataFrame, test: DataFrame, target: str, trees: int =
     numeric = [F.coalesce(F.col(c), F.lit(float(found[f"m{i}"] or 0.0))).alias(f"x{i}") for i, c in enumerate(features)]
     numeric += [F.col(c).isNull().cast("double").alias(f"f{i}") for i, c in enumerate(flags)]
     inputs = [f"x{i}" for i in range(len(features))] + [f"f{i}" for i in range(len(flags))]
+
+    def numbers(t):
+        return t.select(*numeric, F.col(target).cast("double").alias("label"))
+
+    if features and found["n"] > TASK_ROWS:
+        known = numbers(train)
+        scored = bagging.predictions(known, numbers(test), bagging.thresholds(known, inputs), trees, depth, seed)
+        if scored is not None:
+            return scored
     gather = VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="error")
 
     def prepared(t):
-        return gather.transform(t.select(*numeric, F.col(target).cast("double").alias("label"))).select("features", "label")
+        return gather.transform(numbers(t)).select("features", "label")
 
     # Training passes over its input many times: materialise it once.
     ready = save_scratch(_spread(prepared(train), found["n"]), "train")
