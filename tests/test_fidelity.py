@@ -125,6 +125,22 @@ def test_missing_values_are_dropped(spark):
     assert fidelity.ks_test(full).collect() == fidelity.ks_test(holed).collect()
 
 
+def test_ordered_counts_serve_metrics_and_diagnosis(spark):
+    rng = np.random.default_rng(3)
+    schema = "s string, b boolean, k int, x double, none double"
+
+    def side(n, shift):
+        return [("uv"[i % 2], i % 3 == 0, int(rng.integers(0, 4)), None if i % 7 == 0 else float(rng.normal(shift)), None) for i in range(n)]
+
+    pair = pair_of(spark, side(200, 0.0), side(150, 0.4), schema)
+    ordered = fidelity.ordered_counts(pair).cache()
+    for operator in (fidelity.fidelity_by_column, fidelity.diagnose_columns):
+        shared, alone = (sorted(operator(pair, ordered=o).collect()) for o in (ordered, None))
+        assert len(shared) == len(alone) == 5
+        for a, b in zip(shared, alone):
+            assert {k: pytest.approx(v, abs=1e-12) if isinstance(v, float) else v for k, v in a.asDict().items()} == b.asDict()
+
+
 def test_constant_column_has_no_divergence_and_no_error(spark):
     pair = pair_of(spark, [(5.0, 1.0), (5.0, 2.0)], [(5.0, 2.0), (5.0, 1.0)], "c double, x double")
     jsd = {r["column"]: r["jsd"] for r in fidelity.js_divergence(pair).collect()}

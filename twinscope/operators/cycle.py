@@ -5,17 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from twinscope.constants import BUCKETS
-from twinscope.frames import TablePair, diagnostic_categorical
+from twinscope.frames import TablePair, analysis_numeric, diagnostic_categorical
 from twinscope.operators import bias, causes, constraints, diversity, fidelity, history, profile, scores
 from twinscope.operators.privacy import privacy_report
 from twinscope.operators.utility import cross_test
 from twinscope.plans.scratch import save_scratch
 
 
-def run_metrics(pair: TablePair, target: str, series_id: str, cycle: int, **forest) -> DataFrame:
-    """(series_id, cycle, bucket, metric, value): the twelve metrics of one run."""
+def run_metrics(pair: TablePair, target: str, series_id: str, cycle: int, ordered: DataFrame | None = None, **forest) -> DataFrame:
+    """(series_id, cycle, bucket, metric, value): the twelve metrics of one run.
+
+    ``ordered`` is a ``fidelity.ordered_counts`` result to reuse.
+    """
     there = cross_test(pair, target, **forest).filter(F.col("direction") == "synthetic_to_real")
-    per_column = save_scratch(fidelity.fidelity_by_column(pair), "fidelity")  # serves quality and bias
+    per_column = save_scratch(fidelity.fidelity_by_column(pair, ordered), "fidelity")  # serves quality and bias
     quality = scores.quality_report(pair, there.select("accuracy", "f1_score", "auc"), per_column)
     privacy = privacy_report(pair).select("privacy_score", F.col("mean").alias("mean_nnd"), F.col("high_risk_percentage").alias("high_risk_pct"))
     divergence = per_column.agg(F.max("jsd").alias("max_column_jsd"))
@@ -52,7 +55,10 @@ def diagnostic_cycle(pair: TablePair, target: str, rules, out_dir: str, series_i
     summary = profile.dataset_summary(profiled)
     keep("size", causes.size_diagnosis(summary))
     imbalance = save_scratch(profile.class_imbalance(pair.real, categorical), "imbalance") if categorical else None
-    metrics = keep("metrics", run_metrics(pair, target, series_id, cycle, **forest))
+    # The ordered counts of the numeric columns serve the metrics and the diagnosis of columns.
+    shared = len(pair.candidates) == 1 and analysis_numeric(pair.kinds)
+    ordered = save_scratch(fidelity.ordered_counts(pair), "ordered") if shared else None
+    metrics = keep("metrics", run_metrics(pair, target, series_id, cycle, ordered, **forest))
     keep("levels", history.benchmark_deltas(history.classify_metrics(metrics)))
     context = summary.select(
         F.lit(series_id).alias("series_id"), F.lit(cycle).alias("cycle"), "n_rows", "n_rare_columns",
@@ -64,7 +70,7 @@ def diagnostic_cycle(pair: TablePair, target: str, rules, out_dir: str, series_i
     context = context.drop("j")
     keep("causes", causes.root_causes(metrics, context))
     amplification = bias.amplification_ratio(pair, categorical) if categorical else None
-    diagnosis = keep("columns", fidelity.prioritise_columns(fidelity.diagnose_columns(pair, amplification, categorical)))
+    diagnosis = keep("columns", fidelity.prioritise_columns(fidelity.diagnose_columns(pair, amplification, categorical, ordered)))
     if len(pair.columns) > 1:
         keep("correlations", fidelity.correlation_pairs(pair))
     diverse = keep("diversity", diversity.diversity_report(pair, categorical))

@@ -45,19 +45,29 @@ def ks_of_ordered(ordered: DataFrame, p_value=kolmogorov_p) -> DataFrame:
     )
 
 
-def ks_test(pair: TablePair, columns=None, empty_as_null: bool = False, exact: bool = False) -> DataFrame:
+def ordered_counts(pair: TablePair, columns=None) -> DataFrame:
+    """Counts of both sides with their running totals, for a pair with one candidate: written once,
+    they serve ``fidelity_by_column`` and the KS tests of its numeric columns."""
+    columns = analysis_numeric(pair.kinds) if columns is None else list(columns)
+    return running_totals(pair_counts(pair, columns, "double"))
+
+
+def ks_test(pair: TablePair, columns=None, empty_as_null: bool = False, exact: bool = False,
+            ordered: DataFrame | None = None) -> DataFrame:
     """Two-sample KS statistic and p-value per numeric column.
 
     The p-value is the asymptotic one, or with ``exact`` that of finite samples (``small_sample_p``:
     one evaluation a column and candidate, after the values have been counted).  A column with no
-    values on one side gets (1, 0), or NULLs with ``empty_as_null``.
+    values on one side gets (1, 0), or NULLs with ``empty_as_null``.  ``ordered`` is an
+    ``ordered_counts`` result to reuse.
     """
     if exact:
         ship(pair.rows.sparkSession)
     p_value = small_sample_p if exact else kolmogorov_p
     columns = ks_columns(pair.kinds) if columns is None else list(columns)
     if len(pair.candidates) == 1:
-        found = ks_of_ordered(running_totals(pair_counts(pair, columns, "double")), p_value)
+        own = ordered_counts(pair, columns) if ordered is None else ordered.filter(F.col("column").isin(columns))
+        found = ks_of_ordered(own, p_value)
     else:
         found = _with_p(Cumulative(pair, columns).gaps(), p_value)
     out = pair.column_list(columns).join(F.broadcast(found), KEYS, "left")
@@ -220,11 +230,11 @@ def top_lost_pairs(pairs: DataFrame, limit: int = 10) -> DataFrame:
 
 # ---- all metrics --------------------------------------------------------------------------------
 
-def fidelity_by_column(pair: TablePair) -> DataFrame:
+def fidelity_by_column(pair: TablePair, ordered: DataFrame | None = None) -> DataFrame:
     """(column, jsd, ks, p_value) for every common column, in one shared plan.
 
     The counts of numeric values feed both the histograms and the ECDFs: one shuffle of the
-    distinct values serves both.
+    distinct values serves both.  ``ordered`` is an ``ordered_counts`` result to reuse.
     """
     categorical, numeric = analysis_categorical(pair.kinds), analysis_numeric(pair.kinds)
     parts, ks = [], None
@@ -235,9 +245,9 @@ def fidelity_by_column(pair: TablePair) -> DataFrame:
         parts.append(_divergence(both.histograms(), "relative", k=20))
         ks = _with_p(both.gaps())
     elif numeric:
-        counts = pair_counts(pair, numeric, "double")
+        counts = pair_counts(pair, numeric, "double") if ordered is None else ordered
         parts.append(_divergence(histograms_of_counts(counts, 20), "relative", k=20))
-        ks = ks_of_ordered(running_totals(counts))
+        ks = ks_of_ordered(running_totals(counts) if ordered is None else ordered)
     jsd = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     tested = F.col("column").isin(ks_columns(pair.kinds))
     out = pair.column_list().join(F.broadcast(jsd), KEYS, "left")
@@ -275,16 +285,18 @@ def fidelity_summary(pair: TablePair, per_column: DataFrame | None = None) -> Da
 
 # ---- diagnosis ----------------------------------------------------------------------------------
 
-def diagnose_columns(pair: TablePair, amplification: DataFrame | None = None, categorical=None) -> DataFrame:
+def diagnose_columns(pair: TablePair, amplification: DataFrame | None = None, categorical=None,
+                     ordered: DataFrame | None = None) -> DataFrame:
     """Per-column diagnosis: divergence (30 bins, epsilon), KS for continuous columns, severity,
-    issues and advice.  ``amplification`` is the result of ``bias.amplification_ratio``."""
+    issues and advice.  ``amplification`` is the result of ``bias.amplification_ratio``, ``ordered``
+    an ``ordered_counts`` result to reuse."""
     if categorical is None:
         categorical = diagnostic_categorical(pair.real, pair.kinds)
     continuous = [c for c in pair.columns if c not in set(categorical)]
     jsd = js_divergence(pair, categorical, continuous, bins=30, smoothing="epsilon")
     on = ["column"] if len(pair.candidates) == 1 else KEYS
     if continuous:
-        ks = ks_test(pair, continuous, empty_as_null=True)
+        ks = ks_test(pair, continuous, empty_as_null=True, ordered=ordered)
         out = jsd.join(F.broadcast(ks), on, "left").withColumnRenamed("statistic", "ks").withColumnRenamed("p_value", "ks_p")
     else:
         out = jsd.withColumns({"ks": F.lit(None).cast("double"), "ks_p": F.lit(None).cast("double")})
