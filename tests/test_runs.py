@@ -231,8 +231,9 @@ def test_rows_of_few_bins_are_counted_before_a_forest_grows(spark, monkeypatch):
         return utility.classification_scores(rows).first()["accuracy"], np.array([tuple(r) for r in shares])
 
     with monkeypatch.context() as m:
-        m.setattr(utility, "TASK_ROWS", 10 ** 9)
+        m.setattr(utility, "FEW_ROWS", 10 ** 9)
         accuracy, shares = found()                     # Spark ML's forest, row by row
+    monkeypatch.setattr(utility, "FEW_ROWS", 1000)
     monkeypatch.setattr(utility, "RandomForestClassifier", None)
     counted = found()
     assert counted[0] == pytest.approx(accuracy, abs=0.02)

@@ -16,6 +16,7 @@ from twinscope.plans.scratch import save_scratch
 
 MISSING = "nan"  # fixed value: name of the missing category
 TASK_ROWS = 4096  # of a forest's table: a row costs a walk down every tree on every level
+FEW_ROWS = 1 << 14  # with no more to learn from, Spark ML's forest is quick enough row by row
 
 
 def encode_for_learning(train: DataFrame, test: DataFrame, target: str) -> tuple[DataFrame, DataFrame]:
@@ -45,7 +46,7 @@ def train_and_test(train: DataFrame, test: DataFrame, target: str, trees: int =
     lacks numbers in ``train`` has a flag beside it; 0 stands in where ``train`` has no number at all.
     ``probability`` is an array with one entry per training class.
 
-    More than TASK_ROWS rows are counted by their bins, if those are few enough, and grow the trees as such
+    More than FEW_ROWS rows are counted by their bins, if those are few enough, and grow the trees as such
     (``plans.bagging``); Spark ML grows all other forests.
     """
     kinds = column_kinds(train)
@@ -70,7 +71,7 @@ def train_and_test(train: DataFrame, test: DataFrame, target: str, trees: int =
     def numbers(t):
         return t.select(*numeric, F.col(target).cast("double").alias("label"))
 
-    if features and found["n"] > TASK_ROWS:
+    if features and found["n"] > FEW_ROWS:
         known = numbers(train)
         scored = bagging.predictions(known, numbers(test), bagging.thresholds(known, inputs), trees, depth, seed)
         if scored is not None:
