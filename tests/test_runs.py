@@ -2,7 +2,7 @@
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Observation, functions as F
 
 from twinscope.frames import TablePair
 from twinscope.operators import causes, constraints, history, sampler, scores, utility
@@ -161,6 +161,14 @@ def test_forest_learns_and_validates(spark):
         scores.validate(TablePair.of(df, df.withColumn("x", F.lit(None).cast("double"))), "y")
 
 
+def test_forest_of_two_classes_after_an_observed_query(spark):
+    seen = Observation()
+    assert spark.range(3).observe(seen, F.count("*").alias("n")).count() == 3 and seen.get["n"] == 3
+    df = spark.createDataFrame([("hi" if i > 20 else "lo", float(i)) for i in range(40)], "y string, x double")
+    rows = utility.train_and_test(df, df, "y", trees=3, depth=3).collect()
+    assert len(rows) == 40 and sum(r["label"] == r["prediction"] for r in rows) > 35
+
+
 def test_samples_follow_the_real_table(spark):
     rng = np.random.default_rng(8)
     x = rng.normal(10, 2, 1500)

@@ -84,7 +84,8 @@ def train_and_test(train: DataFrame, test: DataFrame, target: str, trees: int =
     # Training passes over its input many times: materialise it once.
     ready = save_scratch(_spread(prepared(train), found["n"]), "train")
     forest = RandomForestClassifier(numTrees=trees, seed=seed, maxDepth=depth, maxMemoryInMB=512)
-    scored = forest.fit(ready).transform(_spread(prepared(test), test.count()))
+    # A copy lacks the training summary, which holds the session: after an observed query no task can take that.
+    scored = forest.fit(ready).copy().transform(_spread(prepared(test), test.count()))
     return scored.select("label", "prediction", vector_to_array("probability").alias("probability"))
 
 
